@@ -50,3 +50,10 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["row_key"].eqNullSafe(b["row_key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+
+def keep_rows(df: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df's rows whose key is in keys (doc_id, row_key), whatever df's other columns are called."""
+    right = keys.select(F.col("doc_id").alias("__keep_doc"), F.col("row_key").alias("__keep_row"))
+    doc, row = row_key(id_col, text_col)
+    return df.join(right, doc.eqNullSafe(F.col("__keep_doc")) & (row == F.col("__keep_row")), "left_semi")

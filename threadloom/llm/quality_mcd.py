@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, keep_rows, row_key, text_of
 from .text_stats import COUNTS, counts
 
 VECTOR = ("symbols", "upper", "dup_lines", "repeats", "word_length")
@@ -129,11 +129,17 @@ def pooled(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, COUNTS, distance2, base_failed, outlier, kept."""
-    named = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    stats = cut(base_counts(named).select("*", *vector()), "quality")
+    """Per document: doc_id, row_key, COUNTS, distance2, base_failed, outlier, kept."""
+    named = df.select(*row_key(id_col, text_col), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    stats = cut(base_counts(named, carry=("row_key", "lang", "source")).select("*", *vector()), "quality").withColumn("row_key", F.col("row_key").cast("long"))
     rows = pooled(stats)
     params = mcd(rows.filter("n_words > 0"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     outlier = F.coalesce(F.col("distance2") > chi2_quantile(CUT, len(VECTOR)), F.lit(False))
-    return rows.join(params, "pool", "left").withColumn("distance2", distance(VECTOR)).select("doc_id", *COUNTS, "distance2", failed.alias("base_failed"), outlier.alias("outlier"), (~failed & ~outlier).alias("kept"))
+    judged = rows.join(params, "pool", "left").withColumn("distance2", distance(VECTOR))
+    return judged.select("doc_id", "row_key", *COUNTS, "distance2", failed.alias("base_failed"), outlier.alias("outlier"), (~failed & ~outlier).alias("kept"))
+
+
+def keep_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of df, all columns, that `quality` keeps."""
+    return keep_rows(df, quality(df, id_col, text_col, lang_col, source_col).filter("kept"), id_col, text_col)

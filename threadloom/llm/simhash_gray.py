@@ -24,11 +24,11 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, row_key, text_of
+from .common import cut, keep_rows, row_key, text_of
 from .components import star_components
 
 RADIUS, FAN, BLOCK = 2, 8, 400_000
@@ -78,7 +78,6 @@ class Tree:
     """The index of one block of upper nodes: `node` numbers them, fps are sorted by node and Gray rank."""
 
     def __init__(self, node: np.ndarray, fps: np.ndarray):
-        self.fps, one = fps, np.ones(len(fps), bool)
         self.levels = [(fps, ~(fps ^ fps), node, np.arange(len(fps)), np.arange(len(fps)) + 1)]
         while True:
             pattern, mask, owner, _, _ = self.levels[-1]
@@ -91,7 +90,6 @@ class Tree:
             both, either = np.bitwise_and.reduceat(pattern, begin), np.bitwise_or.reduceat(pattern, begin)
             shared = np.bitwise_and.reduceat(mask, begin) & ~(both ^ either)
             self.levels.append((both & shared, shared, owner[begin], begin, np.r_[begin[1:], len(owner)]))
-        del one
 
     def links(self, radius: int = RADIUS, chunk: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of places whose fingerprints differ in at most radius bits, by descent from (root, root)."""
@@ -179,3 +177,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = placed.join(firsts, "root").select("fp", "best")
     keep = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
     return rows.join(classes, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), keep.alias("keep"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, that stand for their components: one of each, the one of smallest id."""
+    kept = cut(near_duplicates(df, id_col, text_col).filter("keep").groupBy("doc_id", "row_key").agg(F.count("*").alias("n")), "simhash-kept")
+    once = keep_rows(df, kept, id_col, text_col)
+    if kept.filter("n > 1").isEmpty():
+        return once
+    # rows equal in id and text: the first of each
+    single, several = keep_rows(df, kept.filter("n = 1"), id_col, text_col), keep_rows(df, kept.filter("n > 1"), id_col, text_col)
+    first = F.row_number().over(Window.partitionBy(*row_key(id_col, text_col)).orderBy(F.lit(0)))
+    return single.unionByName(several.withColumn("__place", first).filter("__place = 1").drop("__place"))
