@@ -6,8 +6,9 @@ ones), so equal windows have equal anchors. The stretch of windows that share an
 window starts; the index has one entry for each distinct segment, with its anchor's gram, in the suffix order's runs.
 
 `SuffixLevels.ingest` takes a batch of documents: the batch's entries are merge-scanned against the existing levels (a join
-on the gram, which sorts both sides), matches are recorded, and the batch becomes a level of its own; levels of equal
-size class are merged, so there are about log2(batches) of them and an entry is rewritten as often.
+on the gram, which sorts both sides), runs that may match are noted, and the batch becomes a level of its own; levels of
+equal size class are merged before the next batch, so there are about log2(batches) of them and an entry is rewritten as
+often. `SuffixLevels.found` reads the noted entries' bytes once and measures their matches.
 
 Two entries of one gram match over the bytes that their contexts share to the left and to the right of the anchor, if
 these are LENGTH or more. A task sorts the right contexts (a suffix array cut at LENGTH bytes) and the reversed left ones,
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, row_key, same_row, text_of
@@ -153,6 +154,8 @@ def matched(low: np.ndarray, high: np.ndarray, texts: list[bytes]) -> tuple[np.n
         r_run[r_order] = np.cumsum(r_common < LENGTH - o)
         l_run[l_order] = np.cumsum(l_common < o) if o else 0
         valid = np.flatnonzero((low <= o) & (o <= high))
+        if len(valid) < 2:
+            continue
         key = r_run[valid] * (n + 1) + l_run[valid]
         order = np.argsort(key, kind="stable")
         same = np.r_[False, key[order][1:] == key[order][:-1]]
@@ -207,44 +210,58 @@ def matches_by_window(found: DataFrame) -> DataFrame:
     return windows.join(twice, ["g", "o", "h"]).groupBy("g", "s").agg(F.min("o").alias("least"), F.max("o").alias("most"))
 
 
+PLACE = ("doc_id", "row_key", "w0", "w1", "a")
+
+
 class SuffixLevels:
-    """The index: levels of entries (g, s, n, first), where first is one place of the segment; and what has been matched."""
+    """The index. A level is a table of entries (g, s, n, PLACE): a distinct segment, how often it occurs, and one place."""
 
-    def __init__(self, spark: SparkSession, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT):
-        self.spark, self.corpus, self.id_col, self.text_col, self.hot = spark, corpus, id_col, text_col, hot
+    def __init__(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT):
+        self.corpus, self.id_col, self.text_col, self.hot = corpus, id_col, text_col, hot
         self.levels: list[tuple[int, DataFrame]] = []
-        self.covered: list[DataFrame] = []
+        self.pending: list[DataFrame] = []
 
-    def ingest(self, batch: DataFrame) -> None:
-        """Match a batch's segments (see segment_table) with each other and with the levels, then add them."""
-        place = F.struct("doc_id", "row_key", *SEGMENT)
-        new = cut(batch.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(place).alias("first")), "suffixes")
-        size = new.count()
-        entries = new.withColumn("old", F.lit(0))
-        for _, level in self.levels:
-            entries = entries.unionByName(level.withColumn("old", F.lit(1)))
-        if self.levels:
-            entries = entries.groupBy("g", "s").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("old").alias("old"))
-        grams = entries.groupBy("g").agg(F.count("*").alias("distinct"), F.min("old").alias("touched"))
-        entries = cut(entries.filter((F.col("n") > 1) & (F.col("old") == 0)).select("g", "s", "n", "first", F.lit(None).cast("long").alias("distinct")).unionByName(
-            entries.drop("old").join(grams.filter("distinct > 1 and touched = 0").drop("touched"), "g").select("g", "s", "n", "first", "distinct")), "matches")
-        whole = entries.filter("distinct is null").select("g", "s", (F.col("first.a") - F.col("first.w1")).alias("least"), (F.col("first.a") - F.col("first.w0")).alias("most"))
-        several = entries.filter("distinct is not null")
-        wanted = contexts(self.corpus, several.filter(F.col("distinct") <= self.hot).select("first.*"), self.id_col, self.text_col)
-        self.covered += [whole, matches(wanted)]
-        if not several.filter(F.col("distinct") > self.hot).isEmpty():
-            self.covered.append(matches_by_window(contexts(self.corpus, several.filter(F.col("distinct") > self.hot).select("first.*"), self.id_col, self.text_col)))
-        self.levels.append((size, new))
+    @staticmethod
+    def entries(rows: DataFrame, n) -> DataFrame:
+        # any place serves, since equal segments are equal bytes
+        return rows.groupBy("g", "s").agg(n.alias("n"), *(F.first(c).alias(c) for c in PLACE))
+
+    def merge(self) -> None:
+        """Merge the last two levels while they are of one size class."""
         while len(self.levels) > 1 and self.levels[-1][0].bit_length() >= self.levels[-2][0].bit_length():
             (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            merged = x.unionByName(y).groupBy("g", "s").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-            self.levels.append((a + b, cut(merged, "suffixes") if self.spark else merged))
+            self.levels.append((a + b, cut(self.entries(x.unionByName(y), F.sum("n")), "suffixes")))
+
+    def ingest(self, batch: DataFrame) -> None:
+        """Merge-scan a batch's segments (see segment_table) against each other and the levels, note what may match, then add them."""
+        self.merge()
+        new = cut(self.entries(batch, F.count("*")), "suffixes")
+        scanned = new.withColumn("old", F.lit(0))
+        for _, level in self.levels:
+            scanned = scanned.unionByName(level.withColumn("old", F.lit(1)))
+        # what a batch does not touch has been noted before
+        grams = scanned.groupBy("g").agg(F.count("*").alias("runs"), F.sum("n").alias("times"), F.min("old").alias("old")).filter("times > 1 and old = 0").select("g", "runs")
+        noted = scanned.join(grams, "g").select("g", "s", "n", *PLACE, "old", F.lit(len(self.pending)).alias("batch"))
+        self.pending.append(cut(noted, "scanned"))
+        self.levels.append((new.count(), new))
 
     def found(self) -> DataFrame:
         """(g, s, least, most): the windows of a segment that occur elsewhere lie between these offsets and reach both."""
-        every = self.covered[0]
-        for x in self.covered[1:]:
-            every = every.unionByName(x)
+        noted = self.pending[0]
+        for x in self.pending[1:]:
+            noted = noted.unionByName(x)
+        if len(self.pending) > 1:  # an entry may be noted with several batches; one that was in a level when it first was occurred once till then
+            own, before = F.col("old") == 0, F.col("old") == 1
+            first_new, first_old = F.coalesce(F.min(F.when(own, F.col("batch"))), F.lit(len(self.pending))), F.min(F.when(before, F.col("batch")))
+            times = F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) + F.when(first_old <= first_new, 1).otherwise(0)
+            noted = noted.groupBy("g", "s").agg(times.alias("n"), *(F.first(c).alias(c) for c in PLACE))
+        runs = noted.groupBy("g").agg(F.count("*").alias("runs")).filter("runs > 1")
+        noted = cut(noted.join(runs, "g", "left"), "noted")
+        whole = noted.filter("n > 1").select("g", "s", (F.col("a") - F.col("w1")).alias("least"), (F.col("a") - F.col("w0")).alias("most"))
+        every = whole.unionByName(matches(contexts(self.corpus, noted.filter(F.col("runs") <= self.hot), self.id_col, self.text_col)))
+        large = noted.filter(F.col("runs") > self.hot)
+        if not large.isEmpty():
+            every = every.unionByName(matches_by_window(contexts(self.corpus, large, self.id_col, self.text_col)))
         return every.groupBy("g", "s").agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
 
@@ -268,9 +285,8 @@ def removed_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The table is dealt into `batches` by row, ingested one after the other; the result does not depend on their number.
     """
-    spark = df.sparkSession
     table = cut(segment_table(df, id_col, text_col), "segments")
-    index = SuffixLevels(spark, df, id_col, text_col, hot)
+    index = SuffixLevels(df, id_col, text_col, hot)
     for k in range(batches):
         index.ingest(table.filter(F.pmod(F.col("row_key"), F.lit(batches)) == k) if batches > 1 else table)
     hits = table.join(index.found(), ["g", "s"]).select("doc_id", "row_key", F.struct((F.col("a") - F.col("most")).alias("b"), (F.col("a") - F.col("least") + LENGTH).alias("e")).alias("span"))
