@@ -289,7 +289,8 @@ def removed_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = SuffixLevels(df, id_col, text_col, hot)
     for k in range(batches):
         index.ingest(table.filter(F.pmod(F.col("row_key"), F.lit(batches)) == k) if batches > 1 else table)
-    hits = table.join(index.found(), ["g", "s"]).select("doc_id", "row_key", F.struct((F.col("a") - F.col("most")).alias("b"), (F.col("a") - F.col("least") + LENGTH).alias("e")).alias("span"))
+    found = cut(index.found(), "found")  # as a table, so that a passage in very many documents is split between tasks
+    hits = table.join(found, ["g", "s"]).select("doc_id", "row_key", F.struct((F.col("a") - F.col("most")).alias("b"), (F.col("a") - F.col("least") + LENGTH).alias("e")).alias("span"))
     hits = hits.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("spans"))
     docs = df.select(*row_key(id_col, text_col), text_of(text_col).cast("binary").alias("t"))
     joined = docs.join(hits, same_row(docs, hits), "left").select(docs["doc_id"], docs["row_key"], "t", "spans")
