@@ -7,28 +7,37 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import STAMP, trim_ws
 
-W = Window.partitionBy("doc_id").orderBy("line_no")
-BLOCK = Window.partitionBy("doc_id", "idx")
-IN_BLOCK = BLOCK.orderBy("pos")
 HIDDEN = "[Quoted text hidden]"
 REPLY = r"^On\s+\w{3},?\s+.*<[^>]*@[^>]*>\s+wrote:\s*$"
 
 
+def by_line():
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def of_block():
+    return Window.partitionBy("doc_id", "idx")
+
+
+def in_block():
+    return of_block().orderBy("pos")
+
+
 def is_header(plain: Column) -> Column:
     """Ends in a full stamp, and starts with a name and an address."""
     return plain.rlike(rf"\s+{STAMP}\s*$") & F.regexp_replace(plain, rf"\s+{STAMP}\s*$", "").rlike(r"^.+?\s+<[^>]+>")
 
 
-def is_forward(plain: Column, window=W) -> Column:
+def is_forward(plain: Column, window=None) -> Column:
     """A From row with an address, and a Sent row among itself and the next four lines."""
-    return plain.rlike(r"^From:\s+.*<[^>]*@[^>]*>") & (F.max(plain.startswith("Sent:").cast("int")).over(window.rowsBetween(0, 4)) == 1)
+    return plain.rlike(r"^From:\s+.*<[^>]*@[^>]*>") & (F.max(plain.startswith("Sent:").cast("int")).over((window or by_line()).rowsBetween(0, 4)) == 1)
 
 
 def segment(lines: DataFrame, header: Column | None = None) -> DataFrame:
     """lines with idx, the ordinal of the block (0: preamble), and pos, the place in it."""
     flag = is_header(F.col("plain")) if header is None else header
-    marked = lines.withColumn("idx", F.sum(flag.cast("int")).over(W.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return marked.withColumn("pos", F.row_number().over(BLOCK.orderBy("line_no")))
+    marked = lines.withColumn("idx", F.sum(flag.cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return marked.withColumn("pos", F.row_number().over(of_block().orderBy("line_no")))
 
 
 def header_fields(blocks: DataFrame) -> DataFrame:
@@ -47,10 +56,10 @@ def header_rows(blocks: DataFrame) -> DataFrame:
     label = F.regexp_extract(p, "^(To|Cc|Bcc):", 1)
     folds = p.contains("<") | p.contains("@")
     body = blocks.filter("idx > 0 and pos > 1").withColumn("label", F.when(label != "", label))
-    carried = F.last("label", ignorenulls=True).over(IN_BLOCK.rowsBetween(Window.unboundedPreceding, 0))
+    carried = F.last("label", ignorenulls=True).over(in_block().rowsBetween(Window.unboundedPreceding, 0))
     marked = body.withColumn("carried", carried)
     other = ~(F.col("label").isNotNull() | (folds & F.col("carried").isNotNull()))
-    ended = marked.withColumn("stop", F.min(F.when(other, F.col("pos"))).over(BLOCK)).filter("stop is null or pos < stop")
+    ended = marked.withColumn("stop", F.min(F.when(other, F.col("pos"))).over(of_block())).filter("stop is null or pos < stop")
     return ended.select("doc_id", "idx", "pos", F.col("carried").alias("label"), trim_ws(F.regexp_replace(p, "^(To|Cc|Bcc):", "")).alias("value"))
 
 
@@ -66,11 +75,11 @@ def bodies(blocks: DataFrame) -> DataFrame:
     """Body lines (doc_id, idx, pos, plain): header rows off, the quoted tail cut, hidden-quote markers dropped, blank ends trimmed, in this order."""
     rows = header_rows(blocks).select("doc_id", "idx", "pos")
     body = blocks.filter("idx > 0 and pos > 1").join(rows, ["doc_id", "idx", "pos"], "left_anti")
-    tail = F.col("plain").rlike(REPLY) | is_forward(F.col("plain"), IN_BLOCK)
-    cut = body.withColumn("tail", tail).withColumn("cut", F.min(F.when(F.col("tail"), F.col("pos"))).over(BLOCK)).filter("cut is null or pos < cut")
+    tail = F.col("plain").rlike(REPLY) | is_forward(F.col("plain"), in_block())
+    cut = body.withColumn("tail", tail).withColumn("cut", F.min(F.when(F.col("tail"), F.col("pos"))).over(of_block())).filter("cut is null or pos < cut")
     kept = cut.filter(trim_ws(F.col("plain")) != HIDDEN)
     full = F.when(trim_ws(F.col("plain")) != "", F.col("pos"))
-    ends = kept.withColumns({"a": F.min(full).over(BLOCK), "b": F.max(full).over(BLOCK)})
+    ends = kept.withColumns({"a": F.min(full).over(of_block()), "b": F.max(full).over(of_block())})
     return ends.filter("pos between a and b").select("doc_id", "idx", "pos", "plain")
 
 
