@@ -37,7 +37,7 @@ def words(text: Column) -> Column:
 def domain_of(source: Column) -> Column:
     """The domain of a source, by the number at its end."""
     number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,9})$", 1).try_cast("long")
-    return F.coalesce(F.element_at(F.array(*(F.lit(d) for d in DOMAINS)), (number % len(DOMAINS)).cast("int") + 1), F.lit(DOMAINS[0]))
+    return F.when(number % len(DOMAINS) == 1, DOMAINS[1]).when(number % len(DOMAINS) == 2, DOMAINS[2]).otherwise(DOMAINS[0])
 
 
 def weight(level: str, weights: dict) -> Column:
