@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from threadloom import plans
 from threadloom.functions import text as t
-from threadloom.operators import blocks, diffing, layout, payload, segment
+from threadloom.operators import blocks, diffing, layout, payload, segment, stacked
 
 DATA = "/root/testdata/sf0.001"
 
@@ -95,3 +95,61 @@ def test_query(spark, name):
     order = sorted(got.columns)
     listed = lambda rs, cs: sorted(str([row[cs.index(c)] for c in order]) for row in rs)
     assert listed(map(tuple, rows), got.columns) == listed(want.fetchall(), want.columns)
+
+
+STACKED = ["Mail", "", "Plan", "From Ana Ro <a@x.io>", "Date Wed, Apr 29, 2026 at 8:12 AM", "To Bo <b@x.io>", "Cc Cy <c@x.io>", "", "Hello", "On Tue, Apr 28, 2026 at 7:37AM Bo Li <b@x.io> wrote:", "older", "From: Cy <c@x.io>", "Sent: Monday", "To: Bo <b@x.io>", "Subject: Plan", "", "oldest"]
+COLON = ["Shown", "From: Ana", "Subject: Row", "Date: April 29, 2026", "To: Bo <b@x.io>", "text", "From: stray <s@x.io>", "On April 28, 2026, at 8:38 AM, Bo <b@x.io> wrote:", "older", "On April 27, 2026 at 8:00 AM Cy <c@x.io> wrote:", "oldest"]
+
+
+def as_lines(spark, *docs):
+    return spark.createDataFrame([(d, i + 1, x) for d, rows in enumerate(docs) for i, x in enumerate(rows)], "doc_id long, line_no int, plain string")
+
+
+def test_stacked(spark):
+    lines = as_lines(spark, STACKED, ["no header", None])
+    got = [tuple(r) for r in stacked.messages(lines, stacked.OUTLOOK).orderBy("idx").select("from_name", "from_email", "date_raw", "to", "cc", "body").collect()]
+    assert got == [("Ana Ro", "a@x.io", "Wed, Apr 29, 2026 at 8:12 AM", "Bo <b@x.io>", "Cy <c@x.io>", "Hello"), ("Bo Li", "b@x.io", "Tue, Apr 28, 2026 at 7:37AM", "Ana Ro <a@x.io>", None, "older"), ("Cy", "c@x.io", "Monday", "Bo <b@x.io>", None, "\noldest")]
+    assert stacked.subjects(lines, stacked.OUTLOOK).collect() == [(0, "Plan")]
+    assert stacked.headless(lines, stacked.OUTLOOK).collect() == [(1,)]
+
+
+def test_stacked_colons(spark):
+    lines = as_lines(spark, COLON)
+    got = [tuple(r) for r in stacked.messages(lines, stacked.APPLE).orderBy("idx").select("from_name", "from_email", "date_raw", "to", "body").collect()]
+    assert got == [("Ana", "", "April 29, 2026", "Bo <b@x.io>", "text\nFrom: stray <s@x.io>"), ("Bo", "b@x.io", "April 28, 2026, at 8:38 AM", "", "older"), ("", "", "April 27, 2026 at 8:00 AM Cy <c@x.io> wrote", "", "oldest")]
+    assert stacked.subjects(lines, stacked.APPLE).collect() == [(0, "Row")]
+
+
+def test_fold_against_loop(spark):
+    """Random documents, folded line by line as the rule says."""
+    import random
+
+    stamp, kinds = "Wed, Apr 29, 2026 at 8:12 AM", ["Ana <a@x.io>", "Bo <b@x.io> x", "<c@x.io>", "To: d", "", "prose", "at a@x.io.", "Wed, Apr 29, 2026 at 8:12 AM", "Di <d@x.io> Wed, Apr 29, 2026 at 8:12 AM"]
+    rng = random.Random(5)
+    docs = [[rng.choice(kinds[:5] + kinds[:3] + kinds[5:]) for _ in range(rng.randint(1, 14))] for _ in range(300)]
+
+    def goes_on(x):
+        return x == "" or x.startswith(("To:", "Cc:", "Bcc:", "<")) or ("@" in x and x[-1] not in ".:")
+
+    def folded(rows):
+        out, i = [], 0
+        while i < len(rows):
+            hit = None
+            if rows[i] in kinds[:2]:
+                for at in range(i + 1, min(i + 7, len(rows))):
+                    if rows[at] == stamp:
+                        hit = at
+                    if rows[at] == stamp or not goes_on(rows[at]):
+                        break
+            if hit is None:
+                out.append(rows[i])
+                i += 1
+            else:
+                out += [f"{rows[i]} {stamp}", *rows[i + 1 : hit]]
+                i = hit + 1
+        return out
+
+    got = {}
+    for r in stacked.fold_headers(as_lines(spark, *docs)).orderBy("doc_id", "line_no").collect():
+        got.setdefault(r.doc_id, []).append(r.plain)
+    assert [got[d] for d in range(len(docs))] == [folded(rows) for rows in docs]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as t
-from threadloom.operators import blocks, chrome, diffing, geometry, layout, payload, segment
-from threadloom.sources.mail import MAIL_SQL, mail_lines, read, text_lines
+from threadloom.operators import blocks, chrome, diffing, geometry, layout, payload, segment, stacked
+from threadloom.sources.mail import MAIL_SQL, mail_lines, read, stacked_lines, text_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -370,6 +370,47 @@ def page_labels(s: SparkSession, d: str) -> DataFrame:
     return layout.page_labels(numbered(s, d).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")), style="roman")
 
 
+#: What stacked_lines prints, told from the turns themselves.
+STACKED = """WITH turns AS (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS idx, upper(role[1]) || lower(role[2:]) || ' ' || conv_id AS from_name, role || '.' || conv_id || '@example.com' AS from_email, strftime(TIMESTAMP '2024-01-01' + to_minutes((97 * conv_id + 13 * turn)::INT), '%a, %b %-d, %Y at %-I:%M %p') AS date_raw, coalesce(text, '') AS body FROM conversations)
+SELECT doc_id, idx, from_name, from_email, date_raw, len(string_split(body, chr(10))) AS n_body, body, """
+
+
+@query(STACKED + """CASE WHEN idx % 2 = 1 THEN 'Team <team@example.com>' ELSE lag(from_name || ' <' || from_email || '>') OVER (PARTITION BY doc_id ORDER BY idx) END AS "to" FROM turns""")
+def stacked_messages(s: SparkSession, d: str) -> DataFrame:
+    return stacked.messages(stacked_lines(read(s, d, "conversations"), colons=False), stacked.OUTLOOK).drop("cc", "bcc")
+
+
+@query(STACKED + """CASE WHEN idx % 2 = 1 THEN 'Team <team@example.com>' ELSE '' END AS "to" FROM turns""")
+def stacked_colon_messages(s: SparkSession, d: str) -> DataFrame:
+    return stacked.messages(stacked_lines(read(s, d, "conversations"), colons=True), stacked.APPLE).drop("cc", "bcc")
+
+
+@query("SELECT DISTINCT conv_id AS doc_id, 'Printed thread' AS plain_subject, 'Thread ' || conv_id AS row_subject FROM conversations")
+def stacked_subjects(s: SparkSession, d: str) -> DataFrame:
+    found = lambda colons, style, name: stacked.subjects(stacked_lines(read(s, d, "conversations"), colons), style).withColumnRenamed("subject", name)
+    return found(False, stacked.OUTLOOK, "plain_subject").join(found(True, stacked.APPLE, "row_subject"), "doc_id")
+
+
+@query(f"WITH {MAIL_SQL} SELECT doc_id, line_no, plain FROM lines")
+def fold_split_headers(s: SparkSession, d: str) -> DataFrame:
+    """Every one-line header is split at its stamp first, with a folded address between; folding puts them together."""
+    stamp = rf"\s+({t.STAMP})$"
+    whole = mail(s, d)
+    cut = F.when(segment.is_header(F.col("plain")), F.array(F.regexp_replace("plain", stamp, "    "), F.lit("<extra@example.com>"), F.regexp_extract("plain", stamp, 1))).otherwise(F.array("plain"))
+    split = whole.select("doc_id", "line_no", F.posexplode(cut).alias("part", "plain"))
+    folded = stacked.fold_headers(split.select("doc_id", (F.col("line_no") * 4 + F.col("part")).alias("line_no"), "plain"))
+    return folded.filter("plain <> '<extra@example.com>'").select("doc_id", F.expr("int(line_no div 4)").alias("line_no"), "plain")
+
+
+@query(BLOCKS + FIELDS + """, pages AS (SELECT doc_id, (line_no - 1) // 20 + 1 AS page, string_agg(plain, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL)
+SELECT doc_id, idx, min(page)::INT AS page FROM (SELECT doc_id, idx, date_raw FROM fields) JOIN pages USING (doc_id) WHERE contains(text, date_raw) GROUP BY doc_id, idx""")
+def heading_first_page(s: SparkSession, d: str) -> DataFrame:
+    lines = mail(s, d)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "plain"))), lambda x: x["plain"]), "\n")
+    pages = lines.groupBy("doc_id", F.expr("int((line_no - 1) div 20 + 1)").alias("page")).agg(text.alias("text"))
+    return stacked.first_pages(segment.header_fields(segment.segment(lines)).select("doc_id", "idx", F.col("date_raw").alias("heading")), pages)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in FOUND.items()}
 

@@ -44,3 +44,18 @@ whole AS (SELECT conv_id, turn, (CASE WHEN turn = first THEN ['Thread ' || conv_
  || (CASE WHEN conv_id % 5 = 0 THEN ['https://mail.google.com/mail/u/0/?ui=2', '1/3'] ELSE [] END) AS xs FROM counted),
 each AS (SELECT conv_id, turn, unnest(xs) AS plain, generate_subscripts(xs, 1) AS pos FROM whole),
 lines AS (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos))::INT AS line_no, plain FROM each)"""
+
+
+def stacked_lines(conversations: DataFrame, colons: bool) -> DataFrame:
+    """Conversations as threads with a stacked header, rows labelled with or without colons; older turns behind reply prefaces (even places) and header blocks (odd ones)."""
+    c, k = F.col, F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + 60 * (97 * c("conv_id") + 13 * c("turn"))), STAMP_FORMAT)
+    sender = F.concat(F.initcap("role"), F.lit(" "), c("conv_id"), F.lit(" <"), c("role"), F.lit("."), c("conv_id"), F.lit("@example.com>"))
+    say = lambda label, value: F.concat(F.lit(label + (": " if colons else " ")), value)
+    team, topic = F.lit("Team <team@example.com>"), F.concat(F.lit("Thread "), c("conv_id"))
+    top = [F.lit("Printed thread"), F.lit(""), say("From", sender), *([say("Subject", topic)] if colons else []), say("Date", stamp), say("To", team), F.lit("")]
+    reply = [F.concat(F.lit("On "), stamp, F.lit(", " if colons else " "), sender, F.lit(" wrote:"))]
+    block = [F.concat(F.lit("From: "), sender), F.concat(F.lit("Sent: "), stamp), F.concat(F.lit("To: "), team), F.concat(F.lit("Subject: "), topic)]
+    lead = F.when(c("k") == 1, F.array(*top)).when(c("k") % 2 == 0, F.array(*reply)).otherwise(F.array(*block))
+    each = conversations.withColumn("k", k).select("conv_id", "k", F.posexplode(F.concat(lead, F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("pos", "plain"))
+    return each.select(c("conv_id").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("k", "pos")).alias("line_no"), "plain")
