@@ -144,18 +144,22 @@ def pair_position_full_outer(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def message_diff(s: SparkSession, d: str) -> DataFrame:
-    left = segment.messages(mail(s, d))
-    right = other_parse(left)
+    return diffs_of(segment.messages(mail(s, d)).persist())
+
+
+def diffs_of(left: DataFrame) -> DataFrame:
+    """The parse, kept because three passes of pairing read it, against a second one."""
+    right = other_parse(left).persist()
     diff = diffing.similarity(diffing.message_diff(left, right, diffing.pair_messages(left, right)), "l_body", "r_body")
     return diff.withColumn("rank", diffing.message_severity(F.col("similarity"))).drop("l_body", "r_body")
 
 
 @query()
 def thread_diff(s: SparkSession, d: str) -> DataFrame:
-    left = segment.messages(mail(s, d))
+    left = segment.messages(mail(s, d)).persist()
     counts = lambda m, p: m.groupBy("doc_id").agg(F.count("*").alias(f"{p}_count"), F.concat(F.lit("Re: "), F.min_by("body", "idx")).alias(f"{p}_subject"))
     sides = counts(left, "l").join(counts(other_parse(left), "r"), "doc_id")
-    return diffing.thread_diff(message_diff(s, d), sides)
+    return diffing.thread_diff(diffs_of(left), sides)
 
 
 @query()
