@@ -58,8 +58,9 @@ def test_mpeg_damage():
     assert mpeg_audio.parse_bytes(bytes(flipped))["crc_bad"] == 1
 
 
-def test_simhash(docs):
-    rows = simhash_gray.near_duplicates(docs).collect()
+@pytest.mark.parametrize("split", [simhash_gray.SPLIT, 1])
+def test_simhash(docs, split):
+    rows = simhash_gray.near_duplicates(docs, split=split).collect()
     assert len(rows) == docs.count()
 
     def brute(t):
@@ -84,6 +85,36 @@ def test_simhash(docs):
     assert simhash_gray.keep_one(docs).count() == len(best)
 
 
+def test_split_nodes_keep_links(spark):
+    """Chains of fingerprints one or two bits apart, all in a few upper nodes: splitting these loses no link and makes none."""
+    rng, values = random.Random(7), {0, -1}
+    for start in (0, 0x0123456789ABCDEF):
+        at = start
+        for _ in range(150):
+            for b in rng.sample(range(64), rng.choice((1, 2, 2, 3))):
+                at ^= 1 << b
+            values |= {simhash_gray.signed(at), simhash_gray.signed(at ^ (1 << rng.randrange(32)))}
+    values = sorted(values)
+    root = {v: v for v in values}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    known = {v: top(v) for v in values}
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long").repartition(3)
+    for split in (0, 3, 10**6):
+        found = {r.node: r.root for r in simhash_gray.star_components(simhash_gray.link_edges(distinct, split)).collect()}
+        assert {v: found.get(v, v) for v in values} == known
+    assert simhash_gray.upper_nodes(distinct, 0).groupBy("m", "pattern").count().count() > simhash_gray.upper_nodes(distinct).groupBy("m", "pattern").count().count()
+
+
 def test_gray_tree():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, np.uint64)

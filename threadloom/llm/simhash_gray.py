@@ -9,8 +9,10 @@ and once it exceeds the radius both groups are pruned as a whole. Each task pass
 finds, never all pairs, and components are joined by star contraction on the edge table.
 
 At most 2,080 fingerprints lie within two bits of another, so links grow in proportion to distinct fingerprints however
-large a group of near copies is; exact copies of a fingerprint count once. A task handles whole upper nodes in blocks of
-BLOCK rows or one node.
+large a group of near copies is; exact copies of a fingerprint count once. An upper node of more than SPLIT fingerprints is
+dealt out again under its wider masks: of the 32 bits left to it, in four parts of 8, fingerprints within the radius agree
+on two, so six masks of 48 bits find the same links, and no such node has more than the 65,536 values of its other 16 bits.
+A task handles whole upper nodes in blocks of BLOCK rows.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and are linked like any other; equal
 rows give equal rows; a null id never becomes a component's id unless all ids of the component are null; an empty table
@@ -31,10 +33,12 @@ from xxhash import xxh64_intdigest
 from .common import cut, keep_rows, row_key, text_of
 from .components import star_components
 
-RADIUS, FAN, BLOCK = 2, 8, 400_000
+RADIUS, FAN, BLOCK, SPLIT = 2, 8, 400_000, 65_536
 #: Of the four 16-bit blocks, those of each mask.
 PARTS = [0xFFFF << 16 * k for k in range(4)]
 MASKS = [a | b for a, b in combinations(PARTS, 2)]
+#: For each mask its six wider ones, each with two of the four 8-bit parts of the other bits.
+WIDER = {m: [m | a | b for a, b in combinations([x for x in (0xFF << 8 * k for k in range(8)) if not x & m], 2)] for m in MASKS}
 
 
 def fingerprint(raw: bytes) -> int:
@@ -135,7 +139,8 @@ def edges_of(part: pa.Table) -> pa.RecordBatch:
     fps = part["fp"].to_numpy()
     node = np.cumsum(np.r_[0, (m[1:] != m[:-1]) | (pattern[1:] != pattern[:-1])])
     several = np.bincount(node)[node] > 1
-    fps, node = fps[several], node[several]
+    again = np.r_[False, (fps[1:] == fps[:-1]) & (node[1:] == node[:-1])]  # a wider node that two split ones share
+    fps, node = fps[several & ~again], node[several & ~again]
     if not len(fps):
         return pa.record_batch([pa.array([], pa.int64())] * 2, names=["u", "v"])
     root = forest(len(fps), Tree(node, fps.view(np.uint64)).links())
@@ -143,7 +148,27 @@ def edges_of(part: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([pa.array(fps[other]), pa.array(fps[root[other]])], names=["u", "v"])
 
 
-def link_edges(distinct: DataFrame) -> DataFrame:
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def upper_nodes(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(m, pattern, fp): every fingerprint under each mask, those of nodes above `split` under the wider masks instead."""
+
+    def under(masks: list[int]) -> Column:
+        return F.array(*(F.struct(F.lit(signed(m)).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("pattern")) for m in masks))
+
+    nodes = distinct.select("fp", F.inline(under(MASKS)))
+    large = cut(nodes.groupBy("m", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("m", "pattern", F.lit(True).alias("large")), "simhash-large")
+    marked = nodes.join(large, ["m", "pattern"], "left")
+    finer = F.lit(None)
+    for m, wider in WIDER.items():
+        finer = F.when(F.col("m") == signed(m), under(wider)).otherwise(finer)
+    own = F.array(F.struct("m", "pattern"))
+    return marked.select("fp", F.when(F.col("large"), finer).otherwise(own).alias("nodes")).select("fp", F.inline("nodes")).select("m", "pattern", "fp")
+
+
+def link_edges(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
     """(u, v): a spanning forest, per upper node, of the links between the distinct fingerprints in column fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +185,16 @@ def link_edges(distinct: DataFrame) -> DataFrame:
         if rest:
             yield edges_of(rest)
 
-    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
-    upper = F.explode(F.array(*(F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern")) for k, m in enumerate(signed))))
-    nodes = distinct.select("fp", upper.alias("n")).select("n.m", "n.pattern", "fp", gray_rank(F.col("fp")).alias("rank"))
+    nodes = upper_nodes(distinct, split).withColumn("rank", gray_rank(F.col("fp")))
     return nodes.repartition("m", "pattern").sortWithinPartitions("m", "pattern", "rank").drop("rank").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
     """Per document: doc_id, row_key, fingerprint, component_id, keep (true for the row, or equal rows, that stand for the component)."""
     rows = cut(fingerprints(df, id_col, text_col), "simhash")
     one = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")
     distinct = cut(rows.groupBy("fp").agg(F.min(one).alias("first")), "simhash-distinct")
-    roots = star_components(link_edges(distinct.select("fp")))
+    roots = star_components(link_edges(distinct.select("fp"), split))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("best"))
     classes = placed.join(firsts, "root").select("fp", "best")
