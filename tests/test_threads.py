@@ -1,9 +1,12 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom import plans
 from threadloom.functions import text as t
-from threadloom.operators import blocks, diffing, layout, payload, segment, stacked
+from threadloom.operators import blocks, diffing, geometry, layout, payload, segment, stacked
 
 DATA = "/root/testdata/sf0.001"
 
@@ -122,8 +125,6 @@ def test_stacked_colons(spark):
 
 def test_fold_against_loop(spark):
     """Random documents, folded line by line as the rule says."""
-    import random
-
     stamp, kinds = "Wed, Apr 29, 2026 at 8:12 AM", ["Ana <a@x.io>", "Bo <b@x.io> x", "<c@x.io>", "To: d", "", "prose", "at a@x.io.", "Wed, Apr 29, 2026 at 8:12 AM", "Di <d@x.io> Wed, Apr 29, 2026 at 8:12 AM"]
     rng = random.Random(5)
     docs = [[rng.choice(kinds[:5] + kinds[:3] + kinds[5:]) for _ in range(rng.randint(1, 14))] for _ in range(300)]
@@ -153,3 +154,68 @@ def test_fold_against_loop(spark):
     for r in stacked.fold_headers(as_lines(spark, *docs)).orderBy("doc_id", "line_no").collect():
         got.setdefault(r.doc_id, []).append(r.plain)
     assert [got[d] for d in range(len(docs))] == [folded(rows) for rows in docs]
+
+
+def buried(rows):
+    """Places of boundaries in rows with their fields and heights, one line after another."""
+    preface = re.compile(r"On (.+?\d{1,2}:\d{2}(?: AM)?),? (\w+) <([^>]+)> wrote:")
+    found, i = [], 0
+    while i < len(rows):
+        reply, sender = preface.fullmatch(rows[i].strip()), re.fullmatch(r"From: (\w+) <([^>]+)>", rows[i].strip())
+        if reply:
+            found.append((i, 1, reply[2], reply[3], reply[1], ""))
+        elif sender and any(re.match(r"(Sent|To|Subject): *\S", x.strip()) for x in rows[i + 1 : i + 5]):
+            sent, to, height = "", "", 1
+            for j, x in enumerate((x.strip() for x in rows[i + 1 : i + 6]), 2):
+                label = re.match(r"(Sent|To|Subject): *(\S.*)", x)
+                if label:
+                    height = j
+                    sent, to = (label[2] if label[1] == "Sent" else sent), (label[2] if label[1] == "To" else to)
+                if x and not label or label and label[1] == "Subject":
+                    break
+            found.append((i, height, sender[1], sender[2], sent, to))
+            i += height - 1
+        i += 1
+    return found
+
+
+def test_embedded_boundaries(spark):
+    """Random bodies of all kinds of rows against a walk over their lines."""
+    kinds = ["text", " ", "", "From: Ana <a@x.io>", "  From: Bo <b@x.io> ", "Sent: today", "To: Di <d@x.io>", "To:", "Subject: s", "On May 1, 2026 at 8:12 AM Eve <e@x.io> wrote:", "On May 1 at 9:30, Flo <f@x.io> wrote:", "From: prose"]
+    rng = random.Random(11)
+    given = [(d, i + 1, f"N{i}", rng.choice(["", f"n{i}@x.io"]), "date", rng.choice([None, "", "T <t@x.io>"]), None, "bcc", "\n".join(rng.choice(kinds) for _ in range(rng.randint(0, 14)))) for d in range(150) for i in range(rng.randint(1, 3))]
+    given.append((999, 1, None, None, None, None, None, None, None))
+    expected = []
+    for d in sorted({g[0] for g in given}):
+        out = []
+        for _, _, name, email, date, to, cc, bcc, body in (g for g in given if g[0] == d):
+            rows = (body or "").split("\n")
+            at = buried(rows)
+            stops = [b[0] for b in at] + [len(rows)]
+            out.append([name or "", email or "", date or "", to or "", cc, bcc, "\n".join(rows[: stops[0]])])
+            out += [[n, e, t, o, None, None, "\n".join(rows[i + h : stop])] for (i, h, n, e, t, o), stop in zip(at, stops[1:], strict=True)]
+        for k in range(1, len(out)):
+            if not out[k][3].strip() and out[k - 1][1]:
+                out[k][3] = f"{out[k - 1][0]} <{out[k - 1][1]}>" if out[k - 1][0] else out[k - 1][1]
+        expected += [(d, k + 1, *x) for k, x in enumerate(out)]
+    schema = "doc_id long, idx int, from_name string, from_email string, date_raw string, to string, cc string, bcc string, body string"
+    frame = spark.createDataFrame(given, schema)
+    assert [tuple(r) for r in payload.split_embedded(frame).orderBy("doc_id", "idx").collect()] == expected
+    assert payload.split_embedded(frame.limit(0)).count() == 0
+
+
+def test_undominated(spark):
+    rng = random.Random(13)
+    rows = [(p, i, float(rng.randrange(40)), float(rng.randrange(12)), float(rng.choice([4, 6, 6, 12])), 8.0, "clash") for p in range(30) for i in range(rng.randint(1, 20))]
+    rows += [(99, 1, None, 1.0, 3.0, 8.0, "clash"), (99, 2, 1.0, 1.0, None, 8.0, None)]
+    kept = []
+    for page in {r[0] for r in rows}:
+        mine = []
+        for r in sorted((r for r in rows if r[0] == page), key=lambda r: (-(r[4] or 0), r[1])):
+            overlap = [(min(k[2] + k[4], r[2] + r[4]) - max(k[2], r[2]), min(k[3] + k[5], r[3] + r[5]) - max(k[3], r[3])) for k in mine if None not in (*k[2:6], *r[2:6])]
+            if not any(a > 0 and b > 0 and a * b / max(1, r[4] * r[5]) > 0.5 for a, b in overlap):
+                mine.append(r)
+        kept += mine
+    frame = spark.createDataFrame(rows, "page int, msg int, x double, y double, w double, h double, kept string")
+    found = geometry.undominated(frame, ["page"], ["msg"])
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, kept)) and found.columns == frame.columns

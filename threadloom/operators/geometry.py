@@ -56,3 +56,23 @@ def page_starts(pages: DataFrame, key: str, order: str, height: str) -> DataFram
     w = Window.partitionBy(key).orderBy(order)
     start = F.coalesce(F.sum(height).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return pages.withColumn("start", start).withColumn("stop", start + F.col(height))
+
+
+def undominated(boxes: DataFrame, keys: list[str], order: list[str], share: float = 0.5) -> DataFrame:
+    """boxes (keys, x, y, w, h) without those of which more than `share` lies inside one kept box of the same keys; wider boxes go first, equal ones by `order`.
+
+    The choice is greedy, so the boxes of one key, those of a page, are folded in order. An area counts as 1 at least.
+    Boxes without a size or place cover nothing and are kept.
+    """
+    rest = [c for c in boxes.columns if c not in keys]
+    numbers = [F.col(c).cast("double").alias(f"_{c}") for c in "xywh"]
+    ranked = F.struct((-F.coalesce(F.col("w").cast("double"), F.lit(0.0))).alias("_wide"), *(F.col(c).alias(f"_by_{c}") for c in order), *numbers, F.struct(*rest).alias("row"))
+    side = lambda a, b, at, size: F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at])
+
+    def covered(kept: Column, box: Column) -> Column:
+        inside = lambda k: (side(k, box, "_x", "_w") > 0) & (side(k, box, "_y", "_h") > 0) & (side(k, box, "_x", "_w") * side(k, box, "_y", "_h") > share * F.greatest(F.lit(1.0), box["_w"] * box["_h"]))
+        return F.coalesce(F.exists(kept, inside), F.lit(False))
+
+    listed = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(ranked)).alias("all"))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda found, box: F.when(covered(found, box), found).otherwise(F.concat(found, F.array(box))))
+    return listed.select(*keys, F.inline(F.transform(kept, lambda k: k["row"]))).select(boxes.columns)

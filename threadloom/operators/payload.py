@@ -1,12 +1,16 @@
-"""The JSON path: payloads of a model, journal rows, and style replay by alignment."""
+"""The JSON path: payloads of a model, journal rows, style replay by alignment, and messages buried in bodies."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import trim_ws
+from threadloom.operators.segment import backfill_to
+from threadloom.operators.stacked import OUTLOOK
+
 SCHEMA = "subject string, messages array<struct<from_name:string,from_email:string,date:string,to:string,cc:string,bcc:string,body:string>>"
 #: Cells of the alignment table beyond which the greedy way is taken, and how far that looks ahead.
 CELLS, AHEAD = 4_000_000, 64
@@ -75,3 +79,47 @@ def style_replay(df: DataFrame, body: str, source: str) -> DataFrame:
         return pd.Series([sum(k >= 0 for k in align(p, q)) / len(p) if p else 1.0 for p, q in zip(x, y, strict=True)], dtype=float)
 
     return df.withColumn("aligned", share(F.coalesce(body, F.lit("")), F.coalesce(source, F.lit(""))))
+
+
+# The rows of a forwarded block, and how many rows below its sender are looked at, for its fields and to accept it.
+SENT, TO, SUBJECT, SENDER = r"^Sent:\s*(.+)$", r"^To:\s*(.+)$", r"^Subject:\s*(.+)$", r"^From:\s*(.+?)\s*<([^>]+)>\s*$"
+FIELD_ROWS, SIGN_ROWS = 5, 4
+
+
+def split_embedded(messages: DataFrame) -> DataFrame:
+    """(doc_id, idx, from_name, from_email, date_raw, to, cc, bcc, body) with messages buried in bodies as messages of their own.
+
+    A boundary is a reply preface, or a sender's row with a sent, to or subject row among the next four. Such a block goes on
+    to its subject row at most; its inner rows are never boundaries, so all lines are judged alike, in windows. What stands
+    above the first boundary stays with the message, even if that is nothing. idx counts from 1 again, and an empty `to`
+    becomes the sender before. Null bodies and fields other than cc and bcc count as empty; no messages give none.
+    """
+    p, blank, none = F.col("p"), F.lit(""), F.lit(None).cast("string")
+    mine, w = Window.partitionBy("doc_id", "idx"), Window.partitionBy("doc_id", "idx").orderBy("pos")
+    fields = [F.coalesce(c, blank).alias(c) for c in ("from_name", "from_email", "date_raw", "to")]
+    lines = messages.select("doc_id", "idx", *fields, "cc", "bcc", F.posexplode(F.split(F.coalesce("body", blank), "\n", -1)).alias("pos", "plain")).withColumn("p", trim_ws(F.col("plain")))
+    code = F.when(p.rlike(SENT), "s").when(p.rlike(TO), "t").when(p.rlike(SUBJECT), "j").when(p == "", "b").otherwise("x")
+    near = w.rowsBetween(1, FIELD_ROWS)
+    seen = lines.withColumn("code", code).withColumns({"codes": F.array_join(F.collect_list("code").over(near), ""), "below": F.collect_list("p").over(near)})
+    reply = p.rlike(OUTLOOK.parts)
+    forward = ~reply & p.rlike(SENDER) & F.substring("codes", 1, SIGN_ROWS).rlike("[stj]")
+    block = F.regexp_replace(F.regexp_extract("codes", "^[stb]*j?", 0), "b+$", "")
+    last = lambda kind, pattern: F.coalesce(trim_ws(F.regexp_extract(F.expr(f"try_element_at(below, nullif(length(rows) - locate('{kind}', reverse(rows)) + 1, length(rows) + 1))"), pattern, 1)), blank)
+    told = seen.withColumns({"own": F.when(reply, "reply").when(forward, "forward"), "rows": block}).withColumn(
+        "head",
+        F.when(F.col("own") == "reply", F.struct(F.regexp_extract(p, OUTLOOK.parts, 2).alias("from_name"), F.regexp_extract(p, OUTLOOK.parts, 3).alias("from_email"), F.regexp_extract(p, OUTLOOK.parts, 1).alias("date_raw"), blank.alias("to"), none.alias("cc"), none.alias("bcc"), F.lit(1).alias("height")))
+        .when(F.col("own") == "forward", F.struct(trim_ws(F.regexp_extract(p, SENDER, 1)).alias("from_name"), trim_ws(F.regexp_extract(p, SENDER, 2)).alias("from_email"), last("s", SENT).alias("date_raw"), last("t", TO).alias("to"), none.alias("cc"), none.alias("bcc"), (F.length("rows") + 1).alias("height"))),
+    )
+    # place 0 is the message itself; it is there even if its first line is a boundary
+    parts = told.select("doc_id", "idx", "pos", "plain", "head", F.sum(F.col("own").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("part"), F.struct("from_name", "from_email", "date_raw", "to", "cc", "bcc").alias("whole"))
+    spots = F.when((F.row_number().over(w) == 1) & (F.col("part") == 1), F.array(F.struct(F.lit(0).alias("part"), F.lit(False).alias("real")), F.struct(F.lit(1).alias("part"), F.lit(True).alias("real")))).otherwise(F.array(F.struct(F.col("part").cast("int").alias("part"), F.lit(True).alias("real"))))
+    each = parts.withColumn("spot", spots).select("doc_id", "idx", "pos", "plain", "head", "whole", F.explode("spot").alias("spot")).select("*", F.col("spot.part").alias("part"), F.col("spot.real").alias("real"))
+    grouped = each.withColumn("first", F.min("pos").over(Window.partitionBy("doc_id", "idx", "part"))).withColumn("height", F.max(F.when(F.col("part") > 0, F.col("head.height"))).over(Window.partitionBy("doc_id", "idx", "part")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("real") & (F.col("pos") >= F.col("first") + F.coalesce("height", F.lit(0))), F.struct("pos", "plain")))), lambda x: x["plain"]), "\n")
+    merged = grouped.groupBy("doc_id", "idx", "part").agg(F.first("head", True).alias("head"), F.first("whole").alias("whole"), body.alias("body"))
+    meta = lambda c: F.when(F.col("part") == 0, F.col(f"whole.{c}")).otherwise(F.col(f"head.{c}")).alias(c)
+    order = Window.partitionBy("doc_id").orderBy("idx", "part")
+    out = merged.select("doc_id", F.row_number().over(order).alias("place"), *(meta(c) for c in ("from_name", "from_email", "date_raw", "to", "cc", "bcc")), "body").withColumnRenamed("place", "idx")
+    kept = out.withColumns({"said": F.col("to"), "name": F.col("from_name"), "email": F.col("from_email"), "to": trim_ws(F.col("to")), "from_name": trim_ws(F.col("from_name")), "from_email": trim_ws(F.col("from_email"))})
+    filled = backfill_to(kept).withColumn("to", F.when((trim_ws(F.col("said")) == "") & (F.col("to") != ""), F.col("to")).otherwise(F.col("said")))
+    return filled.select("doc_id", "idx", F.col("name").alias("from_name"), F.col("email").alias("from_email"), "date_raw", "to", "cc", "bcc", "body")

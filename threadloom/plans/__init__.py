@@ -415,6 +415,26 @@ def heading_first_page(s: SparkSession, d: str) -> DataFrame:
     return stacked.first_pages(segment.header_fields(segment.segment(lines)).select("doc_id", "idx", F.col("date_raw").alias("heading")), pages)
 
 
+@query(STACKED + """CASE WHEN idx % 2 = 1 THEN 'Team <team@example.com>' ELSE lag(from_name || ' <' || from_email || '>') OVER (PARTITION BY doc_id ORDER BY idx) END AS "to" FROM turns""")
+def posthoc_split(s: SparkSession, d: str) -> DataFrame:
+    """One message a conversation, its body with all later turns buried in it."""
+    talk, top = read(s, d, "conversations"), stacked_lines(read(s, d, "conversations"), colons=False)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "plain"))), lambda x: x["plain"]), "\n")
+    bodies = top.filter("line_no > 6").groupBy("doc_id").agg(body.alias("body"))
+    heads = stacked.top_fields(stacked.headed(top, stacked.OUTLOOK), stacked.OUTLOOK).drop("subject")
+    return payload.split_embedded(heads.join(bodies, "doc_id")).drop("cc", "bcc").withColumn("n_body", F.size(F.split("body", "\n", -1)))
+
+
+@query("""WITH RECURSIVE r AS (SELECT l_orderkey AS doc_id, l_linenumber AS msg, l_quantity AS x, (6 * (1 + l_partkey % 3))::DOUBLE AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 3 DESC, l_linenumber) AS k FROM """ + NUMBERED + """),
+f AS (SELECT doc_id, k, [{'msg': msg, 'x': x, 'w': w}] AS kept FROM r WHERE k = 1 UNION ALL
+SELECT r.doc_id, r.k, CASE WHEN len([e FOR e IN kept IF least(e.x + e.w, r.x + r.w) - greatest(e.x, r.x) > 0.5 * r.w]) > 0 THEN kept ELSE list_append(kept, {'msg': r.msg, 'x': r.x, 'w': r.w}) END FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1),
+u AS (SELECT doc_id, unnest(arg_max(kept, k)) AS e FROM f GROUP BY doc_id)
+SELECT doc_id, e.msg AS msg, e.x AS x, e.w AS w FROM u""")
+def link_dominance(s: SparkSession, d: str) -> DataFrame:
+    boxes = numbered(s, d).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("msg"), F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"), (6 * (1 + F.col("l_partkey") % 3)).cast("double").alias("w"), F.lit(10.0).alias("h"))
+    return geometry.undominated(boxes, ["doc_id"], ["msg"]).drop("y", "h")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in FOUND.items()}
 
