@@ -272,3 +272,47 @@ def test_pipeline(spark):
         docs = stage(spark, docs, DATA)
         assert docs.columns == columns, name
     assert docs.count() > 0
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage over what the one before kept, against brute force on the collected rows, and run() against the stages."""
+    import corpus_pipeline
+    import sentencepiece
+
+    docs, seen = spark.read.parquet(f"{DATA}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = corpus_pipeline.cut(stage(spark, docs, DATA), f"test-{name}")
+        seen.append((before, docs.collect()))
+    quality, dedup, pii, mixture, tokens = seen
+
+    kept = {r.doc_id for r in quality[1]}
+    assert set(quality[1]) <= set(quality[0]) and len(kept) == len(quality[1])
+    for r in quality[0]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        inside = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        assert not (r.doc_id in kept and (len(w) < 50 or 100 * len(inside) > 50 * len(w)))
+
+    fps = {r.doc_id: simhash_gray.fingerprint(r.text.encode()) for r in dedup[0]}
+    group = {i: i for i in fps}
+    for i in sorted(fps):
+        near = {group[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 2}
+        group = {j: min(near) if g in near else g for j, g in group.items()}
+    assert {r.doc_id for r in dedup[1]} == set(group.values()) and set(dedup[1]) <= set(dedup[0])
+
+    masked = {r.doc_id: r for r in pii[1]}
+    assert sorted(masked) == sorted(r.doc_id for r in pii[0]) and all(r.n_chars == len(r.text) for r in pii[1])
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    assert any(email.search(r.text) for r in pii[0]) and not any(email.search(r.text) for r in pii[1])
+    assert all(masked[r.doc_id].text.count("<EMAIL>") <= len(email.findall(r.text)) for r in pii[0])
+
+    copies = Counter(r.doc_id for r in mixture[1])
+    drawn = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(mixture[0], "doc_id long, text string, lang string, source string, n_chars long")).collect() if r.copies}
+    assert copies == drawn and all(masked[r.doc_id] == r for r in mixture[1])
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+    ids = Counter((r.doc_id, tuple(library.encode(r.text))) for r in tokens[0])
+    assert Counter((r.doc_id, tuple(r.ids)) for r in tokens[1]) == ids
+    assert all(r.decoded == library.decode(list(r.ids)) for r in tokens[1])
+    assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect()) == ids
