@@ -179,6 +179,18 @@ def buried(rows):
     return found
 
 
+@pytest.mark.parametrize(
+    ("name", "email", "repaired"),
+    [
+        ("Ana Ro <a@x.io>", "", ("Ana Ro", "a@x.io")), ("Ana Ro<a@x.io>", "b@x.io", ("Ana Ro", "b@x.io")), ("Ana Ro a@x.io", "a@x.io", ("Ana Ro", "a@x.io")), ("Ana Ro", "<a@x.io>", ("Ana Ro", "a@x.io")),
+        ("Ana Ro a@x.io", " ", ("Ana Ro", "a@x.io")), ("A<a@x.io> <b@x.io>", "", ("A<a@x.io>", "b@x.io")), ("a@x.io", "", ("a@x.io", "")), ("Ana <team>", "", ("Ana <team>", "")), ("", "", ("", "")), ("Ana > x <", "c@x.io", ("Ana > x <", "c@x.io")),
+    ],
+)
+def test_repair_sender(spark, name, email, repaired):
+    frame = spark.createDataFrame([(name, email)], "n string, e string")
+    assert tuple(frame.select(*t.repair_sender(F.col("n"), F.col("e"))).first()) == repaired
+
+
 def test_embedded_boundaries(spark):
     """Random bodies of all kinds of rows against a walk over their lines."""
     kinds = ["text", " ", "", "From: Ana <a@x.io>", "  From: Bo <b@x.io> ", "Sent: today", "To: Di <d@x.io>", "To:", "Subject: s", "On May 1, 2026 at 8:12 AM Eve <e@x.io> wrote:", "On May 1 at 9:30, Flo <f@x.io> wrote:", "From: prose"]

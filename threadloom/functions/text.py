@@ -98,7 +98,13 @@ def nav_strip(idx: Column, total: Column) -> Column:
 
 
 def repair_sender(name: Column, email: Column) -> tuple[Column, Column]:
-    """An address inside the name moves to an empty address field, and out of the name."""
-    inside = F.regexp_extract(name, r"<?([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)>?\s*$", 1)
-    bare = F.regexp_replace(email, r"^.*<|>.*$", "")
-    return trim_ws(F.regexp_replace(name, r"\s*<?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+>?\s*$", "")), F.when(trim_ws(bare) == "", inside).otherwise(trim_ws(bare))
+    """An address in the name's last brackets, else at its end behind a space, leaves the name and fills an empty address field."""
+    name, email = trim_ws(name), trim_ws(email)
+    bracketed = r"(?s)^(.*)<([^<]*)>[^<>]*$"
+    inside = trim_ws(F.regexp_extract(name, bracketed, 2))
+    lifted = inside.contains("@")
+    email = F.when(lifted & (email == ""), inside).otherwise(email)
+    name = F.when(lifted, trim_ws(F.regexp_extract(name, bracketed, 1))).otherwise(name)
+    tail = r"\s+([\w._%+-]+@[\w.-]+\.[A-Za-z]{2,})\s*$"
+    email = F.when(email == "", F.regexp_extract(name, tail, 1)).otherwise(email)
+    return trim_ws(F.regexp_replace(name, tail, "")), trim_ws(F.regexp_replace(F.regexp_replace(email, "^<", ""), ">$", ""))
