@@ -191,6 +191,33 @@ def test_repair_sender(spark, name, email, repaired):
     assert tuple(frame.select(*t.repair_sender(F.col("n"), F.col("e"))).first()) == repaired
 
 
+def test_jaro_winkler_against_scan():
+    """Random strings against the plain search of each letter's window."""
+    rng = random.Random(17)
+
+    def scan(a, b):
+        if not a or not b:
+            return float(a == b)
+        reach, used, left = max(len(a), len(b)) // 2 - 1, set(), []
+        for i, ch in enumerate(a):
+            j = next((j for j, x in enumerate(b) if x == ch and j not in used and abs(i - j) <= reach), None)
+            if j is not None:
+                used.add(j)
+                left.append(ch)
+        if not left:
+            return 0.0
+        m, t = len(left), sum(x != b[j] for x, j in zip(left, sorted(used), strict=True))
+        jaro = (m / len(a) + m / len(b) + (m - t / 2) / m) / 3
+        p = 0
+        while p < min(4, len(a), len(b)) and a[p] == b[p]:
+            p += 1
+        return jaro + p * 0.1 * (1 - jaro)
+
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(14))) for _ in range(2))
+        assert abs(diffing.jaro_winkler(a, b) - scan(a, b)) < 1e-12
+
+
 def test_embedded_boundaries(spark):
     """Random bodies of all kinds of rows against a walk over their lines."""
     kinds = ["text", " ", "", "From: Ana <a@x.io>", "  From: Bo <b@x.io> ", "Sent: today", "To: Di <d@x.io>", "To:", "Subject: s", "On May 1, 2026 at 8:12 AM Eve <e@x.io> wrote:", "On May 1 at 9:30, Flo <f@x.io> wrote:", "From: prose"]

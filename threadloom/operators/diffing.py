@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,13 +19,17 @@ def jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return float(a == b)
     reach = max(len(a), len(b)) // 2 - 1
-    used, left = np.zeros(len(b), bool), []
+    # windows only move right, so the places of a letter that are used or behind are never looked at again
+    places, used, left = defaultdict(deque), np.zeros(len(b), bool), []
+    for j, ch in enumerate(b):
+        places[ch].append(j)
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == ch:
-                used[j] = True
-                left.append(ch)
-                break
+        free = places.get(ch)
+        while free and free[0] < i - reach:
+            free.popleft()
+        if free and free[0] <= i + reach:
+            used[free.popleft()] = True
+            left.append(ch)
     m = len(left)
     if not m:
         return 0.0
@@ -74,11 +80,11 @@ def position_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def pair_messages(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The three passes one after the other, each on what is left over."""
+    """The three passes one after the other, each on what is left over; what the first two find is kept, as later ones read it again."""
     rest = lambda d, found, n: d.join(found.select("doc_id", F.col(n).alias("idx")), ["doc_id", "idx"], "left_anti")
-    first = greedy_pairs(left, right)
+    first = greedy_pairs(left, right).persist()
     l1, r1 = rest(left, first, "l_idx"), rest(right, first, "r_idx")
-    second = sender_pairs(l1, r1)
+    second = sender_pairs(l1, r1).persist()
     return first.unionByName(second).unionByName(position_pairs(rest(l1, second, "l_idx"), rest(r1, second, "r_idx")))
 
 

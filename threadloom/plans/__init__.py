@@ -112,10 +112,10 @@ def normalize_fields(s: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", "idx", t.norm_name(c("from_name")).alias("name"), t.norm_email(c("from_email")).alias("email"), F.date_format(t.parse_date(c("date_raw")), "yyyy-MM-dd HH:mm:ss").alias("at"), t.address_set(F.concat(F.lit("x <"), "from_email", F.lit(">"))).alias("addresses"))
 
 
-@query(r"""SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[\s•·*-]+', ' ', 'g'))) AS body, regexp_replace(regexp_replace(lower(trim('Re: FWD : ' || left(coalesce(text, ''), 20), ' ')), '^((re|fw|fwd)\s*:\s*)+', ''), ' +', ' ', 'g') AS subject FROM documents""")
+@query(r"""SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[\s•·*-]+', ' ', 'g'))) AS body, regexp_replace(regexp_replace(lower(trim('Re: FWD : ' || coalesce(text, ''), ' ')), '^((re|fw|fwd)\s*:\s*)+', ''), ' +', ' ', 'g') AS subject FROM documents""")
 def normalize_text(s: SparkSession, d: str) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
-    return read(s, d, "documents").select("doc_id", t.norm_body(body).alias("body"), t.norm_subject(F.concat(F.lit("Re: FWD : "), F.substring(body, 1, 20))).alias("subject"))
+    return read(s, d, "documents").select("doc_id", t.norm_body(body).alias("body"), t.norm_subject(F.concat(F.lit("Re: FWD : "), body)).alias("subject"))
 
 
 def other_parse(found: DataFrame) -> DataFrame:
@@ -164,9 +164,10 @@ def thread_diff(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def body_similarity(s: SparkSession, d: str) -> DataFrame:
-    docs = read(s, d, "documents").select("doc_id", "lang", F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("a"))
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return diffing.similarity(docs.withColumn("b", F.lag("a", 1, "").over(w)), "a", "b").select("doc_id", F.round("similarity", 6).alias("similarity"))
+    """Every whole text with that of the id before, or with nothing."""
+    docs = read(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("a"))
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b"))
+    return diffing.similarity(docs.join(before, "doc_id", "left"), "a", "b").select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {MAIL_SQL}, k AS (SELECT *, replace(lower(trim(plain)), '  ', ' ') AS key FROM lines WHERE trim(plain) <> ''), a AS (SELECT * FROM k WHERE line_no % 6 <> 0), b AS (SELECT * FROM k WHERE line_no % 7 <> 0)
@@ -299,7 +300,7 @@ def payload_json(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def style_replay(s: SparkSession, d: str) -> DataFrame:
-    docs = read(s, d, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("source"))
+    docs = read(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("source"))
     return payload.style_replay(docs.withColumn("body", F.regexp_replace("source", "[aeiou]", "")), "body", "source").select("doc_id", F.round("aligned", 6).alias("aligned"))
 
 
