@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import mixing, pii_weak, quality_mcd, sentencepiece_offsets, simhash_gray
+from threadloom.llm import mixing, near_copies, pii_weak, quality_mcd, sentencepiece_offsets
 from threadloom.llm.common import cut
 from threadloom.llm.queries import model_path
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of smallest id."""
-    return simhash_gray.keep_one(docs)
+    """One document of each group of near copies (five-word similarity of 0.8 or more), that of smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,72 @@
+"""Near copies against brute force over all pairs."""
+
+import random
+
+import pytest
+
+from threadloom.llm import near_copies
+
+DATA = "/root/testdata/sf0.001"
+
+
+def shingle_set(text, words):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+
+
+def brute_components(rows, words, percent):
+    """The smallest id (null last) of each row's component."""
+    sets = [shingle_set(t, words) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        near = {group[i]}
+        for j, y in enumerate(sets[:i]):
+            both = len(x & y)
+            if x == y or 100 * both >= percent * (len(x) + len(y) - both) and both:
+                near.add(group[j])
+        group = [min(near) if g in near else g for g in group]
+    least = {g: min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if group[k] == g) for g in set(group)}
+    return [None if least[g][0] else least[g][1] for g in group]
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"n{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize(("words", "percent"), [(5, 80), (3, 60)])
+def test_near_copies(spark, words, percent):
+    """Copies edited on either side of the threshold, chains of edits, a passage that all have, short texts, nulls and equal rows."""
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(120, 400))] + passage
+        rows += [" ".join(base), *(edited(rng, base, k) for k in range(1, 14))]
+        chain = base
+        for _ in range(4):
+            chain = edited(rng, chain, 5).split()
+            rows.append(" ".join(chain))
+    rows += [None, "", " \n", "a", "A", "a b c d", "a b c d e", "a b c d e f", "x y " * 500]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, t in enumerate(rows)]
+    rows += [(None, rows[0][1]), (None, "q r s t u v"), (None, "q r s t u v"), rows[1], rows[1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows, words, percent)
+    got = near_copies.near_copies(df, words=words, percent=percent).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((i, c) for (i, _), c in zip(rows, want, strict=True)), key=str)
+    assert len(set(want)) < len(rows) - 50
+    assert near_copies.keep_one(df, words=words, percent=percent).count() == len(set(want))
+    assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_near_dedup_stage(spark):
+    """The pipeline's stage leaves no two documents of five-word similarity 0.8, and one of each component."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = corpus_pipeline.near_dedup(spark, docs, DATA).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute_components(rows, 5, 80)))

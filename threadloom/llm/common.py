@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,15 @@ def keep_rows(df: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
     right = keys.select(F.col("doc_id").alias("__keep_doc"), F.col("row_key").alias("__keep_row"))
     doc, row = row_key(id_col, text_col)
     return df.join(right, doc.eqNullSafe(F.col("__keep_doc")) & (row == F.col("__keep_row")), "left_semi")
+
+
+def keep_marked(df: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df's rows that marked (doc_id, row_key, keep) keeps, one of rows equal in id and text."""
+    kept = cut(marked.filter("keep").groupBy("doc_id", "row_key").agg(F.count("*").alias("n")), "kept")
+    once = keep_rows(df, kept, id_col, text_col)
+    if kept.filter("n > 1").isEmpty():
+        return once
+    # rows equal in id and text: the first of each
+    single, several = keep_rows(df, kept.filter("n = 1"), id_col, text_col), keep_rows(df, kept.filter("n > 1"), id_col, text_col)
+    first = F.row_number().over(Window.partitionBy(*row_key(id_col, text_col)).orderBy(F.lit(0)))
+    return single.unionByName(several.withColumn("__place", first).filter("__place = 1").drop("__place"))

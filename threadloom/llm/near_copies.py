@@ -1,0 +1,225 @@
+"""Near copies by exact similarity: the Jaccard coefficient of the sets of word shingles, `percent` or more.
+
+Shingles (`words` words of the lower-cased bytes, as XXH64 hashes; a shorter text is one shingle) are put in one order, those
+common in a sample of SAMPLE texts last. Two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of
+each, so texts are candidates if they share one of these, whatever the sample says: it only decides how many candidates there
+are, never which links are found. Candidates whose sizes, shared shingle's places or number of
+shared first shingles rule the similarity out are left; all others are compared by their whole sets.
+
+Equal sets count once. Each bucket (the sets that share a shingle) is first compared with its smallest set only, so a large
+group of copies costs as many comparisons as it has members; then pairs of a bucket that are still in different components are
+compared, all of them. Components are joined by star contraction on the edge table.
+
+Defined results: null text counts as empty; texts without words are copies of each other; equal rows give equal rows; a null
+id never becomes a component's id unless all ids of the component are null; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from .common import cut, keep_marked, keep_rows, row_key, text_of
+from .components import star_components
+
+WORDS, PERCENT = 5, 80
+#: Texts of the sample, times in it from which a shingle is common, the most common ones that are told apart, rows of a task's block.
+SAMPLE, COMMON, MOST, BLOCK = 4096, 3, 200_000, 400_000
+
+
+def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    w = raw.lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    parts = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    return xxh64_intdigest(hashes.astype("<u8").tobytes(), 7)
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(*row_key(id_col, text_col), text_of(text_col).cast("binary").alias("t"))
+
+
+def by_text(texts: DataFrame, schema: str, make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                yield make(whole.slice(at, 512))
+
+    return texts.mapInArrow(run, schema)
+
+
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)))
+
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (sorted) that several texts of the sample have, and how many have them."""
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *(shingles(x.as_py(), words) for x in part.column(2))]).view(np.int64))], names=["g"])
+
+    share = SAMPLE / max(1, texts.count())
+    some = texts.filter(F.pmod(F.xxhash64("row_key"), F.lit(1 << 20)) < int((1 << 20) * share) + 1)
+    often = by_text(some, "g long", make).groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "g").limit(MOST).toArrow()
+    g, n = often["g"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(g)
+    return g[order], n[order]
+
+
+def prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, row_key, set_key, n, prefix): n distinct shingles, the first of them in the common order."""
+    often, times = common_shingles(texts, words)
+
+    def first(h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
+        at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
+        seen = np.where(often[at] == h, times[at], 0) if len(often) else np.zeros(len(h), int)
+        return h[np.lexsort((h, seen))][: len(h) + percent * len(h) // -100 + 1]
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(x.as_py(), words) for x in part.column(2)]
+        keys = np.array([set_key(h) for h in sets], np.uint64).view(np.int64)
+        return pa.record_batch([*part.columns[:2], pa.array(keys), pa.array([len(h) for h in sets], pa.int32()), lists([first(h) for h in sets])], names=["doc_id", "row_key", "set_key", "n", "prefix"])
+
+    return by_text(texts, "doc_id long, row_key long, set_key long, n int, prefix array<long>", make)
+
+
+def whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(set_key, hashes)."""
+
+    def make(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(x.as_py(), words) for x in part.column(2)]
+        return pa.record_batch([pa.array(np.array([set_key(h) for h in sets], np.uint64).view(np.int64)), lists(sets)], names=["set_key", "hashes"])
+
+    return by_text(texts, "set_key long, hashes array<long>", make)
+
+
+def possible(na, ia, nb, ib, percent: int):
+    """Whether sets of na and nb shingles that share one at places ia and ib can be similar enough."""
+    most = np.minimum(ia, ib) + 1 + np.minimum(na - ia - 1, nb - ib - 1)
+    return (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+
+
+def by_bucket(rows: DataFrame, schema: str, make: Callable[[dict], pa.RecordBatch]) -> DataFrame:
+    """make over blocks of whole buckets, by size within each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                token = table["token"].to_numpy()
+                changes = np.flatnonzero(token[1:] != token[:-1])
+                if len(changes):
+                    yield make({k: table[k].to_numpy()[: changes[-1] + 1] for k in table.column_names})
+                    table = pa.Table.from_batches(table.slice(changes[-1] + 1).to_batches()).combine_chunks()
+                held, n = table.to_batches(), len(table)
+        if n:
+            table = pa.Table.from_batches(held)
+            yield make({k: table[k].to_numpy() for k in table.column_names})
+
+    return rows.repartition("token").sortWithinPartitions("token", "n", "set_key").mapInArrow(run, schema)
+
+
+def shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, set_key, n, at, centre, size): the rows of buckets in which another set is of like size; centre is the smallest of the run and size its n, null where it can't be similar."""
+
+    def make(x: dict) -> pa.RecordBatch:
+        token, key, n, at = (x[k] for k in ("token", "set_key", "n", "at"))
+        size = n.astype(np.int64)
+        near = np.r_[False, (token[1:] == token[:-1]) & (percent * size[1:] <= 100 * size[:-1])]
+        first = np.maximum.accumulate(np.where(near, 0, np.arange(len(key))))
+        fits = near & possible(size, at, size[first], at[first], percent)
+        keep = near | np.r_[near[1:], False]
+        return pa.record_batch([pa.array(v[keep]) for v in (token, key, n, at)] + [pa.array(v[first][keep], mask=~fits[keep]) for v in (key, n)], names=["token", "set_key", "n", "at", "centre", "size"])
+
+    tokens = sets.select("set_key", "n", F.posexplode("prefix").alias("at", "token"))
+    return by_bucket(tokens.select("token", "set_key", "n", "at"), "token long, set_key long, n int, at int, centre long, size int", make)
+
+
+def enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b, na, nb, c) the pairs that can be similar: of two sets, that whose first shingles end earlier shares c of these and at most all others."""
+    least, others = F.least("na", "nb"), F.floor((F.greatest("na", "nb") * percent + 99) / 100) - 1
+    return pairs.filter((100 + percent) * F.least(F.col("c") + others, least) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def apart(marked: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, c): possible pairs of a bucket whose components differ, their sizes and in how many of the block's buckets they are; a < b."""
+
+    def make(x: dict) -> pa.RecordBatch:
+        token, key, c, at, n = x["token"], x["set_key"], x["root"], x["at"].astype(np.int64), x["n"].astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        mixed = np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)
+        found = [np.empty((0, 4), np.int64)]
+        for lo, hi in zip(begin[mixed], np.r_[begin[1:], len(token)][mixed], strict=True):
+            _, which, sizes = np.unique(c[lo:hi], return_inverse=True, return_counts=True)
+            largest = which == sizes.argmax()
+            others, step = lo + np.flatnonzero(~largest), max(1, 2_000_000 // (hi - lo))
+            for k in range(0, len(others), step):
+                i = others[k : k + step, None]
+                j = np.arange(lo, hi)[None]
+                ok = (c[i] != c[j]) & (largest[None] | (i < j)) & possible(n[i], at[i], n[j], at[j], percent)
+                p, q = np.nonzero(ok)
+                p, q = i[p, 0], lo + q
+                p, q = np.where(key[p] < key[q], p, q), np.where(key[p] < key[q], q, p)
+                found.append(np.stack([key[p], key[q], n[p], n[q]], 1))
+        pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.record_batch([pa.array(v.copy()) for v in (*pairs.T, times.astype(np.int64))], names=["a", "b", "na", "nb", "c"])
+
+    return by_bucket(marked, "a long, b long, na long, nb long, c long", make)
+
+
+def similar(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, as (u, v)."""
+    side = lambda k: whole.select(F.col("set_key").alias(k), F.col("hashes").alias(f"h{k}"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter((100 + percent) * both >= percent * (F.size("ha") + F.size("hb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, row_key, component_id, keep (true for the row, or equal rows, that stand for the component)."""
+    rows = cut(prefixes(keyed(df, id_col, text_col), words, percent), "copies")
+    one = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")
+    sets = cut(rows.groupBy("set_key").agg(F.min(one).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "copies-sets")
+    shared = cut(shared_prefixes(sets, percent), "copies-shared")
+    repeated = not rows.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty()
+
+    def links(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        wanted = cut(sets.join(ends, "set_key", "left_semi").select("first.doc_id", "first.row_key"), "copies-wanted")
+        whole = whole_sets(keyed(keep_rows(df, wanted, id_col, text_col), id_col, text_col), words)
+        return cut(similar(pairs, cut(whole.dropDuplicates(["set_key"]) if repeated else whole, "copies-whole"), percent), "copies-edges")
+
+    # from the smallest set of a bucket only; what this leaves out is found by the pairs that are still apart
+    centred = shared.filter("centre is not null").groupBy(F.least("set_key", "centre").alias("a"), F.greatest("set_key", "centre").alias("b"))
+    stars = cut(enough(centred.agg(F.first("n").alias("na"), F.first("size").alias("nb"), F.count("*").alias("c")), percent), "copies-stars")
+    edges = links(stars)
+    roots = star_components(edges)
+    marked = shared.join(roots, shared["set_key"] == roots["node"], "left").select("token", "set_key", "n", "at", F.coalesce("root", "set_key").alias("root"))
+    pairs = apart(marked, percent).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    rest = cut(enough(pairs, percent).join(stars, ["a", "b"], "left_anti"), "copies-apart")
+    roots = star_components(edges.unionByName(links(rest)))
+    placed = sets.join(roots, sets["set_key"] == roots["node"], "left").select("set_key", "first", F.coalesce("root", "set_key").alias("root"))
+    classes = placed.join(placed.groupBy("root").agg(F.min("first").alias("best")), "root").select("set_key", "best")
+    keep = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
+    return rows.join(classes, "set_key").select("doc_id", "row_key", F.col("best.doc_id").alias("component_id"), keep.alias("keep"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of df, all columns, that stand for their components: one of each, the one of smallest id."""
+    return keep_marked(df, near_copies(df, id_col, text_col, words, percent), id_col, text_col)

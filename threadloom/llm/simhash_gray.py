@@ -26,11 +26,11 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, keep_rows, row_key, text_of
+from .common import cut, keep_marked, row_key, text_of
 from .components import star_components
 
 RADIUS, FAN, BLOCK, SPLIT = 2, 8, 400_000, 65_536
@@ -204,11 +204,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, that stand for their components: one of each, the one of smallest id."""
-    kept = cut(near_duplicates(df, id_col, text_col).filter("keep").groupBy("doc_id", "row_key").agg(F.count("*").alias("n")), "simhash-kept")
-    once = keep_rows(df, kept, id_col, text_col)
-    if kept.filter("n > 1").isEmpty():
-        return once
-    # rows equal in id and text: the first of each
-    single, several = keep_rows(df, kept.filter("n = 1"), id_col, text_col), keep_rows(df, kept.filter("n > 1"), id_col, text_col)
-    first = F.row_number().over(Window.partitionBy(*row_key(id_col, text_col)).orderBy(F.lit(0)))
-    return single.unionByName(several.withColumn("__place", first).filter("__place = 1").drop("__place"))
+    return keep_marked(df, near_duplicates(df, id_col, text_col), id_col, text_col)
