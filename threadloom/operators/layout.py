@@ -68,14 +68,19 @@ def toc_tree(headings: DataFrame, levels: int = 6) -> DataFrame:
     return headings.withColumn("parent", above)
 
 
-def list_flatten(items: DataFrame, depth: int = 8) -> DataFrame:
-    """(list_id, item_id, parent_id, ord, content) as (list_id, item_id, level, number, content); items without content do not add depth."""
-    numbered = items.withColumn("number", F.row_number().over(Window.partitionBy("list_id", "parent_id").orderBy("ord")))
-    level = numbered.filter("parent_id is null").withColumn("level", F.when(F.col("content") == "", 0).otherwise(1))
+def settled(df: DataFrame) -> DataFrame:
+    """df computed and without lineage: in the checkpoint folder if there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def list_flatten(items: DataFrame) -> DataFrame:
+    """(list_id, item_id, parent_id, ord, content) as (list_id, item_id, level, number, content), however deep; items without content do not add depth."""
+    numbered = settled(items.withColumn("number", F.row_number().over(Window.partitionBy("list_id", "parent_id").orderBy("ord"))))
+    level = settled(numbered.filter("parent_id is null").withColumn("level", F.when(F.col("content") == "", 0).otherwise(1)))
     out = level
-    for _ in range(depth - 1):
+    while not level.isEmpty():
         above = level.select(F.col("list_id"), F.col("item_id").alias("parent_id"), F.col("level").alias("up"))
-        level = numbered.join(above, ["list_id", "parent_id"]).withColumn("level", F.col("up") + F.when(F.col("content") == "", 0).otherwise(1)).select(*numbered.columns, "level")
+        level = settled(numbered.join(above, ["list_id", "parent_id"]).withColumn("level", F.col("up") + F.when(F.col("content") == "", 0).otherwise(1)).select(*numbered.columns, "level"))
         out = out.unionByName(level)
     return out.filter("content <> ''").select("list_id", "item_id", "level", "number", "content")
 

@@ -367,7 +367,7 @@ def list_flatten(s: SparkSession, d: str) -> DataFrame:
     items = read(s, d, "part").select(F.col("p_brand").alias("list_id"), F.col("p_partkey").alias("item_id"), k.alias("k"), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_name")).alias("content"))
     above = items.select("list_id", F.col("k").alias("up"), F.col("item_id").alias("parent_id"))
     tree = items.withColumn("up", F.expr("int(k div 4)")).join(above, ["list_id", "up"], "left").select("list_id", "item_id", "parent_id", F.col("k").alias("ord"), "content")
-    return layout.list_flatten(tree, 8)
+    return layout.list_flatten(tree)
 
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber AS page, (count(*) OVER (PARTITION BY l_orderkey))::INT AS total, repeat('X', (l_linenumber // 10)::INT) || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[l_linenumber % 10 + 1] || ' / ' || repeat('X', (count(*) OVER (PARTITION BY l_orderkey) // 10)::INT) || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[count(*) OVER (PARTITION BY l_orderkey) % 10 + 1] AS label FROM " + NUMBERED)
