@@ -213,6 +213,34 @@ def test_warc(spark):
         assert {r.page_id: (r.record_type, r.refers_to) for r in got if r.page_id in (None, 9001, 9002, 9003, 9004)} == {9001: ("response", None), 9002: ("revisit", 9001), 9003: ("response", None), 9004: ("revisit", 9003), None: ("revisit", 9003)}
 
 
+def test_warc_equal_rows_and_long_payloads(spark):
+    """Of rows equal in page_id and payload one is the response, in Spark and in the SQL; a long payload comes back whole."""
+    import duckdb
+
+    rows = [(1, "b", "dup"), (1, "a", "dup"), (1, "a", "dup"), (2, "c", "dup"), (None, "d", "nul"), (None, "d", "nul"), (3, "e", "<p>é</p>" * 200_000), (4, None, None), (4, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = warc.write_archives(pages, warc.scratch(spark, "warc"))
+    got = warc.read_archives(files, split=300).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=key) == sorted([(1, "response", None), (1, "revisit", 1), (1, "revisit", 1), (2, "revisit", 1), (None, "response", None), (None, "revisit", None), (3, "response", None), (4, "response", None), (4, "revisit", 4)], key=key)
+    assert next(r.payload for r in got if r.page_id == 3) == rows[6][2].encode()
+    assert sorted((r.url for r in got if r.page_id == 1), key=key) == ["a", "a", "b"]
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    want = con.sql(queries.WARC_SQL)
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in warc.round_trip(spark, pages).select(*want.columns).collect())
+
+
+def test_warc_reads_in_parallel(spark):
+    """As many reading tasks as ranges, whatever adaptive execution would put together."""
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, "u", "".join(rng.choices("abcdefgh", k=3000))) for i in range(200)], "page_id long, url string, html string").repartition(3)
+    files = warc.write_archives(pages, warc.scratch(spark, "warc"))
+    ranges = sum(-(-r.size // 20_000) for r in files.collect())
+    read = warc.read_archives(files, split=20_000).withColumn("task", F.spark_partition_id())
+    assert ranges > 6 and read.count() == 200
+    assert read.select("task").distinct().count() >= ranges - 1
+
+
 def brute_passages(found, size=400):
     raw = [t.encode() for _, t in found]
     times = Counter(t[i : i + size] for t in raw for i in range(len(t) - size + 1))
@@ -227,8 +255,11 @@ def brute_passages(found, size=400):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("settings", [{}, {"batches": 3}, {"hot": 1}])
+@pytest.mark.parametrize("settings", [{}, {"batches": 5}, {"batches": 3, "hot": 1}])
 def test_passages(docs, settings):
+    """Over one batch, batches whose levels merge, and a hot run; ids repeat, with equal and with other texts."""
+    twin = docs.filter("doc_id = 10006").select(F.lit(10_005).cast("long").alias("doc_id"), *docs.columns[1:])
+    docs = docs.unionByName(twin)
     some = docs.filter("doc_id is null or doc_id < 60 or doc_id >= 10000")
     got = suffix_levels.removed_passages(some, **settings).drop("row_key").collect()
     assert sorted(map(tuple, got), key=key) == brute_passages(texts(some))

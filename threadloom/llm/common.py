@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,13 +11,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and all executors are in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="threadloom-")
+        context = spark.sparkContext
+        current = context._jsc.sc().getCheckpointDir()
         if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
+            current = context._jsc.sc().getCheckpointDir()
+        found = current.get()
     return found.rstrip("/")
 
 
@@ -31,11 +36,20 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a table of the shared folder that no later step reads."""
+def drop_scratch(spark: SparkSession, older_hours: float = 48) -> int:
+    """Remove the tables below the shared folder that were last written `older_hours` ago or earlier, and so belong to no running job; returns how many.
+
+    A result reads its tables whenever it is evaluated, so only the caller knows when they may go.
+    """
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/threadloom")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0
+    old = [x.getPath() for x in files.listStatus(root) if x.getModificationTime() <= time.time() * 1000 - older_hours * 3_600_000]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
 
 
 def text_of(column: str) -> Column:

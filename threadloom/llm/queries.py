@@ -57,7 +57,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_levels.removed_passages(table(spark, sf_dir, "documents"), batches=2).drop("row_key")
+    return suffix_levels.removed_passages(table(spark, sf_dir, "documents"), batches=5).drop("row_key")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,8 @@ WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex FROM p),
 b AS (SELECT page_id, n, hex, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + i // 4 * 5, 5))::BIGINT // (32 ** (3 - i % 4))::BIGINT % 32)::INTEGER, 1) FOR i IN range(0, 32)], '') AS digest FROM d),
-f AS (SELECT hex AS h, min(page_id) AS first FROM d GROUP BY hex)
-SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
-FROM b JOIN f ON hex = h"""
+f AS (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY page_id NULLS LAST) AS k, min(page_id) OVER (PARTITION BY hex) AS first FROM b)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to FROM f"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,10 @@ and takes the lengths of common prefixes of neighbours; for an offset o, entries
 LENGTH - o and in one run of the left array at o have the window at this offset in common. Runs of a gram with more than
 HOT distinct contexts, which would not fit a task, are matched by an aggregation over their windows' hashes instead.
 
+Segments count as equal if their two 64-bit hashes are: for texts not made against the hashes' fixed bases the chance that
+any two different ones of n agree is n * n / 2**129, 5e-16 for the 6e11 segments of 100 TB. Matches of unequal segments are
+measured on the bytes themselves.
+
 Defined results: null text counts as empty; texts under LENGTH bytes keep everything; matches never cross texts; equal
 rows each count as a document, so both go; null ids stay; an empty table gives an empty table. Columns other than the two
 named are not read. Texts are scanned in stretches of STRETCH bytes, so memory does not grow with their length.

@@ -10,8 +10,10 @@ decodes to a WARC header and, for the first one of a range, if another member or
 records that start inside the range and reads past its end to complete the last.
 
 Defined results: null html counts as an empty payload, null url as an empty one; a null page_id is written as an empty
-header and read as null, and never becomes the response while a page with the same payload has an id; rows equal in
-page_id and payload are alike; an empty table gives no files and no rows. Only the three named columns are read.
+header and read as null, and never becomes the response while a page with the same payload has an id; of rows equal in
+page_id and payload one, that of smallest url, is the response and the others revisit it; an empty table gives no files
+and no rows. Only the three named columns are read. A task holds one record's content at a time, and that twice while its
+gzip member is unpacked.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT = 8 << 20
+#: Tasks at most that read; beyond it a task reads several ranges.
+TASKS = 20_000
 
 
 def filesystem(path: str):
@@ -45,70 +49,90 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}').urn}>"
 
 
-def member(page_id: int | None, url: str, payload: bytes, response: bool, first: int | None, level: int = 6) -> bytes:
-    """One record as a gzip member."""
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + payload if response else http
+def member(page_id: int | None, url: str, payload: bytes | None, size: int, sha1: str, first: int | None, level: int = 6) -> bytes:
+    """One record as a gzip member: a response if it has a payload, else a revisit of `first`'s; `size` and `sha1` (hexadecimal) are the payload's."""
+    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     shown = lambda x: "" if x is None else str(x)
     fields = [
-        ("WARC-Type", "response" if response else "revisit"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", "".join(url.split())),
-        ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", shown(page_id)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
+        ("WARC-Type", "revisit" if payload is None else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", "".join(url.split())),
+        ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", shown(page_id)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http) + len(payload or b""))),
     ]
-    if not response:
+    if payload is None:
         fields[4:4] = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first, digest)), ("X-Refers-To-Page-Id", shown(first))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return packer.compress(head.encode()) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
+    return b"".join((packer.compress(head.encode()), packer.compress(http), packer.compress(payload or b""), packer.compress(b"\r\n\r\n"), packer.flush()))
+
+
+def rows_to_write(df: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
+    """(page_id, url, html, size, digest, first): the records to write, html null for revisits, which then name `first`."""
+    pages = df.select(F.col(id_col).cast("long").alias("page_id"), text_of(url_col).alias("url"), text_of(html_col).cast("binary").alias("html"))
+    pages = pages.select("*", F.octet_length("html").cast("long").alias("size"), F.sha1("html").alias("digest"))
+    times = pages.filter(F.col("size") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("page_id").isNull(), "page_id")
+    payloads = times.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("n", order).alias("ties"), F.sum("n").alias("n"))
+    shared = cut(payloads.filter("n > 1").select("digest", "first", "ties"), "warc-payloads")
+    joined = pages.join(shared, "digest", "left")
+    own = F.col("ties").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
+    out = ("page_id", "url", "html", "size", "digest", "first")
+    several = shared.filter("ties > 1")
+    if several.isEmpty():
+        return joined.select("page_id", "url", F.when(own, F.col("html")).alias("html"), "size", "digest", "first")
+    # rows equal in page_id and payload, counted by url: one response, written once, and revisits without a payload
+    tied = own & (F.col("ties") > 1)
+    alone = joined.filter(~F.coalesce(tied, F.lit(False))).select("page_id", "url", F.when(own, F.col("html")).alias("html"), "size", "digest", "first")
+    equal = joined.filter(tied)
+    response = equal.groupBy("digest", "page_id", "first").agg(F.min("url").alias("url"), F.first("html").alias("html"), F.first("size").alias("size"))
+    urls = equal.groupBy("digest", "page_id", "first", "size", "url").agg(F.count("*").alias("n")).join(response.select("digest", F.col("url").alias("chosen")), "digest")
+    times_again = F.col("n") - (F.col("url") == F.col("chosen")).cast("long")
+    again = urls.filter(times_again > 0).select("page_id", "url", F.lit(None).cast("binary").alias("html"), "size", "digest", "first", F.explode(F.sequence(F.lit(1).cast("long"), times_again)))
+    return alone.unionByName(response.select(*out)).unionByName(again.select(*out).repartition("digest", F.rand(1)))
 
 
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, level: int = 6, file_bytes: int = 256 << 20) -> DataFrame:
     """Write df's rows under `folder` (shared by all executors); returns (path, size, records) of the archives."""
-    pages = df.select(F.col(id_col).cast("long").alias("page_id"), text_of(url_col).alias("url"), text_of(html_col).cast("binary").alias("html")).withColumn("digest", F.sha1("html"))
-    enough = F.octet_length("html") >= least
-    shared = cut(pages.filter(enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "warc-payloads")
-    rows = pages.join(shared, "digest", "left")
-    response = ~enough | F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.select("page_id", "url", "html", response.alias("response"), "first")
+    rows = rows_to_write(df, id_col, url_col, html_col, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         fs.create_dir(root)
-        context, count, out, path, size, records, made = TaskContext.get(), 0, None, "", 0, 0, []
+        context, files, out, path, size, count, made = TaskContext.get(), 0, None, "", 0, 0, []
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
-                for page_id, url, html, is_response, first in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
+                for page_id, url, html, length, sha1, first in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
                     if out is None:
-                        path = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{count}.warc.gz"
-                        out, size, records, count = fs.open_output_stream(f"{root}/{path}", compression=None), 0, 0, count + 1
-                    data = member(page_id, url, html, is_response, first, level)
+                        path = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{files}.warc.gz"
+                        out, size, count, files = fs.open_output_stream(f"{root}/{path}", compression=None), 0, 0, files + 1
+                    data = member(page_id, url, html, length, sha1, first, level)
                     out.write(data)
-                    size, records = size + len(data), records + 1
+                    size, count = size + len(data), count + 1
                     if size >= file_bytes:
                         out.close()
-                        made.append((f"{folder}/{path}", size, records))
+                        made.append((f"{folder}/{path}", size, count))
                         out = None
         if out is not None:
             out.close()
-            made.append((f"{folder}/{path}", size, records))
+            made.append((f"{folder}/{path}", size, count))
         yield pa.record_batch([pa.array([m[k] for m in made], pa.int64() if k else pa.string()) for k in range(3)], names=["path", "size", "records"])
 
     return cut(rows.mapInArrow(run, "path string, size long, records long"), "warc-files")
 
 
 def parse_record(raw: bytes) -> dict:
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    end = raw.index(b"\r\n\r\n")
+    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in raw[:end].decode().split("\r\n")[1:])
+    stop = end + 4 + int(fields["Content-Length"])
+    body = raw.index(b"\r\n\r\n", end + 4, stop) + 4
+    length = next(int(x.split(b":")[1]) for x in raw[end + 4 : body].split(b"\r\n") if x.lower().startswith(b"content-length:"))
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    kind = fields["WARC-Type"]
+    kind, payload = fields["WARC-Type"], None
     if kind == "response":
+        payload = raw[body:stop]
         assert len(payload) == length, "a payload of another length than stated"
         assert base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest, "a payload of another digest than stated"
     number = lambda x: int(x) if x else None
-    return {"page_id": number(fields["X-Page-Id"]), "url": fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("X-Refers-To-Page-Id")) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
+    return {"page_id": number(fields["X-Page-Id"]), "url": fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("X-Refers-To-Page-Id")) if kind == "revisit" else None, "payload": payload}
 
 
 class Source:
@@ -188,7 +212,9 @@ def read_archives(files: DataFrame, split: int = SPLIT, payloads: bool = True) -
                 yield pa.record_batch([pa.array([x[k] for x in rows], READ[k]) for k in names], names=names)
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return ranges.repartition("path", "begin").mapInArrow(run, ", ".join(f"{k} {kinds[READ[k]]}" for k in names))
+    # a number of its own for each range's task, which adaptive execution does not put together again
+    tasks = files.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1
+    return ranges.repartitionByRange(min(int(tasks), TASKS), "path", "begin").mapInArrow(run, ", ".join(f"{k} {kinds[READ[k]]}" for k in names))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
