@@ -142,13 +142,36 @@ def test_secrets_and_mixing_sql(spark, docs):
 
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
-    for frame, sql in ((secret_scan.report(secret_scan.scan(docs)), secret_scan.report_sql()), (mixing.mix(docs).drop("row_key"), mixing.mix_sql())):
+    for frame, sql in ((secret_scan.report(secret_scan.scan(docs)), secret_scan.report_sql()), (mixing.mix(docs, queries.source_domains(docs)).drop("row_key"), mixing.mix_sql(queries.DOMAIN_SQL))):
         want = con.sql(sql)
         fix = lambda rows: sorted(str(list(r)) for r in rows)
         assert want.columns == frame.columns
         assert fix(frame.collect()) == fix(want.fetchall())
 
 
+def test_mixing_equal_rows(spark):
+    """Many equal rows, null ids with different texts, and a budget that ends among them: the SQL's counts, whatever the partitions; draw keeps to them and to the columns."""
+    import duckdb
+
+    rows = [(7, "one two three", "en", "a", k % 3) for k in range(50)] + [(None, f"some text {k}", "en", "a", k) for k in range(40)] + [(k, "x " * (k % 5), None, "b" if k % 2 else None, k) for k in range(60)]
+    schema = "doc_id long, text string, lang string, source string, __seq long"
+    domains = spark.createDataFrame([("a", "web"), ("a", "zzz"), ("b", "forum")], "source string, domain string")
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(rows, schema).drop("__seq").toArrow())
+    for share, epochs in ((0.35, 1), (0.8, 2)):
+        want = sorted(map(str, con.sql(mixing.mix_sql("CASE source WHEN 'a' THEN 'web' WHEN 'b' THEN 'forum' ELSE 'other' END", share, epochs)).fetchall()))
+        drawn = set()
+        for parts in (1, 7):
+            docs = spark.createDataFrame(rows, schema).repartition(parts)
+            got = mixing.mix(docs, domains, share=share, max_epochs=epochs).drop("row_key")
+            assert sorted(str(tuple(r)) for r in got.collect()) == want
+            out = mixing.draw(docs.withColumnRenamed("__seq", "n_chars"), domains, share=share, max_epochs=epochs)
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert out.count() == got.agg(F.sum("copies")).first()[0]
+            drawn.add(tuple(sorted(str((r.doc_id, r.text, r.lang, r.source)) for r in out.collect())))
+        assert len(drawn) == 1
+
+
 def test_pii(docs):
     def luhn(d):
         return sum((2 * int(c) - 9 * (c > "4")) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
@@ -286,6 +309,35 @@ def test_held_out_quality(spark):
     assert sum(r.kept == (r.quality == 1) for r in kept) >= 0.97 * len(kept)
 
 
+def test_preference_pairs_awkward(spark, docs):
+    """Null, unmatched and contrary labels, repeated rows, one class only, and scores that do not depend on partitions."""
+    labels = [(i, i % 2) for i in range(150)] + [(3, 0), (3, 0), (None, 1), (5, None), (6, 7), (777_777, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    plain = docs.select("doc_id", "text")
+    found = {p: sorted(((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in bradley_terry.score_quality(plain.repartition(p), table.repartition(p)).collect()), key=key) for p in (1, 5)}
+    assert found[1] == found[5] and len(found[1]) == docs.count()
+    assert all(0 <= x[2] <= 1 and x[3] == (x[2] >= 0.3) and x[1] == (zlib.crc32(str("" if x[0] is None else x[0]).encode()) % 5 == 0) for x in found[1])
+    assert {r.score for r in bradley_terry.score_quality(plain, table.filter("quality = 1")).collect()} == {0.99}
+    assert {r.score for r in bradley_terry.score_quality(plain, table.limit(0)).collect()} == {0.5}
+
+
+def test_preference_pairs_learn_by_logistic_loss():
+    """The learnt direction maximises the pairs' likelihood: no small change of the weights makes it better, and repeats count."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.0])))).astype(float)
+    w, offset, slope = bradley_terry.learn(x, y, penalty=0.0)
+    assert w[0] > 0 > w[1] and abs(w[2]) < 0.3 * w[0] and slope > 0
+    d = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, 3)
+    loss = lambda v: np.log1p(np.exp(-d @ v)).mean()
+    assert all(loss(w) <= loss(w + step) + 2e-4 for step in 0.3 * np.vstack([np.eye(3), -np.eye(3)]))
+    share = (1 / (1 + np.exp(-(x @ w * slope + offset))) < 0.3).mean()
+    assert abs(share - (y == 0).mean()) < 0.02
+    twice = bradley_terry.learn(np.vstack([x, x[:50]]), np.r_[y, y[:50]])
+    counted = bradley_terry.learn(x, y, np.r_[np.full(50, 2.0), np.ones(350)])
+    assert np.abs(twice[0] - counted[0]).max() < 0.1
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter(F.lit(False))
     labels = spark.createDataFrame([], "doc_id long, quality int")
