@@ -37,7 +37,7 @@ def key(x):
 
 
 def test_mpeg_round_trip(docs):
-    got = sorted(((r.doc_id, r.payload_sha256, r.n_bytes, r.tail_crc32) for r in mpeg_audio.media_digest(docs).collect()), key=key)
+    got = sorted(((r.doc_id, r.payload_sha256, r.n_bytes, r.tail_crc32) for r in mpeg_audio.media_digest(mpeg_audio.stored_media(docs)).collect()), key=key)
     padded = [(i, mpeg_audio.pad(t.encode()), len(t.encode())) for i, t in texts(docs)]
     assert got == sorted(((i, hashlib.sha256(p).hexdigest(), n, zlib.crc32(p[-64:])) for i, p, n in padded), key=key)
     back = mpeg_audio.parse_mpeg(mpeg_audio.encode_mpeg(docs)).filter("not payload_ok or crc_bad > 0 or skipped_bytes > 0 or frames <> size(seek_offsets) or vbr_frames <> frames")
@@ -58,6 +58,72 @@ def test_mpeg_damage():
     assert mpeg_audio.parse_bytes(bytes(flipped))["crc_bad"] == 1
 
 
+def bits(value, n):
+    return [value >> k & 1 for k in reversed(range(n))]
+
+
+def packed(found):
+    found = found + [0] * (-len(found) % 8)
+    return bytes(sum(b << 7 - k for k, b in enumerate(found[i : i + 8])) for i in range(0, len(found), 8))
+
+
+def check_value(found):
+    """CRC-16 by long division of the bits, the first 16 inverted."""
+    found = [b ^ (k < 16) for k, b in enumerate(found + [0] * 16)]
+    for k in range(len(found) - 16):
+        if found[k]:
+            for p in (0, 1, 14, 16):
+                found[k + p] ^= 1
+    return found[-16:]
+
+
+def test_mpeg_streams_made_by_hand():
+    """Protected frames of Layers I and II, a VBRI table, and ID3v2.2, from bits laid out here."""
+    head1 = bits(0xFFF, 12) + bits(0b1110, 4) + bits(0b1000, 4) + bits(0b0100, 4) + bits(0b11000000, 8)  # MPEG-1 Layer I, 256 kbit/s, 48 kHz, mono: 256 bytes
+    allocation = [random.Random(1).randrange(2) for _ in range(128)]
+    one = packed(head1 + check_value(head1[16:] + allocation) + allocation).ljust(256, b"\0")
+    x = mpeg_audio.parse_bytes(one * 3)
+    assert (x["crc_good"], x["crc_bad"], x["samples"], x["rate"], x["offsets"]) == (3, 0, 3 * 384, 48000, [0, 256, 512])
+    damaged = bytearray(one * 3)
+    damaged[256 + 10] ^= 4
+    assert mpeg_audio.parse_bytes(bytes(damaged))["crc_bad"] == 1
+
+    head2 = bits(0xFFF, 12) + bits(0b1100, 4) + bits(0b1010, 4) + bits(0b0100, 4) + bits(0b11000000, 8)  # Layer II, 192 kbit/s, 48 kHz, mono: 576 bytes, table a
+    rng, spent, chosen = random.Random(2), [], 0
+    for width in [4] * 11 + [3] * 12 + [2] * 4:
+        value = rng.randrange(1 << width) * rng.randrange(2)
+        spent += bits(value, width)
+        chosen += value > 0
+    spent += [rng.randrange(2) for _ in range(2 * chosen)]
+    two = packed(head2 + check_value(head2[16:] + spent) + spent).ljust(576, b"\0")
+    x = mpeg_audio.parse_bytes(two * 2)
+    assert (x["crc_good"], x["crc_bad"], x["samples"]) == (2, 0, 2 * 1152)
+
+    plain = bytes((0xFF, 0xFB, 0x94, 0xC0)).ljust(384, b"\0")  # Layer III, 128 kbit/s, 48 kHz, mono
+    vbri = bytearray(plain)
+    vbri[36:40], vbri[46:50], vbri[50:54] = b"VBRI", (1920).to_bytes(4), (4).to_bytes(4)
+    vbri[54:56], vbri[56:58], vbri[58:60], vbri[62:70] = (4).to_bytes(2), (2).to_bytes(2), (2).to_bytes(2), b"".join(n.to_bytes(2) for n in (192, 192, 192, 384))
+    x = mpeg_audio.parse_bytes(bytes(vbri) + plain * 4)
+    assert (x["vbr"], x["vbr_frames"], x["vbr_bytes"], x["table_offsets"], x["offsets"]) == ("VBRI", 4, 1920, [384, 768, 1152, 1920], [384, 768, 1152, 1536])
+    note = b"\0payload_bytes\x0010"
+    tag = b"TXX" + len(note).to_bytes(3) + note
+    x = mpeg_audio.parse_bytes(b"ID3\2\0\0" + bytes((0, 0, 0, len(tag))) + tag + plain * 2)
+    assert len(x["payload"]) == 10 and x["tags"] == "id3v2"
+
+
+def test_mpeg_never_fails():
+    """Random damage, cuts and joins of streams give numbers, never errors."""
+    rng = random.Random(3)
+    short = bytes((0xFF, 0xF3, 0x14, 0xC0)).ljust(24, b"\0")  # MPEG-2 frames of 24 bytes, "VBRI" beyond the first one's end
+    streams = [mpeg_audio.encode_bytes(bytes(range(256)) * 9), short + short[:12] + b"VBRI" + b"\xff" * 8, b"ID3\2\0\0\0\0\0\x09AB", b"ID3\4\0\x10\x7f\x7f\x7f\x7f", b"APETAGEX" + b"\xff" * 24]
+    for k in range(400):
+        made = bytearray(rng.choice(streams) + rng.choice(streams))
+        for _ in range(rng.randrange(12)):
+            made[rng.randrange(len(made))] = rng.choice((0xFF, 0xFB, rng.randrange(256)))
+        x = mpeg_audio.parsed_row(bytes(made[rng.randrange(4) : len(made) - rng.randrange(40)]))
+        assert x["frames"] == len(x["seek_offsets"]) and x["skipped_bytes"] >= 0
+
+
 @pytest.mark.parametrize("split", [simhash_gray.SPLIT, 1])
 def test_simhash(docs, split):
     rows = simhash_gray.near_duplicates(docs, split=split).collect()
@@ -341,7 +407,7 @@ def test_preference_pairs_learn_by_logistic_loss():
 def test_empty_tables(spark, docs):
     none = docs.filter(F.lit(False))
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    for frame in (mpeg_audio.media_digest(none), simhash_gray.near_duplicates(none), secret_scan.scan(none), mixing.mix(none), bradley_terry.score_quality(none, labels), pii_weak.find(none), sentencepiece_offsets.encode_texts(none, queries.model_path()), suffix_levels.removed_passages(none, batches=2), quality_mcd.quality(none)):
+    for frame in (mpeg_audio.media_digest(mpeg_audio.stored_media(none)), simhash_gray.near_duplicates(none), secret_scan.scan(none), mixing.mix(none), bradley_terry.score_quality(none, labels), pii_weak.find(none), sentencepiece_offsets.encode_texts(none, queries.model_path()), suffix_levels.removed_passages(none, batches=2), quality_mcd.quality(none)):
         assert frame.count() == 0
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

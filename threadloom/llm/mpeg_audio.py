@@ -4,12 +4,13 @@
 an ID3v2.3 tag, a Xing frame with frame count, byte count and seek table, then frames whose granules are empty and
 whose main-data area carries the bytes as ancillary data. `parse_mpeg` reads any MPEG-1/2/2.5 audio stream: it skips
 ID3v1, ID3v2 and APE tags, resynchronises on frame headers (a header counts only if the next one follows it or the
-stream ends), reads Xing, Info and VBRI tables, verifies each protected Layer III header's CRC-16, and gives the exact
-duration as samples over rate and the byte offset of every frame.
+stream ends), reads Xing, Info and VBRI tables, verifies the CRC-16 of protected headers of all three layers, and gives
+the exact duration as samples over rate and the byte offset of every frame.
 
 Defined results: null media gives zero frames and empty tables; bytes that hold no frame give zero frames; damaged
-stretches are skipped and counted in `skipped_bytes`; frames cut short at the end are not counted. Rows repeat, ids may
-be null, and columns other than the two named ones are not read.
+stretches are skipped and counted in `skipped_bytes`; frames cut short at the end are not counted, nor are frames of free
+format, whose length no header states; tables that reach beyond their frame end with it. Rows repeat, ids may be null, and
+columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 # Fixed values of the MPEG audio standard.
 BITRATES = {
@@ -37,18 +38,20 @@ BITRATES = {
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 SIDE_INFO = {(1, False): 32, (1, True): 17, (2, False): 17, (2, True): 9}
+#: Layer II: how many subbands have allocations of 4, 3 and 2 bits, by table.
+ALLOCATION = {"a": (11, 12, 4), "b": (11, 12, 7), "c": (2, 6, 0), "d": (2, 10, 0), "low": (4, 7, 19)}
 
 #: Here: version 1, Layer III, protected, 48 kHz, mono; a frame of bitrate b kbit/s has 3 b bytes.
 HEAD, SIDE, OVERHEAD = 6, 17, 23
 UNIT = 64
 
 
-def crc16(data: bytes, crc: int = 0xFFFF) -> int:
-    """The standard's CRC-16, polynomial 0x8005, most significant bit first."""
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The standard's CRC-16, polynomial 0x8005, most significant bit first, of all or the first bits of data."""
+    crc = 0xFFFF
+    for k in range(8 * len(data) if bits is None else bits):
+        top = crc >> 15 ^ data[k >> 3] >> (7 - (k & 7)) & 1
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if top else crc << 1 & 0xFFFF
     return crc
 
 
@@ -71,6 +74,29 @@ def header(raw: bytes) -> tuple[int, int, int, int, bool, bool, int] | None:
     return version, layer, hz, length, not b1 & 1, b3 >> 6 == 3, samples
 
 
+def checked_bits(raw: bytes, body: bytes) -> int:
+    """How many bits of a protected frame's body its CRC covers: side information, or bit allocation and, in Layer II, scale-factor selection."""
+    version, layer, hz, _, _, mono, _ = header(raw)
+    v = 1 if version == 3 else 2
+    if layer == 3:
+        return 8 * SIDE_INFO[v, mono]
+    bound = 4 * (raw[3] >> 4 & 3) + 4 if raw[3] >> 6 == 1 else 32  # joint stereo shares what lies above
+    channels = 1 if mono else 2
+    if layer == 1:
+        return 4 * (channels * bound + 32 - bound if channels == 2 else 32)
+    kbit = BITRATES[v, 2][raw[2] >> 4] // channels
+    table = "low" if v == 2 else ("d" if hz == 32000 else "c") if kbit < 56 else "a" if hz == 48000 or kbit < 96 else "b"
+    widths = [w for w, n in zip((4, 3, 2), ALLOCATION[table], strict=True) for _ in range(n)]
+    at, selected = 0, 0
+    for band, w in enumerate(widths):
+        own = channels if band < bound else 1
+        for _ in range(own):
+            chunk = int.from_bytes(body[at >> 3 : (at + w + 7) >> 3].ljust(2, b"\0")[:2])
+            selected += (chunk >> (16 - (at & 7) - w) & (1 << w) - 1 != 0) * (channels // own)
+            at += w
+    return at + 2 * selected
+
+
 @lru_cache(16)
 def frame_head(index: int) -> bytes:
     head = bytes((0xFF, 0xFA, index << 4 | 1 << 2, 0xC0))
@@ -110,28 +136,53 @@ def encode_bytes(payload: bytes) -> bytes:
 
 
 def id3v2(data: bytes, at: int) -> tuple[int, dict[str, bytes]]:
-    """End of the tag at `at`, and its frames: TXXX by description, others by id."""
+    """End of the tag at `at`, and its frames: TXXX by description, others by id. Version 2 has ids of three letters and no flags."""
     size = data[at + 6] << 21 | data[at + 7] << 14 | data[at + 8] << 7 | data[at + 9]
     end, tags, p, major = at + 10 + size + 10 * (data[at + 5] >> 4 & 1), {}, at + 10, data[at + 3]
-    stop = min(at + 10 + size, len(data))
-    while p + 10 <= stop and data[p]:
-        name, raw = data[p : p + 4].decode("latin-1"), data[p + 4 : p + 8]
+    stop, letters = min(at + 10 + size, len(data)), 3 if major == 2 else 4
+    head = 6 if major == 2 else 10
+    while p + head <= stop and data[p]:
+        name, raw = data[p : p + letters].decode("latin-1"), data[p + letters : p + 2 * letters]
         n = raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3] if major == 4 else int.from_bytes(raw)
-        value = data[p + 10 : min(p + 10 + n, stop)]
-        if name == "TXXX" and value[:1] == b"\0" and b"\0" in value[1:]:
+        value = data[p + head : min(p + head + n, stop)]
+        if name in ("TXXX", "TXX") and value[:1] == b"\0" and b"\0" in value[1:]:
             key, _, value = value[1:].partition(b"\0")
             name = f"TXXX:{key.decode('latin-1')}"
         elif name == "PRIV" and b"\0" in value:
             key, _, value = value.partition(b"\0")
             name = f"PRIV:{key.decode('latin-1')}"
         tags.setdefault(name, value)
-        p += 10 + n
+        p += head + n
     return min(end, len(data)), tags
 
 
+def rate_table(frame: bytes, at: int) -> dict | None:
+    """The Xing, Info or VBRI table of a frame whose main data starts at `at`: kind, frames, bytes, toc, and the byte offsets that toc states, as far as the frame has them."""
+    number = lambda p, n: int.from_bytes(frame[p : p + n])
+    if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
+        flags, p, table = number(at + 4, 4), at + 8, {"kind": frame[at : at + 4].decode()}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit and len(frame) >= p + 4:
+                table[name], p = number(p, 4), p + 4
+        if flags & 4:
+            table["toc"] = frame[p : p + 100]
+            table["stated"] = [x * table.get("bytes", 0) // 256 for x in table["toc"]]
+        return table
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        entries, scale, width = number(54, 2), number(56, 2), number(58, 2)
+        toc = frame[62 : 62 + entries * width]
+        table = {"kind": "VBRI", "bytes": number(46, 4), "frames": number(50, 4), "toc": toc, "stated": []}
+        total = 0
+        for k in range(len(toc) // width if width else 0):
+            total += number(62 + k * width, width) * scale
+            table["stated"].append(total)
+        return table
+    return None
+
+
 def parse_bytes(data: bytes) -> dict:
     """Everything that parse_mpeg returns for one stream."""
-    at, end, tags, table, kinds = 0, len(data), {}, {}, []
+    at, end, tags, table, kinds = 0, len(data), {}, None, []
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         at, found = id3v2(data, at)
         tags |= found
@@ -151,22 +202,14 @@ def parse_bytes(data: bytes) -> dict:
             v = 1 if h[0] == 3 else 2
             side = SIDE_INFO[v, mono] if layer == 3 else 0
             body = at + 4 + 2 * protected
-            if protected and layer == 3:
-                right = cached_crc(data[at + 2 : at + 4] + data[body : body + side]) == int.from_bytes(data[at + 4 : at + 6])
+            if protected:
+                frame_body = data[body : min(body + 64, at + length)]
+                bits = 16 + checked_bits(data[at : at + 4], frame_body)
+                right = bits <= 16 + 8 * len(frame_body) and cached_crc(data[at + 2 : at + 4] + frame_body[: (bits - 9) // 8], bits) == int.from_bytes(data[at + 4 : at + 6])
                 good, bad = good + right, bad + (not right)
-            mark = data[body + side : body + side + 4]
-            if not offsets and not table and mark in (b"Xing", b"Info"):
-                flags, p = int.from_bytes(data[body + side + 4 : body + side + 8]), body + side + 8
-                table = {"kind": mark.decode()}
-                for bit, key in ((1, "frames"), (2, "bytes")):
-                    if flags & bit:
-                        table[key], p = int.from_bytes(data[p : p + 4]), p + 4
-                if flags & 4:
-                    table["toc"] = data[p : p + 100]
-            elif not offsets and not table and data[at + 36 : at + 40] == b"VBRI":
-                size, frames, entries, scale, width, per = struct.unpack_from(">IIHHHH", data, at + 46)
-                toc = data[at + 62 : at + 62 + entries * width]
-                table = {"kind": "VBRI", "bytes": size, "frames": frames, "toc": toc}
+            first = None if offsets or table else rate_table(data[at : at + length], body + side - at)
+            if first:
+                table = first
             else:
                 offsets.append(at)
                 pieces.append(data[body + side : at + length])
@@ -180,17 +223,17 @@ def parse_bytes(data: bytes) -> dict:
     note = tags.get("TXXX:payload_bytes", b"")
     payload = b"".join(pieces)
     payload = payload[: int(note)] if note.isdigit() else payload
-    check = tags.get("PRIV:payload-crc32")
+    check, table = tags.get("PRIV:payload-crc32"), table or {}
     return {
         "payload": payload, "offsets": offsets, "samples": samples, "rate": rate, "crc_good": good, "crc_bad": bad, "skipped_bytes": skipped,
-        "vbr": table.get("kind"), "vbr_frames": table.get("frames"), "vbr_bytes": table.get("bytes"), "seek_table": table.get("toc"),
+        "vbr": table.get("kind"), "vbr_frames": table.get("frames"), "vbr_bytes": table.get("bytes"), "seek_table": table.get("toc"), "table_offsets": table.get("stated"),
         "tags": ",".join(kinds), "payload_ok": None if check is None else check == struct.pack(">I", zlib.crc32(payload)),
     }
 
 
 PARSED = {
     "frames": pa.int64(), "samples": pa.int64(), "rate": pa.int64(), "duration_us": pa.int64(), "seek_offsets": pa.list_(pa.int64()), "crc_good": pa.int64(), "crc_bad": pa.int64(),
-    "skipped_bytes": pa.int64(), "vbr": pa.string(), "vbr_frames": pa.int64(), "vbr_bytes": pa.int64(), "seek_table": pa.binary(), "tags": pa.string(), "payload_ok": pa.bool_(), "payload": pa.binary(),
+    "skipped_bytes": pa.int64(), "vbr": pa.string(), "vbr_frames": pa.int64(), "vbr_bytes": pa.int64(), "seek_table": pa.binary(), "table_offsets": pa.list_(pa.int64()), "tags": pa.string(), "payload_ok": pa.bool_(), "payload": pa.binary(),
 }
 SQL_TYPES = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
 #: Rows of a Python batch at most, so that long rows don't gather.
@@ -232,32 +275,36 @@ def parse_mpeg(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
     return df.select(*keep, F.col(media_col).cast("binary")).mapInArrow(run, schema)
 
 
-def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each text, parse the stored stream again in the same task, and return its digests and features.
+def stored_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The media column of `encode_mpeg`, written to the shared folder and read from there."""
+    return cut(encode_mpeg(df, id_col, text_col), "mpeg")
+
+
+def media_digest(stored: DataFrame) -> DataFrame:
+    """Of a table (doc_id, n_bytes, media): what the parsed streams hold, as digests, durations and frame seek offsets.
 
-    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, then the
-    features as numbers. The feature names frames, samples, rate, checks, table, tag kinds and a hash of the seek offsets.
+    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, then numbers
+    and seek_offsets. The feature names frames, samples, rate, checks, table, tag kinds and the duration.
     """
-    extra = ("frames", "samples", "rate", "duration_us", "crc_good", "crc_bad", "skipped_bytes", "vbr_frames", "vbr_bytes")
+    numbers = ("frames", "samples", "rate", "duration_us", "crc_good", "crc_bad", "skipped_bytes", "vbr_frames", "vbr_bytes")
 
-    def one(raw: bytes | None) -> dict:
-        raw = raw or b""
-        media = encode_bytes(pad(raw))
+    def one(media: bytes | None) -> dict:
+        media = media or b""
         x = parsed_row(media)
         back = x["payload"]
-        seek = hashlib.sha256(b",".join(b"%d" % o for o in x["seek_offsets"])).hexdigest()[:16]
-        feature = f"mp3 frames={x['frames']} samples={x['samples']} rate={x['rate']} crc={x['crc_good']}/{x['crc_good'] + x['crc_bad']} skipped={x['skipped_bytes']} vbr={x['vbr']}:{x['vbr_frames']}:{x['vbr_bytes']} tags={x['tags']} payload_ok={str(x['payload_ok']).lower()} seek={seek}"
-        return {"n_bytes": len(raw), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature} | {k: x[k] for k in extra}
+        feature = f"mp3 frames={x['frames']} samples={x['samples']} rate={x['rate']} crc={x['crc_good']}/{x['crc_good'] + x['crc_bad']} skipped={x['skipped_bytes']} vbr={x['vbr']}:{x['vbr_frames']}:{x['vbr_bytes']} tags={x['tags']} payload_ok={str(x['payload_ok']).lower()} duration_us={x['duration_us']}"
+        return {"payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-UNIT:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature, "seek_offsets": x["seek_offsets"]} | {k: x[k] for k in numbers}
 
     text = ("payload_sha256", "media_sha256", "feature")
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *extra]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *numbers, "seek_offsets"]
+    kind = lambda k: pa.string() if k in text else pa.list_(pa.int64()) if k == "seek_offsets" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
                 part = whole.slice(at, STEP)
-                rows = [one(x.as_py()) for x in part.column(1)]
-                yield pa.record_batch([part.column(0), *(pa.array([r[k] for r in rows], pa.string() if k in text else pa.int64()) for k in names)], names=["doc_id", *names])
+                rows = [one(x.as_py()) for x in part.column(2)]
+                yield pa.record_batch([*part.columns[:2], *(pa.array([r[k] for r in rows], kind(k)) for k in names)], names=["doc_id", "n_bytes", *names])
 
-    schema = "doc_id long, " + ", ".join(f"{k} {'string' if k in text else 'long'}" for k in names)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, " + ", ".join(f"{k} {SQL_TYPES[kind(k)]}" for k in names)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_audio.media_digest(table(spark, sf_dir, "documents"))
+    return mpeg_audio.media_digest(mpeg_audio.stored_media(table(spark, sf_dir, "documents")))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
