@@ -1,11 +1,14 @@
 """Quality rules: fixed rules first, then robust multivariate outliers per language and source.
 
-Each text gets counts and a vector of transformed ratios (VECTOR). For every language and source, a minimum-covariance-
-determinant estimate is reached by concentration steps over all rows: start from medians and quartile ranges, take the
-rows of smallest Mahalanobis distance up to the share CORE, estimate centre and covariance from them, and repeat. A step
-is one aggregation by group and distance bin whose sums are then cut at the bin that reaches the share, so no group is
-gathered in one place and no row is left out. RIDGE is added to the covariance, so ratios that are zero throughout the
-core do not make it singular. A row is rejected if its squared distance exceeds the CUT quantile of chi square.
+Each text gets counts and a vector of transformed ratios (VECTOR). For every language and source a minimum-covariance-
+determinant estimate is reached by concentration steps over all rows: take the rows of smallest Mahalanobis distance up to
+the share CORE, estimate centre and covariance from them, and repeat. There are three starts, all around the medians: quartile
+ranges alone, these with the correlations of the entries' hyperbolic tangents, and with those of the rows' directions. After
+TRIAL steps each group keeps the start of smallest core determinant and takes STEPS more. A step is one aggregation by
+group, start and distance bin (a sixteenth of a power of e) whose sums are then cut at the bin that reaches the share, so
+no group is gathered in one place and no row is left out; a core is at most one bin larger than the share. RIDGE is added to
+the covariance, so ratios that are zero throughout the core do not make it singular. A row is rejected if its squared
+distance exceeds the CUT quantile of chi square.
 
 Defined results: null and empty texts have zero counts and fail the base rules; groups of under MIN_ROWS rows use the
 estimate of their language, else that of all small groups together; null languages and sources are groups of their own;
@@ -29,7 +32,7 @@ from .text_stats import COUNTS, counts
 VECTOR = ("symbols", "upper", "dup_lines", "repeats", "word_length")
 #: Standard deviations added to each entry of VECTOR: what differs by less than a few of these is no outlier.
 RIDGE = (0.05, 0.05, 0.15, 0.15, 0.1)
-CORE, CUT, STEPS, MIN_ROWS = 0.75, 0.99999, 4, 50
+CORE, CUT, TRIAL, STEPS, MIN_ROWS = 0.75, 0.99999, 2, 3, 50
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -69,26 +72,41 @@ def distance(names: tuple[str, ...]) -> Column:
     p = len(names)
     d = [F.col(x) - F.element_at("centre", i + 1) for i, x in enumerate(names)]
     terms = [d[i] * d[j] * F.element_at("precision", i * p + j + 1) * (1 if i == j else 2) for i in range(p) for j in range(i, p)]
-    return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0)) * F.col("shrink")
+    return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
-PARAMETERS = "pool string, centre array<double>, precision array<double>, shrink double"
+PARAMETERS = "pool string, start int, centre array<double>, precision array<double>, logdet double"
+Estimate = tuple[np.ndarray, np.ndarray]
 
 
-def mcd(rows: DataFrame, names: tuple[str, ...] = VECTOR, ridge: tuple[float, ...] = RIDGE, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """Estimates per `pool` of rows: centre, precision (inverse covariance, row by row), and a factor for the distance."""
+def estimates(pool: str, found: list[tuple[int, Estimate, float]], floor: np.ndarray) -> pd.DataFrame:
+    """Rows of PARAMETERS from (start, (centre, covariance), log determinant)."""
+    made = [(pool, start, centre, np.linalg.inv(cov + floor).ravel(), logdet) for start, (centre, cov), logdet in found]
+    return pd.DataFrame(made, columns=["pool", "start", "centre", "precision", "logdet"])
+
+
+def mcd(rows: DataFrame, names: tuple[str, ...] = VECTOR, ridge: tuple[float, ...] = RIDGE, core: float = CORE, trial: int = TRIAL, steps: int = STEPS) -> DataFrame:
+    """Estimates per `pool` of rows: start, centre, precision (inverse covariance, row by row) and logdet, the core's log determinant."""
     p, floor = len(names), np.diag(np.square(ridge))
     upper = [(i, j) for i in range(p) for j in range(i, p)]
     median = chi2_quantile(0.5, p)
 
-    def start(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def symmetric(found: dict, prefix: str) -> np.ndarray:
+        out = np.zeros((p, p))
+        for i, j in upper:
+            out[i, j] = out[j, i] = found[f"{prefix}{i}_{j}"]
+        return out
+
+    def correlation(m: np.ndarray) -> np.ndarray:
+        d = np.sqrt(np.maximum(np.diag(m), 1e-12))
+        return m / np.outer(d, d) * (1 - 1e-9) + np.eye(p) * 1e-9
+
+    def begin(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in found:
-            out = []
-            for r in pdf.itertuples(index=False):
-                q = np.array([getattr(r, x) for x in names], float)
-                inverse = np.linalg.inv(np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349)) + floor)
-                out.append((r.pool, q[:, 1], inverse.ravel(), 1.0))
-            yield pd.DataFrame(out, columns=["pool", "centre", "precision", "shrink"])
+            for r in pdf.to_dict("records"):
+                middle, spread = np.array([r[f"m_{x}"] for x in names]), np.array([r[f"d_{x}"] for x in names])
+                shapes = [np.eye(p), correlation(symmetric(r, "t") / r["n"]), correlation(symmetric(r, "u") / r["n"])]
+                yield estimates(r["pool"], [(k, (middle, np.outer(spread, spread) * shape), 0.0) for k, shape in enumerate(shapes)], floor)
 
     def concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
@@ -96,23 +114,31 @@ def mcd(rows: DataFrame, names: tuple[str, ...] = VECTOR, ridge: tuple[float, ..
         last = int(np.searchsorted(cum, core * cum[-1]))
         inside = pdf.iloc[: last + 1]
         n = inside.n.sum()
-        sums = inside[[f"s{i}" for i in range(p)]].sum().to_numpy()
-        centre = sums / n
-        cov = np.zeros((p, p))
-        for i, j in upper:
-            cov[i, j] = cov[j, i] = inside[f"m{i}_{j}"].sum() / n - centre[i] * centre[j]
+        centre = inside[[f"s{i}" for i in range(p)]].sum().to_numpy() / n
+        cov = symmetric((inside[[f"q{i}_{j}" for i, j in upper]].sum() / n).to_dict(), "q") - np.outer(centre, centre)
         # the core's spread understates that of the whole; the median distance shows by how much
         middle = math.exp((pdf.bin.to_numpy()[np.searchsorted(cum, 0.5 * cum[-1])] + 1) / 16)
-        grow = max(1.0, middle / median)
-        inverse = np.linalg.inv(cov * grow + floor)
-        return pd.DataFrame([(pdf.pool.iloc[0], centre, inverse.ravel(), 1.0)], columns=["pool", "centre", "precision", "shrink"])
+        logdet = float(np.linalg.slogdet(cov + floor)[1])
+        return estimates(pdf.pool.iloc[0], [(int(pdf.start.iloc[0]), (centre, cov * max(1.0, middle / median)), logdet)], floor)
+
+    def stepped(params: DataFrame) -> DataFrame:
+        sums = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i, j in upper)]
+        binned = rows.join(params, "pool").withColumn("bin", F.floor(F.log(distance(names) + 1e-6) * 16).cast("int"))
+        return cut(binned.groupBy("pool", "start", "bin").agg(*sums).groupBy("pool", "start").applyInPandas(concentrate, PARAMETERS), "mcd")
 
     quartiles = rows.groupBy("pool").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(x) for x in names))
-    params = cut(quartiles.mapInPandas(start, PARAMETERS), "mcd")
-    sums = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i, j in upper)]
+    placed = cut(quartiles.select("pool", *(F.element_at(x, 2).alias(f"m_{x}") for x in names), *(((F.element_at(x, 3) - F.element_at(x, 1)) / 1.349).alias(f"d_{x}") for x in names)), "mcd-quartiles")
+    # where the quartiles agree the ridge says what a step is
+    scaled = rows.join(placed, "pool").select("pool", *(((F.col(x) - F.col(f"m_{x}")) / F.greatest(F.col(f"d_{x}"), F.lit(r))).alias(f"z{i}") for i, (x, r) in enumerate(zip(names, ridge, strict=True))))
+    norm = F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0")), F.lit(1e-12))
+    moments = scaled.groupBy("pool").agg(F.count("*").alias("n"), *(F.sum(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in upper), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}") / norm).alias(f"u{i}_{j}") for i, j in upper))
+    params = cut(placed.join(moments, "pool").mapInPandas(begin, PARAMETERS), "mcd")
+    for _ in range(trial):
+        params = stepped(params)
+    best = params.groupBy("pool").agg(F.min_by(F.struct("start", "centre", "precision", "logdet"), F.struct("logdet", "start")).alias("best"))
+    params = best.select("pool", "best.*")
     for _ in range(steps):
-        binned = rows.join(params, "pool").withColumn("bin", F.floor(F.log(distance(names) + 1e-6) * 16).cast("int"))
-        params = cut(binned.groupBy("pool", "bin").agg(*sums).groupBy("pool").applyInPandas(concentrate, PARAMETERS), "mcd")
+        params = stepped(params)
     return params
 
 
