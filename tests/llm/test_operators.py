@@ -258,11 +258,44 @@ def test_pii(docs):
 
 
 def test_em_learns_reliability():
-    table = [("card", 1, 1, 1, 90), ("card", 1, 1, 2, 50), ("card", 0, 2, 0, 60), ("card", 0, 2, 2, 40), ("local", 1, 1, 1, 9), ("local", 1, 2, 0, 9)]
-    model = pii_weak.learn(table)
+    """Label model: the pattern labeler is reliable, a kind without support is not believed; the classifier tells features apart that no labeler sees."""
+    rows = [("card", 1, 1, 1, 2, 0, 1, 1, 90), ("card", 1, 1, 2, 2, 0, 1, 1, 50), ("card", 0, 2, 0, 2, 0, 3, 3, 60), ("card", 0, 2, 2, 2, 0, 3, 3, 40), ("local", 1, 1, 1, 1, 2, 1, 1, 9), ("local", 1, 2, 0, 1, 2, 2, 3, 9)]
+    model = pii_weak.learn(rows)
     assert model.chances["pattern"][1][1] > 0.8
-    logit = lambda kind, *marks: model.bias + model.weights["kind", kind] + sum(model.weights[n, v] for n, v in zip(pii_weak.LABELERS, marks, strict=True))
-    assert logit("local", 1, 1, 1) > 0 > logit("card", 0, 2, 0)
+    logit = lambda kind, *values: model.bias + model.weights["kind", kind, 0] + sum(model.weights.get((n, kind, v), 0.0) for n, v in zip(pii_weak.FEATURES, values, strict=True))
+    assert logit("card", 2, 0, 1, 1) > 0 > logit("card", 2, 0, 3, 3)
+    assert pii_weak.learn([]).share == {}
+
+
+def test_added_spans(spark):
+    """Further kinds: what context and tables speak for is added with the right offsets, what they speak against is not, and a base span is never overlapped."""
+    good = [f"é call me at 212-555-{1000 + k} now" for k in range(40)] + [f"my ssn {123 + k}-45-6789, thanks" for k in range(40)] + ["iban DE89370400440532013000."] * 10
+    bad = [f"order 111-111-{1000 + k} kg" for k in range(40)] + [f"part 000-45-{1000 + k}" for k in range(40)] + ["XX00ABCDEFGHIJKLMNOP"] * 10
+    both = ["+1 212-555-1234"]
+    docs = spark.createDataFrame(list(enumerate(good + bad + both)), "doc_id long, text string")
+    found = {r.doc_id: [(x.kind, x.start, x.end) for x in r.found] for r in pii_weak.find(docs).collect()}
+    assert found[0] == [("local", 13, 25)] and found[40] == [("ssn", 7, 18)] and found[80] == [("iban", 5, 27)]
+    assert sum(bool(found[i]) for i in range(len(good))) == len(good)
+    assert not any(found[len(good) + i] for i in range(len(bad)))
+    assert [k for k, _, _ in found[len(good) + len(bad)]] == ["phone"]
+
+
+def test_masking_against_brute_force(spark):
+    """Overlapping, touching and many spans, over texts longer than a piece, against slices of the text."""
+    rng, rows = random.Random(4), []
+    for doc in range(40):
+        text = "".join(rng.choices("ab é\n😀", k=rng.choice((30, 5000, 13_000))))
+        spans = sorted((b, min(len(text), b + rng.randrange(1, 40)), rng.choice(["email", "ip"])) for b in (rng.randrange(len(text)) for _ in range(rng.choice((0, 1, 5, 700)))))
+        rows.append((doc, text, spans))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, found array<struct<start:int,end:int,kind:string>>")
+    got = {r.doc_id: r.m for r in frame.select("doc_id", pii_weak.masked(F.col("text"), F.col("found")).alias("m")).collect()}
+    for doc, text, spans in rows:
+        at, out = 0, ""
+        for b, e, kind in spans:
+            if b >= at:
+                out += text[at:b] + f"<{kind.upper()}>"
+            at = max(at, e)
+        assert got[doc] == out + text[at:]
 
 
 def test_sentencepiece(docs):
