@@ -95,8 +95,8 @@ class Tree:
             shared = np.bitwise_and.reduceat(mask, begin) & ~(both ^ either)
             self.levels.append((both & shared, shared, owner[begin], begin, np.r_[begin[1:], len(owner)]))
 
-    def links(self, radius: int = RADIUS, chunk: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places whose fingerprints differ in at most radius bits, by descent from (root, root)."""
+    def links(self, radius: int = RADIUS, chunk: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places whose fingerprints differ in at most radius bits, by descent from (root, root); at most chunk * FAN * FAN pairs are held at once."""
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top][0]))
         work = [(top, roots[at : at + chunk], roots[at : at + chunk]) for at in range(0, len(roots), chunk)]
