@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import mixing, near_copies, pii_weak, quality_mcd, sentencepiece_offsets
 from threadloom.llm.common import cut
-from threadloom.llm.queries import model_path
+from threadloom.llm.queries import model_path, source_domains
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the mixture's weights, each as often as it was drawn."""
-    return mixing.draw(docs)
+    return mixing.draw(docs, source_domains(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
