@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 STAMP = r"\w{3},\s\w{3}\s\d{1,2},\s\d{4}\sat\s\d{1,2}:\d{2}\s(?:AM|PM)"
 ADDRESS = r"<([^>]+)>"
+LINK = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
 def trim_ws(s: Column) -> Column:
@@ -40,11 +41,23 @@ def address_set(s: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"), F.lit(0)), lambda x: F.lower(x))))
 
 
+# The forms of dates, with or without a weekday ahead, and what zones' names stand for.
+WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
+FORMS = ((WEEKDAY + r",\s+", "MMM d, yyyy 'at' h:mm a"), (WEEKDAY + r"\s+", "M/d/yyyy h:mm a"), (None, "M/d/yyyy h:mm a"), (None, "MMMM d, yyyy 'at' h:mm:ss a zzz"), (None, "MMMM d, yyyy 'at' h:mm a zzz"))
+ZONES = {"UTC": "+00:00", "GMT": "+00:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00", "AKST": "-09:00", "AKDT": "-08:00", "HST": "-10:00"}
+
+
 def parse_date(s: Column) -> Column:
-    """The first of the known forms that fits, else null; the weekday is not checked."""
-    bare = F.regexp_replace(trim_ws(s), r"^\w{3},\s", "")
-    forms = ("MMM d, yyyy 'at' h:mm a", "M/d/yyyy h:mm a", "MMMM d, yyyy 'at' h:mm:ss a", "MMMM d, yyyy 'at' h:mm a", "yyyy-MM-dd HH:mm:ss")
-    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in forms))
+    """The first of the known forms that fits, else null; a weekday has to be one, but is not compared with the date. A zone's name stands for its own offset all year."""
+    offsets = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
+
+    def read(bare: Column) -> Column:
+        day, numeric = F.regexp_replace(bare, WEEKDAY + r",?\s+", ""), F.concat(F.regexp_replace(bare, r"[A-Z]{3,4}$", ""), F.coalesce(F.try_element_at(offsets, F.regexp_extract(bare, r"\s([A-Z]{3,4})$", 1)), F.lit("?")))
+        made = [F.try_to_timestamp(numeric if form.endswith(" zzz") else day if ahead else bare, F.lit(form.replace("zzz", "XXX"))) for ahead, form in FORMS]
+        return F.coalesce(*(F.when(bare.rlike(ahead), x) if ahead else x for (ahead, _), x in zip(FORMS, made, strict=True)))
+
+    # an array of one, so that the text is trimmed once and the expression stays small
+    return F.element_at(F.transform(F.array(trim_ws(s)), read), 1)
 
 
 def dates_match(a: Column, b: Column) -> Column:
@@ -82,8 +95,62 @@ def snippet(s: Column) -> Column:
     return F.when(F.length(flat) > 90, F.concat(F.substring(flat, 1, 90), F.lit("…"))).otherwise(flat)
 
 
+def linkify(s: Column) -> Column:
+    """array<struct<text, start, link>>: a text's pieces in order, addresses with a mailto link; starts count from 0."""
+    s = F.coalesce(s, F.lit(""))
+    found, between = F.regexp_extract_all(s, F.lit(LINK), F.lit(0)), F.split(s, LINK, -1)
+    pieces = F.flatten(F.transform(between, lambda x, i: F.array(F.struct(x.alias("text"), F.lit(None).cast("string").alias("link")), F.struct(F.coalesce(F.try_element_at(found, i + 1), F.lit("")).alias("text"), F.concat(F.lit("mailto:"), F.try_element_at(found, i + 1)).alias("link")))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,link:string>>").alias("out"))
+    add = lambda a, x: F.struct((a["at"] + F.length(x["text"])).alias("at"), F.concat(a["out"], F.array(F.struct(x["text"].alias("text"), a["at"].alias("start"), x["link"].alias("link")))).alias("out"))
+    return F.aggregate(F.filter(pieces, lambda x: x["text"] != ""), start, add, lambda a: a["out"])
+
+
+def file_hash(content: Column) -> Column:
+    """SHA-256 of bytes or text, in lowercase hexadecimal."""
+    return F.sha2(content, 256)
+
+
+def cell_text(value: Column) -> Column:
+    """A table cell's value as text, null as empty."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def sampled(key: Column, n: int, seed: int = 0) -> Column:
+    """Whether a row is in a sample of one in n, by a hash of its key: the same rows each time."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)) == 0
+
+
+def output_name(address: Column, subject: Column, at: Column) -> Column:
+    """`address subject - yyyy.MM.dd HH_mm.pdf`, safe for file systems; "thread" for a missing address."""
+    stem = F.concat(sanitize(F.coalesce(address, F.lit("thread"))), F.lit(" "), sanitize(F.coalesce(subject, F.lit(""))), F.lit(" - "), F.date_format(at, "yyyy.MM.dd HH_mm"))
+    return safe_filename(stem)
+
+
+def collision_name(name: Column, place: Column) -> Column:
+    """The name of the place-th output of one name: ` (2)` to ` (999)` before the extension, beyond it six digits of a hash of name and place."""
+    stem, ext = F.regexp_extract(name, r"(?s)^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(?s)^(.*?)(\.[^.]*)?$", 2)
+    mark = F.when(place <= 999, F.format_string(" (%d)", place)).otherwise(F.concat(F.lit("-"), F.substring(F.sha2(F.concat_ws("/", name, place.cast("string")), 256), 1, 6)))
+    return F.when(place <= 1, name).otherwise(F.concat(stem, mark, ext))
+
+
 def short_date(s: Column) -> Column:
-    return F.coalesce(F.date_format(parse_date(s), "MMM d, yyyy"), s)
+    """A printed stamp as `MMM d · h:mm a`; anything else as it is."""
+    ahead, form = FORMS[0]
+    return F.coalesce(F.date_format(F.when(s.rlike(ahead), F.try_to_timestamp(F.regexp_replace(s, ahead, ""), F.lit(form))), "MMM d · h:mm a"), s)
+
+
+def short_name(s: Column) -> Column:
+    """The first name and the last one's initial; a single name as it is."""
+    parts = F.filter(F.split(s, " "), lambda x: x != "")
+    return F.when(F.size(parts) >= 2, F.concat(F.element_at(parts, 1), F.lit(" "), F.substring(F.element_at(parts, -1), 1, 1), F.lit("."))).otherwise(s)
+
+
+def short_recipients(s: Column) -> Column:
+    """The first of a comma-separated list, without its address, and how many more there are."""
+    parts = F.filter(F.split(trim_ws(s), ","), lambda x: x != "")
+    first = trim_ws(F.element_at(parts, 1))
+    name = F.when(first.contains("<"), trim_ws(F.regexp_replace(first, "(?s)<.*$", ""))).otherwise(first)
+    return F.when(F.size(parts) == 0, trim_ws(s)).when(F.size(parts) > 1, F.concat(name, F.lit(" +"), (F.size(parts) - 1).cast("string"))).otherwise(name)
 
 
 def roman(n: Column) -> Column:

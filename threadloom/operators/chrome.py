@@ -13,12 +13,15 @@ LINES = {
     "outlook": (r"^\d{1,2}/\d{1,2}/\d{2,4},? \d{1,2}:\d{2} [AP]M\s+Mail - .* - Outlook$", r"^https?://outlook\.(?:live|office)\.com/", r"^Outlook$", r"^\d+/\d+$"),
     "apple": (r"^Page \d+ of \d+$", r"^\d+ / \d+$", r"^[-—\s]*[-—][-—\s]*$"),
 }
-INLINE = (r"\d{1,2}/\d{1,2}/\d{2}, \d{1,2}:\d{2} [AP]M\s*", r"Gmail - .*?\s\d+\s", r"[A-Z][A-Za-z ]*; line \d+\s")
+INLINE = (r"\d{1,2}/\d{1,2}/\d{2},\s*\d{1,2}:\d{2}\s*(?:AM|PM)\s*", r"Gmail\s*-\s*[^\n]+?\s\d+\s", r"[A-Z][\w&;\s\-]+;\s*line\s+\d+\s")
+#: What a text with a match of the last pattern, which looks far ahead, has in any case.
+SUBJECT_END = r";\s*line\s+\d+\s"
 #: (format, points, pattern, length of the head searched or 0 for all).
 SIGNS = (
-    ("gmail", 3, r"mail\.google\.com", 0), ("outlook", 3, r"outlook\.(?:live|office)\.com", 0), ("protonMail", 3, r"mail\.proton\.me", 0), ("yahoo", 3, r"mail\.yahoo\.com", 0),
-    ("gmail", 2, "Gmail -", 400), ("outlook", 2, "Outlook", 400), ("yahoo", 2, "Yahoo Mail", 400), ("protonMail", 2, "Proton Mail", 400),
-    ("gmail", 1, r"\w{3}, \w{3} \d{1,2}, \d{4} at \d{1,2}:\d{2} [AP]M", 0), ("outlook", 1, r"\w{3} \d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M", 0), ("appleMail", 1, r"\w+ \d{1,2}, \d{4} at \d{1,2}:\d{2}(?::\d{2})? [AP]M", 0),
+    ("gmail", 3, r"mail\.google\.com", 0), ("outlook", 3, r"outlook\.(live|office)\.com", 0), ("protonMail", 3, r"mail\.proton\.me", 0), ("yahoo", 3, r"mail\.yahoo\.com", 0),
+    ("gmail", 2, r"\bGmail\s*[-–]\s*", 400), ("outlook", 2, r"\bOutlook\b", 400), ("yahoo", 2, r"Yahoo\s+Mail", 400), ("protonMail", 2, r"Proton\s*Mail", 400),
+    ("gmail", 1, r"\b\w{3},\s+\w{3}\s+\d{1,2},\s+\d{4}\s+at\s+\d{1,2}:\d{2}\s*(AM|PM)", 0), ("outlook", 1, r"\b\w{3}\s+\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}\s*(AM|PM)", 0),
+    ("appleMail", 1, r"\b\w+\s+\d{1,2},\s+\d{4}\s+at\s+\d{1,2}:\d{2}(:\d{2})?\s*(AM|PM)", 0),
 )
 
 
@@ -35,8 +38,10 @@ def drop_chrome(lines: DataFrame, form: str = "gmail") -> DataFrame:
 
 
 def strip_inline(text: Column) -> Column:
-    for pattern in INLINE:
+    """Without the fragments, then two spaces as one."""
+    for pattern in INLINE[:2]:
         text = F.regexp_replace(text, pattern, "")
+    text = F.when(text.rlike(SUBJECT_END), F.regexp_replace(text, INLINE[2], "")).otherwise(text)
     return F.replace(text, F.lit("  "), F.lit(" "))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import address_set, dates_match, norm_body, norm_email, norm_line, norm_name, norm_subject, parse_date, trim_ws
+from threadloom.operators.keeping import keep
 
 SEVERITY = ("ok", "warning", "error")
 
@@ -51,20 +52,36 @@ def similarity(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFr
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(doc_id, l_idx, r_idx): per document and address, in left order the first free right message within a minute or of equal date text."""
-    prepare = lambda d: d.select(F.col("doc_id").alias("doc_id"), norm_email(F.col("from_email")).alias("email"), F.col("idx").alias("idx"), F.lower(trim_ws(F.col("date_raw"))).alias("text"), F.unix_timestamp(parse_date(F.col("date_raw"))).cast("double").alias("at"))
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b, free, out = b.sort_values("idx"), set(b.index), []
-        for x in a.sort_values("idx").itertuples():
-            for y in b.itertuples():
-                if y.Index in free and (x.text == y.text or abs(x.at - y.at) <= 60):
-                    free.remove(y.Index)
-                    out.append((x.doc_id, x.idx, y.idx))
-                    break
+    """(doc_id, l_idx, r_idx): per document and address, in left order the first free right message within a minute or of equal date text.
+
+    Candidates are found by joins on the text and on minutes; only those that share a message with another candidate have to
+    be dealt out in order, sender by sender.
+    """
+
+    def side(d: DataFrame, n: str) -> DataFrame:
+        return d.select("doc_id", norm_email(F.col("from_email")).alias("email"), F.col("idx").alias(f"{n}_idx"), F.lower(trim_ws(F.col("date_raw"))).alias("text"), F.unix_timestamp(parse_date(F.col("date_raw"))).alias(f"{n}_at"))
+
+    a, b = side(left, "l"), side(right, "r")
+    minute = lambda d, n, reach: d.drop("text").withColumn("minute", F.explode(F.sequence(F.floor(F.col(f"{n}_at") / 60) - reach, F.floor(F.col(f"{n}_at") / 60) + reach)))
+    near = minute(a.filter("l_at is not null"), "l", 1).join(minute(b.filter("r_at is not null"), "r", 0), ["doc_id", "email", "minute"]).filter("abs(l_at - r_at) <= 60")
+    ids = ["doc_id", "email", "l_idx", "r_idx"]
+    candidates = a.join(b, ["doc_id", "email", "text"]).select(*ids).unionByName(near.select(*ids)).distinct()
+    times = lambda c: F.count("*").over(Window.partitionBy("doc_id", c))
+    counted = candidates.withColumns({"l_n": times("l_idx"), "r_n": times("r_idx")})
+    alone = (F.col("l_n") == 1) & (F.col("r_n") == 1)
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        done, taken, out = set(), set(), []
+        for doc, x, y in pdf.sort_values(["l_idx", "r_idx"])[["doc_id", "l_idx", "r_idx"]].itertuples(index=False):
+            if x not in done and y not in taken:
+                done.add(x)
+                taken.add(y)
+                out.append((doc, x, y))
         return pd.DataFrame(out, columns=["doc_id", "l_idx", "r_idx"])
 
-    return prepare(left).groupBy("doc_id", "email").cogroup(prepare(right).groupBy("doc_id", "email")).applyInPandas(match, "doc_id long, l_idx int, r_idx int")
+    kind = left.schema["doc_id"].dataType.simpleString()
+    dealt = counted.filter(~alone).select(*ids).groupBy("doc_id", "email").applyInPandas(deal, f"doc_id {kind}, l_idx int, r_idx int")
+    return counted.filter(alone).select("doc_id", "l_idx", "r_idx").unionByName(dealt)
 
 
 def sender_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -81,10 +98,12 @@ def position_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def pair_messages(left: DataFrame, right: DataFrame) -> DataFrame:
     """The three passes one after the other, each on what is left over; what the first two find is kept, as later ones read it again."""
+    need = ("doc_id", "idx", "from_email", "date_raw")
+    left, right = left.select(*need), right.select(*need)
     rest = lambda d, found, n: d.join(found.select("doc_id", F.col(n).alias("idx")), ["doc_id", "idx"], "left_anti")
-    first = greedy_pairs(left, right).persist()
+    first = keep(greedy_pairs(left, right))
     l1, r1 = rest(left, first, "l_idx"), rest(right, first, "r_idx")
-    second = sender_pairs(l1, r1).persist()
+    second = keep(sender_pairs(l1, r1))
     return first.unionByName(second).unionByName(position_pairs(rest(l1, second, "l_idx"), rest(r1, second, "r_idx")))
 
 
@@ -102,6 +121,20 @@ def message_diff(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFra
     )
 
 
+def in_pair_order(diffs: DataFrame) -> DataFrame:
+    """diffs with place: by the left message, of unpaired right ones by their own; equal numbers left first."""
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("l_idx", "r_idx"), F.col("l_idx").isNull(), "r_idx")
+    return diffs.withColumn("place", F.row_number().over(order))
+
+
+def date_range(messages: DataFrame, newest_first: bool = False) -> DataFrame:
+    """(doc_id, date_range): first and last date in the document's order with a dash between; a single message's date alone. Formats that print the newest first say the last first, behind an em dash, and an equal pair once."""
+    per = messages.groupBy("doc_id").agg(F.count("*").alias("n"), F.min_by("date_raw", "idx").alias("a"), F.max_by("date_raw", "idx").alias("b"))
+    both = F.concat("b", F.lit(" — "), "a") if newest_first else F.concat("a", F.lit(" – "), "b")
+    alone = (F.col("n") == 1) | (F.col("a") == F.col("b")) if newest_first else F.col("n") == 1
+    return per.select("doc_id", F.when(alone, F.col("a")).otherwise(both).alias("date_range"))
+
+
 def message_severity(similarity_col: Column) -> Column:
     """0 ok, 1 warning, 2 error."""
     c = F.col

@@ -1,4 +1,7 @@
-"""Positions on pages: clusters, gaps, nearest and band joins, interpolation. Keys are documents and pages; ranges are conditions."""
+"""Positions on pages: clusters, gaps, band joins, interpolation, boxes. Keys are documents, pages or whatever groups rows.
+
+Medians and bands are counted by value and by range, so that a key with very many rows is never gathered in one place.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upper_median(values: Column) -> Column:
-    """Of a collected array, the upper of the two middle values."""
-    ordered = F.array_sort(values)
-    return F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
+def upper_median(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, out): of each key's values the upper of the two middle ones; nulls do not count."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    return counted.withColumn("_c", upto).withColumn("_t", total).filter("_c > _t div 2").groupBy(*keys).agg(F.min("_v").alias(out))
 
 
 def dominant(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -32,23 +37,60 @@ def islands(df: DataFrame, keys: list[str], order: list[str], same: str) -> Data
     return df.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("fresh")
 
 
-def band_semi(lines: DataFrame, marks: DataFrame, key: str, condition: Column) -> DataFrame:
-    """Lines with a mark of the same key for which the condition holds."""
-    return lines.alias("l").join(marks.alias("m"), (F.col(f"l.{key}") == F.col(f"m.{key}")) & condition, "left_semi")
+def band_semi(lines: DataFrame, marks: DataFrame, key: str, value: str, band: float, own: str) -> DataFrame:
+    """Lines with a mark of the same key, another one than themselves by `own`, whose value is at most `band` away; null values have none.
+
+    Marks are counted by ranges of that width, so pairs never arise: a mark in the line's own range is near enough, and of
+    the two ranges beside it the nearest value decides. A mark of the line's own id has the line's own value.
+    """
+    at = lambda c: F.floor(c / band).cast("long")
+    some = marks.filter(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col(own).alias("_o"))
+    ranges = some.groupBy("_k", at(F.col("_v")).alias("_b")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    beside = F.explode(F.array(*(F.struct((F.col("_b") - k).alias("_r"), F.lit(k).alias("_side")) for k in (-1, 0, 1)))).alias("_e")
+    near = ranges.select("_k", "_n", "_lo", "_hi", beside).groupBy("_k", F.col("_e._r").alias("_r")).agg(
+        F.max(F.when(F.col("_e._side") == 0, F.col("_n"))).alias("_n"), F.max(F.when(F.col("_e._side") == -1, F.col("_hi"))).alias("_below"), F.max(F.when(F.col("_e._side") == 1, F.col("_lo"))).alias("_above")
+    )
+    ids = some.groupBy("_k", F.col("_o").alias("_i")).agg(F.count("*").alias("_mine"))
+    full = lines.join(near, (lines[key] == near["_k"]) & (at(lines[value]) == near["_r"]), "left").drop("_k").join(ids, (lines[key] == ids["_k"]) & (lines[own] == ids["_i"]), "left")
+    hit = (F.coalesce("_n", F.lit(0)) > F.coalesce("_mine", F.lit(0))) | (lines[value] - F.col("_below") <= band) | (F.col("_above") - lines[value] <= band)
+    return full.filter(hit).select(*(lines[c] for c in lines.columns))
 
 
 def interpolate(points: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
-    """points (key, x) with y between the anchors (key, x, y) around x; beyond an end the last segment's slope goes on."""
-    both = points.select(key, "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("asked")).unionByName(anchors.select(key, "x", "y", F.lit(0).alias("asked")))
-    order = Window.partitionBy(key).orderBy("x", "asked")
-    own = F.when(F.col("asked") == 0, F.struct("x", "y"))
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
-    lists = both.withColumns({"p": F.last(own, True).over(back), "n": F.first(own, True).over(ahead)})
-    ends = anchors.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("x", "y"))), 1, 2).alias("first"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("x", "y")))), 1, 2).alias("last"))
-    j = lists.filter("asked = 1").join(ends, key)
-    a = F.coalesce(F.when(F.col("n").isNull(), F.element_at("last", F.size("last"))), "p", F.element_at("first", 1))
-    b = F.when(F.col("p").isNull(), F.element_at("first", F.size("first"))).otherwise(F.coalesce("n", F.element_at("last", 1)))
-    return j.select(key, "x", a.alias("a"), b.alias("b")).select(key, "x", F.when(F.col("b.x") == F.col("a.x"), F.col("a.y")).otherwise(F.col("a.y") + (F.col("x") - F.col("a.x")) * (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("y"))
+    """points (key, x) with y between the anchors (key, x, y) around x; keys without anchors give nothing.
+
+    Beyond an end the slope of the last segment goes on, ahead of the first anchor down to 0 at most; a single anchor's y
+    holds everywhere; a segment counts as one wide at least. Every anchor carries its neighbours, so one window serves.
+    """
+    order = Window.partitionBy(key).orderBy("x", "y")
+    spot = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    known = anchors.select(key, "x", "y", F.struct(spot.alias("at"), F.lag(spot).over(order).alias("before"), F.lead(spot).over(order).alias("after")).alias("own"), F.lit(0).alias("asked")).drop("y")
+    both = points.select(key, "x", F.lit(None).cast(known.schema["own"].dataType).alias("own"), F.lit(1).alias("asked")).unionByName(known)
+    w = Window.partitionBy(key).orderBy("x", "asked")
+    p, n = F.last("own", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("own", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    j = both.withColumns({"p": p, "n": n}).filter("asked = 1 and (p is not null or n is not null)")
+    early, late = F.col("p").isNull() | (F.col("p.before").isNull() & (F.col("p.at.x") == F.col("x"))), F.col("n").isNull()
+    first = F.when(F.col("p").isNull(), F.col("n.at")).when(late, F.coalesce("p.before", "p.at")).otherwise(F.col("p.at"))
+    second = F.when(F.col("p").isNull(), F.coalesce("n.after", "n.at")).when(late, F.col("p.at")).otherwise(F.col("n.at"))
+    seg = j.select(key, "x", first.alias("a"), second.alias("b"), F.when(late & F.col("p").isNotNull(), F.col("p.at")).otherwise(first).alias("base"), early.alias("early"))
+    y = F.col("base.y") + (F.col("x") - F.col("base.x")) * (F.col("b.y") - F.col("a.y")) / F.greatest(F.lit(1.0), F.col("b.x") - F.col("a.x"))
+    return seg.select(key, "x", F.when(F.col("a.x") == F.col("b.x"), F.col("a.y")).when(F.col("early"), F.greatest(F.lit(0.0), y)).otherwise(y).alias("y"))
+
+
+def page_of(points: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """points (key, at) with page and inside, the height left on it: of pages (key, page, start, stop), as page_starts gives them, the one that holds the height; below the last page none."""
+    w = Window.partitionBy(key).orderBy("_h", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    marks = pages.select(key, F.col("start").alias("_h"), F.lit(0).alias("_p"), F.struct("page", "start", "stop").alias("own"), F.lit(None).cast("double").alias("at"))
+    both = points.select(key, F.col("at").cast("double").alias("_h"), F.lit(1).alias("_p"), F.lit(None).cast(marks.schema["own"].dataType).alias("own"), F.col("at").cast("double").alias("at")).unionByName(marks)
+    found = both.withColumn("own", F.last("own", True).over(w)).filter("_p = 1")
+    inside = F.col("at") < F.col("own.stop")
+    return found.select(key, "at", F.when(inside, F.col("own.page")).alias("page"), F.when(inside, F.col("at") - F.col("own.start")).alias("inside"))
+
+
+def box_union(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y, w, h): the least box around each key's boxes (keys, x, y, w, h)."""
+    edges = boxes.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
+    return edges.select(*keys, "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"))
 
 
 def page_starts(pages: DataFrame, key: str, order: str, height: str) -> DataFrame:

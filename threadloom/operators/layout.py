@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import roman
+from threadloom.operators.keeping import keep
 
 
 def merge_spans(cells: DataFrame) -> DataFrame:
@@ -33,62 +34,140 @@ def row_heights(cells: DataFrame) -> DataFrame:
     return cells.withColumn("row_height", F.max("height").over(Window.partitionBy("table_id", "row")))
 
 
-def page_split(rows: DataFrame, page_height: float, header: float = 0.0) -> DataFrame:
-    """(doc_id, seq, height) with page and y: rows fill pages in order; each page begins with a header; a row taller than a page is an error of page -1."""
+def grid_slice(cells: DataFrame, rows: tuple[int | None, int | None] = (None, None), cols: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """The cells of rows and columns from the first number to before the second; none is no limit."""
+    for name, (low, high) in (("row", rows), ("col", cols)):
+        cells = cells if low is None else cells.filter(F.col(name) >= low)
+        cells = cells if high is None else cells.filter(F.col(name) < high)
+    return cells
+
+
+def grid_sections(cells: DataFrame, headers: int = 1, footers: int = 0, header_cols: int = 0) -> DataFrame:
+    """cells (table_id, row, col) with section: header, footer, column_header or content."""
+    last = F.max("row").over(Window.partitionBy("table_id"))
+    section = F.when(F.col("row") < headers, "header").when(F.col("row") > last - footers, "footer").when(F.col("col") < header_cols, "column_header").otherwise("content")
+    return cells.withColumn("section", section)
+
+
+def page_split(rows: DataFrame, page_height: float, header: float = 0.0, slices: bool = False) -> DataFrame:
+    """(doc_id, seq, height) as (doc_id, seq, part, height, page, y, error): rows fill pages in order, and every page begins with a header.
+
+    A row fits if it ends above the page's end. One that does not is moved to the next page or, with `slices`, cut at the
+    end, its rest going on as further parts. Without slices a row that no page holds has the error "cell too big" and no
+    place. A header that leaves no room makes every row too big.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, page, y = None, 1, header
         for pdf in batches:
-            pages, ys = [], []
-            for d, h in zip(pdf.doc_id, pdf.height, strict=True):
+            out = []
+            for d, seq, h in zip(pdf.doc_id, pdf.seq, pdf.height, strict=True):
                 if d != doc:
                     doc, page, y = d, 1, header
-                if header + h > page_height:
-                    pages.append(-1)
-                    ys.append(0.0)
+                part, left = 0, h
+                if header + h >= page_height and not (slices and header < page_height):
+                    out.append((d, seq, part, h, None, None, "cell too big"))
                     continue
-                if y + h > page_height:
+                while slices and y + left >= page_height:
+                    if y < page_height:
+                        out.append((d, seq, part, page_height - y, page, y, None))
+                        part, left = part + 1, left - (page_height - y)
                     page, y = page + 1, header
-                pages.append(page)
-                ys.append(y)
-                y += h
-            yield pdf.assign(page=pages, y=ys)
+                if y + left >= page_height:
+                    page, y = page + 1, header
+                if left > 0 or part == 0:
+                    out.append((d, seq, part, left, page, y, None))
+                y += left
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "part", "height", "page", "y", "error"]).astype({"page": "Int32"})
 
     sized = rows.select("doc_id", F.col("seq").cast("int").alias("seq"), F.col("height").cast("double").alias("height"))
-    return sized.repartition("doc_id").sortWithinPartitions("doc_id", "seq", "height").mapInPandas(fill, "doc_id long, seq int, height double, page int, y double")
+    return sized.repartition("doc_id").sortWithinPartitions("doc_id", "seq", "height").mapInPandas(fill, f"doc_id {kind}, seq int, part int, height double, page int, y double, error string")
+
+
+def column_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> DataFrame:
+    """(doc_id, section, col, seq, height) as (doc_id, section, col, seq, page, y): columns of a section fill pages side by side, and a section begins on the page after the longest column of the one before."""
+    flow = rows.select(F.struct("doc_id", "section", "col").alias("doc_id"), "seq", "height")
+    key = flow.select(F.to_json("doc_id").alias("doc_id"), "seq", "height")
+    placed = page_split(key, page_height, header).withColumn("k", F.from_json("doc_id", flow.schema["doc_id"].dataType)).select("k.*", "seq", "page", "y")
+    pages = placed.groupBy("doc_id", "section").agg(F.coalesce(F.max("page"), F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(pages.withColumn("before", before), ["doc_id", "section"]).select("doc_id", "section", "col", "seq", (F.col("before") + F.col("page")).cast("int").alias("page"), "y")
+
+
+def text_pages(lines: DataFrame, chars: int, per_page: int) -> DataFrame:
+    """(doc_id, line_no, plain) as (doc_id, line_no, part, page, row, plain): lines broken after `chars` characters, rows numbered on pages of `per_page`; an empty line takes a row."""
+    text = F.coalesce("plain", F.lit(""))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / chars).cast("int") - 1, F.lit(0))), lambda k: F.substring(text, k * chars + 1, F.lit(chars)))
+    each = lines.select("doc_id", "line_no", F.posexplode(parts).alias("part", "plain"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "part")) - 1
+    return each.withColumn("n", n).select("doc_id", "line_no", "part", F.expr(f"int(n div {per_page}) + 1").alias("page"), (F.col("n") % per_page + 1).cast("int").alias("row"), "plain")
 
 
-def toc_tree(headings: DataFrame, levels: int = 6) -> DataFrame:
-    """(doc_id, pos, level, title) with parent: the last earlier heading of a smaller level, null at the top."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    per = [F.max(F.when(F.col("level") == k, F.col("pos"))).over(w) for k in range(levels)]
-    above = F.greatest(F.lit(None).cast("int"), F.lit(None).cast("int"))
-    for k in range(levels):
-        above = F.when(F.col("level") > k, F.greatest(above, per[k])).otherwise(above)
-    return headings.withColumn("parent", above)
+#: The containers of a page by region.
+REGIONS = {"header": ("headerLeft", "headerCenter", "headerRight"), "content": ("contentLeft", "contentCenter", "contentRight"), "footer": ("footerLeft", "footerCenter", "footerRight")}
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed and without lineage: in the checkpoint folder if there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+def with_region(objects: DataFrame) -> DataFrame:
+    """objects (container) with region: header, content or footer; null for containers of another name."""
+    region = F.lit(None).cast("string")
+    for name, containers in REGIONS.items():
+        region = F.when(F.col("container").isin(*containers), name).otherwise(region)
+    return objects.withColumn("region", region)
+
+
+def page_objects(objects: DataFrame, pages: DataFrame) -> DataFrame:
+    """Content objects (doc_id, page, container, ...) and, on each page (doc_id, page), the document's header and footer objects, which have no page of their own."""
+    placed = with_region(objects)
+    own = placed.filter("region = 'content'")
+    repeated = placed.filter("region in ('header', 'footer')").drop("page").join(pages.select("doc_id", "page").distinct(), "doc_id")
+    return own.unionByName(repeated.select(own.columns))
+
+
+def toc_tree(headings: DataFrame) -> DataFrame:
+    """(doc_id, pos, level) with parent: the pos of the last earlier heading of a smaller level, null at the top. Levels may be any numbers.
+
+    A task streams its documents in order and holds the headings that are open, one a level at most.
+    """
+    number = headings.schema["pos"].dataType.simpleString()
+    kind = headings.schema["doc_id"].dataType.simpleString()
+
+    def nest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, opened = None, []
+        for pdf in batches:
+            parents = []
+            for d, pos, level in zip(pdf.doc_id, pdf.pos, pdf.level, strict=True):
+                if d != doc:
+                    doc, opened = d, []
+                while opened and opened[-1][0] >= level:
+                    opened.pop()
+                parents.append(opened[-1][1] if opened else None)
+                opened.append((level, pos))
+            yield pdf.assign(parent=pd.Series(parents, dtype="Int64"))
+
+    kept = headings.select("doc_id", "pos", F.col("level").cast("int").alias("level"))
+    return kept.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInPandas(nest, f"doc_id {kind}, pos {number}, level int, parent {number}")
 
 
 def list_flatten(items: DataFrame) -> DataFrame:
     """(list_id, item_id, parent_id, ord, content) as (list_id, item_id, level, number, content), however deep; items without content do not add depth."""
-    numbered = settled(items.withColumn("number", F.row_number().over(Window.partitionBy("list_id", "parent_id").orderBy("ord"))))
-    level = settled(numbered.filter("parent_id is null").withColumn("level", F.when(F.col("content") == "", 0).otherwise(1)))
+    numbered = keep(items.withColumn("number", F.row_number().over(Window.partitionBy("list_id", "parent_id").orderBy("ord"))))
+    level = keep(numbered.filter("parent_id is null").withColumn("level", F.when(F.col("content") == "", 0).otherwise(1)))
     out = level
     while not level.isEmpty():
         above = level.select(F.col("list_id"), F.col("item_id").alias("parent_id"), F.col("level").alias("up"))
-        level = settled(numbered.join(above, ["list_id", "parent_id"]).withColumn("level", F.col("up") + F.when(F.col("content") == "", 0).otherwise(1)).select(*numbered.columns, "level"))
+        level = keep(numbered.join(above, ["list_id", "parent_id"]).withColumn("level", F.col("up") + F.when(F.col("content") == "", 0).otherwise(1)).select(*numbered.columns, "level"))
         out = out.unionByName(level)
     return out.filter("content <> ''").select("list_id", "item_id", "level", "number", "content")
 
 
-def page_labels(pages: DataFrame, first: int = 1, style: str = "default", hidden: tuple[int, ...] = ()) -> DataFrame:
-    """(doc_id, page) with total and label, for pages from `first` that are not hidden."""
+def page_labels(pages: DataFrame, first: int = 1, style: str | Callable[[Column, Column], Column] = "default", hidden: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, page) with total and label, for pages from `first` that are not hidden; style is default, roman, or a function of page and total."""
     full = pages.withColumn("total", F.count("*").over(Window.partitionBy("doc_id")).cast("int"))
-    label = F.concat_ws(" / ", roman(F.col("page")), roman(F.col("total"))) if style == "roman" else F.format_string("%d / %d", "page", "total")
+    if callable(style):
+        label = style(F.col("page"), F.col("total"))
+    else:
+        label = F.concat_ws(" / ", roman(F.col("page")), roman(F.col("total"))) if style == "roman" else F.format_string("%d / %d", "page", "total")
     return full.filter((F.col("page") >= first) & ~F.col("page").isin(*hidden) if hidden else F.col("page") >= first).withColumn("label", label)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import trim_ws
@@ -36,12 +36,30 @@ def reconcile(parts: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.min_by("payload.subject", "chunk").alias("subject"), F.flatten(F.transform(ordered, lambda x: x["m"])).alias("messages"))
 
 
-def journal(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """One JSON line per row: doc_id, format, severity and the first 1024 characters of the source, with its hash."""
-    entry = F.to_json(F.struct("doc_id", "format", "severity", F.sha2(raw, 256).alias("source_sha256"), F.substring(raw, 1, 1024).alias("raw_text_excerpt_first_1k")))
+def journal(rows: DataFrame, raw: str = "raw", at: Column | None = None) -> DataFrame:
+    """One JSON line per row of (doc_id, format, severity, diff, raw): time, hash of the source, format, severity, diff and the source's first 1024 characters. `diff` may be any column; without one it is left out."""
+    stamp = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    diff = [F.col("diff")] if "diff" in rows.columns else []
+    entry = F.to_json(F.struct("doc_id", stamp.alias("ts"), F.sha2(raw, 256).alias("source_sha256"), "format", "severity", *diff, F.substring(raw, 1, 1024).alias("raw_text_excerpt_first_1k")))
     return rows.select(entry.alias("value"))
 
 
+def append_journal(entries: DataFrame, folder: str) -> None:
+    entries.write.mode("append").text(folder)
+
+
+def clear_journal(spark: SparkSession, folder: str) -> None:
+    """An empty journal."""
+    spark.createDataFrame([], "value string").write.mode("overwrite").text(folder)
+
+
+def answer_log(answers: DataFrame, at: Column | None = None) -> DataFrame:
+    """One JSON line per answer (attempt, raw, response), keys in alphabetical order: lengths, the first 500 characters of the input and 8000 of the output."""
+    stamp = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entry = F.struct("attempt", F.length("raw").alias("input_chars"), F.substring("raw", 1, 500).alias("input_excerpt"), F.substring("response", 1, 8000).alias("output"), F.length("response").alias("output_chars"), stamp.alias("ts"))
+    return answers.select(F.to_json(entry).alias("value"))
+
+
 def align(body: str, source: str) -> list[int]:
     """For each character of body the place in source that it comes from, or -1: a longest common subsequence, or greedily beyond CELLS."""
     n, m = len(body), len(source)

@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as t
-from threadloom.operators import blocks, chrome, diffing, geometry, layout, payload, segment, stacked
-from threadloom.sources.mail import MAIL_SQL, mail_lines, read, stacked_lines, text_lines
-
-Query = Callable[[SparkSession, str], DataFrame]
-FOUND: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as a query, with its SQL."""
-
-    def add(f: Query) -> Query:
-        FOUND[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def mail(s: SparkSession, d: str) -> DataFrame:
-    return mail_lines(read(s, d, "conversations"))
-
-
-def doc_lines(s: SparkSession, d: str) -> DataFrame:
-    return text_lines(read(s, d, "documents"), "doc_id", "text")
+from threadloom.operators import chrome, diffing, geometry, layout, payload, segment, stacked
+from threadloom.operators.keeping import keep
+from threadloom.plans.common import NUMBERED, mail, nation_grid, numbered
+from threadloom.plans.registry import FOUND, Query, query
+from threadloom.sources.mail import MAIL_SQL, read, stacked_lines
 
 
 HEADER = r"""regexp_matches(plain, '\s\w{3},\s\w{3}\s\d{1,2},\s\d{4}\sat\s\d{1,2}:\d{2}\s(AM|PM)\s*$') AND regexp_matches(plain, '^.+?\s+<[^>]+>')"""
@@ -93,13 +73,18 @@ def chrome_lines(s: SparkSession, d: str) -> DataFrame:
     return chrome.drop_chrome(mail(s, d))
 
 
-@query(r"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\d{1,2}/\d{1,2}/\d{2}, \d{1,2}:\d{2} [AP]M\s*', '', 'g'), 'Gmail - .*?\s\d+\s', '', 'g'), '[A-Z][A-Za-z ]*; line \d+\s', '', 'g'), '  ', ' ') AS text FROM documents""")
+#: What printing puts between a text's lines, with spaces as they come.
+BAND = " 4/30/26,  3:48 AM  on; line\nGmail -  Re: a (b) 12 next Project Falcon & Co-op 2;  line 4060 end Xy; Zw; line 7 "
+
+
+@query(r"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(t, '\d{1,2}/\d{1,2}/\d{2},\s*\d{1,2}:\d{2}\s*(AM|PM)\s*', '', 'g'), 'Gmail\s*-\s*[^\n]+?\s\d+\s', '', 'g'), '[A-Z][\w&;\s\-]+;\s*line\s+\d+\s', '', 'g'), '  ', ' ') AS text
+FROM (SELECT doc_id, coalesce(text, '') || E'""" + BAND.replace("\n", "\\n") + """' AS t FROM documents)""")
 def inline_chrome(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", chrome.strip_inline(F.coalesce("text", F.lit(""))).alias("text"))
+    return read(s, d, "documents").select("doc_id", chrome.strip_inline(F.concat(F.coalesce("text", F.lit("")), F.lit(BAND))).alias("text"))
 
 
 @query(f"""WITH {MAIL_SQL}, docs AS (SELECT doc_id, string_agg(plain, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY doc_id),
-p AS (SELECT doc_id, CASE WHEN contains(text, 'mail.google.com') THEN 3 ELSE 0 END + CASE WHEN contains(left(text, 400), 'Gmail -') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '\\w{{3}}, \\w{{3}} \\d{{1,2}}, \\d{{4}} at \\d{{1,2}}:\\d{{2}} [AP]M') THEN 1 ELSE 0 END AS g, CASE WHEN regexp_matches(text, '\\w+ \\d{{1,2}}, \\d{{4}} at \\d{{1,2}}:\\d{{2}}(:\\d{{2}})? [AP]M') THEN 1 ELSE 0 END AS a FROM docs)
+p AS (SELECT doc_id, CASE WHEN contains(text, 'mail.google.com') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(left(text, 400), '\\bGmail\\s*[-–]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '\\b\\w{{3}},\\s+\\w{{3}}\\s+\\d{{1,2}},\\s+\\d{{4}}\\s+at\\s+\\d{{1,2}}:\\d{{2}}\\s*(AM|PM)') THEN 1 ELSE 0 END AS g, CASE WHEN regexp_matches(text, '\\b\\w+\\s+\\d{{1,2}},\\s+\\d{{4}}\\s+at\\s+\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?\\s*(AM|PM)') THEN 1 ELSE 0 END AS a FROM docs)
 SELECT doc_id, CASE WHEN g > a THEN 'gmail' WHEN a > g THEN 'appleMail' ELSE 'unknown' END AS format, greatest(g, a)::INT AS score FROM p""")
 def detect_format(s: SparkSession, d: str) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "plain"))), lambda x: x["plain"]), "\n")
@@ -119,10 +104,10 @@ def normalize_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def other_parse(found: DataFrame) -> DataFrame:
-    """A second parse to compare with: some messages lost, some dates a minute or more off, some names and bodies changed."""
+    """A second parse to compare with: some messages lost, some dates a minute off, some names changed, bodies lost and recipients swapped."""
     c = F.col
-    late = F.date_format(t.parse_date(c("date_raw")) + F.expr("make_interval(0,0,0,0,0,1,0)") * (c("idx") % 3), "EEE, MMM d, yyyy 'at' h:mm a")
-    return found.filter("(doc_id * 7 + idx) % 11 <> 0").withColumns({"date_raw": late, "from_name": F.when(c("idx") % 7 == 3, F.lit("Other")).otherwise(c("from_name")), "body": F.when(c("idx") % 5 == 4, F.concat(F.lit("changed "), "body")).otherwise(c("body"))})
+    late = F.date_format(t.parse_date(c("date_raw")) + F.expr("make_interval(0,0,0,0,0,1,0)") * (c("idx") % 2), "EEE, MMM d, yyyy 'at' h:mm a")
+    return found.filter("(doc_id * 7 + idx) % 11 <> 0").withColumns({"date_raw": late, "from_name": F.when(c("idx") % 7 == 3, F.lit("Other")).otherwise(c("from_name")), "body": F.when(c("idx") % 5 == 4, F.lit("")).otherwise(c("body")), "to": F.when(c("idx") % 6 == 5, F.lit("Else <else@example.com>")).otherwise(c("to"))})
 
 
 LEFT_RIGHT = BLOCKS + FIELDS + ", l AS (SELECT doc_id, idx, from_email FROM fields), r AS (SELECT doc_id, idx, from_email FROM fields WHERE (doc_id * 7 + idx) % 11 <> 0)"
@@ -142,21 +127,36 @@ def pair_position_full_outer(s: SparkSession, d: str) -> DataFrame:
     return diffing.position_pairs(found, found.filter("(doc_id * 7 + idx) % 11 <> 0"))
 
 
-@query()
+#: Both parses' messages and their pairs: at most one message of a sender lies within a minute of another parse's, so the first pass pairs all that both have, and what is left has no partner.
+DIFFS = BLOCKS + FIELDS + BODY + r""", r AS (SELECT doc_id, idx, string_agg(value, ' ' ORDER BY pos) FILTER (label = 'To') AS t, string_agg(value, ' ' ORDER BY pos) FILTER (label = 'Cc') AS cc FROM hrows GROUP BY doc_id, idx), bt AS (SELECT doc_id, idx, string_agg(plain, chr(10) ORDER BY pos) AS body FROM body GROUP BY doc_id, idx),
+m AS (SELECT f.*, coalesce(t, '') AS t, coalesce(cc, '') AS cc, coalesce(body, '') AS body, strptime(regexp_replace(date_raw, '^\w{3},\s', ''), '%b %-d, %Y at %-I:%M %p') AS stamp FROM fields f LEFT JOIN r USING (doc_id, idx) LEFT JOIN bt USING (doc_id, idx)),
+o AS (SELECT doc_id, idx, from_email, CASE WHEN idx % 7 = 3 THEN 'Other' ELSE from_name END AS from_name, stamp + to_minutes((idx % 2)::INT) AS stamp, CASE WHEN idx % 6 = 5 THEN 'Else <else@example.com>' ELSE t END AS t, cc, CASE WHEN idx % 5 = 4 THEN '' ELSE body END AS body FROM m WHERE (doc_id * 7 + idx) % 11 <> 0),
+n AS (SELECT m.doc_id, m.idx AS l_idx, o.idx AS r_idx, o.idx IS NOT NULL AS paired, m.from_name AS ln, o.from_name AS rn, m.t AS lt, o.t AS rt, trim(regexp_replace(lower(m.body), '[\s\p{Z}•·*-]+', ' ', 'g')) AS lb, trim(regexp_replace(lower(o.body), '[\s\p{Z}•·*-]+', ' ', 'g')) AS rb
+FROM m LEFT JOIN o ON m.doc_id = o.doc_id AND m.from_email = o.from_email AND abs(epoch(m.stamp) - epoch(o.stamp)) <= 60),
+d AS (SELECT doc_id, l_idx, r_idx, paired, paired AND ln = rn AS from_matches, paired AS date_matches, paired AND list_sort(list_distinct(regexp_extract_all(lower(lt), '[a-z0-9._%+-]+@[a-z0-9.-]+'))) = list_sort(list_distinct(regexp_extract_all(lower(rt), '[a-z0-9._%+-]+@[a-z0-9.-]+'))) AS to_matches, paired AS cc_matches, paired AND lb = rb AS body_equal,
+CASE WHEN coalesce(rb, '') = lb AND length(lb) <> 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS similarity FROM n),
+diffs AS (SELECT *, (CASE WHEN NOT paired OR NOT from_matches OR similarity < 0.85 THEN 2 WHEN NOT date_matches OR NOT to_matches OR similarity < 0.95 THEN 1 ELSE 0 END)::INT AS rank FROM d)"""
+
+
+@query(DIFFS + " SELECT * FROM diffs")
 def message_diff(s: SparkSession, d: str) -> DataFrame:
-    return diffs_of(segment.messages(mail(s, d)).persist())
+    return diffs_of(keep(segment.messages(mail(s, d))))
 
 
 def diffs_of(left: DataFrame) -> DataFrame:
     """The parse, kept because three passes of pairing read it, against a second one."""
-    right = other_parse(left).persist()
+    right = other_parse(left)
     diff = diffing.similarity(diffing.message_diff(left, right, diffing.pair_messages(left, right)), "l_body", "r_body")
     return diff.withColumn("rank", diffing.message_severity(F.col("similarity"))).drop("l_body", "r_body")
 
 
-@query()
+@query(DIFFS + """, g AS (SELECT doc_id, count(*)::INT AS l_count, count(*) FILTER (paired)::INT AS r_count, max(rank) AS rank, count(*) FILTER (rank > 0) AS differing FROM diffs GROUP BY doc_id),
+f AS (SELECT doc_id, arg_min(body, idx) AS ls FROM m GROUP BY doc_id), e AS (SELECT doc_id, arg_min(body, idx) AS rs FROM o GROUP BY doc_id),
+j AS (SELECT g.*, r_count - l_count AS delta, regexp_replace(trim(lower(ls)), '[ ]+', ' ', 'g') <> regexp_replace(trim(lower(rs)), '[ ]+', ' ', 'g') AS mismatch FROM g JOIN f USING (doc_id) JOIN e USING (doc_id))
+SELECT doc_id, delta::INT AS message_count_delta, mismatch AS subject_mismatch, ['ok', 'warning', 'error'][greatest(rank, CASE WHEN delta <> 0 THEN 2 ELSE 0 END, CASE WHEN mismatch THEN 1 ELSE 0 END) + 1] AS severity,
+coalesce(nullif(concat_ws('; ', CASE WHEN delta <> 0 THEN 'count delta ' || delta END, CASE WHEN mismatch THEN 'subject differs' END, CASE WHEN differing > 0 THEN differing || ' messages differ' END), ''), 'identical') AS human_summary FROM j""")
 def thread_diff(s: SparkSession, d: str) -> DataFrame:
-    left = segment.messages(mail(s, d)).persist()
+    left = keep(segment.messages(mail(s, d)))
     counts = lambda m, p: m.groupBy("doc_id").agg(F.count("*").alias(f"{p}_count"), F.concat(F.lit("Re: "), F.min_by("body", "idx")).alias(f"{p}_subject"))
     sides = counts(left, "l").join(counts(other_parse(left), "r"), "doc_id")
     return diffing.thread_diff(diffs_of(left), sides)
@@ -170,11 +170,12 @@ def body_similarity(s: SparkSession, d: str) -> DataFrame:
     return diffing.similarity(docs.join(before, "doc_id", "left"), "a", "b").select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {MAIL_SQL}, k AS (SELECT *, replace(lower(trim(plain)), '  ', ' ') AS key FROM lines WHERE trim(plain) <> ''), a AS (SELECT * FROM k WHERE line_no % 6 <> 0), b AS (SELECT * FROM k WHERE line_no % 7 <> 0)
-SELECT doc_id, 'missing' AS side, line_no, plain FROM a ANTI JOIN b USING (doc_id, key) UNION ALL SELECT doc_id, 'added', line_no, plain FROM b ANTI JOIN a USING (doc_id, key)""")
+@query(f"""WITH {MAIL_SQL}, k AS (SELECT *, replace(lower(trim(plain)), '  ', ' ') AS key FROM lines WHERE trim(plain) <> ''), e AS (SELECT doc_id, line_no, plain || CASE WHEN line_no % 6 = 0 THEN ' +' ELSE '' END AS plain FROM lines), b AS (SELECT *, replace(lower(trim(plain)), '  ', ' ') AS key FROM e WHERE trim(plain) <> '')
+SELECT doc_id, 'missing' AS side, line_no, plain FROM k ANTI JOIN b USING (doc_id, key) UNION ALL SELECT doc_id, 'added', line_no, plain FROM b ANTI JOIN k USING (doc_id, key)""")
 def line_set_diff(s: SparkSession, d: str) -> DataFrame:
+    """Every line against the same lines, some of which are changed."""
     lines = mail(s, d)
-    return diffing.line_diff(lines.filter("line_no % 6 <> 0"), lines.filter("line_no % 7 <> 0"))
+    return diffing.line_diff(lines, lines.withColumn("plain", F.when(F.col("line_no") % 6 == 0, F.concat("plain", F.lit(" +"))).otherwise(F.col("plain"))))
 
 
 @query(BLOCKS + FIELDS + BODY + r""", r AS (SELECT doc_id, idx, string_agg(value, ' ' ORDER BY pos) FILTER (label = 'To') AS t FROM hrows GROUP BY doc_id, idx), bt AS (SELECT doc_id, idx, string_agg(plain, chr(10) ORDER BY pos) AS body FROM body GROUP BY doc_id, idx),
@@ -190,56 +191,13 @@ def integrity_report(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(BLOCKS + FIELDS + BODY + r""", bt AS (SELECT doc_id, idx, trim(regexp_replace(string_agg(plain, chr(10) ORDER BY pos), '\s+', ' ', 'g')) AS flat FROM body GROUP BY doc_id, idx), j AS (SELECT f.*, coalesce(flat, '') AS flat, (count(*) OVER (PARTITION BY doc_id))::INT AS total FROM fields f LEFT JOIN bt USING (doc_id, idx))
-SELECT doc_id, idx, from_name AS sender, strftime(strptime(regexp_replace(date_raw, '^\w{3},\s', ''), '%b %-d, %Y at %-I:%M %p'), '%b %-d, %Y') AS day, CASE WHEN length(flat) > 90 THEN left(flat, 90) || '…' ELSE flat END AS snippet, array_to_string([CASE WHEN i = idx THEN '[' || i || ']' ELSE i::VARCHAR END FOR i IN range(1, total + 1)], ' · ') AS nav FROM j""")
+SELECT doc_id, idx, from_name AS sender, strftime(strptime(regexp_replace(date_raw, '^\w{3},\s', ''), '%b %-d, %Y at %-I:%M %p'), '%b %-d · %-I:%M %p') AS day, CASE WHEN length(flat) > 90 THEN left(flat, 90) || '…' ELSE flat END AS snippet, array_to_string([CASE WHEN i = idx THEN '[' || i || ']' ELSE i::VARCHAR END FOR i IN range(1, total + 1)], ' · ') AS nav FROM j""")
 def index_of_communications(s: SparkSession, d: str) -> DataFrame:
     total = F.count("*").over(Window.partitionBy("doc_id")).cast("int")
     found = segment.messages(mail(s, d)).withColumn("total", total)
     return found.select("doc_id", "idx", F.col("from_name").alias("sender"), t.short_date(F.col("date_raw")).alias("day"), t.snippet(F.col("body")).alias("snippet"), t.nav_strip(F.col("idx"), F.col("total")).alias("nav"))
 
 
-@query(r"""WITH n AS (SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(c_name || ': a/b  "' || c_mktsegment || '"?', '[\\/:*?"<>|]', '_', 'g'), '_+', '_', 'g'), ' +', ' ', 'g')) AS stem FROM customer)
-SELECT c_custkey, stem || '.pdf' AS name, (row_number() OVER (PARTITION BY stem ORDER BY c_custkey))::INT AS copy FROM n""")
-def output_names(s: SparkSession, d: str) -> DataFrame:
-    stem = F.concat("c_name", F.lit(': a/b  "'), "c_mktsegment", F.lit('"?'))
-    named = read(s, d, "customer").select("c_custkey", t.safe_filename(stem).alias("name"))
-    return named.withColumn("copy", F.row_number().over(Window.partitionBy("name").orderBy("c_custkey")))
-
-
-LINES_SQL = "WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents), lines AS (SELECT doc_id, unnest(xs) AS plain, generate_subscripts(xs, 1)::INT AS line_no FROM x)"
-EXT = blocks.EXTENSIONS
-
-
-@query(LINES_SQL + rf""" SELECT doc_id, line_no, CASE WHEN trim(plain) = '' THEN 'blank' WHEN regexp_matches(trim(plain), '(?i)^\d+ attachments?$') THEN 'attachment_count' WHEN regexp_matches(trim(plain), '(?i)^\S.*\.({EXT})$') THEN 'file' WHEN regexp_matches(trim(plain), '(?i)^\d+(\.\d+)?\s?[KMG]B?$') THEN 'size' WHEN regexp_matches(trim(plain), '^\d{{1,3}}[.)]\s+') THEN 'ordered' WHEN regexp_matches(trim(plain), '^[•·*-]\s+') THEN 'unordered' ELSE 'text' END AS cls FROM lines""")
-def classify_body_lines(s: SparkSession, d: str) -> DataFrame:
-    return doc_lines(s, d).select("doc_id", "line_no", blocks.line_class(F.col("plain")).alias("cls"))
-
-
-@query(LINES_SQL + r""", p AS (SELECT doc_id, line_no, trim(plain) AS h, trim(lag(plain) OVER (PARTITION BY doc_id ORDER BY line_no)) AS v FROM lines)
-SELECT doc_id, line_no, CASE WHEN v IS NULL OR v = '' OR h = '' THEN false WHEN regexp_matches(v, '\b(Mr|Mrs|Ms|Dr|St|vs|etc)\.$') THEN false WHEN length(v) <= 50 AND regexp_matches(v, '[,:]$') THEN true WHEN regexp_matches(v, '[);]$') AND regexp_matches(h, '^[A-Z]') THEN true WHEN length(h) <= 50 AND regexp_matches(h, '^(Best|Thanks|Regards|Sincerely|Cheers)\b') THEN true ELSE length(v) <= 30 AND regexp_matches(v, '[.!?]$') AND regexp_matches(h, '^[A-Z]') END AS brk FROM p""")
-def paragraph_breaks(s: SparkSession, d: str) -> DataFrame:
-    return blocks.paragraph_break(doc_lines(s, d)).select("doc_id", "line_no", "brk")
-
-
-@query(LINES_SQL + " SELECT doc_id, count(*) AS n_lines, round(count(*) FILTER (length(plain) <= 45) / count(*), 6) AS short_ratio, count(*) >= 3 AND count(*) FILTER (length(plain) <= 45) * 100 >= count(*) * 60 AS preformatted FROM lines WHERE trim(plain) <> '' GROUP BY doc_id")
-def preformatted(s: SparkSession, d: str) -> DataFrame:
-    return blocks.preformatted(doc_lines(s, d))
-
-
-@query()
-def body_blocks(s: SparkSession, d: str) -> DataFrame:
-    return blocks.body_blocks(doc_lines(s, d))
-
-
-@query()
-def chunk_pack(s: SparkSession, d: str) -> DataFrame:
-    return blocks.chunk_pack(doc_lines(s, d), 1024)
-
-
-@query(r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS links FROM documents")
-def linkify(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)).alias("links"))
-
-
 @query("""WITH f AS (SELECT user_id, event_id, event_type, ts, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 i AS (SELECT *, (sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::INT AS island FROM f) SELECT user_id, island, event_type, count(*) AS n, min(event_id) AS first_id FROM i GROUP BY ALL""")
 def coalesce_runs(s: SparkSession, d: str) -> DataFrame:
@@ -254,41 +212,12 @@ def cluster_by_gap(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("""WITH c AS (SELECT p_brand, round(p_retailprice / 100) AS v, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT p_brand, arg_max(v, (n, -v)) AS mode FROM c GROUP BY p_brand), u AS (SELECT p_brand, list_sort(list(p_size)) AS xs FROM part GROUP BY p_brand)
-SELECT p_brand, mode, xs[len(xs) // 2 + 1] AS median_size FROM m JOIN u USING (p_brand)""")
-def dominant_size(s: SparkSession, d: str) -> DataFrame:
-    part = read(s, d, "part").withColumn("price", F.col("p_retailprice") / 100)
-    return geometry.dominant(part, ["p_brand"], "price").join(part.groupBy("p_brand").agg(geometry.upper_median(F.collect_list("p_size")).alias("median_size")), "p_brand").select("p_brand", "mode", "median_size")
-
-
 @query("SELECT l_orderkey, l_linenumber, greatest(0, l_quantity - min(l_quantity) OVER (PARTITION BY l_orderkey)) AS indent FROM lineitem")
 def indent_normalize(s: SparkSession, d: str) -> DataFrame:
     low = F.min("l_quantity").over(Window.partitionBy("l_orderkey"))
     return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(F.lit(0.0), F.col("l_quantity") - low).alias("indent"))
 
 
-@query("SELECT l.event_id FROM events l SEMI JOIN (SELECT * FROM events WHERE event_id % 3 = 0) m ON l.user_id = m.user_id AND abs(l.value - m.value) <= 0.5 AND l.event_id <> m.event_id")
-def band_semi_join(s: SparkSession, d: str) -> DataFrame:
-    e = read(s, d, "events")
-    near = (F.abs(F.col("l.value") - F.col("m.value")) <= 0.5) & (F.col("l.event_id") != F.col("m.event_id"))
-    return geometry.band_semi(e, e.filter("event_id % 3 = 0"), "user_id", near).select("event_id")
-
-
-@query("""WITH a AS (SELECT user_id, event_id::DOUBLE AS x, value AS y FROM events WHERE event_id % 4 = 0), p AS (SELECT user_id, event_id::DOUBLE AS x FROM events WHERE event_id % 4 <> 0 AND user_id IN (SELECT user_id FROM a)),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM a), q AS (SELECT p.user_id, p.x, (SELECT count(*) FROM a WHERE a.user_id = p.user_id AND a.x <= p.x) AS c FROM p),
-z AS (SELECT q.*, n.n, least(greatest(c, 1), greatest(n.n - 1, 1)) AS k FROM q JOIN (SELECT user_id, count(*) AS n FROM a GROUP BY user_id) n USING (user_id))
-SELECT z.user_id, z.x, round(CASE WHEN b.x IS NULL THEN a.y ELSE a.y + (z.x - a.x) * (b.y - a.y) / (b.x - a.x) END + 0.0000003, 4) AS y FROM z JOIN r a ON a.user_id = z.user_id AND a.k = z.k LEFT JOIN r b ON b.user_id = z.user_id AND b.k = z.k + 1""")
-def anchor_interpolate(s: SparkSession, d: str) -> DataFrame:
-    e = read(s, d, "events").select("user_id", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
-    return geometry.interpolate(e.filter("x % 4 <> 0"), e.filter("x % 4 = 0"), "user_id").withColumn("y", F.round(F.col("y") + 0.0000003, 4))
-
-
-@query("SELECT o_custkey, o_orderkey, round(coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS start, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS stop FROM orders")
-def page_lookup(s: SparkSession, d: str) -> DataFrame:
-    found = geometry.page_starts(read(s, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
-    return found.select("o_custkey", "o_orderkey", F.round("start", 2).alias("start"), F.round("stop", 2).alias("stop"))
-
-
 @query("SELECT conv_id AS doc_id, turn, CASE WHEN turn % 4 = 1 THEN 'no JSON object found' WHEN turn % 4 = 2 THEN 'decode: messages' END AS error, CASE WHEN turn % 4 NOT IN (1, 2) THEN role || '@x.io' END AS email FROM conversations")
 def payload_json(s: SparkSession, d: str) -> DataFrame:
     one = F.struct(F.col("role").alias("from_name"), F.concat("role", F.lit("@x.io")).alias("from_email"), F.lit("d").alias("date"), F.lit("t").alias("to"), F.coalesce("text", F.lit("")).alias("body"))
@@ -298,20 +227,6 @@ def payload_json(s: SparkSession, d: str) -> DataFrame:
     return decoded.select("doc_id", "turn", "error", F.element_at("payload.messages", 1)["from_email"].alias("email"))
 
 
-@query()
-def style_replay(s: SparkSession, d: str) -> DataFrame:
-    docs = read(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("source"))
-    return payload.style_replay(docs.withColumn("body", F.regexp_replace("source", "[aeiou]", "")), "body", "source").select("doc_id", F.round("aligned", 6).alias("aligned"))
-
-
-@query()
-def journal_rows(s: SparkSession, d: str) -> DataFrame:
-    lines = mail(s, d)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "plain"))), lambda x: x["plain"]), "\n")
-    found = lines.groupBy("doc_id").agg(text.alias("raw")).join(integrity_report(s, d).select("doc_id", "severity"), "doc_id")
-    return payload.journal(found.filter("severity <> 'ok'").withColumn("format", F.lit("gmail")))
-
-
 @query("""WITH c AS (SELECT n_regionkey AS table_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS k, left(n_name, 1) AS cell_id FROM nation), g AS (SELECT table_id, k // 2 AS row, k % 2 AS col, cell_id FROM c)
 SELECT table_id, count(*) AS n_rows, (min(n) = max(n)) AS regular FROM (SELECT table_id, row, count(*) AS n FROM g GROUP BY ALL) GROUP BY table_id""")
 def grid_validate(s: SparkSession, d: str) -> DataFrame:
@@ -319,45 +234,12 @@ def grid_validate(s: SparkSession, d: str) -> DataFrame:
     return layout.validate_grid(grid).join(grid.select("table_id", "row").distinct().groupBy("table_id").agg(F.count("*").alias("n_rows")), "table_id").select("table_id", "n_rows", (F.col("error") == "ok").alias("regular"))
 
 
-def nation_grid(s: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
-    cells = read(s, d, "nation").select(F.col("n_regionkey").alias("table_id"), k.alias("k"), F.substring("n_name", 1, 1).alias("cell_id"))
-    return cells.select("table_id", F.expr("int(k div 2)").alias("row"), (F.col("k") % 2).alias("col"), "cell_id")
-
-
-@query()
-def grid_spans(s: SparkSession, d: str) -> DataFrame:
-    return layout.merge_spans(nation_grid(s, d))
-
-
-#: Line items with places that do not repeat within an order.
-NUMBERED = "(SELECT l_orderkey, l_partkey, l_quantity, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))::INT AS l_linenumber FROM lineitem)"
-
-
-def numbered(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return read(s, d, "lineitem").withColumn("l_linenumber", F.row_number().over(w))
-
-
 @query("SELECT l_orderkey AS table_id, l_linenumber AS col, round(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(l_quantity) OVER (PARTITION BY l_orderkey) * 500, 6) AS x, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) * 500, 6) AS w FROM " + NUMBERED)
 def grid_layout(s: SparkSession, d: str) -> DataFrame:
     cols = numbered(s, d).select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("col"), F.col("l_quantity").alias("share"))
     return layout.column_offsets(cols, 500.0).select("table_id", "col", F.round("x", 6).alias("x"), F.round("w", 6).alias("w"))
 
 
-@query()
-def page_split(s: SparkSession, d: str) -> DataFrame:
-    rows = numbered(s, d).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").alias("height"))
-    return layout.page_split(rows, 100.0, 10.0)
-
-
-@query("""WITH h AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, (l_partkey % 4)::INT AS level FROM """ + NUMBERED + """)
-SELECT a.doc_id, a.pos, a.level, max(b.pos) AS parent FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.pos < a.pos AND b.level < a.level GROUP BY ALL""")
-def toc_tree(s: SparkSession, d: str) -> DataFrame:
-    heads = numbered(s, d).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 4).cast("int").alias("level"))
-    return layout.toc_tree(heads, 4)
-
-
 @query("""WITH RECURSIVE i AS (SELECT p_brand AS list_id, p_partkey AS item_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS k, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS content FROM part), t AS (SELECT i.*, (SELECT j.item_id FROM i j WHERE j.list_id = i.list_id AND j.k = i.k // 4) AS parent_id FROM i),
 n AS (SELECT *, (row_number() OVER (PARTITION BY list_id, parent_id ORDER BY k))::INT AS number FROM t),
 r AS (SELECT list_id, item_id, number, content, CASE WHEN content = '' THEN 0 ELSE 1 END AS level FROM n WHERE parent_id IS NULL UNION ALL SELECT n.list_id, n.item_id, n.number, n.content, r.level + CASE WHEN n.content = '' THEN 0 ELSE 1 END FROM n JOIN r ON n.list_id = r.list_id AND n.parent_id = r.item_id)
@@ -436,6 +318,9 @@ def link_dominance(s: SparkSession, d: str) -> DataFrame:
     return geometry.undominated(boxes, ["doc_id"], ["msg"]).drop("y", "h")
 
 
+from threadloom.plans import bodies, pages, reports  # noqa: E402, F401  (they register queries of their own)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in FOUND.items()}
 
