@@ -106,10 +106,13 @@ def joined(parts: Column) -> Column:
 PIECES = pa.list_(pa.list_(pa.struct({"text": pa.string(), "run": pa.int32()})))
 
 
-def pieces_of(body: str, parts: list[str], styles: list[int]) -> list[list[dict]]:
-    """For each line of a body its stretches of one style: text, and a run of the source that has the style, or -1 where the source lacks the character."""
-    owner = np.append(np.repeat(np.asarray(styles, np.int64), [len(x) for x in parts]), -1)
-    which = owner[np.asarray(align(body, "".join(parts)), np.int64)] if body else np.zeros(0, np.int64)
+def pieces_of(body: str, source: list[dict]) -> list[list[dict]]:
+    """For each line of a body its stretches of one style: text, and the first run of the source that has the style, or -1 where the source lacks the character."""
+    first: dict[tuple, int] = {}
+    texts = [r["text"] or "" for r in source]
+    styles = [first.setdefault(tuple(r[k] or None for k in STYLE), i) for i, r in enumerate(source)]
+    owner = np.append(np.repeat(np.asarray(styles, np.int64), [len(x) for x in texts]), -1)
+    which = owner[np.asarray(align(body, "".join(texts)), np.int64)] if body else np.zeros(0, np.int64)
     lines, at = [], 0
     for line in body.split("\n"):
         own = which[at : at + len(line)]
@@ -120,16 +123,14 @@ def pieces_of(body: str, parts: list[str], styles: list[int]) -> list[list[dict]
 
 
 def replayed(df: DataFrame, body: str, runs: str, keys: list[str]) -> DataFrame:
-    """(keys, line, runs): the body's lines, from 1, with the styles of the source's characters they come from; a character that the source lacks has no style."""
-    found = df.select(*keys, F.coalesce(body, F.lit("")).alias("_b"), of(F.col(runs)).alias("_r"))
-    first = F.transform("_r", lambda r: F.array_position(F.transform("_r", lambda x: same_style(x, r)), True).cast("int") - 1)
-    given = found.select("*", F.transform("_r", lambda r: F.coalesce(r["text"], F.lit(""))).alias("_t"), first.alias("_f"))
+    """(keys, line, runs): the body's lines, from 1, with the styles of the source's characters they come from; a character that the source lacks has no style. Only equal font sizes are one style here."""
+    given = df.select(*keys, F.coalesce(body, F.lit("")).alias("_b"), of(F.col(runs)).alias("_r"))
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 part = whole.slice(at, 64)
-                made = [pieces_of(*row) for row in zip(*(c.to_pylist() for c in (part.column(k) for k in ("_b", "_t", "_f"))), strict=True)]
+                made = [pieces_of(*row) for row in zip(part.column("_b").to_pylist(), part.column("_r").to_pylist(), strict=True)]
                 yield pa.record_batch([*(part.column(k) for k in (*keys, "_r")), pa.array(made, PIECES)], names=[*keys, "_r", "_p"])
 
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), f"_r array<{RUN}>", "_p array<array<struct<text:string,run:int>>>"])
