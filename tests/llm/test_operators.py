@@ -181,6 +181,48 @@ def test_split_nodes_keep_links(spark):
     assert simhash_gray.upper_nodes(distinct, 0).groupBy("m", "pattern").count().count() > simhash_gray.upper_nodes(distinct).groupBy("m", "pattern").count().count()
 
 
+@pytest.mark.parametrize(("radius", "blocks"), [(3, 6), (4, 6), (4, 7)])
+def test_wider_radius_keeps_links(spark, radius, blocks):
+    """Whatever the masks, with and without splitting: the components of all pairs within the radius."""
+    rng, values = random.Random(radius * 10 + blocks), set()
+    for _ in range(40):
+        at = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 7)):
+            values.add(simhash_gray.signed(at))
+            for b in rng.sample(range(64), rng.randrange(1, radius + 3)):
+                at ^= 1 << b
+    values = sorted(values)
+    root = {v: v for v in values}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius:
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long")
+    for split in (0,) if blocks == 7 else (simhash_gray.SPLIT,):
+        found = {r.node: r.root for r in simhash_gray.star_components(simhash_gray.link_edges(distinct, split, radius, blocks)).collect()}
+        assert {v: found.get(v, v) for v in values} == {v: top(v) for v in values}
+
+
+def test_masks_cover_the_bits():
+    """Every mask leaves `radius` blocks out, so any `radius` bits are outside of one; more fingerprints have masks of more bits."""
+    assert simhash_gray.masks() == [(0xFFFF << 16 * i) | (0xFFFF << 16 * j) for i in range(4) for j in range(i + 1, 4)]
+    for radius in (1, 2, 3, 4):
+        for count in (0, 10, 10**5, 10**9, 10**12):
+            found = simhash_gray.masks(radius, simhash_gray.blocks_for(count, radius))
+            rng = random.Random(count)
+            for _ in range(50):
+                differing = sum(1 << b for b in rng.sample(range(64), radius))
+                assert any(not m & differing for m in found)
+    assert simhash_gray.blocks_for(10**5, 2) == 4 and simhash_gray.blocks_for(10**5, 4) <= simhash_gray.blocks_for(10**9, 4)
+
+
 def test_gray_tree():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
@@ -501,10 +543,10 @@ def test_pipeline_against_brute_force(spark):
         inside = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
         assert not (r.doc_id in kept and (len(w) < 50 or 100 * len(inside) > 50 * len(w)))
 
-    fps = {r.doc_id: simhash_gray.fingerprint(r.text.encode()) for r in dedup[0]}
+    fps = {r.doc_id: simhash_gray.fingerprint(r.text.encode(), corpus_pipeline.WORDS) for r in dedup[0]}
     group = {i: i for i in fps}
     for i in sorted(fps):
-        near = {group[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 2}
+        near = {group[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.RADIUS}
         group = {j: min(near) if g in near else g for j, g in group.items()}
     assert {r.doc_id for r in dedup[1]} == set(group.values()) and set(dedup[1]) <= set(dedup[0])
 
@@ -515,7 +557,8 @@ def test_pipeline_against_brute_force(spark):
     assert all(masked[r.doc_id].text.count("<EMAIL>") <= len(email.findall(r.text)) for r in pii[0])
 
     copies = Counter(r.doc_id for r in mixture[1])
-    drawn = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(mixture[0], "doc_id long, text string, lang string, source string, n_chars long")).collect() if r.copies}
+    given = spark.createDataFrame(mixture[0], "doc_id long, text string, lang string, source string, n_chars long")
+    drawn = {r.doc_id: r.copies for r in mixing.mix(given, queries.source_domains(given)).collect() if r.copies}
     assert copies == drawn and all(masked[r.doc_id] == r for r in mixture[1])
 
     library = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())

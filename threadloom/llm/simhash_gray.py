@@ -1,8 +1,10 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Fingerprints (64 bits, majority of the XXH64 hashes of three-word shingles) are grouped by value first. The upper nodes of
-the index are bit patterns under six masks of 32 bits, two of four 16-bit blocks each: fingerprints that differ in at most
-two bits agree on two whole blocks, so every link lies inside an upper node. Inside a node the fingerprints are sorted by
+Fingerprints (64 bits, majority of the XXH64 hashes of word shingles) are grouped by value first. The upper nodes of the
+index are bit patterns under masks of whole blocks: of b blocks fingerprints that differ in at most r bits agree on b - r,
+so every link lies inside an upper node. With three-word shingles and a radius of 2, the operator's own settings, these are
+six masks of two of four 16-bit blocks. For other radii b is the least number whose masks have as many bits as it takes to
+count the fingerprints, so that nodes stay small while the table grows; it decides how links are found, never which. Inside a node the fingerprints are sorted by
 Gray rank, and runs of FAN of them form the next nodes up to one root; a node keeps the pattern of the bits that all its
 fingerprints share. Two nodes are compared by the shared bits in which they differ: this count only grows on the way down,
 and once it exceeds the radius both groups are pruned as a whole. Each task passes on a spanning forest of the links it
@@ -10,8 +12,8 @@ finds, never all pairs, and components are joined by star contraction on the edg
 
 At most 2,080 fingerprints lie within two bits of another, so links grow in proportion to distinct fingerprints however
 large a group of near copies is; exact copies of a fingerprint count once. An upper node of more than SPLIT fingerprints is
-dealt out again under its wider masks: of the 32 bits left to it, in four parts of 8, fingerprints within the radius agree
-on two, so six masks of 48 bits find the same links, and no such node has more than the 65,536 values of its other 16 bits.
+dealt out again under its wider masks: of the bits left to it, in r + 2 parts, fingerprints within the radius agree on two,
+so these masks find the same links; at a radius of 2 no such node has more than the 65,536 values of its other 16 bits.
 A task handles whole upper nodes in blocks of BLOCK rows.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and are linked like any other; equal
@@ -34,18 +36,37 @@ from .common import cut, keep_marked, row_key, text_of
 from .components import star_components
 
 RADIUS, FAN, BLOCK, SPLIT = 2, 8, 400_000, 65_536
-#: Of the four 16-bit blocks, those of each mask.
-PARTS = [0xFFFF << 16 * k for k in range(4)]
-MASKS = [a | b for a, b in combinations(PARTS, 2)]
-#: For each mask its six wider ones, each with two of the four 8-bit parts of the other bits.
-WIDER = {m: [m | a | b for a, b in combinations([x for x in (0xFF << 8 * k for k in range(8)) if not x & m], 2)] for m in MASKS}
+WORDS = 3
 
 
-def fingerprint(raw: bytes) -> int:
+def parts(bits: list[int], n: int) -> list[int]:
+    """The bits in n parts of nearly equal size, as masks."""
+    ends = [len(bits) * k // n for k in range(n + 1)]
+    return [sum(1 << b for b in bits[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def masks(radius: int = RADIUS, blocks: int | None = None) -> list[int]:
+    """Masks of all but `radius` of the blocks, of which there are twice as many as the radius unless it is said otherwise."""
+    blocks = 2 * radius if blocks is None else blocks
+    return [sum(x) for x in combinations(parts(list(range(64)), blocks), blocks - radius)]
+
+
+def wider(mask: int, radius: int = RADIUS) -> list[int]:
+    """The mask with two of the radius + 2 parts of its other bits."""
+    return [mask | a | b for a, b in combinations(parts([b for b in range(64) if not mask >> b & 1], radius + 2), 2)]
+
+
+def blocks_for(count: int, radius: int) -> int:
+    """The least number of blocks whose masks have enough bits to count so many fingerprints; twice the radius at least where that is 2."""
+    least = 2 * radius if radius <= 2 else radius + 2
+    return next((b for b in range(least, 2 * radius + 3) if 64 * (b - radius) // b >= max(1, count).bit_length()), 2 * radius + 2)
+
+
+def fingerprint(raw: bytes, n: int = WORDS) -> int:
     words = raw.lower().split()
     if not words:
         return 0
-    shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [b" ".join(words)]
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
     hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64)
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
@@ -54,14 +75,14 @@ def fingerprint(raw: bytes) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, row_key, fp): fp has the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 part = whole.slice(at, 512)
-                fps = np.array([fingerprint(x.as_py()) for x in part.column(2)], np.uint64).view(np.int64)
+                fps = np.array([fingerprint(x.as_py(), words) for x in part.column(2)], np.uint64).view(np.int64)
                 yield pa.record_batch([*part.columns[:2], pa.array(fps)], names=["doc_id", "row_key", "fp"])
 
     return df.select(*row_key(id_col, text_col), text_of(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, row_key long, fp long")
@@ -134,7 +155,7 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def edges_of(part: pa.Table) -> pa.RecordBatch:
+def edges_of(part: pa.Table, radius: int = RADIUS) -> pa.RecordBatch:
     m, pattern = part["m"].to_numpy(), part["pattern"].to_numpy()
     fps = part["fp"].to_numpy()
     node = np.cumsum(np.r_[0, (m[1:] != m[:-1]) | (pattern[1:] != pattern[:-1])])
@@ -143,7 +164,7 @@ def edges_of(part: pa.Table) -> pa.RecordBatch:
     fps, node = fps[several & ~again], node[several & ~again]
     if not len(fps):
         return pa.record_batch([pa.array([], pa.int64())] * 2, names=["u", "v"])
-    root = forest(len(fps), Tree(node, fps.view(np.uint64)).links())
+    root = forest(len(fps), Tree(node, fps.view(np.uint64)).links(radius))
     other = root != np.arange(len(fps))
     return pa.record_batch([pa.array(fps[other]), pa.array(fps[root[other]])], names=["u", "v"])
 
@@ -152,23 +173,26 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def upper_nodes(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
+def upper_nodes(distinct: DataFrame, split: int = SPLIT, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(m, pattern, fp): every fingerprint under each mask, those of nodes above `split` under the wider masks instead."""
+    first = masks(radius, blocks)
 
-    def under(masks: list[int]) -> Column:
-        return F.array(*(F.struct(F.lit(signed(m)).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("pattern")) for m in masks))
+    def under(wanted: list[int]) -> Column:
+        return F.array(*(F.struct(F.lit(signed(m)).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("pattern")) for m in wanted))
 
-    nodes = distinct.select("fp", F.inline(under(MASKS)))
+    nodes = distinct.select("fp", F.inline(under(first)))
     large = cut(nodes.groupBy("m", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("m", "pattern", F.lit(True).alias("large")), "simhash-large")
+    if large.isEmpty():
+        return nodes.select("m", "pattern", "fp")
     marked = nodes.join(large, ["m", "pattern"], "left")
-    finer = F.lit(None)
-    for m, wider in WIDER.items():
-        finer = F.when(F.col("m") == signed(m), under(wider)).otherwise(finer)
-    own = F.array(F.struct("m", "pattern"))
-    return marked.select("fp", F.when(F.col("large"), finer).otherwise(own).alias("nodes")).select("fp", F.inline("nodes")).select("m", "pattern", "fp")
+    small = marked.filter("large is null").select("m", "pattern", "fp")
+    # a few rows a mask, whatever the table's size
+    finer = distinct.sparkSession.createDataFrame([(signed(m), signed(w)) for m in first for w in wider(m, radius)], "m long, w long")
+    again = marked.filter("large").select("m", "fp").join(F.broadcast(finer), "m")
+    return small.unionByName(again.select(F.col("w").alias("m"), F.col("fp").bitwiseAND(F.col("w")).alias("pattern"), "fp"))
 
 
-def link_edges(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
+def link_edges(distinct: DataFrame, split: int = SPLIT, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(u, v): a spanning forest, per upper node, of the links between the distinct fingerprints in column fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,21 +204,21 @@ def link_edges(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
                 m, pattern = rest["m"].to_numpy(), rest["pattern"].to_numpy()
                 changes = np.flatnonzero((m[1:] != m[:-1]) | (pattern[1:] != pattern[:-1]))
                 if len(changes):
-                    yield edges_of(rest.slice(0, changes[-1] + 1))
+                    yield edges_of(rest.slice(0, changes[-1] + 1), radius)
                     rest = rest.slice(changes[-1] + 1).combine_chunks()
         if rest:
-            yield edges_of(rest)
+            yield edges_of(rest, radius)
 
-    nodes = upper_nodes(distinct, split).withColumn("rank", gray_rank(F.col("fp")))
+    nodes = upper_nodes(distinct, split, radius, blocks).withColumn("rank", gray_rank(F.col("fp")))
     return nodes.repartition("m", "pattern").sortWithinPartitions("m", "pattern", "rank").drop("rank").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, row_key, fingerprint, component_id, keep (true for the row, or equal rows, that stand for the component)."""
-    rows = cut(fingerprints(df, id_col, text_col), "simhash")
+    rows = cut(fingerprints(df, id_col, text_col, words), "simhash")
     one = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")
     distinct = cut(rows.groupBy("fp").agg(F.min(one).alias("first")), "simhash-distinct")
-    roots = star_components(link_edges(distinct.select("fp"), split))
+    roots = star_components(link_edges(distinct.select("fp"), split, radius, blocks_for(distinct.count(), radius)))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("best"))
     classes = placed.join(firsts, "root").select("fp", "best")
@@ -202,6 +226,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(classes, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), keep.alias("keep"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of df, all columns, that stand for their components: one of each, the one of smallest id."""
-    return keep_marked(df, near_duplicates(df, id_col, text_col), id_col, text_col)
+    return keep_marked(df, near_duplicates(df, id_col, text_col, words=words, radius=radius), id_col, text_col)
