@@ -9,19 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import mixing, near_copies, pii_weak, quality_mcd, sentencepiece_offsets
+from threadloom.llm import mixing, pii_weak, quality_mcd, sentencepiece_offsets, simhash_gray
 from threadloom.llm.common import cut
 from threadloom.llm.queries import model_path, source_domains
 
 
+#: Near copies: words of a shingle, and bits by which fingerprints may differ.
+WORDS, RADIUS = 5, 4
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and are no outliers of their language and source."""
     return quality_mcd.keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more), that of smallest id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies, that of smallest id: five-word shingles, fingerprints that differ in at most RADIUS bits."""
+    return simhash_gray.keep_one(docs, words=WORDS, radius=RADIUS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
