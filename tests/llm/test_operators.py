@@ -366,6 +366,40 @@ def test_normaliser_equals_library():
             assert len(source) == len(norm) + 1
 
 
+def test_spans_through_a_character_map():
+    """The installed model with a compiled character map, squeezed white space and symbols of its own: ids equal the library's, and every piece's span holds what it came from."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(queries.model_path(), "rb") as f:
+        proto = pb.ModelProto.FromString(f.read())
+    spec = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).normalizer_spec
+    proto.normalizer_spec.precompiled_charsmap, proto.normalizer_spec.name = spec.precompiled_charsmap, "nmt_nfkc"
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    for place, symbol in ((-1, "ＡＢ"), (-2, "①x")):
+        proto.pieces[place].piece, proto.pieces[place].type = symbol, pb.ModelProto.SentencePiece.USER_DEFINED
+    model = proto.SerializeToString()
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_offsets.Encoder(model)
+    rng = random.Random(9)
+    texts = ["ＡＢＣ and ＡＢ①x①②", "  the　ﬁrst\t㍿  word ", "ｶﾞ", "", " ", "the"] + ["".join(rng.choices("aeth ＡＢ①x²ﬁé　\t\n😀", k=rng.randrange(60))) for _ in range(150)]
+    for text, (ids, spans) in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text), text
+        raw = text.encode()
+        assert all(0 <= a <= b <= len(raw) for a, b in spans) and all(x[1] <= y[1] and x[0] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+        for piece, (a, b) in zip(library.encode(text, out_type=str), spans, strict=True):
+            if piece in ("ＡＢ", "①x"):
+                assert raw[a:b].decode() == piece
+    (ids, spans), raw = own.encode(["ﬁrst　ｔｈｅ"])[0], "ﬁrst　ｔｈｅ".encode()
+    assert "".join(library.id_to_piece(ids.tolist())) == "▁first▁the" and {raw[a:b].decode() for a, b in spans} >= {"　ｔｈｅ"}
+
+
+def test_kept_index(spark, docs):
+    """A scan with postings kept before equals one that writes its own."""
+    index = secret_scan.cut(secret_scan.postings(docs, secret_scan.wanted()), "kept-index")
+    fix = lambda frame: sorted(str(tuple(r)) for r in secret_scan.report(frame).collect())
+    assert fix(secret_scan.scan(docs, index=index)) == fix(secret_scan.scan(docs))
+
+
 def test_warc(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
     own = spark.createDataFrame([(9001, None, None), (9002, "u v", ""), (9003, "x", "same"), (9004, "y", "same"), (None, "z", "same")], "page_id long, url string, html string")
@@ -566,3 +600,18 @@ def test_pipeline_against_brute_force(spark):
     assert Counter((r.doc_id, tuple(r.ids)) for r in tokens[1]) == ids
     assert all(r.decoded == library.decode(list(r.ids)) for r in tokens[1])
     assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect()) == ids
+
+
+def test_stages_on_awkward_rows(spark, docs):
+    """Nulls, empty and long texts, repeated rows, null ids and clashing columns go through every stage; an empty table as well."""
+    import corpus_pipeline
+
+    for given in (docs, docs.filter(F.lit(False))):
+        some, columns = given, given.columns
+        for name, stage in corpus_pipeline.STAGES:
+            before = some.count()
+            some = corpus_pipeline.cut(stage(spark, some, DATA), f"awkward-{name}")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert some.columns == columns, name
+            assert some.count() <= 2 * before
+        assert (some.count() > 0) == (given is docs)

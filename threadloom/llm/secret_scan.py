@@ -3,10 +3,12 @@
 Each rule's regular expression gives a Boolean query over trigrams (see trigrams). `postings` is the inverted index over
 the trigrams that rules name: one row for each trigram and document that holds it, letters in lower case. `candidates`
 intersects postings: per document, the rules whose queries hold. Only candidates are matched against the expression; rules
-whose query is empty, such as runs of hexadecimal digits, scan every text.
+whose query is empty, such as runs of hexadecimal digits, scan every text. The index is a table: `scan` writes it to the
+shared folder, or takes one that was kept (`postings(...)` of the same table and at least the same trigrams, written once).
 
 Base rules keep their leftmost non-overlapping matches per kind and drop those that fail their test; the further rules
-add spans of their own kinds. Offsets count code points, the end is exclusive.
+add spans of their own kinds, which may lie inside or across base spans; base spans stay as they are. Offsets count code
+points, the end is exclusive.
 
 Defined results: null text counts as empty; texts without secrets have counts of zero and empty lists; equal rows give
 equal rows, null ids stay; an empty table gives an empty table. Columns other than the two named are not read.
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, same_row, text_of
+from .common import cut, row_key, same_row, text_of
 from .native_spans import listed, none, ordered, spans_if
 from .trigrams import query, trigrams
 
@@ -86,15 +88,20 @@ def tested(found: Column, rule: Rule) -> Column:
     return F.filter(found, lambda x: F.length(F.regexp_replace(x["value"], "^[A-Za-z_]+[\"']?\\x20*[:=]\\x20*[\"']?", "")) >= 12)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """Per document: doc_id, row_key, found: array of (start, end, kind, value) by start, then in the order of the rules."""
+def wanted(rules: tuple[Rule, ...] = BASE + MORE) -> set[str]:
+    """The trigrams that the rules' queries name."""
+    return set().union(*(trigrams(query(r.pattern)) for r in rules))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE, index: DataFrame | None = None) -> DataFrame:
+    """Per document: doc_id, row_key, found: array of (start, end, kind, value) by start, then in the order of the rules. `index` is the table's kept postings."""
     kinds = [r.kind for r in rules]
     indexed = tuple(r for r in rules if query(r.pattern) is not True)
     full = tuple(r for r in rules if query(r.pattern) is True)
     docs = df.select(*row_key(id_col, text_col), text_of(text_col).alias("t"))
     wide = F.concat(*(tested(spans_if(F.lit(True) if r.kind != "hex" else F.col("t").rlike(r.pattern), F.col("t"), r.pattern, r.kind), r) for r in full)) if full else none()
     scanned = docs.select("doc_id", "row_key", wide.alias("wide"))
-    index = postings(df, set().union(*(trigrams(query(r.pattern)) for r in indexed)), id_col, text_col)
+    index = cut(postings(df, wanted(indexed), id_col, text_col), "trigrams") if index is None else index
     hits = candidates(index, indexed)
     checked = docs.join(hits, same_row(docs, hits)).select(docs["doc_id"], docs["row_key"], F.concat(*(tested(spans_if(F.array_contains("rules", r.kind), F.col("t"), r.pattern, r.kind), r) for r in indexed)).alias("narrow"))
     checked = checked.filter(F.size("narrow") > 0).dropDuplicates(["doc_id", "row_key"])

@@ -2,7 +2,8 @@
 
 The normaliser is written here: a longest prefix of the rest of the text is looked up in the model's compiled character
 map (a double-array trie and the strings it points to), whitespace rules are applied, and for each normalised byte the
-source byte is recorded, so every piece is projected to a byte span of the text as given. The normalised text is then
+source byte is recorded, so every piece is projected to a byte span of the text as given. Symbols that the model's user
+defined are taken as they stand. The normalised text is then
 segmented by the sentencepiece library under a copy of the model without normalisation; a piece's length in bytes is
 known from its id. Ids equal those of the library on the text as given.
 
@@ -59,8 +60,9 @@ class CharMap:
 class Normalizer:
     """Normalised text and, for each of its bytes and its end, the source byte."""
 
-    def __init__(self, blob: bytes, dummy_prefix: bool, squeeze: bool, escape: bool):
+    def __init__(self, blob: bytes, dummy_prefix: bool, squeeze: bool, escape: bool, symbols: tuple[bytes, ...] = ()):
         self.map, self.dummy, self.squeeze, self.space = CharMap(blob), dummy_prefix, squeeze, MARK.encode() if escape else b" "
+        self.symbols = sorted(symbols, key=len, reverse=True)
 
     @property
     def identity(self) -> bool:
@@ -69,7 +71,8 @@ class Normalizer:
     def steps(self, data: bytes) -> Iterator[tuple[bytes, int, int]]:
         at = 0
         while at < len(data):
-            hit = self.map.longest(data, at)
+            own = next((x for x in self.symbols if data.startswith(x, at)), None)
+            hit = (own, len(own)) if own else self.map.longest(data, at)
             if hit is None:
                 b = data[at]
                 n = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
@@ -116,7 +119,8 @@ class Encoder:
 
         proto = pb.ModelProto.FromString(model)
         spec = proto.normalizer_spec
-        self.normalizer = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
+        symbols = tuple(p.piece.encode() for p in proto.pieces if p.type == proto.SentencePiece.USER_DEFINED)
+        self.normalizer = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, symbols)
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=model)
         spec.precompiled_charsmap, spec.name = b"", "identity"
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
