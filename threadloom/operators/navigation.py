@@ -6,13 +6,15 @@ is searched in pages of the same document only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import trim_ws
+from threadloom.operators.keeping import keep
+from threadloom.operators.runs import of
 
-# A date's and a body line's least length, and how much of the line is looked for.
-LEAST_DATE, LEAST_LINE, NEEDLE = 8, 25, 60
+# A date's, a body line's and a fragment's least length, and how much of the line is looked for.
+LEAST_DATE, LEAST_LINE, NEEDLE, LEAST_FRAGMENT = 8, 25, 60, 6
 COLUMN_X, CELL_HEIGHT, STRIP_Y, STRIP_HEIGHT, PAD, CELL_PAD = 70.0, 18.0, 700.0, 14.0, 1.5, 2.0
 
 
@@ -73,3 +75,38 @@ def link_boxes(hits: DataFrame, headings: DataFrame) -> DataFrame:
     strip = hits.filter((F.col("needle") == "Index") & (F.col("page") > 0) & (F.col("y") >= STRIP_Y) & (F.col("h") <= STRIP_HEIGHT)).select("doc_id", "page", "needle", F.lit(0).alias("target"), "x", "y", "w", "h", F.lit(CELL_PAD).alias("pad"))
     boxes = full.filter(keep).select("doc_id", "page", "needle", "target", "x", "y", "w", "h", pad.alias("pad")).unionByName(strip)
     return boxes.select("doc_id", "page", "needle", "target", (F.col("x") - F.col("pad")).alias("x"), (F.col("y") - F.col("pad")).alias("y"), (F.col("w") + 2 * F.col("pad")).alias("w"), (F.col("h") + 2 * F.col("pad")).alias("h"))
+
+
+def underlined_fragments(runs: Column) -> Column:
+    """The texts of neighbouring underlined runs put together, trimmed, without empty ones."""
+    marked = F.transform(of(runs), lambda r: F.when(F.coalesce(r["underline"], F.lit(False)), F.coalesce(r["text"], F.lit(""))))
+    start = F.array().cast("array<string>")
+
+    def add(found: Column, text: Column) -> Column:
+        last = F.try_element_at(found, F.lit(-1))
+        grown = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.concat(last, text)))
+        return F.when(text.isNotNull() & last.isNotNull(), grown).otherwise(F.concat(found, F.array(text)))
+
+    return F.filter(F.transform(F.aggregate(marked, start, add), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda x: x.isNotNull() & (x != ""))
+
+
+def fragment_lines(fragments: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, idx, text, page, y): every line (doc_id, page, y, text) of pages low to high that has a fragment (doc_id, idx, text, low, high).
+
+    What no line has is cut at the space next to its middle and looked for in halves, down to six characters; so there are as
+    many rounds as a fragment has halvings.
+    """
+    clean = lambda d: d.withColumn("text", F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).filter(F.length("text") >= LEAST_FRAGMENT)
+    spots = lines.select("doc_id", "page", "y", F.col("text").alias("line"))
+    pending, out = keep(clean(fragments.select("doc_id", "idx", "text", "low", "high"))), None
+    while True:
+        near = pending.join(spots, "doc_id").filter((F.col("page") >= F.col("low")) & (F.col("page") < F.col("high")) & F.contains("line", "text"))
+        found = keep(near.select("doc_id", "idx", "text", "low", "high", "page", "y"))
+        out = found if out is None else out.unionByName(found)
+        spaces = F.filter(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.substring("text", i + 1, F.lit(1)) == " ")
+        middle = F.array_min(F.transform(spaces, lambda i: F.struct(F.abs(i - F.floor(F.length("text") / 2).cast("int")).alias("away"), i.alias("at"))))["at"]
+        rest = pending.join(found.select("doc_id", "idx", "text", "low", "high").distinct(), ["doc_id", "idx", "text", "low", "high"], "left_anti").withColumn("at", middle).filter("at is not null")
+        halves = F.explode(F.array(F.substring("text", F.lit(1), F.col("at")), F.substring("text", F.col("at") + 2, F.length("text"))))
+        pending = keep(clean(rest.select("doc_id", "idx", "low", "high", halves.alias("text"))))
+        if pending.isEmpty():
+            return out.select("doc_id", "idx", "text", "page", "y")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as t
-from threadloom.operators import diffing, navigation, payload, report, segment, stacked
+from threadloom.operators import diffing, navigation, payload, report, runs, segment, stacked
 from threadloom.plans.common import MAIL_SQL, NUMBERED, in_order, mail, numbered, read
 from threadloom.plans.registry import query
 from threadloom.sources import files
@@ -175,3 +175,17 @@ def link_targets(s: SparkSession, d: str) -> DataFrame:
     for x in hits[1:]:
         every = every.unionByName(x)
     return navigation.link_boxes(every, m.select("doc_id", "idx", (C("idx") + 2).cast("int").alias("page")))
+
+
+@query(TURNS + """, l AS (SELECT doc_id, idx, 'one two three ' || idx || '.' AS a, 'four five six seven ' || idx || '.' AS b FROM m)
+SELECT doc_id, idx, a || ' ' || b AS text, idx AS page, 1.0::DOUBLE AS y FROM l WHERE idx % 2 = 0 UNION ALL SELECT doc_id, idx, CASE WHEN idx < 10 THEN 'one two' ELSE 'one two three' END, idx, 1.0 FROM l WHERE idx % 2 = 1 UNION ALL SELECT doc_id, idx, 'five six seven ' || idx || '.', idx, 2.0 FROM l WHERE idx % 2 = 1""")
+def fragment_lines(s: SparkSession, d: str) -> DataFrame:
+    """Underlined texts, in two runs each, that stand on one line or are broken between two; those of other pages do not count. A broken one is cut behind `four`, which no line has with what is before it."""
+    m, k = turns(s, d), C("idx")
+    a, b = F.concat(F.lit("one two three "), k, F.lit(".")), F.concat(F.lit("four five six seven "), k, F.lit("."))
+    styled = F.array(runs.run(F.lit("plain ")), runs.run(F.concat(F.lit(" "), a), underline=F.lit(True)), runs.run(F.concat(F.lit(" "), b, F.lit(" ")), underline=F.lit(True), bold=F.lit(True)), runs.run(F.lit("end")))
+    fragments = m.select("doc_id", "idx", F.explode(navigation.underlined_fragments(styled)).alias("text"), k.alias("low"), (k + 1).alias("high"))
+    line = lambda cond, page, y, text: m.filter(cond).select("doc_id", page.alias("page"), F.lit(y).alias("y"), text.alias("text"))
+    whole = F.concat(F.lit("x "), a, F.lit(" "), b)
+    lines = line(k % 2 == 0, k, 1.0, whole).unionByName(line(k % 2 == 1, k, 1.0, F.concat(F.lit("x "), a))).unionByName(line(k % 2 == 1, k, 2.0, b)).unionByName(line(k > 0, k + 1, 9.0, b))
+    return navigation.fragment_lines(fragments, lines)
