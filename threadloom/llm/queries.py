@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, mixing, mpeg_audio, pii_weak, quality_mcd, secret_scan, sentencepiece_offsets, simhash_gray, suffix_levels, warc
+from . import bradley_terry, collocations, mixing, mpeg_audio, periodic_runs, pii_weak, pivot_topk, quality_mcd, secret_scan, sentencepiece_offsets, simhash_gray, suffix_levels, warc
 
 #: The installed tokenizers' file; a parameter of op7.
 MODEL = "piece_bpe_32k.model"
@@ -76,10 +76,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(periodic_runs.periodic_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mpeg_audio": op1, "op2_simhash_gray": op2, "op3_secret_trigrams": op3, "op4_mixing_budgets": op4, "op5_bradley_terry": op5,
         "op6_pii_weak": op6, "op7_sentencepiece": op7, "op8_warc": op8, "op9_suffix_levels": op9, "op10_quality_mcd": op10,
+        "op11_collocations": op11, "op12_periodic_runs": op12, "op13_pivot_topk": op13,
     }
 
 
@@ -93,4 +106,4 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN k = 1 TH
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_trigrams": secret_scan.report_sql(), "op4_mixing_budgets": mixing.mix_sql(DOMAIN_SQL), "op8_warc": WARC_SQL}
+    return {"op3_secret_trigrams": secret_scan.report_sql(), "op4_mixing_budgets": mixing.mix_sql(DOMAIN_SQL), "op8_warc": WARC_SQL, "op11_collocations": collocations.SQL, "op13_pivot_topk": pivot_topk.SQL}
