@@ -3,9 +3,10 @@
 Texts are lower-cased (A-Z) and split into pieces and words; phrases of one to three words are counted per language. Three
 passes over the texts:
 
-1. `bucket_counts`: mappers bincount the hashes of words, pairs and triples into byte arrays that stop at 255, which are
-   summed in a tree. A phrase whose bucket stays below `least` is rarer than that, and so is every longer phrase around it
-   (Apriori): a bitmap of full buckets, of a fixed size, is all that is broadcast.
+1. `bucket_counts`, `full_buckets`: how many words, pairs and triples fall into each bucket of hashes, in bytes that stop at
+   255. A phrase whose bucket stays below `least` is rarer than that, and so is every longer phrase around it (Apriori). The
+   full buckets are marked in a bitmap of at most 64 MB, which is all that is broadcast; where there are so many that its
+   bits run out, more phrases become candidates, and results stay the same.
 2. `candidates`: the distinct phrases whose own bucket and whose parts' buckets are full, dealt by hash to shards. A task
    builds one shard's minimal perfect hash (levels of bit arrays, ranks by counted bits) and stores keys by slot.
 3. `slot_counts`: mappers look up what a block of text holds, each distinct phrase once with its count; tasks of one shard
@@ -28,7 +29,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -36,8 +36,8 @@ from xxhash import xxh3_128_digest
 from .common import cut, text_of
 
 LEAST, TOP, LONGEST = 10, 2000, 3
-#: Bits of a bucket's number for words, pairs and triples; a chunk has 1 << CHUNK buckets.
-BUCKETS, CHUNK = (22, 24, 24), 16
+#: Bits of the bitmap for each full bucket, and the exponent of its greatest size (64 MB); counts that a task holds before it adds them up.
+FILTER, LARGEST, PENDING = 64, 29, 4 << 20
 #: Keys of a shard, and the least number of shards; bytes of a block of text; salts of the first sum.
 SHARD, LEAST_SHARDS, BLOCK, SALTS = 1 << 20, 64, 4 << 20, 8
 SPLIT = bytes(10 if c in b".,;:!?\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -76,16 +76,16 @@ class Block:
             self.lanes.append(tuple(joined(self.lanes[-1][k][:-1], self.lanes[0][k][n - 1 :], n, k) for k in (0, 1)))
             self.valid.append(self.valid[-1][:-1] & self.valid[0][n - 1 :])
 
-    def full(self, maps: list[np.ndarray]) -> list[np.ndarray]:
+    def full(self, bitmap: np.ndarray) -> list[np.ndarray]:
         """Per length, where phrases start that may be frequent: their own bucket and those of all their parts are full."""
-        found = []
+        found, drop = [], U(64 - (8 * len(bitmap) - 1).bit_length())
         for n, ((h, _), ok) in enumerate(zip(self.lanes, self.valid, strict=True)):
             if n:
                 ok = ok & found[-1][:-1] & found[-1][1:]
             at = np.flatnonzero(ok)
-            where = (h[at] >> U(64 - BUCKETS[n])).astype(np.int64)
+            where = (h[at] >> drop).astype(np.int64)
             kept = np.zeros(len(ok), bool)
-            kept[at[(maps[n][where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)]] = True
+            kept[at[(bitmap[where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)]] = True
             found.append(kept)
         return found
 
@@ -125,40 +125,70 @@ def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.r_[first, len(order)])
 
 
-def bucket_counts(texts: DataFrame, least: int) -> tuple[DataFrame, list[np.ndarray]]:
-    """Words per language (lang, n), and for each length a bitmap of the buckets that `least` phrases or more fall into."""
+def bucket_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Words per language (lang, n); phrases by bucket (shard, keys, counts), packed by block of text; the bits of a shard's number.
+
+    A bucket is the leading bits of a hash, those of the shard and 32 more, so buckets grow with the texts' partitions.
+    """
+    bits = (max(LEAST_SHARDS, 4 * texts.rdd.getNumPartitions()) - 1).bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, totals = [np.zeros(1 << b, np.uint8) for b in BUCKETS], {}
+        totals: dict[str, int] = {}
         for block in blocks(batches):
-            for bits, total, (h, _), ok in zip(BUCKETS, sums, block.lanes, block.valid, strict=True):
-                where = np.sort((h[ok] >> U(64 - bits)).astype(np.uint32))
-                first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)])
-                at, n = where[first], np.diff(np.r_[first, len(where)])
-                total[at] = np.minimum(total[at] + n, 255)
             totals[block.lang] = totals.get(block.lang, 0) + int(block.valid[0].sum())
-        pack = zstandard.ZstdCompressor(1).compress
-        rows = [(n, c, None, 0, pack(x.tobytes())) for n, total in enumerate(sums) for c, x in enumerate(total.reshape(-1, 1 << CHUNK)) if x.any()]
-        yield from packed([*rows, *((-1, 0, lang, n, None) for lang, n in totals.items())], schema)
+            keys = np.concatenate([h[ok] >> U(32 - bits) for (h, _), ok in zip(block.lanes, block.valid, strict=True)])
+            keys.sort()
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            counts = np.minimum(np.diff(np.r_[first, len(keys)]), 255).astype(np.uint8)
+            keys = keys[first]
+            shards = (keys >> U(32)).astype(np.int64)
+            begin = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]][: len(shards)])
+            low = keys.astype(np.uint32)
+            yield from packed([(int(shards[a]), None, 0, low[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(begin, np.r_[begin[1:], len(shards)], strict=False)], schema)
+        yield from packed([(-1, lang, n, None, None) for lang, n in totals.items()], schema)
+
+    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    counted = cut(texts.mapInArrow(count, "shard int, lang string, n long, keys binary, counts binary"), "buckets")
+    return counted.filter("shard < 0").groupBy("lang").agg(F.sum("n").alias("n")), counted.filter("shard >= 0").select("shard", "keys", "counts"), bits
+
+
+def full_buckets(buckets: DataFrame, bits: int, least: int) -> np.ndarray:
+    """A bitmap of the leading bits of the buckets that `least` phrases or more fall into: FILTER bits for each, LARGEST at most."""
+
+    def compact(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        k, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(k)
+        k, n = k[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+        return k[first], np.minimum(np.add.reduceat(n, first), 255).astype(np.uint8)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(1).compress
-        for (n, c), rows in groupby(each(batches), lambda x: (x["length"], x["chunk"])):
-            total = np.zeros(1 << CHUNK, np.uint16)
+        for shard, rows in groupby(each(batches), lambda x: x["shard"]):
+            keys, counts, waiting = [], [], 0
             for x in rows:
-                total = np.minimum(total + np.frombuffer(unpack(x["data"]), np.uint8), 255)
-            yield from packed([(n, c, None, 0, pack(total.astype(np.uint8).tobytes()))], schema)
+                keys.append(numbers(x["keys"], np.uint32))
+                counts.append(numbers(x["counts"], np.uint8))
+                waiting += len(counts[-1])
+                if waiting > PENDING:
+                    keys, counts = ([y] for y in compact(keys, counts))
+                    waiting = 0
+            k, n = compact(keys, counts)
+            k = k[n >= min(least, 255)]
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([k.tobytes()])], names=["shard", "n", "keys"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in each(batches):
+            piece = np.zeros(1 << (wide - bits), np.uint8)
+            piece[numbers(x["keys"], np.uint32) >> np.uint32(32 - (wide - bits))] = 1
+            yield pa.record_batch([pa.array([x["shard"]], pa.int32()), pa.array([np.packbits(piece, bitorder="little").tobytes()])], names=["shard", "piece"])
 
-    schema = pa.schema([("length", pa.int32()), ("chunk", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), ("data", pa.binary())])
-    ddl = "length int, chunk int, lang string, n long, data binary"
-    counted = cut(texts.mapInArrow(count, ddl).withColumn("salt", F.spark_partition_id() % SALTS), "buckets")
-    part = counted.filter("length >= 0").repartition("length", "chunk", "salt").sortWithinPartitions("length", "chunk", "salt").drop("salt").mapInArrow(add, ddl)
-    whole = part.repartition("length", "chunk").sortWithinPartitions("length", "chunk").mapInArrow(add, ddl)
-    maps = [np.zeros(1 << (b - 3), np.uint8) for b in BUCKETS]
-    wide = 1 << (CHUNK - 3)
-    for x in whole.select("length", "chunk", "data").toLocalIterator():  # as many as BUCKETS says
-        maps[x.length][x.chunk * wide : (x.chunk + 1) * wide] = np.packbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x.data)), np.uint8) >= min(least, 255), bitorder="little")
-    return counted.filter("length < 0").groupBy("lang").agg(F.sum("n").alias("n")), maps
+    full = cut(buckets.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, "shard int, n long, keys binary"), "full")
+    wide = max(bits + 3, min(LARGEST, (FILTER * (full.agg(F.sum("n")).first()[0] or 1) - 1).bit_length()))
+    bitmap = np.zeros(1 << (wide - 3), np.uint8)
+    for x in full.mapInArrow(mark, "shard int, piece binary").toLocalIterator():
+        size = len(x.piece)
+        bitmap[x.shard * size : (x.shard + 1) * size] = np.frombuffer(x.piece, np.uint8)
+    return bitmap
 
 
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -177,7 +207,7 @@ def shard_of(h1: Column, bits: int) -> Column:
 
 
 def candidates(texts: DataFrame, maps) -> DataFrame:
-    """(lang, words, phrase, h1, h2): every phrase that may be frequent, once. maps: a broadcast of bitmaps."""
+    """(lang, words, phrase, h1, h2): every phrase that may be frequent, once. maps: the broadcast bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [np.zeros(1 << 20, U), np.zeros(1 << 20, U)]  # keys emitted before, as far as they are not overwritten
@@ -368,9 +398,8 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     Dropped are phrases inside a longer frequent one that has `near` percent of their occurrences or more.
     """
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).cast("binary").alias("t"))
-    totals, found = bucket_counts(texts, least)
-    context = df.sparkSession.sparkContext
-    maps = context.broadcast(found)
+    totals, buckets, bucket_bits = bucket_counts(texts)
+    maps = df.sparkSession.sparkContext.broadcast(full_buckets(buckets, bucket_bits, least))
     keys = cut(candidates(texts, maps), "candidates")
     bits = (max(LEAST_SHARDS, -(-keys.count() // SHARD)) - 1).bit_length()
     hashed = cut(hashed_keys(keys.withColumn("shard", shard_of(F.col("h1"), bits))), "slots")
