@@ -29,15 +29,16 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import cut, text_of
 
 LEAST, TOP, LONGEST = 10, 2000, 3
-#: Bits of the bitmap for each full bucket, and the exponent of its greatest size (64 MB); counts that a task holds before it adds them up.
-FILTER, LARGEST, PENDING = 64, 29, 4 << 20
+#: Bits of the bitmap for each full bucket, and the exponent of its greatest size (64 MB); counts and phrases that a task holds before it adds them up or sends them.
+FILTER, LARGEST, PENDING, PHRASES = 64, 29, 4 << 20, 1 << 19
 #: Keys of a shard, and the least number of shards; bytes of a block of text; salts of the first sum.
 SHARD, LEAST_SHARDS, BLOCK, SALTS = 1 << 20, 64, 4 << 20, 8
 SPLIT = bytes(10 if c in b".,;:!?\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -125,12 +126,11 @@ def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.r_[first, len(order)])
 
 
-def bucket_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Words per language (lang, n); phrases by bucket (shard, keys, counts), packed by block of text; the bits of a shard's number.
+def bucket_counts(texts: DataFrame, bits: int) -> DataFrame:
+    """Phrases by bucket (shard, keys, counts), packed by block of text, and words per language (shard below 0, lang, n).
 
-    A bucket is the leading bits of a hash, those of the shard and 32 more, so buckets grow with the texts' partitions.
+    A bucket is the leading bits of a hash: `bits` for the shard, which grow with the texts' partitions, and 32 more.
     """
-    bits = (max(LEAST_SHARDS, 4 * texts.rdd.getNumPartitions()) - 1).bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, int] = {}
@@ -141,19 +141,24 @@ def bucket_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
             counts = np.minimum(np.diff(np.r_[first, len(keys)]), 255).astype(np.uint8)
             keys = keys[first]
-            shards = (keys >> U(32)).astype(np.int64)
-            begin = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]][: len(shards)])
             low = keys.astype(np.uint32)
-            yield from packed([(int(shards[a]), None, 0, low[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(begin, np.r_[begin[1:], len(shards)], strict=False)], schema)
-        yield from packed([(-1, lang, n, None, None) for lang, n in totals.items()], schema)
+            yield from packed([(shard, None, 0, low[a:b].tobytes(), counts[a:b].tobytes()) for shard, a, b in pieces(keys >> U(32))], COUNTED)
+        yield from packed([(-1, lang, n, None, None) for lang, n in totals.items()], COUNTED)
 
-    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    counted = cut(texts.mapInArrow(count, "shard int, lang string, n long, keys binary, counts binary"), "buckets")
-    return counted.filter("shard < 0").groupBy("lang").agg(F.sum("n").alias("n")), counted.filter("shard >= 0").select("shard", "keys", "counts"), bits
+    return texts.mapInArrow(count, "shard int, lang string, n long, keys binary, counts binary")
 
 
-def full_buckets(buckets: DataFrame, bits: int, least: int) -> np.ndarray:
-    """A bitmap of the leading bits of the buckets that `least` phrases or more fall into: FILTER bits for each, LARGEST at most."""
+COUNTED = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def pieces(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Equal neighbours: (value, begin, end)."""
+    begin = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]][: len(shards)])
+    yield from zip(shards[begin].tolist(), begin.tolist(), np.r_[begin[1:], len(shards)].tolist(), strict=False)
+
+
+def full_buckets(buckets: DataFrame, least: int) -> DataFrame:
+    """(shard, n, keys): the buckets that `least` phrases or more fall into; and with shard -1 words per language (lang, n)."""
 
     def compact(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         k, n = np.concatenate(keys), np.concatenate(counts)
@@ -164,6 +169,12 @@ def full_buckets(buckets: DataFrame, bits: int, least: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in groupby(each(batches), lambda x: x["shard"]):
+            if shard < 0:
+                totals: dict[str, int] = {}
+                for x in rows:
+                    totals[x["lang"]] = totals.get(x["lang"], 0) + x["n"]
+                yield from packed([(-1, lang, n, None, None) for lang, n in totals.items()], COUNTED)
+                continue
             keys, counts, waiting = [], [], 0
             for x in rows:
                 keys.append(numbers(x["keys"], np.uint32))
@@ -174,7 +185,14 @@ def full_buckets(buckets: DataFrame, bits: int, least: int) -> np.ndarray:
                     waiting = 0
             k, n = compact(keys, counts)
             k = k[n >= min(least, 255)]
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([k.tobytes()])], names=["shard", "n", "keys"])
+            yield from packed([(shard, None, len(k), k.tobytes(), None)], COUNTED)
+
+    return cut(buckets.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, "shard int, lang string, n long, keys binary, counts binary"), "full")
+
+
+def marked(full: DataFrame, bits: int, count: int) -> np.ndarray:
+    """A bitmap of the leading bits of full buckets: FILTER bits for each of `count`, 1 << LARGEST at most."""
+    wide = max(bits + 3, min(LARGEST, (FILTER * max(count, 1) - 1).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in each(batches):
@@ -182,10 +200,8 @@ def full_buckets(buckets: DataFrame, bits: int, least: int) -> np.ndarray:
             piece[numbers(x["keys"], np.uint32) >> np.uint32(32 - (wide - bits))] = 1
             yield pa.record_batch([pa.array([x["shard"]], pa.int32()), pa.array([np.packbits(piece, bitorder="little").tobytes()])], names=["shard", "piece"])
 
-    full = cut(buckets.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, "shard int, n long, keys binary"), "full")
-    wide = max(bits + 3, min(LARGEST, (FILTER * (full.agg(F.sum("n")).first()[0] or 1) - 1).bit_length()))
     bitmap = np.zeros(1 << (wide - 3), np.uint8)
-    for x in full.mapInArrow(mark, "shard int, piece binary").toLocalIterator():
+    for x in full.select("shard", "keys").mapInArrow(mark, "shard int, piece binary").toLocalIterator():
         size = len(x.piece)
         bitmap[x.shard * size : (x.shard + 1) * size] = np.frombuffer(x.piece, np.uint8)
     return bitmap
@@ -202,15 +218,13 @@ def packed(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows[at : at + 4096], strict=True), schema, strict=True)], schema=schema)
 
 
-def shard_of(h1: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(h1, 64 - bits).cast("int")
-
-
-def candidates(texts: DataFrame, maps) -> DataFrame:
-    """(lang, words, phrase, h1, h2): every phrase that may be frequent, once. maps: the broadcast bitmap."""
+def candidates(texts: DataFrame, maps, bits: int) -> DataFrame:
+    """(shard, lang, data): every phrase that may be frequent, by shard, a task's phrases packed; a phrase may be there once a task and more. maps: the broadcast bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [np.zeros(1 << 20, U), np.zeros(1 << 20, U)]  # keys emitted before, as far as they are not overwritten
+        held: dict[str, list] = {}
+        size = 0
         for block in blocks(batches):
             for n, ((h1, h2), kept) in enumerate(zip(block.lanes, block.full(maps.value), strict=True), 1):
                 at = np.flatnonzero(kept)
@@ -220,13 +234,22 @@ def candidates(texts: DataFrame, maps) -> DataFrame:
                 new = (seen[0][where] != a) | (seen[1][where] != b)
                 at, a, b, where = at[new], a[new], b[new], where[new]
                 seen[0][where], seen[1][where] = a, b
-                for k in range(0, len(at), 1 << 15):
-                    some = slice(k, k + (1 << 15))
-                    phrases = [b" ".join(block.words[i : i + n]) for i in at[some].tolist()]
-                    size = len(phrases)
-                    yield pa.record_batch([pa.array([block.lang] * size, pa.string()), pa.array([n] * size, pa.int32()), pa.array(phrases, pa.binary()), pa.array(a[some].view(np.int64)), pa.array(b[some].view(np.int64))], names=["lang", "words", "phrase", "h1", "h2"])
+                held.setdefault(block.lang, []).append((a >> U(64 - bits), [b" ".join(block.words[i : i + n]) for i in at.tolist()]))
+                size += len(at)
+            if size > PHRASES:
+                yield from flush(held)
+                held, size = {}, 0
+        yield from flush(held)
 
-    return texts.mapInArrow(run, "lang string, words int, phrase binary, h1 long, h2 long").distinct()
+    def flush(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3).compress
+        for lang, found in held.items():
+            shards, phrases = np.concatenate([s for s, _ in found]), [p for _, some in found for p in some]
+            order = np.argsort(shards, kind="stable")
+            rows = [(shard, lang, pack(b"\n".join(sorted(phrases[i] for i in order[a:b].tolist())))) for shard, a, b in pieces(shards[order])]
+            yield from packed(rows, pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("data", pa.binary())]))
+
+    return texts.mapInArrow(run, "shard int, lang string, data binary")
 
 
 class Slots:
@@ -280,27 +303,43 @@ def numbers(x: bytes, kind=U) -> np.ndarray:
     return np.frombuffer(x, kind)
 
 
-def hashed_keys(keys: DataFrame) -> DataFrame:
-    """Per shard of keys: a row of slot -1 with the hash, and (shard, slot, lang, words, phrase) for each key."""
+def phrase_lanes(lang: str, phrases: list[list[bytes]]) -> list[np.ndarray]:
+    """The hash lanes of phrases of the same number of words."""
+    lanes = [word_lanes(lang, [p[i] for p in phrases]) for i in range(len(phrases[0]))]
+    found = list(lanes[0])
+    for i in range(1, len(lanes)):
+        found = [joined(found[k], lanes[i][k], i + 1, k) for k in (0, 1)]
+    return found
+
 
-    def build(group: pa.Table) -> pa.Table:
-        h1, h2 = (group[c].to_numpy().view(U) for c in ("h1", "h2"))
-        made, order = Slots.build(h1, h2)
-        n = len(order)
-        rows = group.take(pa.array(order))
-        fixed = [pa.array([made.h1.tobytes()]), pa.array([made.h2.tobytes()]), pa.array([made.bits.tobytes()]), pa.array([made.sizes.tobytes()])]
-        head = pa.table([rows["shard"].slice(0, 1), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *fixed], schema=schema)
-        return pa.concat_tables([head, pa.table([rows["shard"], pa.array(np.arange(n), pa.int32()), rows["lang"], rows["words"], rows["phrase"], *[pa.nulls(n, pa.binary())] * 4], schema=schema)])
+def hashed_keys(packed_phrases: DataFrame) -> DataFrame:
+    """Per shard: a row of slot -1 with the hash, and (shard, slot, lang, words, phrase) for each phrase."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in groupby(each(batches), lambda x: x["shard"]):
+            known: dict[str, set[bytes]] = {}
+            for x in rows:
+                known.setdefault(x["lang"], set()).update(zstandard.ZstdDecompressor().decompress(x["data"]).split(b"\n"))
+            langs, sizes, phrases, lanes = [], [], [], []
+            for lang, found in known.items():
+                split = [p.split(b" ") for p in found]
+                for n in range(1, LONGEST + 1):
+                    if own := [p for p in split if len(p) == n]:
+                        lanes.append(phrase_lanes(lang, own))
+                        phrases += [b" ".join(p) for p in own]
+                        langs += [lang] * len(own)
+                        sizes += [n] * len(own)
+            made, order = Slots.build(*(np.concatenate([x[k] for x in lanes]) for k in (0, 1)))
+            yield from packed([(shard, -1, None, None, None, made.h1.tobytes(), made.h2.tobytes(), made.bits.tobytes(), made.sizes.tobytes())], schema)
+            yield from packed([(shard, slot, langs[i], sizes[i], phrases[i], None, None, None, None) for slot, i in enumerate(order.tolist())], schema)
 
     schema = pa.schema([("shard", pa.int32()), ("slot", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary()), ("data", pa.binary()), ("sizes", pa.binary())])
-    return keys.groupBy("shard").applyInArrow(build, "shard int, slot int, lang string, words int, phrase binary, h1 binary, h2 binary, data binary, sizes binary")
+    return packed_phrases.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, slot int, lang string, words int, phrase binary, h1 binary, h2 binary, data binary, sizes binary")
 
 
 def by_shard(h1: np.ndarray, h2: np.ndarray, values: np.ndarray, bits: int, salt: int) -> Iterator[pa.RecordBatch]:
     """Keys in the order of h1, with values, as a row for each shard."""
-    shards = (h1 >> U(64 - bits)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]][: len(shards)])
-    rows = [(int(shards[i]), salt, 1, h1[i:j].tobytes(), h2[i:j].tobytes(), values[i:j].tobytes(), None, None) for i, j in zip(first, np.r_[first[1:], len(shards)], strict=False)]
+    rows = [(shard, salt, 1, h1[a:b].tobytes(), h2[a:b].tobytes(), values[a:b].tobytes(), None, None) for shard, a, b in pieces(h1 >> U(64 - bits))]
     yield from packed(rows, PACKED)
 
 
@@ -327,16 +366,33 @@ def slot_counts(texts: DataFrame, hashes: DataFrame, maps, bits: int) -> DataFra
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() % SALTS
+        held, size = [], 0
         for block in blocks(batches):
             kept = block.full(maps.value)
             h1, h2 = (np.concatenate([x[k][ok] for x, ok in zip(block.lanes, kept, strict=True)]) for k in (0, 1))
             at, n = distinct(h1, h2)
-            yield from by_shard(h1[at], h2[at], n.astype(np.int64), bits, salt)
+            held.append((h1[at], h2[at], n))
+            size += len(n)
+            if size > PENDING:
+                held = [together(held)]
+                size = len(held[0][2])
+                if size > PENDING // 2:
+                    yield from by_shard(*held[0], bits, salt)
+                    held, size = [], 0
+        if held:
+            yield from by_shard(*together(held), bits, salt)
+
+    def together(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h1, h2, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((h2, h1))
+        h1, h2, n = h1[order], h2[order], n[order]
+        first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])][: len(h1)])
+        return h1[first], h2[first], np.add.reduceat(n, first).astype(np.uint32) if len(first) else n.astype(np.uint32)
 
     def count(made: Slots, head: dict, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(made.h1), np.int64)
         for x in rows:
-            slots, n = made.find(numbers(x["h1"]), numbers(x["h2"])), numbers(x["data"], np.int64)
+            slots, n = made.find(numbers(x["h1"]), numbers(x["h2"])), numbers(x["data"], np.uint32)
             np.add.at(total, slots[slots >= 0], n[slots >= 0])
         yield pa.record_batch([pa.array([head["shard"]], pa.int32()), pa.array([total.tobytes()])], names=["shard", "counts"])
 
@@ -375,10 +431,7 @@ def cuts(phrases: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
                 for n in range(1, LONGEST):
                     own = [x for x in found if len(x[0]) == n]
                     if own:
-                        lanes = [word_lanes(lang, [x[0][i] for x in own]) for i in range(n)]
-                        h = list(lanes[0])
-                        for i in range(1, n):
-                            h = [joined(h[k], lanes[i][k], i + 1, k) for k in (0, 1)]
+                        h = phrase_lanes(lang, [x[0] for x in own])
                         order = np.argsort(h[0])
                         yield from by_shard(h[0][order], h[1][order], np.array([x[1:] for x in own], np.int64)[order], bits, 0)
 
@@ -398,11 +451,13 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     Dropped are phrases inside a longer frequent one that has `near` percent of their occurrences or more.
     """
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).cast("binary").alias("t"))
-    totals, buckets, bucket_bits = bucket_counts(texts)
-    maps = df.sparkSession.sparkContext.broadcast(full_buckets(buckets, bucket_bits, least))
-    keys = cut(candidates(texts, maps), "candidates")
-    bits = (max(LEAST_SHARDS, -(-keys.count() // SHARD)) - 1).bit_length()
-    hashed = cut(hashed_keys(keys.withColumn("shard", shard_of(F.col("h1"), bits))), "slots")
+    bucket_bits = (max(LEAST_SHARDS, 4 * texts.rdd.getNumPartitions()) - 1).bit_length()
+    known = full_buckets(bucket_counts(texts, bucket_bits), least)
+    totals, full = known.filter("shard < 0").select("lang", "n"), known.filter("shard >= 0")
+    many = full.agg(F.sum("n")).first()[0] or 0
+    maps = df.sparkSession.sparkContext.broadcast(marked(full, bucket_bits, many))
+    bits = (max(LEAST_SHARDS, -(-many // SHARD)) - 1).bit_length()
+    hashed = cut(hashed_keys(candidates(texts, maps, bits)), "slots")
     hashes = hashed.filter("slot = -1").select("shard", "h1", "h2", "data", "sizes")
     counts = cut(slot_counts(texts, hashes, maps, bits), "counts")
     owner = F.shiftleft(F.col("shard").cast("long"), 32) + F.col("slot")
