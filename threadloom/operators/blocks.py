@@ -7,13 +7,12 @@ of lines between blank ones, so a document without blank lines is one window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import trim_ws
+from threadloom.operators.keeping import keep
+from threadloom.operators.pointers import greedy_starts
 from threadloom.operators.segment import is_header
 
 # Attachment extensions, abbreviations after which no paragraph starts, what a paragraph may start with, and lengths.
@@ -150,29 +149,18 @@ def token_estimate(chars: Column) -> Column:
 def chunk_pack(lines: DataFrame, tokens: int) -> DataFrame:
     """(doc_id, line_no, chunk): a document within the token budget is one chunk; in others a chunk ends before a boundary's line that does not fit.
 
-    Where a chunk starts depends on where the last one did, so a task streams its documents in order and holds one number;
-    neither long documents nor many lines gather.
+    A line that starts a chunk points to the next boundary that does not fit any more; chunks are the lines that such
+    pointers lead to.
     """
     budget = max(LEAST, (tokens - OVERHEAD) * CHARS_A_TOKEN)
-    whole = F.sum("n").over(Window.partitionBy("doc_id")) - 1
-    sized = lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), (F.length(F.coalesce("plain", F.lit(""))) + 1).cast("long").alias("n"), is_boundary(F.col("plain")).alias("boundary"))
-    sized = sized.withColumn("boundary", F.col("boundary") & (token_estimate(whole) > tokens))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, chunk, used = None, 1, 0
-        for pdf in batches:
-            out = []
-            for d, n, boundary in zip(pdf.doc_id, pdf.n, pdf.boundary, strict=True):
-                if d != doc:
-                    doc, chunk, used = d, 1, 0
-                elif boundary and used + n > budget:
-                    chunk, used = chunk + 1, 0
-                used += n
-                out.append(chunk)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "line_no": pdf.line_no, "chunk": pd.Series(out, dtype="int32")})
-
-    kind = lines.schema["doc_id"].dataType.simpleString()
-    return sized.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").mapInPandas(fill, f"doc_id {kind}, line_no int, chunk int")
+    whole = F.sum("size").over(Window.partitionBy("doc_id")) - 1
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
+    sized = lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), at.alias("at"), (F.length(F.coalesce("plain", F.lit(""))) + 1).cast("long").alias("size"), is_boundary(F.col("plain")).alias("boundary"))
+    sized = keep(sized.withColumn("large", token_estimate(whole) > tokens))
+    starts = greedy_starts(sized.filter("large").select("doc_id", "at", "size", F.col("boundary").alias("may_start")), "doc_id", F.lit(budget + 1).cast("long"))
+    begun = sized.join(starts.withColumn("begins", F.lit(1)), ["doc_id", "at"], "left")
+    chunk = F.sum(F.coalesce("begins", (F.col("at") == 1).cast("int"))).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return begun.select("doc_id", "line_no", chunk.cast("int").alias("chunk"))
 
 
 def prompt(text_col: Column, failure: Column | None = None) -> Column:

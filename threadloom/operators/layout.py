@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import roman
 from threadloom.operators.keeping import keep
+from threadloom.operators.pointers import greedy_starts, nearest_smaller, to_root
 
 
 def merge_spans(cells: DataFrame) -> DataFrame:
@@ -49,6 +49,10 @@ def grid_sections(cells: DataFrame, headers: int = 1, footers: int = 0, header_c
     return cells.withColumn("section", section)
 
 
+#: Heights are compared as whole numbers of this part of a unit, so sums are exact.
+PARTS = 1_000_000
+
+
 def page_split(rows: DataFrame, page_height: float, header: float = 0.0, slices: bool = False) -> DataFrame:
     """(doc_id, seq, height) as (doc_id, seq, part, height, page, y, error): rows fill pages in order, and every page begins with a header.
 
@@ -56,33 +60,31 @@ def page_split(rows: DataFrame, page_height: float, header: float = 0.0, slices:
     end, its rest going on as further parts. Without slices a row that no page holds has the error "cell too big" and no
     place. A header that leaves no room makes every row too big.
     """
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, page, y = None, 1, header
-        for pdf in batches:
-            out = []
-            for d, seq, h in zip(pdf.doc_id, pdf.seq, pdf.height, strict=True):
-                if d != doc:
-                    doc, page, y = d, 1, header
-                part, left = 0, h
-                if header + h >= page_height and not (slices and header < page_height):
-                    out.append((d, seq, part, h, None, None, "cell too big"))
-                    continue
-                while slices and y + left >= page_height:
-                    if y < page_height:
-                        out.append((d, seq, part, page_height - y, page, y, None))
-                        part, left = part + 1, left - (page_height - y)
-                    page, y = page + 1, header
-                if y + left >= page_height:
-                    page, y = page + 1, header
-                if left > 0 or part == 0:
-                    out.append((d, seq, part, left, page, y, None))
-                y += left
-            yield pd.DataFrame(out, columns=["doc_id", "seq", "part", "height", "page", "y", "error"]).astype({"page": "Int32"})
-
-    sized = rows.select("doc_id", F.col("seq").cast("int").alias("seq"), F.col("height").cast("double").alias("height"))
-    return sized.repartition("doc_id").sortWithinPartitions("doc_id", "seq", "height").mapInPandas(fill, f"doc_id {kind}, seq int, part int, height double, page int, y double, error string")
+    room = round((page_height - header) * PARTS)
+    order = Window.partitionBy("doc_id").orderBy("seq", "height", "size")
+    sized = rows.select("doc_id", F.col("seq").cast("int").alias("seq"), F.col("height").cast("double").alias("height"), F.round(F.col("height") * PARTS).cast("long").alias("size"))
+    none = {"part": F.lit(0), "page": F.lit(None).cast("int"), "y": F.lit(None).cast("double"), "error": F.lit("cell too big")}
+    out = ["doc_id", "seq", "part", "height", "page", "y", "error"]
+    if room <= 0:
+        return sized.withColumns(none).select(out)
+    stop = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fixed = lambda size: size.cast("double") / PARTS
+    if slices:
+        placed = sized.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("size"))
+        page = F.sequence(F.expr(f"start div {room}"), F.when(F.col("size") > 0, F.expr(f"(stop - 1) div {room}")).otherwise(F.expr(f"start div {room}")))
+        cut = placed.select("*", F.posexplode(page).alias("part", "p"))
+        top = F.greatest("start", F.col("p") * room)
+        whole = F.when((F.col("part") == 0) & (F.col("stop") <= (F.col("p") + 1) * room), F.col("height")).otherwise(fixed(F.least("stop", (F.col("p") + 1) * room) - top))
+        return cut.select("doc_id", "seq", "part", whole.alias("height"), (F.col("p") + 1).cast("int").alias("page"), (header + fixed(top - F.col("p") * room)).alias("y"), F.lit(None).cast("string").alias("error"))
+    flow = sized.filter(F.col("size") < room).withColumns({"at": F.row_number().over(order), "stop": stop})
+    several = F.max("stop").over(Window.partitionBy("doc_id")) >= room
+    flow = keep(flow.withColumn("several", several))
+    starts = greedy_starts(flow.filter("several").select("doc_id", "at", "size", F.lit(True).alias("may_start")), "doc_id", F.lit(room).cast("long"))
+    begun = flow.join(starts.withColumn("begins", F.lit(True)), ["doc_id", "at"], "left").withColumn("begins", F.coalesce("begins", F.col("at") == 1))
+    so_far = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    top = F.last(F.when(F.col("begins"), F.col("stop") - F.col("size")), True).over(so_far)
+    placed = begun.withColumns({"part": F.lit(0), "page": F.sum(F.col("begins").cast("int")).over(so_far).cast("int"), "y": header + fixed(F.col("stop") - F.col("size") - top), "error": F.lit(None).cast("string")})
+    return placed.select(out).unionByName(sized.filter(F.col("size") >= room).withColumns(none).select(out))
 
 
 def column_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> DataFrame:
@@ -125,40 +127,22 @@ def page_objects(objects: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def toc_tree(headings: DataFrame) -> DataFrame:
-    """(doc_id, pos, level) with parent: the pos of the last earlier heading of a smaller level, null at the top. Levels may be any numbers.
-
-    A task streams its documents in order and holds the headings that are open, one a level at most.
-    """
-    number = headings.schema["pos"].dataType.simpleString()
-    kind = headings.schema["doc_id"].dataType.simpleString()
-
-    def nest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, opened = None, []
-        for pdf in batches:
-            parents = []
-            for d, pos, level in zip(pdf.doc_id, pdf.pos, pdf.level, strict=True):
-                if d != doc:
-                    doc, opened = d, []
-                while opened and opened[-1][0] >= level:
-                    opened.pop()
-                parents.append(opened[-1][1] if opened else None)
-                opened.append((level, pos))
-            yield pdf.assign(parent=pd.Series(parents, dtype="Int64"))
-
-    kept = headings.select("doc_id", "pos", F.col("level").cast("int").alias("level"))
-    return kept.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInPandas(nest, f"doc_id {kind}, pos {number}, level int, parent {number}")
+    """(doc_id, pos, level) with parent: the pos of the last earlier heading of a smaller level, null at the top. Levels may be any numbers."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    kept = headings.select("doc_id", F.struct("pos", F.col("level").cast("int").alias("level")).alias("h"), n.alias("n"))
+    values = kept.select("doc_id", "n", F.col("h.level").alias("v"), "h")
+    numbered = keep(values)
+    found = nearest_smaller(numbered, "doc_id").select("doc_id", "n", F.col("found").alias("up"))
+    above = numbered.select("doc_id", F.col("n").alias("up"), F.col("h.pos").alias("parent"))
+    return numbered.join(found, ["doc_id", "n"]).join(above, ["doc_id", "up"], "left").select("doc_id", "h.pos", "h.level", "parent")
 
 
 def list_flatten(items: DataFrame) -> DataFrame:
-    """(list_id, item_id, parent_id, ord, content) as (list_id, item_id, level, number, content), however deep; items without content do not add depth."""
+    """(list_id, item_id, parent_id, ord, content) as (list_id, item_id, level, number, content), however deep; items without content do not add depth, and those that hang on no item are absent."""
     numbered = keep(items.withColumn("number", F.row_number().over(Window.partitionBy("list_id", "parent_id").orderBy("ord"))))
-    level = keep(numbered.filter("parent_id is null").withColumn("level", F.when(F.col("content") == "", 0).otherwise(1)))
-    out = level
-    while not level.isEmpty():
-        above = level.select(F.col("list_id"), F.col("item_id").alias("parent_id"), F.col("level").alias("up"))
-        level = keep(numbered.join(above, ["list_id", "parent_id"]).withColumn("level", F.col("up") + F.when(F.col("content") == "", 0).otherwise(1)).select(*numbered.columns, "level"))
-        out = out.unionByName(level)
-    return out.filter("content <> ''").select("list_id", "item_id", "level", "number", "content")
+    nodes = numbered.select("list_id", F.col("item_id").alias("node"), F.col("parent_id").alias("up"), F.when(F.col("content") == "", 0).otherwise(1).alias("value"))
+    levels = to_root(nodes, ["list_id"], lambda own, above: own + above)
+    return numbered.join(levels.select("list_id", F.col("node").alias("item_id"), F.col("value").alias("level")), ["list_id", "item_id"]).filter("content <> ''").select("list_id", "item_id", "level", "number", "content")
 
 
 def page_labels(pages: DataFrame, first: int = 1, style: str | Callable[[Column, Column], Column] = "default", hidden: tuple[int, ...] = ()) -> DataFrame:

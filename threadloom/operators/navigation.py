@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import trim_ws
 from threadloom.operators.keeping import keep
 from threadloom.operators.runs import of
+from threadloom.operators.search import first_holding, holding
 
 # A date's, a body line's and a fragment's least length, and how much of the line is looked for.
 LEAST_DATE, LEAST_LINE, NEEDLE, LEAST_FRAGMENT = 8, 25, 60, 6
@@ -20,8 +21,7 @@ COLUMN_X, CELL_HEIGHT, STRIP_Y, STRIP_HEIGHT, PAD, CELL_PAD = 70.0, 18.0, 700.0,
 
 def first_lines(needles: DataFrame, lines: DataFrame) -> DataFrame:
     """needles (doc_id, idx, needle, low, high) with the first line (doc_id, page, y, text) of pages low to high that has the needle: (doc_id, idx, page, y)."""
-    near = needles.filter("needle <> ''").join(lines, "doc_id").filter((F.col("page") >= F.col("low")) & (F.col("page") < F.col("high")) & F.contains("text", "needle"))
-    return near.groupBy("doc_id", "idx").agg(F.min(F.struct("page", "y")).alias("at")).select("doc_id", "idx", "at.page", "at.y")
+    return keep(first_holding(needles, lines, ["doc_id", "idx"], ["page", "y"], "low", "high"))
 
 
 def message_starts(messages: DataFrame, original: DataFrame, cleaned: DataFrame) -> DataFrame:
@@ -51,6 +51,7 @@ def anchors(messages: DataFrame, body: DataFrame, original: DataFrame, cleaned:
     w, far = Window.partitionBy("doc_id").orderBy("idx"), F.lit(2**31 - 1)
     spans = starts.withColumns({"l_high": F.greatest(F.col("l_page") + 1, F.coalesce(F.lead("l_page").over(w), far)), "r_high": F.greatest(F.col("r_page") + 1, F.coalesce(F.lead("r_page").over(w), far))})
     p = trim_ws(F.coalesce("plain", F.lit("")))
+    spans = keep(spans)
     lines = body.filter(F.length(p) >= LEAST_LINE).select("doc_id", "idx", "pos", F.substring(p, 1, NEEDLE).alias("needle")).join(spans, ["doc_id", "idx"])
     hits = lambda side, low, high: first_lines(lines.select("doc_id", F.struct("idx", "pos").alias("idx"), "needle", F.col(low).alias("low"), F.col(high).alias("high")), side)
     both = hits(original, "l_page", "l_high").select("doc_id", "idx", F.col("y").alias("left")).join(hits(cleaned, "r_page", "r_high").select("doc_id", "idx", F.col("y").alias("right")), ["doc_id", "idx"])
@@ -90,23 +91,36 @@ def underlined_fragments(runs: Column) -> Column:
     return F.filter(F.transform(F.aggregate(marked, start, add), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda x: x.isNotNull() & (x != ""))
 
 
-def fragment_lines(fragments: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, idx, text, page, y): every line (doc_id, page, y, text) of pages low to high that has a fragment (doc_id, idx, text, low, high).
+def halves(fragments: DataFrame) -> DataFrame:
+    """fragments (doc_id, idx, text, low, high) and what they come to when cut, again and again, at the space next to their middle: (doc_id, idx, text, low, high, above), above being the texts that were cut. Pieces have six characters at least.
 
-    What no line has is cut at the space next to its middle and looked for in halves, down to six characters; so there are as
-    many rounds as a fragment has halvings.
+    Only fragments are read, so the rounds, one a halving, are small.
     """
     clean = lambda d: d.withColumn("text", F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).filter(F.length("text") >= LEAST_FRAGMENT)
-    spots = lines.select("doc_id", "page", "y", F.col("text").alias("line"))
-    pending, out = keep(clean(fragments.select("doc_id", "idx", "text", "low", "high"))), None
-    while True:
-        near = pending.join(spots, "doc_id").filter((F.col("page") >= F.col("low")) & (F.col("page") < F.col("high")) & F.contains("line", "text"))
-        found = keep(near.select("doc_id", "idx", "text", "low", "high", "page", "y"))
-        out = found if out is None else out.unionByName(found)
+    level = keep(clean(fragments.select("doc_id", "idx", "text", "low", "high")).withColumn("above", F.array().cast("array<string>")))
+    out = level
+    while not level.isEmpty():
         spaces = F.filter(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.substring("text", i + 1, F.lit(1)) == " ")
         middle = F.array_min(F.transform(spaces, lambda i: F.struct(F.abs(i - F.floor(F.length("text") / 2).cast("int")).alias("away"), i.alias("at"))))["at"]
-        rest = pending.join(found.select("doc_id", "idx", "text", "low", "high").distinct(), ["doc_id", "idx", "text", "low", "high"], "left_anti").withColumn("at", middle).filter("at is not null")
-        halves = F.explode(F.array(F.substring("text", F.lit(1), F.col("at")), F.substring("text", F.col("at") + 2, F.length("text"))))
-        pending = keep(clean(rest.select("doc_id", "idx", "low", "high", halves.alias("text"))))
-        if pending.isEmpty():
-            return out.select("doc_id", "idx", "text", "page", "y")
+        cut = level.withColumn("at", middle).filter("at is not null")
+        parts = F.explode(F.array(F.substring("text", F.lit(1), F.col("at")), F.substring("text", F.col("at") + 2, F.length("text"))))
+        level = keep(clean(cut.select("doc_id", "idx", "low", "high", F.concat("above", F.array("text")).alias("above"), parts.alias("text"))).select(*level.columns))
+        out = out.unionByName(level)
+    return out
+
+
+def fragment_lines(fragments: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, idx, text, page, y): every line (doc_id, page, y, text) of pages low to high that has a fragment (doc_id, idx, text, low, high).
+
+    What no line has is cut at the space next to its middle and looked for in halves, down to six characters. All pieces are
+    looked for at once; those of a piece that was found don't count.
+    """
+    own = ["doc_id", "idx", "text", "low", "high"]
+    pieces = keep(halves(fragments))
+    spots = lines.select("doc_id", "page", "y", F.col("text").alias("line"))
+    near = holding(pieces.select(*own).distinct(), spots, "text", "line").filter((F.col("page") >= F.col("low")) & (F.col("page") < F.col("high")))
+    found = keep(near.select(*own, "page", "y"))
+    whole = found.select("doc_id", "idx", F.col("text").alias("over"), "low", "high").distinct()
+    under = pieces.withColumn("over", F.explode("above")).join(whole, ["doc_id", "idx", "over", "low", "high"], "left_semi").select(*own, "above").distinct()
+    wanted = pieces.join(under, [*own, "above"], "left_anti").select(*own)
+    return found.join(wanted, own).select("doc_id", "idx", "text", "page", "y")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import STAMP, trim_ws
+from threadloom.operators.search import first_holding
 from threadloom.operators.segment import backfill_to, by_line, is_header, of_block
 
 
@@ -181,5 +182,4 @@ def fold_headers(lines: DataFrame, reach: int = 6) -> DataFrame:
 
 def first_pages(headings: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, idx, page): the first page of the document whose text contains the heading; headings found nowhere are absent."""
-    both = headings.filter("heading <> ''").join(pages, "doc_id").filter(F.contains("text", "heading"))
-    return both.groupBy("doc_id", "idx").agg(F.min("page").alias("page"))
+    return first_holding(headings.withColumnRenamed("heading", "needle"), pages, ["doc_id", "idx"], ["page"])
