@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.keeping import keep
+
 
 def upper_median(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """(keys, out): of each key's values the upper of the two middle ones; nulls do not count."""
@@ -100,21 +102,46 @@ def page_starts(pages: DataFrame, key: str, order: str, height: str) -> DataFram
     return pages.withColumn("start", start).withColumn("stop", start + F.col(height))
 
 
+def cells_of(low: Column, high: Column, size: Column) -> Column:
+    return F.sequence(F.floor(low / size), F.floor(high / size))
+
+
+def coverings(boxes: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, over, under): of boxes (keys, _number, x, y, w, h) those of which more than `share` lies inside an earlier one.
+
+    Candidates meet in the cells of a grid as wide and high as the keys' boxes are on average: the cells of the earlier box
+    and, as what covers half of a box or more covers its middle, the later one's middle; for smaller shares all its cells.
+    """
+    spot = lambda c: F.col(f"_b{c}")
+    sized = boxes.select(*keys, "_number", *(F.col(c).cast("double").alias(f"_b{c}") for c in "xywh")).filter("_bw > 0 and _bh > 0 and _bx is not null and _by is not null")
+    mean = sized.groupBy(*keys).agg(F.greatest(F.avg("_bw"), F.lit(1.0)).alias("_cw"), F.greatest(F.avg("_bh"), F.lit(1.0)).alias("_ch"))
+    placed = sized.join(mean, keys)
+    middle = share >= 0.5
+    side = lambda at, size, cell, point: cells_of(spot(at) + spot(size) / 2, spot(at) + spot(size) / 2, F.col(cell)) if point else cells_of(spot(at), spot(at) + spot(size), F.col(cell))
+    dealt = lambda point: placed.withColumn("_i", F.explode(side("x", "w", "_cw", point))).withColumn("_j", F.explode(side("y", "h", "_ch", point))).drop("_cw", "_ch")
+    over = dealt(False).select(*keys, "_i", "_j", F.col("_number").alias("over"), *(spot(c).alias(f"_o{c}") for c in "xywh"))
+    common = lambda at, size: F.least(F.col(f"_o{at}") + F.col(f"_o{size}"), spot(at) + spot(size)) - F.greatest(F.col(f"_o{at}"), spot(at))
+    a, b = common("x", "w"), common("y", "h")
+    inside = (F.col("over") < F.col("_number")) & (a > 0) & (b > 0) & (a * b > share * F.greatest(F.lit(1.0), spot("w") * spot("h")))
+    found = dealt(middle).join(over, [*keys, "_i", "_j"]).filter(inside).select(*keys, "over", F.col("_number").alias("under"))
+    return found if middle else found.distinct()
+
+
 def undominated(boxes: DataFrame, keys: list[str], order: list[str], share: float = 0.5) -> DataFrame:
     """boxes (keys, x, y, w, h) without those of which more than `share` lies inside one kept box of the same keys; wider boxes go first, equal ones by `order`.
 
-    The choice is greedy, so the boxes of one key, those of a page, are folded in order. An area counts as 1 at least.
-    Boxes without a size or place cover nothing and are kept.
+    The choice is greedy. It is made in rounds over the table of coverings: boxes that no open one covers are kept, what
+    they cover goes, and so do its own coverings; a chain of boxes takes as many rounds as it has links. An area counts as 1
+    at least. Boxes without a size or place cover nothing and are kept.
     """
-    rest = [c for c in boxes.columns if c not in keys]
-    numbers = [F.col(c).cast("double").alias(f"_{c}") for c in "xywh"]
-    ranked = F.struct((-F.coalesce(F.col("w").cast("double"), F.lit(0.0))).alias("_wide"), *(F.col(c).alias(f"_by_{c}") for c in order), *numbers, F.struct(*rest).alias("row"))
-    side = lambda a, b, at, size: F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at])
-
-    def covered(kept: Column, box: Column) -> Column:
-        inside = lambda k: (side(k, box, "_x", "_w") > 0) & (side(k, box, "_y", "_h") > 0) & (side(k, box, "_x", "_w") * side(k, box, "_y", "_h") > share * F.greatest(F.lit(1.0), box["_w"] * box["_h"]))
-        return F.coalesce(F.exists(kept, inside), F.lit(False))
-
-    listed = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(ranked)).alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda found, box: F.when(covered(found, box), found).otherwise(F.concat(found, F.array(box))))
-    return listed.select(*keys, F.inline(F.transform(kept, lambda k: k["row"]))).select(boxes.columns)
+    wide = F.coalesce(F.col("w").cast("double"), F.lit(0.0))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(wide.desc(), *order, "x", "y", "h"))
+    numbered = keep(boxes.withColumn("_number", number))
+    edges, dropped = keep(coverings(numbered, keys, share)), None
+    while not edges.isEmpty():
+        free = edges.select(*keys, "over").distinct().join(edges.select(*keys, F.col("under").alias("over")).distinct(), [*keys, "over"], "left_anti")
+        gone = keep(edges.join(free, [*keys, "over"], "left_semi").select(*keys, F.col("under").alias("_number")).distinct())
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        edges = keep(edges.join(gone.withColumnRenamed("_number", "over"), [*keys, "over"], "left_anti").join(gone.withColumnRenamed("_number", "under"), [*keys, "under"], "left_anti").select(*keys, "over", "under"))
+    kept = numbered if dropped is None else numbered.join(dropped, [*keys, "_number"], "left_anti")
+    return kept.select(boxes.columns)

@@ -1,8 +1,8 @@
 """From positioned glyphs, text chunks and drawn paths to styled lines.
 
 Tables: glyphs (doc_id, page, pos, code, weight, italic, font, size, x, y, height), chunks (doc_id, page, x, y, text), paths
-(doc_id, page, x0, y0, x1, y1, points, filled), where y grows upward. Everything is joined and windowed within a page, which
-bounds what one task holds; a page with more than a few thousand marks is no page of a printed thread.
+(doc_id, page, x0, y0, x1, y1, points, filled), where y grows upward. Windows run within a page; marks meet lines in bands of
+heights, so a crowded page is not paired with itself.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import trim_ws
 from threadloom.operators.geometry import upper_median
+from threadloom.operators.keeping import keep
 from threadloom.operators.runs import run
 
 PAGE = ["doc_id", "page"]
@@ -65,13 +66,25 @@ def glyph_lines(glyphs: DataFrame) -> DataFrame:
 def underlined(glyphs: DataFrame, underlines: DataFrame) -> DataFrame:
     """Glyphs of numbered lines with `under`: whether an underline of their page lies at or below their line's baseline, by 1.2 heights at most, and spans their x, a point's breadth aside."""
     first = F.first(F.struct("y", "height")).over(Window.partitionBy(*PAGE, "line").orderBy("pos"))
-    at = glyphs.withColumn("base", first)
+    at = keep(glyphs.withColumn("base", first))
     u = underlines.select(*PAGE, F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("y").alias("uy"))
-    near = (F.col("uy") >= F.col("base.y") - 1.2 * F.col("base.height")) & (F.col("uy") <= F.col("base.y")) & (F.col("x") >= F.col("u0") - 1) & (F.col("x") <= F.col("u1") + 1)
-    hit = at.join(u, PAGE).filter(near).select(*PAGE, "pos").distinct().withColumn("under", F.lit(True))
+    # lines meet the marks of their heights first, glyphs only those of their line
+    lines = at.select(*PAGE, "line", F.col("base.y").alias("high"), (F.col("base.y") - 1.2 * F.col("base.height")).alias("low")).distinct()
+    marks = by_height(lines, "low", "high").join(u.withColumn("_band", F.floor(F.col("uy") / HEIGHT_BAND)), [*PAGE, "_band"]).filter((F.col("uy") >= F.col("low")) & (F.col("uy") <= F.col("high"))).select(*PAGE, "line", "u0", "u1")
+    near = (F.col("x") >= F.col("u0") - 1) & (F.col("x") <= F.col("u1") + 1)
+    hit = at.select(*PAGE, "line", "pos", "x").join(marks, [*PAGE, "line"]).filter(near).select(*PAGE, "pos").distinct().withColumn("under", F.lit(True))
     return at.drop("base").join(hit, [*PAGE, "pos"], "left").withColumn("under", F.coalesce("under", F.lit(False)))
 
 
+#: Ranges of heights meet in bands of this height.
+HEIGHT_BAND = 16.0
+
+
+def by_height(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """rows once for each band of heights that they reach into."""
+    return rows.filter(F.col(low) <= F.col(high)).withColumn("_band", F.explode(F.sequence(F.floor(F.col(low) / HEIGHT_BAND), F.floor(F.col(high) / HEIGHT_BAND))))
+
+
 def styled_lines(glyphs: DataFrame) -> DataFrame:
     """(doc_id, page, line, plain, runs, x, y, height) of numbered glyphs: neighbours of one style, font and size are a run. Reads `under` where it is there."""
     bold, italic = font_style(F.col("font"), F.col("weight"), F.col("italic"))
@@ -89,9 +102,11 @@ def styled_lines(glyphs: DataFrame) -> DataFrame:
 
 def with_bullets(lines: DataFrame, bullets: DataFrame) -> DataFrame:
     """lines with is_bullet: whether a dot of the page stands at their height, left of them, within reach."""
-    b = bullets.select(*PAGE, F.col("x").alias("bx"), F.col("y").alias("by"))
-    near = (F.abs(F.col("by") - F.col("y")) <= F.greatest(F.col("height") * BAND, F.lit(LEAST_BAND))) & (F.col("bx") < F.col("x")) & (F.col("x") - F.col("bx") < BULLET_REACH)
-    hit = lines.join(b, PAGE).filter(near).select(*PAGE, "line").distinct().withColumn("is_bullet", F.lit(True))
+    b = bullets.select(*PAGE, F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("y") / HEIGHT_BAND).alias("_band"))
+    reach = F.greatest(F.col("height") * BAND, F.lit(LEAST_BAND))
+    near = (F.abs(F.col("by") - F.col("y")) <= reach) & (F.col("bx") < F.col("x")) & (F.col("x") - F.col("bx") < BULLET_REACH)
+    spots = lines.select(*PAGE, "line", "x", "y", "height", (F.col("y") - reach).alias("_low"), (F.col("y") + reach).alias("_high"))
+    hit = by_height(spots, "_low", "_high").join(b, [*PAGE, "_band"]).filter(near).select(*PAGE, "line").distinct().withColumn("is_bullet", F.lit(True))
     return lines.join(hit, [*PAGE, "line"], "left").withColumn("is_bullet", F.coalesce("is_bullet", F.lit(False)))
 
 
@@ -106,9 +121,14 @@ def chunk_lines(chunks: DataFrame) -> DataFrame:
 
 def with_indents(lines: DataFrame, scanned: DataFrame) -> DataFrame:
     """lines with x of the scanned line (see chunk_lines) nearest in height on their page, if that is within their height, else their own; of equally near ones the upper."""
-    s = scanned.select(*PAGE, F.col("x").alias("sx"), F.col("y").alias("sy"))
-    away = F.abs(F.col("sy") - F.col("y"))
-    best = lines.join(s, PAGE).groupBy(*PAGE, "line").agg(F.min_by(F.struct(away.alias("d"), F.col("sx").alias("x")), F.struct(away, -F.col("sy"))).alias("best"))
+    spot = F.struct(F.col("y").alias("y"), F.col("x").alias("x"))
+    marks = scanned.groupBy(*PAGE, "y").agg(F.min("x").alias("x")).select(*PAGE, "y", F.lit(0).alias("asked"), F.lit(None).cast(lines.schema["line"].dataType).alias("line"), spot.alias("spot"))
+    both = marks.unionByName(lines.select(*PAGE, "y", F.lit(1).alias("asked"), "line", F.lit(None).cast(marks.schema["spot"].dataType).alias("spot")))
+    side = lambda order: F.last("spot", True).over(Window.partitionBy(*PAGE).orderBy(order, "asked").rowsBetween(Window.unboundedPreceding, 0))
+    beside = both.withColumns({"_under": side(F.asc("y")), "_over": side(F.desc("y"))}).filter("asked = 1")
+    away = lambda c: F.abs(F.col(f"{c}.y") - F.col("y"))
+    upper = F.col("_under").isNull() | (F.col("_over").isNotNull() & (away("_over") <= away("_under")))
+    best = beside.select(*PAGE, "line", F.when(upper, F.struct(away("_over").alias("d"), F.col("_over.x").alias("x"))).otherwise(F.struct(away("_under").alias("d"), F.col("_under.x").alias("x"))).alias("best"))
     return lines.join(best, [*PAGE, "line"], "left").withColumn("x", F.when(F.col("best.d") <= F.greatest("height", F.lit(6.0)), F.col("best.x")).otherwise(F.col("x"))).drop("best")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators import geometry, glyphs, layout, runs
+from threadloom.operators import drawing, geometry, glyphs, layout, runs
 from threadloom.plans.common import LINES_SQL, NUMBERED, doc_lines, nation_grid, numbered, read
 from threadloom.plans.registry import query
 
@@ -237,3 +237,34 @@ def page_label_function(s: SparkSession, d: str) -> DataFrame:
     """Labels by a function, from page 2, page 3 hidden."""
     label = lambda page, total: F.format_string("p. %d of %d", page, total)
     return layout.page_labels(numbered(s, d).select(C("l_orderkey").alias("doc_id"), C("l_linenumber").alias("page")), first=2, style=label, hidden=(3,))
+
+
+def line_tokens(s: SparkSession, d: str, per_line: list[Column]) -> DataFrame:
+    """Drawing tokens of orders as pages, `per_line` for each line item in order."""
+    return numbered(s, d).select(C("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), C("l_linenumber").alias("k"), F.posexplode(F.filter(F.array(*per_line), lambda t: t["op"] != "")).alias("j", "t")).select("doc_id", "page", (C("k") * 16 + C("j")).alias("pos"), "t.*")
+
+
+def token(op: str | Column, *args: Column | float, name: Column | None = None, text: Column | None = None) -> Column:
+    numbers = F.array(*((x if isinstance(x, Column) else F.lit(x)).cast("double") for x in args)) if args else F.lit(None).cast("array<double>")
+    none = F.lit(None).cast("string")
+    return F.struct((op if isinstance(op, Column) else F.lit(op)).alias("op"), numbers.alias("args"), (none if name is None else name).alias("name"), (none if text is None else text).alias("text"))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS doc_id, n.l_linenumber AS k, l_partkey AS part, l_quantity AS qty FROM {NUMBERED} n),
+s AS (SELECT *, k // 2 AS h, coalesce(sum(CASE WHEN k % 2 = 1 THEN k * 2.0 ** ((k - 1) // 2) END) OVER w, 0) AS over_x, coalesce(sum(CASE WHEN k % 2 = 1 THEN qty * 2.0 ** ((k - 1) // 2) END) OVER w, 0) AS over_y FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, (k * 16 + 6 + 2 * b)::INT AS pos, (2.0 ** (h + 1) * 5 + over_x + 2.0 ** h * k)::DOUBLE AS x, (2.0 ** (h + 1) * (7 - 3 * b) + over_y + 2.0 ** h * qty)::DOUBLE AS y, 'F' || part % 3 AS font, ['a', 'b'][b + 1] || part AS text FROM s, (VALUES (0), (1)) v(b)""")
+def drawn_text(s: SparkSession, d: str) -> DataFrame:
+    """Two texts a line item, in scopes of twice the size of the one around; every second scope is closed again."""
+    part, even = C("l_partkey").cast("string"), C("l_linenumber") % 2 == 0
+    each = [token("q"), token("cm", 2, 0, 0, 2, C("l_linenumber"), C("l_quantity")), token("BT"), token("Td", 5, 7), token("TL", 3), token("Tf", 12, name=F.concat(F.lit("F"), C("l_partkey") % 3)), token("Tj", text=F.concat(F.lit("a"), part)), token("T*"), token("TJ", text=F.concat(F.lit("b"), part)), token("ET"), token(F.when(even, "Q").otherwise(""))]
+    return drawing.text_chunks(line_tokens(s, d, each)).drop("page")
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber * 10.0 AS x, l_quantity AS y, l_partkey % 5 AS kind FROM {NUMBERED})
+SELECT doc_id, CASE kind WHEN 0 THEN 'bullet' ELSE 'underline' END AS kind, CASE kind WHEN 0 THEN x + 2 WHEN 1 THEN x + 30 ELSE x + 10 END::DOUBLE AS x, CASE kind WHEN 0 THEN y + 2 WHEN 1 THEN y ELSE y - 0.5 END::DOUBLE AS y, CASE kind WHEN 0 THEN 2.0 END::DOUBLE AS radius FROM l WHERE kind IN (0, 1, 4)""")
+def drawn_shapes(s: SparkSession, d: str) -> DataFrame:
+    """A filled square, a stroked line, a stroked square, a path that is given up, and a thin filled band upside down, one for each line item."""
+    kind = C("l_partkey") % 5
+    pick = lambda *ops: F.element_at(F.array(*(F.lit(x) for x in ops)), (kind + 1).cast("int"))
+    each = [token("q"), token("cm", 1, 0, 0, 1, C("l_linenumber") * 10, C("l_quantity")), token(pick("re", "", "re", "", "re"), 0, 0, F.when(kind == 4, 20).otherwise(4), F.when(kind == 4, -1).otherwise(4)), token(pick("", "m", "", "m", ""), 0, 0), token(pick("", "l", "", "l", ""), 60, 0), token(pick("f", "S", "S", "n", "f*")), token("Q")]
+    return glyphs.shapes(drawing.painted_paths(line_tokens(s, d, each))).select("doc_id", "kind", "x", "y", "radius")
