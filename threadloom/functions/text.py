@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STAMP = r"\w{3},\s\w{3}\s\d{1,2},\s\d{4}\sat\s\d{1,2}:\d{2}\s(?:AM|PM)"
+# White space, letters and digits of patterns are those of Unicode: a narrow no-break space may stand ahead of AM.
+STAMP = r"(?U:\w{3},\s\w{3}\s\d{1,2},\s\d{4}\sat\s\d{1,2}:\d{2}\s(?:AM|PM))"
 ADDRESS = r"<([^>]+)>"
 LINK = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -57,7 +58,7 @@ def parse_date(s: Column) -> Column:
         return F.coalesce(*(F.when(bare.rlike(ahead), x) if ahead else x for (ahead, _), x in zip(FORMS, made, strict=True)))
 
     # an array of one, so that the text is trimmed once and the expression stays small
-    return F.element_at(F.transform(F.array(trim_ws(s)), read), 1)
+    return F.element_at(F.transform(F.array(F.regexp_replace(trim_ws(s), r"\p{Zs}", " ")), read), 1)
 
 
 def dates_match(a: Column, b: Column) -> Column:

@@ -131,7 +131,7 @@ def attachment_rows(blocks: DataFrame) -> DataFrame:
 
 
 # The introduction of a reply, and what a prompt costs.
-BOUNDARY_REPLY = r"^On\s+\w{3},?\s+.+?<.+@.+>\s+wrote:$"
+BOUNDARY_REPLY = r"(?U)^On\s+\w{3},?\s+.+?<.+@.+>\s+wrote:$"
 OVERHEAD, LEAST, CHARS_A_TOKEN = 400, 1024, 4
 
 

@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import trim_ws
 
-# Fixed patterns of the formats' print artefacts.
+# Fixed patterns of the formats' print artefacts; white space and digits are those of Unicode.
 LINES = {
-    "gmail": (r"^https://mail\.google\.com/", r"^\d{1,2}/\d{1,2}/\d{2}, \d{1,2}:\d{2} [AP]M\s+Gmail.*$", r"^Gmail\s*-\s*.*$", r"^\d{1,2}/\d{1,2}/\d{2}, \d{1,2}:\d{2} [AP]M$", r"^\d+/\d+$", r"^…\s*\d+/\d+$"),
-    "outlook": (r"^\d{1,2}/\d{1,2}/\d{2,4},? \d{1,2}:\d{2} [AP]M\s+Mail - .* - Outlook$", r"^https?://outlook\.(?:live|office)\.com/", r"^Outlook$", r"^\d+/\d+$"),
-    "apple": (r"^Page \d+ of \d+$", r"^\d+ / \d+$", r"^[-—\s]*[-—][-—\s]*$"),
+    "gmail": (
+        r"^https://mail\.google\.com/.*$",
+        r"^\d{1,2}/\d{1,2}/\d{2}, \d{1,2}:\d{2} (AM|PM)\s+Gmail.*",
+        r"^Gmail\s*-\s*.+$",
+        r"^\d{1,2}/\d{1,2}/\d{2},\s*\d{1,2}:\d{2}\s*(AM|PM)\s*$",
+        r"^\d+/\d+$",
+        r"^[…]\s*\d+/\d+$",
+    ),
+    "outlook": (
+        r"^\d{1,2}/\d{1,2}/\d{2,4},?\s*\d{1,2}:\d{2}\s*(AM|PM)\s+Mail\s*-\s*.+\s*-\s*Outlook$",
+        r"^https?://outlook\.(live|office)\.com/.*",
+        r"^Outlook\s*$",
+        r"^\d+/\d+\s*$",
+    ),
+    "apple": (r"^Page\s+\d+\s+of\s+\d+\s*$", r"^\d+\s*/\s*\d+\s*$", r"^[\s–—-]+$"),
 }
-INLINE = (r"\d{1,2}/\d{1,2}/\d{2},\s*\d{1,2}:\d{2}\s*(?:AM|PM)\s*", r"Gmail\s*-\s*[^\n]+?\s\d+\s", r"[A-Z][\w&;\s\-]+;\s*line\s+\d+\s")
+INLINE = (r"(?U)\d{1,2}/\d{1,2}/\d{2},\s*\d{1,2}:\d{2}\s*(?:AM|PM)\s*", r"(?U)Gmail\s*-\s*[^\n]+?\s\d+\s", r"(?U)[A-Z][\w&;\s\-]+;\s*line\s+\d+\s")
 #: What a text with a match of the last pattern, which looks far ahead, has in any case.
-SUBJECT_END = r";\s*line\s+\d+\s"
+SUBJECT_END = r"(?U);\s*line\s+\d+\s"
 #: (format, points, pattern, length of the head searched or 0 for all).
 SIGNS = (
     ("gmail", 3, r"mail\.google\.com", 0), ("outlook", 3, r"outlook\.(live|office)\.com", 0), ("protonMail", 3, r"mail\.proton\.me", 0), ("yahoo", 3, r"mail\.yahoo\.com", 0),
@@ -28,7 +40,7 @@ SIGNS = (
 def is_chrome(plain: Column, form: str) -> Column:
     hit = F.lit(False)
     for pattern in LINES[form]:
-        hit = hit | trim_ws(plain).rlike(pattern)
+        hit = hit | trim_ws(plain).rlike(f"(?U){pattern}")
     return hit
 
 
@@ -47,7 +59,7 @@ def strip_inline(text: Column) -> Column:
 
 def detect_format(texts: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, format, score): most points, unknown when none or on a tie. Each sign counts once."""
-    points = [F.when((F.substring("text", 1, head) if head else F.col("text")).rlike(pattern), n).otherwise(0).alias("p") for _, n, pattern, head in SIGNS]
+    points = [F.when((F.substring("text", 1, head) if head else F.col("text")).rlike(f"(?U){pattern}"), n).otherwise(0).alias("p") for _, n, pattern, head in SIGNS]
     forms = sorted({s[0] for s in SIGNS})
     total = {f: sum((p for p, s in zip(points, SIGNS, strict=True) if s[0] == f), F.lit(0)) for f in forms}
     scored = texts.select("doc_id", *(total[f].alias(f) for f in forms)).withColumn("score", F.greatest(*forms))

@@ -87,6 +87,19 @@ def page_split(rows: DataFrame, page_height: float, header: float = 0.0, slices:
     return placed.select(out).unionByName(sized.filter(F.col("size") >= room).withColumns(none).select(out))
 
 
+def grouped_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> DataFrame:
+    """(doc_id, seq, height, group) as (doc_id, seq, group, page, y, error): rows of one group, which are neighbours, stay together on a page; a group that no page holds is laid out row by row, as are rows without a group."""
+    room = round((page_height - header) * PARTS)
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    fresh = F.when(F.col("group").isNotNull() & F.lag("group").over(order).eqNullSafe(F.col("group")), 0).otherwise(1)
+    sized = rows.withColumn("size", F.round(F.col("height") * PARTS).cast("long")).withColumn("unit", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc_id", "unit")
+    kept = keep(sized.withColumn("fits", F.sum("size").over(whole) < room).withColumns({"lead": F.when(F.col("fits"), F.min("seq").over(whole)).otherwise(F.col("seq")), "above": F.when(F.col("fits"), F.sum("size").over(whole.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).otherwise(0)}))
+    units = kept.groupBy("doc_id", F.col("lead").alias("seq")).agg((F.sum("size").cast("double") / PARTS).alias("height"))
+    placed = page_split(units, page_height, header).select("doc_id", F.col("seq").alias("lead"), "page", F.col("y").alias("top"), "error")
+    return kept.join(placed, ["doc_id", "lead"]).select("doc_id", "seq", "group", "page", (F.col("top") + F.col("above").cast("double") / PARTS).alias("y"), "error")
+
+
 def column_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> DataFrame:
     """(doc_id, section, col, seq, height) as (doc_id, section, col, seq, page, y): columns of a section fill pages side by side, and a section begins on the page after the longest column of the one before."""
     flow = rows.select(F.struct("doc_id", "section", "col").alias("doc_id"), "seq", "height")
@@ -106,6 +119,30 @@ def text_pages(lines: DataFrame, chars: int, per_page: int) -> DataFrame:
     return each.withColumn("n", n).select("doc_id", "line_no", "part", F.expr(f"int(n div {per_page}) + 1").alias("page"), (F.col("n") % per_page + 1).cast("int").alias("row"), "plain")
 
 
+def word_lines(lines: DataFrame, width: int, advances: dict[str, int], other: int, per_page: int) -> DataFrame:
+    """(doc_id, line_no, plain) as (doc_id, line_no, part, page, row, plain): lines broken between words where the next word would pass `width`, on pages of `per_page` rows; no word is cut.
+
+    Characters are as wide as `advances` says, others `other`. A word wider than a line has one of its own. A break takes the
+    place of one space; other spaces stay.
+    """
+    known = F.create_map(*(F.lit(x) for pair in advances.items() for x in pair)) if advances else None
+    wide = (lambda c: F.coalesce(F.try_element_at(known, c), F.lit(other))) if advances else (lambda c: F.lit(other))
+    measured = lambda word: F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s + wide(c))
+    space = advances.get(" ", other)
+    words = F.transform(F.split(F.coalesce("plain", F.lit("")), " ", -1), lambda w: F.struct(w.alias("word"), (measured(w) + space).alias("size")))
+    line = keep(lines.select("doc_id", "line_no", words.alias("words")).withColumn("line", F.struct("doc_id", "line_no")))
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w["size"])
+    long_ones = line.filter(total > width + space)
+    each = keep(long_ones.select("line", F.posexplode("words").alias("at", "w")).select("line", "at", "w.word", "w.size", F.lit(True).alias("may_start")))
+    starts = greedy_starts(each.drop("word"), "line", F.lit(width + space + 1).cast("long")).withColumn("begins", F.lit(1))
+    part = F.sum(F.coalesce("begins", F.lit(0))).over(Window.partitionBy("line").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    broken = each.join(starts, ["line", "at"], "left").withColumn("part", part.cast("int")).groupBy("line", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("plain"))
+    whole = line.filter(total <= width + space).select("line", F.lit(0).alias("part"), F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("plain"))
+    rows = whole.unionByName(broken).select("line.doc_id", "line.line_no", "part", "plain")
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "part")) - 1
+    return rows.withColumn("n", n).select("doc_id", "line_no", "part", F.expr(f"int(n div {per_page}) + 1").alias("page"), (F.col("n") % per_page + 1).cast("int").alias("row"), "plain")
+
+
 #: The containers of a page by region.
 REGIONS = {"header": ("headerLeft", "headerCenter", "headerRight"), "content": ("contentLeft", "contentCenter", "contentRight"), "footer": ("footerLeft", "footerCenter", "footerRight")}
 

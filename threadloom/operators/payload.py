@@ -100,7 +100,7 @@ def style_replay(df: DataFrame, body: str, source: str) -> DataFrame:
 
 
 # The rows of a forwarded block, and how many rows below its sender are looked at, for its fields and to accept it.
-SENT, TO, SUBJECT, SENDER = r"^Sent:\s*(.+)$", r"^To:\s*(.+)$", r"^Subject:\s*(.+)$", r"^From:\s*(.+?)\s*<([^>]+)>\s*$"
+SENT, TO, SUBJECT, SENDER = r"(?U)^Sent:\s*(.+)$", r"(?U)^To:\s*(.+)$", r"(?U)^Subject:\s*(.+)$", r"(?U)^From:\s*(.+?)\s*<([^>]+)>\s*$"
 FIELD_ROWS, SIGN_ROWS = 5, 4
 
 

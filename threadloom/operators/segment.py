@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import STAMP, trim_ws
 
 HIDDEN = "[Quoted text hidden]"
-REPLY = r"^On\s+\w{3},?\s+.*<[^>]*@[^>]*>\s+wrote:\s*$"
+# Fixed patterns: a reply's introduction, and the first row of a forwarded message.
+REPLY = r"(?U)^On\s+\w{3},?\s+.+?<.+@.+>\s+wrote:\s*$"
+FORWARD = r"(?U)^From:\s+.+<.+@.+>"
 
 
 def by_line():
@@ -25,12 +27,12 @@ def in_block():
 
 def is_header(plain: Column) -> Column:
     """Ends in a full stamp, and starts with a name and an address."""
-    return plain.rlike(rf"\s+{STAMP}\s*$") & F.regexp_replace(plain, rf"\s+{STAMP}\s*$", "").rlike(r"^.+?\s+<[^>]+>")
+    return plain.rlike(rf"(?U)\s+{STAMP}\s*$") & F.regexp_replace(plain, rf"(?U)\s+{STAMP}\s*$", "").rlike(r"(?U)^.+?\s+<[^>]+>")
 
 
 def is_forward(plain: Column, window=None) -> Column:
     """A From row with an address, and a Sent row among itself and the next four lines."""
-    return plain.rlike(r"^From:\s+.*<[^>]*@[^>]*>") & (F.max(plain.startswith("Sent:").cast("int")).over((window or by_line()).rowsBetween(0, 4)) == 1)
+    return plain.rlike(FORWARD) & (F.max(plain.startswith("Sent:").cast("int")).over((window or by_line()).rowsBetween(0, 4)) == 1)
 
 
 def segment(lines: DataFrame, header: Column | None = None) -> DataFrame:
@@ -43,10 +45,10 @@ def segment(lines: DataFrame, header: Column | None = None) -> DataFrame:
 def header_fields(blocks: DataFrame) -> DataFrame:
     """Per message: doc_id, idx, from_name, from_email, date_raw, inline_to."""
     p = F.col("plain")
-    lead = F.regexp_replace(p, rf"\s+{STAMP}\s*$", "")
-    rest = trim_ws(F.regexp_replace(lead, r"^.+?\s+<[^>]+>", ""))
+    lead = F.regexp_replace(p, rf"(?U)\s+{STAMP}\s*$", "")
+    rest = trim_ws(F.regexp_replace(lead, r"(?U)^.+?\s+<[^>]+>", ""))
     return blocks.filter("idx > 0 and pos = 1").select(
-        "doc_id", "idx", trim_ws(F.regexp_extract(p, r"^(.+?)\s+<", 1)).alias("from_name"), F.regexp_extract(p, "<([^>]+)>", 1).alias("from_email"), F.regexp_extract(p, f"({STAMP})\\s*$", 1).alias("date_raw"), trim_ws(F.regexp_replace(rest, "^To:", "")).alias("inline_to")
+        "doc_id", "idx", trim_ws(F.regexp_extract(p, r"(?U)^(.+?)\s+<", 1)).alias("from_name"), F.regexp_extract(p, "<([^>]+)>", 1).alias("from_email"), F.regexp_extract(p, f"(?U)({STAMP})\\s*$", 1).alias("date_raw"), trim_ws(F.regexp_replace(rest, "^To:", "")).alias("inline_to")
     )
 
 

@@ -18,12 +18,12 @@ from threadloom.operators.segment import backfill_to, by_line, is_header, of_blo
 
 def row(label: str) -> str:
     """The pattern of a labelled row, its value in group 1."""
-    return rf"^(?:{label})\s+(.+?)\s*$"
+    return rf"(?U)^(?:{label})\s+(.+?)\s*$"
 
 
 def sender(label: str) -> str:
     """The pattern of a row with a name and an address in brackets."""
-    return rf"^{label}\s+(.+?)\s+<([^>]+)>\s*$"
+    return rf"(?U)^{label}\s+(.+?)\s+<([^>]+)>\s*$"
 
 
 # What the formats call their rows, how they introduce a reply, and how many rows a header may have.
@@ -46,12 +46,12 @@ class Style:
 
 
 OUTLOOK = Style(
-    top=sender("From"), rows={"date_raw": row("Sent|Date"), "to": row("To"), "cc": row("Cc")}, height=6, reply=r"^On\s+.+?<.+@.+>\s+wrote:\s*$",
-    parts=rf"^On\s+(.+?{TIME}(?:AM|PM|am|pm)?{ZONE}),?\s+(.+?)\s+<([^>]+)>\s+wrote:\s*$", sent=row("Sent:"), fill_to=True,
+    top=sender("From"), rows={"date_raw": row("Sent|Date"), "to": row("To"), "cc": row("Cc")}, height=6, reply=r"(?U)^On\s+.+?<.+@.+>\s+wrote:\s*$",
+    parts=rf"(?U)^On\s+(.+?{TIME}(?:AM|PM|am|pm)?{ZONE}),?\s+(.+?)\s+<([^>]+)>\s+wrote:\s*$", sent=row("Sent:"), fill_to=True,
 )
 APPLE = Style(
-    top=sender("From:"), rows={"subject": row("Subject:"), "date_raw": row("Date:"), "to": row("To:"), "cc": row("Cc:"), "bcc": row("Bcc:")}, height=8, reply=rf"^On\s+.+?,?\s+at\s+{TIME}(?:AM|PM)?{ZONE},?\s+.+?<[^>]+>\s+wrote:\s*$",
-    parts=rf"^On\s+(.+?{TIME}(?:AM|PM)?{ZONE}),\s+(.+?)\s+<([^>]+)>\s+wrote:\s*$", sent=row("(?:Sent|Date):"), nameless=row("From:"), fallback=r"^On\s+(.+?wrote)\b",
+    top=sender("From:"), rows={"subject": row("Subject:"), "date_raw": row("Date:"), "to": row("To:"), "cc": row("Cc:"), "bcc": row("Bcc:")}, height=8, reply=rf"(?U)^On\s+.+?,?\s+at\s+{TIME}(?:AM|PM)?{ZONE},?\s+.+?<[^>]+>\s+wrote:\s*$",
+    parts=rf"(?U)^On\s+(.+?{TIME}(?:AM|PM)?{ZONE}),\s+(.+?)\s+<([^>]+)>\s+wrote:\s*$", sent=row("(?:Sent|Date):"), nameless=row("From:"), fallback=r"(?U)^On\s+(.+?wrote)\b",
 )
 
 
@@ -172,7 +172,7 @@ def fold_headers(lines: DataFrame, reach: int = 6) -> DataFrame:
     base = lines.withColumns({"p": trim_ws(F.coalesce("plain", F.lit(""))), "n": F.row_number().over(w)})
     coded = base.withColumn("code", F.when(p.rlike(f"^{STAMP}$"), "s").when(go_on, "c").otherwise("x"))
     ahead = F.regexp_extract(F.array_join(F.collect_list("code").over(w.rowsBetween(1, reach)), ""), "^c*s", 0)
-    opens = p.rlike(r"^.+?\s+<[^>]+@[^>]+>") & ~is_header(p) & (F.length("ahead") > 0)
+    opens = p.rlike(r"(?U)^.+?\s+<[^>]+@[^>]+>") & ~is_header(p) & (F.length("ahead") > 0)
     aimed = coded.withColumns({"ahead": ahead, "next": F.collect_list(F.coalesce("plain", F.lit(""))).over(w.rowsBetween(1, reach))}).withColumn("aim", F.when(opens, F.col("n") + F.length("ahead")))
     before = aimed.withColumn("taken", F.coalesce(F.max("aim").over(w.rowsBetween(-reach, -1)), F.lit(0)))
     merged = F.concat(F.coalesce("plain", F.lit("")), F.lit(" "), F.expr("try_element_at(next, length(ahead))"))

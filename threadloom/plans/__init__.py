@@ -77,7 +77,7 @@ def chrome_lines(s: SparkSession, d: str) -> DataFrame:
 BAND = " 4/30/26,  3:48 AM  on; line\nGmail -  Re: a (b) 12 next Project Falcon & Co-op 2;  line 4060 end Xy; Zw; line 7 "
 
 
-@query(r"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(t, '\d{1,2}/\d{1,2}/\d{2},\s*\d{1,2}:\d{2}\s*(AM|PM)\s*', '', 'g'), 'Gmail\s*-\s*[^\n]+?\s\d+\s', '', 'g'), '[A-Z][\w&;\s\-]+;\s*line\s+\d+\s', '', 'g'), '  ', ' ') AS text
+@query(r"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(t, '\d{1,2}/\d{1,2}/\d{2},[\s\p{Z}]*\d{1,2}:\d{2}[\s\p{Z}]*(AM|PM)[\s\p{Z}]*', '', 'g'), 'Gmail[\s\p{Z}]*-[\s\p{Z}]*[^\n]+?[\s\p{Z}]\d+[\s\p{Z}]', '', 'g'), '[A-Z][\p{L}\p{M}\p{Nd}\p{Pc}&;\s\p{Z}\-]+;[\s\p{Z}]*line[\s\p{Z}]+\d+[\s\p{Z}]', '', 'g'), '  ', ' ') AS text
 FROM (SELECT doc_id, coalesce(text, '') || E'""" + BAND.replace("\n", "\\n") + """' AS t FROM documents)""")
 def inline_chrome(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "documents").select("doc_id", chrome.strip_inline(F.concat(F.coalesce("text", F.lit("")), F.lit(BAND))).alias("text"))
@@ -91,6 +91,14 @@ def detect_format(s: SparkSession, d: str) -> DataFrame:
     return chrome.detect_format(mail(s, d).groupBy("doc_id").agg(text.alias("text")))
 
 
+@query(BLOCKS + FIELDS + """ SELECT doc_id, idx, from_name, from_email, strftime(strptime(regexp_replace(date_raw, '^\\w{3},\\s', ''), '%b %-d, %Y at %-I:%M %p'), '%Y-%m-%d %H:%M:%S') AS at FROM fields""")
+def spaced_headers(s: SparkSession, d: str) -> DataFrame:
+    """Headers as some systems print them: a narrow no-break space ahead of AM and PM, no-break ones elsewhere."""
+    plain = F.when(segment.is_header(F.col("plain")), F.regexp_replace(F.regexp_replace("plain", " (AM|PM)$", "\u202f$1"), " (<|at )", "\u00a0$1")).otherwise(F.col("plain"))
+    f = segment.header_fields(segment.segment(mail(s, d).withColumn("plain", plain)))
+    return f.select("doc_id", "idx", "from_name", "from_email", F.date_format(t.parse_date(F.col("date_raw")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query(BLOCKS + FIELDS + r""" SELECT doc_id, idx, lower(trim(from_name)) AS name, lower(from_email) AS email, strftime(strptime(regexp_replace(date_raw, '^\w{3},\s', ''), '%b %-d, %Y at %-I:%M %p'), '%Y-%m-%d %H:%M:%S') AS at, [lower(from_email)] AS addresses FROM fields""")
 def normalize_fields(s: SparkSession, d: str) -> DataFrame:
     f, c = segment.header_fields(segment.segment(mail(s, d))), F.col

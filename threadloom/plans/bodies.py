@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as t
-from threadloom.operators import blocks, chrome, runs
+from threadloom.operators import blocks, chrome, naming, runs
 from threadloom.plans.common import LINES_SQL, MAIL_SQL, TRIM, doc_lines, mail, read
 from threadloom.plans.registry import query
 
@@ -202,8 +202,20 @@ SELECT c_custkey, stem || CASE WHEN copy = 1 THEN '' WHEN copy <= 999 THEN ' ('
 def output_names(s: SparkSession, d: str) -> DataFrame:
     """Five names for all customers, so nearly all collide."""
     named = read(s, d, "customer").select("c_custkey", t.safe_filename(F.concat(F.lit(': a/b  "'), "c_mktsegment", F.lit('"?'))).alias("name"))
-    placed = named.withColumn("copy", F.row_number().over(Window.partitionBy("name").orderBy("c_custkey")))
-    return placed.select("c_custkey", t.collision_name(F.col("name"), F.col("copy")).alias("name"), "copy")
+    return naming.distinct_names(named, "c_custkey").select("c_custkey", F.col("output").alias("name"), F.col("place").alias("copy"))
+
+
+@query("""WITH g AS (SELECT c_custkey, c_mktsegment || CASE WHEN c_custkey % 50 = 0 THEN ' (' || (2 + c_custkey // 50 % 5) || ').pdf' ELSE '.pdf' END AS name FROM customer), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY c_custkey) AS place FROM g),
+used AS (SELECT DISTINCT name FROM g UNION SELECT c_mktsegment || '.pdf' FROM customer WHERE c_mktsegment < 'C'),
+m AS (SELECT DISTINCT name FROM g), marks AS (SELECT m.name, k, replace(m.name, '.pdf', CASE WHEN k = 1 THEN '' ELSE ' (' || k || ')' END || '.pdf') AS output FROM m, (SELECT unnest(range(1, 1000)) AS k) r),
+free AS (SELECT marks.name, k, output, row_number() OVER (PARTITION BY marks.name ORDER BY k) AS place FROM marks LEFT JOIN used ON used.name = marks.output WHERE used.name IS NULL OR (k = 1 AND NOT (marks.name NOT LIKE '%(%' AND marks.name < 'C')))
+SELECT c_custkey, coalesce(output, replace(n.name, '.pdf', '-' || sha256(n.name || '/' || (n.place + CASE WHEN EXISTS (SELECT 1 FROM used u WHERE u.name <> n.name AND u.name LIKE replace(n.name, '.pdf', ' (%).pdf')) OR n.name < 'C' THEN 999 ELSE 0 END))[1:6] || '.pdf')) AS name FROM n LEFT JOIN free USING (name, place)""")
+def taken_names(s: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth customer has a name that copies of another one would take, and some names are on disk already."""
+    k = F.col("c_custkey")
+    named = read(s, d, "customer").select("c_custkey", F.concat("c_mktsegment", F.when(k % 50 == 0, F.concat(F.lit(" ("), F.expr("2 + c_custkey div 50 % 5"), F.lit(").pdf"))).otherwise(".pdf")).alias("name"))
+    there = read(s, d, "customer").filter("c_mktsegment < 'C'").select(F.concat("c_mktsegment", F.lit(".pdf")).alias("name"))
+    return naming.distinct_names(named, "c_custkey", taken=there).select("c_custkey", F.col("output").alias("name"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'thread' ELSE 'c' || o_custkey || '@x.io' END || ' Re_ ' || o_orderpriority || ' - ' || strftime(o_orderdate, '%Y.%m.%d %H_%M') || '.pdf' AS name FROM orders""")
@@ -227,8 +239,8 @@ def format_signs(s: SparkSession, d: str) -> DataFrame:
 
 #: Lines, and for outlook and apple whether printing adds them.
 ARTEFACTS = (
-    ("4/30/26, 3:48 AM  Mail - Ana - Outlook", True, False), ("4/30/2026 3:48 PM Mail - Ana - Outlook", True, False), ("https://outlook.office.com/mail/x", True, False), ("Outlook", True, False), ("Outlook is", False, False), ("1/3", True, False), ("Page 1 of 3", False, True), ("Page one", False, False), ("1 / 3", False, True),
-    (" — - ", False, True), ("- x", False, False), ("", False, False),
+    ("4/30/26, 3:48 AM  Mail - Ana - Outlook", True, False), ("4/30/2026 3:48 PM Mail - Ana - Outlook", True, False), ("https://outlook.office.com/mail/x", True, False), ("Outlook", True, False), ("Outlook is", False, False), ("1/3", True, True), ("Page 1 of 3", False, True), ("Page one", False, False), ("1 / 3", False, True),
+    (" — – - ", False, True), ("Page  1 of 3", False, True), ("4/30/26 3:48PM Mail - Ana - Outlook", True, False), ("Mail -Ana- Outlook", False, False), ("- x", False, False), ("", False, False),
 )
 
 
@@ -279,3 +291,36 @@ def file_hashes(s: SparkSession, d: str) -> DataFrame:
 def sample_docs(s: SparkSession, d: str) -> DataFrame:
     """A sample of one document in ten, the operator's own feature; its hash has no counterpart in DuckDB."""
     return read(s, d, "documents").filter(t.sampled(F.col("doc_id"), 10)).select("doc_id")
+
+
+NARROW, HARD = "\u202f", "\u00a0"
+
+
+def printed_lines(s: SparkSession, d: str) -> DataFrame:
+    """What printing adds to an order's page, in its own words: stamps, headings, addresses and page numbers, with the spaces that systems put there."""
+    at = lambda form: F.date_format("o_orderdate", form)
+    band, what, k = at("M/d/yy, h:mm a"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string")
+    same = [band, F.replace(band, F.lit(", "), F.lit(",")), F.concat(at("M/d/yy"), F.lit(f",{HARD}  "), at("h:mma")), F.concat(at("M/d/yy, h:mm"), F.lit(NARROW), at("a")), F.concat(band, F.lit(f"{HARD}Gmail "), what), F.concat(at("M/d/yy, h:mm"), F.lit(NARROW), at("a"), F.lit(" Gmail"))]
+    named = [F.concat(F.lit("Gmail - "), what), F.lit("Gmail -"), F.concat(F.lit(f"Gmail{HARD}-"), k), F.concat(k, F.lit("/20")), F.concat(F.lit(f"…{NARROW}"), k, F.lit("/20")), F.concat(F.lit("https://mail.google.com/"), k), F.concat(F.lit(f"Page{HARD}"), k, F.lit("  of 9")), F.concat(k, F.lit(" / 7")), F.concat(k, F.lit(f"{HARD}/{NARROW}7"))]
+    others = [F.concat(at("M/d/yyyy h:mma"), F.lit(" Mail - "), what, F.lit(" - Outlook")), F.concat(at("M/d/yy, h:mm"), F.lit(NARROW), at("a"), F.lit(f" Mail{HARD}-"), what, F.lit("- Outlook")), F.concat(F.lit("Mail - "), what, F.lit(" - Outlook")), F.concat(F.lit("https://outlook.live.com/"), k), F.lit(" Outlook "), F.lit(" – — -"), what, F.lit(HARD)]
+    return read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*same, *named, *others)).alias("line_no", "plain"))
+
+
+BAND_SQL, SPACE = "strftime(o_orderdate, '%-m/%-d/%y, %-I:%M %p')", r"[\s\p{Z}]"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey::VARCHAR AS k, o_orderpriority AS what, {BAND_SQL} AS band, strftime(o_orderdate, '%-m/%-d/%y') AS day, strftime(o_orderdate, '%-I:%M') AS clock, strftime(o_orderdate, '%p') AS half, strftime(o_orderdate, '%-m/%-d/%Y') AS long_day FROM orders),
+x AS (SELECT doc_id, [band, replace(band, ', ', ','), day || ',{HARD}  ' || clock || half, day || ', ' || clock || '{NARROW}' || half, band || '{HARD}Gmail ' || what, day || ', ' || clock || '{NARROW}' || half || ' Gmail',
+'Gmail - ' || what, 'Gmail -', 'Gmail{HARD}-' || k, k || '/20', '…{NARROW}' || k || '/20', 'https://mail.google.com/' || k, 'Page{HARD}' || k || '  of 9', k || ' / 7', k || '{HARD}/{NARROW}7',
+long_day || ' ' || clock || half || ' Mail - ' || what || ' - Outlook', day || ', ' || clock || '{NARROW}' || half || ' Mail{HARD}-' || what || '- Outlook', 'Mail - ' || what || ' - Outlook', 'https://outlook.live.com/' || k, ' Outlook ', ' – — -', what, '{HARD}'] AS xs FROM o),
+l AS (SELECT doc_id, unnest(xs) AS plain, generate_subscripts(xs, 1)::INT - 1 AS line_no FROM x), t AS (SELECT *, {TRIM.format("plain")} AS p FROM l)
+SELECT doc_id, line_no, p <> '' AND (regexp_matches(p, '^https://mail\\.google\\.com/.*$') OR regexp_matches(p, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{2}}, \\d{{1,2}}:\\d{{2}} (AM|PM){SPACE}+Gmail.*') OR regexp_matches(p, '^Gmail{SPACE}*-{SPACE}*.+$') OR regexp_matches(p, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{2}},{SPACE}*\\d{{1,2}}:\\d{{2}}{SPACE}*(AM|PM){SPACE}*$') OR regexp_matches(p, '^\\d+/\\d+$') OR regexp_matches(p, '^…{SPACE}*\\d+/\\d+$')) AS gmail,
+p <> '' AND (regexp_matches(p, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}},?{SPACE}*\\d{{1,2}}:\\d{{2}}{SPACE}*(AM|PM){SPACE}+Mail{SPACE}*-{SPACE}*.+{SPACE}*-{SPACE}*Outlook$') OR regexp_matches(p, '^https?://outlook\\.(live|office)\\.com/.*') OR regexp_matches(p, '^Outlook{SPACE}*$') OR regexp_matches(p, '^\\d+/\\d+{SPACE}*$')) AS outlook,
+p <> '' AND (regexp_matches(p, '^Page{SPACE}+\\d+{SPACE}+of{SPACE}+\\d+{SPACE}*$') OR regexp_matches(p, '^\\d+{SPACE}*/{SPACE}*\\d+{SPACE}*$') OR regexp_matches(p, '^[\\s\\p{{Z}}–—-]+$')) AS apple FROM t""")
+def artefact_lines(s: SparkSession, d: str) -> DataFrame:
+    """Which of the lines that printing adds each format drops."""
+    lines = printed_lines(s, d)
+    for form in ("gmail", "outlook", "apple"):
+        left = chrome.drop_chrome(lines.select("doc_id", "line_no", "plain"), form).select("doc_id", "line_no", F.lit(False).alias(form))
+        lines = lines.join(left, ["doc_id", "line_no"], "left").withColumn(form, F.coalesce(form, F.lit(True)))
+    return lines.drop("plain")

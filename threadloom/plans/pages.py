@@ -268,3 +268,26 @@ def drawn_shapes(s: SparkSession, d: str) -> DataFrame:
     pick = lambda *ops: F.element_at(F.array(*(F.lit(x) for x in ops)), (kind + 1).cast("int"))
     each = [token("q"), token("cm", 1, 0, 0, 1, C("l_linenumber") * 10, C("l_quantity")), token(pick("re", "", "re", "", "re"), 0, 0, F.when(kind == 4, 20).otherwise(4), F.when(kind == 4, -1).otherwise(4)), token(pick("", "m", "", "m", ""), 0, 0), token(pick("", "l", "", "l", ""), 60, 0), token(pick("f", "S", "S", "n", "f*")), token("Q")]
     return glyphs.shapes(drawing.painted_paths(line_tokens(s, d, each))).select("doc_id", "kind", "x", "y", "radius")
+
+
+ADVANCES = {"i": 250, "j": 250, "l": 250, ".": 250, ",": 250, " ": 300, "m": 800, "w": 700}
+
+
+@query(LINES_SQL.replace("lines AS (", "given AS (") + """, w AS (SELECT doc_id, line_no, unnest(string_split(plain, ' ')) AS word, generate_subscripts(string_split(plain, ' '), 1) AS k FROM given),
+m AS (SELECT *, length(word) * 500 - 250 * length(regexp_replace(word, '[^ijl.,]', '', 'g')) + 300 * length(regexp_replace(word, '[^m]', '', 'g')) + 200 * length(regexp_replace(word, '[^w]', '', 'g')) + 300 AS size FROM w),
+p AS (SELECT doc_id, line_no, k, word, 0 AS part, size AS used FROM m WHERE k = 1 UNION ALL SELECT m.doc_id, m.line_no, m.k, m.word, CASE WHEN p.used + m.size > 40300 THEN p.part + 1 ELSE p.part END, CASE WHEN p.used + m.size > 40300 THEN m.size ELSE p.used + m.size END FROM p JOIN m ON m.doc_id = p.doc_id AND m.line_no = p.line_no AND m.k = p.k + 1),
+r AS (SELECT doc_id, line_no, part, string_agg(word, ' ' ORDER BY k) AS plain FROM p GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1 AS n FROM r)
+SELECT doc_id, line_no, part::INT AS part, (n // 40 + 1)::INT AS page, (n % 40 + 1)::INT AS row, plain FROM n""")
+def word_lines(s: SparkSession, d: str) -> DataFrame:
+    """Whole texts broken between words by the widths of their letters."""
+    return layout.word_lines(doc_lines(s, d), 40_000, ADVANCES, 500, 40)
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT l_orderkey AS doc_id, l_linenumber AS seq, (l_linenumber // 3)::INT AS g, l_quantity AS h FROM {NUMBERED}), t AS (SELECT doc_id, g, sum(h) AS total FROM r GROUP BY ALL),
+u AS (SELECT doc_id, min(seq) AS lead, sum(h) AS h, any_value(g) AS g, true AS fits FROM r JOIN t USING (doc_id, g) WHERE total < 90 GROUP BY doc_id, g UNION ALL SELECT doc_id, seq, h, g, false FROM r JOIN t USING (doc_id, g) WHERE total >= 90), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lead) AS k FROM u),
+p AS (SELECT doc_id, k, g, lead, fits, 1 AS page, 10.0::DOUBLE AS y, 10 + h AS next FROM k WHERE k = 1 UNION ALL SELECT k.doc_id, k.k, k.g, k.lead, k.fits, CASE WHEN p.next + k.h >= 100 THEN p.page + 1 ELSE p.page END, CASE WHEN p.next + k.h >= 100 THEN 10 ELSE p.next END, CASE WHEN p.next + k.h >= 100 THEN 10 + k.h ELSE p.next + k.h END FROM p JOIN k ON k.doc_id = p.doc_id AND k.k = p.k + 1)
+SELECT r.doc_id, r.seq, r.g AS "group", p.page, (p.y + CASE WHEN p.fits THEN coalesce(sum(r.h) OVER (PARTITION BY r.doc_id, r.g ORDER BY r.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END)::DOUBLE AS y FROM r JOIN p ON p.doc_id = r.doc_id AND p.g = r.g AND (p.fits OR p.lead = r.seq)""")
+def grouped_pages(s: SparkSession, d: str) -> DataFrame:
+    """Line items that stay together by threes, unless they are higher than a page."""
+    rows = numbered(s, d).select(C("l_orderkey").alias("doc_id"), C("l_linenumber").alias("seq"), C("l_quantity").alias("height"), F.expr("int(l_linenumber div 3)").alias("group"))
+    return layout.grouped_pages(rows, 100.0, 10.0).drop("error")

@@ -83,10 +83,12 @@ def worst_similarity(s: SparkSession, d: str) -> DataFrame:
     return report.worst_similarity(numbered(s, d).select(C("l_orderkey").alias("doc_id"), F.when(C("l_partkey") % 3 > 0, 1 - C("l_quantity") / 100).alias("similarity")))
 
 
-@query(f"SELECT l_orderkey AS doc_id, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_linenumber END AS l_idx, CASE WHEN l_partkey % 3 = 1 THEN NULL ELSE (l_partkey % 5)::INT END AS r_idx, l_linenumber AS id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_linenumber END, l_partkey % 5), l_partkey % 3 = 0, CASE WHEN l_partkey % 3 = 1 THEN NULL ELSE l_partkey % 5 END NULLS FIRST))::INT AS place FROM {NUMBERED} WHERE l_linenumber <= 1")
+@query(f"""WITH n AS (SELECT l_orderkey AS doc_id, l_linenumber AS id, l_partkey % 3 AS k, count(*) OVER (PARTITION BY l_orderkey) + 1 - l_linenumber AS back FROM {NUMBERED}), p AS (SELECT doc_id, id, CASE WHEN k <> 0 THEN id END::INT AS l_idx, CASE WHEN k <> 1 THEN back END::INT AS r_idx FROM n)
+SELECT a.doc_id, a.id, a.l_idx, a.r_idx, (1 + count(b.id))::INT AS place FROM p a LEFT JOIN p b ON b.doc_id = a.doc_id AND (coalesce(b.l_idx, b.r_idx) < coalesce(a.l_idx, a.r_idx) OR (coalesce(b.l_idx, b.r_idx) = coalesce(a.l_idx, a.r_idx) AND b.l_idx IS NOT NULL AND a.l_idx IS NULL)) GROUP BY ALL""")
 def pair_order(s: SparkSession, d: str) -> DataFrame:
-    k = C("l_partkey") % 3
-    rows = numbered(s, d).filter("l_linenumber <= 1").select(C("l_orderkey").alias("doc_id"), F.when(k != 0, C("l_linenumber")).alias("l_idx"), F.when(k != 1, (C("l_partkey") % 5).cast("int")).alias("r_idx"), C("l_linenumber").alias("id"))
+    """All items of an order: pairs that run against each other, and unpaired ones of either side."""
+    k, back = C("l_partkey") % 3, F.count("*").over(Window.partitionBy("l_orderkey")) + 1 - C("l_linenumber")
+    rows = numbered(s, d).select(C("l_orderkey").alias("doc_id"), F.when(k != 0, C("l_linenumber")).alias("l_idx"), F.when(k != 1, back.cast("int")).alias("r_idx"), C("l_linenumber").alias("id"))
     return diffing.in_pair_order(rows)
 
 
