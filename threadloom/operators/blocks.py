@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import trim_ws
-from threadloom.operators.keeping import keep
-from threadloom.operators.pointers import greedy_starts
+from threadloom.operators.pointers import with_starts
 from threadloom.operators.segment import is_header
 
 # Attachment extensions, abbreviations after which no paragraph starts, what a paragraph may start with, and lengths.
@@ -156,10 +155,9 @@ def chunk_pack(lines: DataFrame, tokens: int) -> DataFrame:
     whole = F.sum("size").over(Window.partitionBy("doc_id")) - 1
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
     sized = lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), at.alias("at"), (F.length(F.coalesce("plain", F.lit(""))) + 1).cast("long").alias("size"), is_boundary(F.col("plain")).alias("boundary"))
-    sized = keep(sized.withColumn("large", token_estimate(whole) > tokens))
-    starts = greedy_starts(sized.filter("large").select("doc_id", "at", "size", F.col("boundary").alias("may_start")), "doc_id", F.lit(budget + 1).cast("long"))
-    begun = sized.join(starts.withColumn("begins", F.lit(1)), ["doc_id", "at"], "left")
-    chunk = F.sum(F.coalesce("begins", (F.col("at") == 1).cast("int"))).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    sized = sized.withColumns({"may_start": F.col("boundary") & (token_estimate(whole) > tokens), "many": F.count("*").over(Window.partitionBy("doc_id"))})
+    begun = with_starts(sized.drop("boundary"), "doc_id", budget + 1)
+    chunk = F.sum(F.col("begins").cast("int")).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     return begun.select("doc_id", "line_no", chunk.cast("int").alias("chunk"))
 
 

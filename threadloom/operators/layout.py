@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import roman
 from threadloom.operators.keeping import keep
-from threadloom.operators.pointers import greedy_starts, nearest_smaller, to_root
+from threadloom.operators.pointers import greedy_starts, nearest_smaller, to_root, with_starts
 
 
 def merge_spans(cells: DataFrame) -> DataFrame:
@@ -76,11 +76,8 @@ def page_split(rows: DataFrame, page_height: float, header: float = 0.0, slices:
         top = F.greatest("start", F.col("p") * room)
         whole = F.when((F.col("part") == 0) & (F.col("stop") <= (F.col("p") + 1) * room), F.col("height")).otherwise(fixed(F.least("stop", (F.col("p") + 1) * room) - top))
         return cut.select("doc_id", "seq", "part", whole.alias("height"), (F.col("p") + 1).cast("int").alias("page"), (header + fixed(top - F.col("p") * room)).alias("y"), F.lit(None).cast("string").alias("error"))
-    flow = sized.filter(F.col("size") < room).withColumns({"at": F.row_number().over(order), "stop": stop})
-    several = F.max("stop").over(Window.partitionBy("doc_id")) >= room
-    flow = keep(flow.withColumn("several", several))
-    starts = greedy_starts(flow.filter("several").select("doc_id", "at", "size", F.lit(True).alias("may_start")), "doc_id", F.lit(room).cast("long"))
-    begun = flow.join(starts.withColumn("begins", F.lit(True)), ["doc_id", "at"], "left").withColumn("begins", F.coalesce("begins", F.col("at") == 1))
+    flow = sized.filter(F.col("size") < room).withColumns({"at": F.row_number().over(order), "stop": stop, "may_start": F.lit(True), "many": F.count("*").over(Window.partitionBy("doc_id"))})
+    begun = with_starts(flow, "doc_id", room)
     so_far = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     top = F.last(F.when(F.col("begins"), F.col("stop") - F.col("size")), True).over(so_far)
     placed = begun.withColumns({"part": F.lit(0), "page": F.sum(F.col("begins").cast("int")).over(so_far).cast("int"), "y": header + fixed(F.col("stop") - F.col("size") - top), "error": F.lit(None).cast("string")})
@@ -166,12 +163,9 @@ def page_objects(objects: DataFrame, pages: DataFrame) -> DataFrame:
 def toc_tree(headings: DataFrame) -> DataFrame:
     """(doc_id, pos, level) with parent: the pos of the last earlier heading of a smaller level, null at the top. Levels may be any numbers."""
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
-    kept = headings.select("doc_id", F.struct("pos", F.col("level").cast("int").alias("level")).alias("h"), n.alias("n"))
-    values = kept.select("doc_id", "n", F.col("h.level").alias("v"), "h")
-    numbered = keep(values)
-    found = nearest_smaller(numbered, "doc_id").select("doc_id", "n", F.col("found").alias("up"))
-    above = numbered.select("doc_id", F.col("n").alias("up"), F.col("h.pos").alias("parent"))
-    return numbered.join(found, ["doc_id", "n"]).join(above, ["doc_id", "up"], "left").select("doc_id", "h.pos", "h.level", "parent")
+    level = F.col("level").cast("int")
+    found = nearest_smaller(headings.select("doc_id", n.alias("n"), level.alias("v"), F.struct("pos", level.alias("level")).alias("row")), "doc_id")
+    return found.select("doc_id", "row.pos", "row.level", F.col("found.pos").alias("parent"))
 
 
 def list_flatten(items: DataFrame) -> DataFrame:

@@ -45,6 +45,30 @@ def greedy_starts(rows: DataFrame, key: str, room: Column) -> DataFrame:
     return reached(steps, kept.filter("first"), key)
 
 
+def with_starts(rows: DataFrame, key: str, room: int) -> DataFrame:
+    """rows (key, at, size: long, may_start, many, ...) with `begins`, whether a group begins there (see greedy_starts); many is how many rows the key has.
+
+    Keys of at most BLOCK rows are folded, each in a row of its own; the others follow pointers.
+    """
+    some_large = not rows.filter(F.col("many") > BLOCK).isEmpty()
+    kept = keep(rows) if some_large else rows  # a table is only worth writing where it is read again
+    rest = [c for c in rows.columns if c != key]
+    listed = kept.filter(F.col("many") <= BLOCK).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "size", "may_start", F.struct(*(c for c in rest if c not in ("at", "size", "may_start"))).alias("rest")))).alias("rows"))
+    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("flags"))
+
+    def step(done: Column, x: Column) -> Column:
+        begins = (F.size(done["flags"]) == 0) | (x["may_start"] & (done["used"] + x["size"] >= room))
+        return F.struct(F.when(begins, x["size"]).otherwise(done["used"] + x["size"]).alias("used"), F.concat(done["flags"], F.array(begins)).alias("flags"))
+
+    flagged = listed.select(key, F.inline(F.arrays_zip("rows", F.aggregate("rows", state, step, lambda done: done["flags"]).alias("begins"))))
+    small = flagged.select(key, "rows.at", "rows.size", "rows.may_start", "rows.rest.*", "begins")
+    if not some_large:
+        return small.select(*rows.columns, "begins")
+    large = kept.filter(F.col("many") > BLOCK)
+    starts = greedy_starts(large.select(key, "at", "size", "may_start"), key, F.lit(room).cast("long"))
+    return small.select(*rows.columns, "begins").unionByName(large.join(starts.withColumn("begins", F.lit(True)), [key, "at"], "left").withColumn("begins", F.coalesce("begins", F.lit(False))))
+
+
 def to_root(nodes: DataFrame, keys: list[str], combine: Callable[[Column, Column], Column]) -> DataFrame:
     """nodes (keys, node, up, value) with the values from each node to its root combined, own first: (keys, node, value). What hangs on no root is absent."""
     done = nodes.filter("up is null").select(*keys, "node", "value")
@@ -58,36 +82,43 @@ def to_root(nodes: DataFrame, keys: list[str], combine: Callable[[Column, Column
 
 
 def block_rows(values: DataFrame, key: str) -> DataFrame:
-    """(key, block, rows, least) of values (key, n, v), n counting from 0."""
-    return values.groupBy(key, F.floor(F.col("n") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("rows"), F.min("v").alias("least"))
+    """(key, block, rows, least) of values (key, n, v, row), n counting from 0."""
+    return values.groupBy(key, F.floor(F.col("n") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n", "v", "row"))).alias("rows"), F.min("v").alias("least"))
 
 
 def last_below(blocks: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """(key, n, v, found): of blocks the last n before block n of asked (key, n, v) whose value is smaller than v."""
-    upper = keep(block_rows(blocks.select(key, F.col("block").alias("n"), F.col("least").alias("v")), key))
+    """(key, n, v, found): of asked (key, n, v) the row, in the last block before block n that has one, whose value is smaller than v and that is the last of these."""
+    upper = keep(block_rows(blocks.select(key, F.col("block").alias("n"), F.col("least").alias("v"), F.lit(0).alias("row")), key))
     own = asked.withColumn("block", F.floor(F.col("n") / BLOCK))
     near = own.join(upper, [key, "block"]).withColumn("block_found", F.try_element_at(F.filter("rows", lambda r: (r["n"] < F.col("n")) & (r["v"] < F.col("v"))), F.lit(-1))["n"])
     near = keep(near.select(key, "n", "v", "block", "block_found"))
     some = near.filter("block_found is not null").select(key, "n", "v", "block_found")
     open_ones = near.filter("block_found is null and block > 0").select(key, F.col("block").alias("n"), "v").distinct()
     if not open_ones.isEmpty():
-        far = last_below(upper, open_ones, key).select(key, F.col("n").alias("block"), "v", F.col("found").alias("block_found"))
+        far = last_blocks(upper, open_ones, key).select(key, F.col("n").alias("block"), "v", F.col("found").alias("block_found"))
         some = some.unionByName(near.filter("block_found is null").drop("block_found").join(far, [key, "block", "v"]).select(key, "n", "v", "block_found"))
     inside = some.join(blocks.select(key, F.col("block").alias("block_found"), "rows"), [key, "block_found"])
-    return inside.select(key, "n", "v", F.try_element_at(F.filter("rows", lambda r: r["v"] < F.col("v")), F.lit(-1))["n"].alias("found"))
+    return inside.select(key, "n", "v", F.try_element_at(F.filter("rows", lambda r: r["v"] < F.col("v")), F.lit(-1)).alias("found"))
+
+
+def last_blocks(upper: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """(key, n, v, found): the number of the row that last_below finds among blocks of blocks."""
+    return last_below(upper, asked, key).select(key, "n", "v", F.col("found.n").alias("found"))
 
 
 def nearest_smaller(values: DataFrame, key: str) -> DataFrame:
-    """values (key, n, v), n counting from 0, with found: the last n before whose value is smaller, or null.
+    """values (key, n, v, row), n counting from 0, with found: the row of the last n before whose value is smaller, or null.
 
     Inside a block it is looked for in the block; else in the last earlier block whose least value is smaller, and that block
     is found the same way among blocks of blocks.
     """
-    blocks = keep(block_rows(values, key))
-    each = F.transform("rows", lambda x, i: F.struct(x["n"].alias("n"), x["v"].alias("v"), F.try_element_at(F.filter(F.slice("rows", F.lit(1), i), lambda y: y["v"] < x["v"]), F.lit(-1))["n"].alias("found")))
+    several = not values.filter(F.col("n") >= BLOCK).isEmpty()
+    blocks = keep(block_rows(values, key)) if several else block_rows(values, key)
+    last = lambda x, i: F.try_element_at(F.filter(F.slice("rows", F.lit(1), i), lambda y: y["v"] < x["v"]), F.lit(-1))["row"]
+    each = F.transform("rows", lambda x, i: F.struct(x["n"].alias("n"), x["v"].alias("v"), x["row"].alias("row"), last(x, i).alias("found")))
     inside = blocks.select(key, "block", F.inline(each))
-    asked = inside.filter("found is null and block > 0").select(key, F.col("block").alias("n"), "v").distinct()
-    if asked.isEmpty():
+    if not several:
         return inside.drop("block")
-    far = last_below(blocks, asked, key).select(key, F.col("n").alias("block"), "v", F.col("found").alias("far"))
-    return inside.join(far, [key, "block", "v"], "left").select(key, "n", "v", F.coalesce("found", "far").alias("found"))
+    asked = inside.filter("found is null and block > 0").select(key, F.col("block").alias("n"), "v").distinct()
+    far = last_below(blocks, asked, key).select(key, F.col("n").alias("block"), "v", F.col("found.row").alias("far"))
+    return inside.join(far, [key, "block", "v"], "left").select(key, "n", "v", "row", F.coalesce("found", "far").alias("found"))
