@@ -8,13 +8,16 @@ _held: list[DataFrame] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder and without lineage if there is one; else persisted, and computed again where an executor is lost, until `release`."""
+    """df computed once: in the checkpoint folder and without lineage if there is one; else, in one process only, persisted until `release`."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     if spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     _held.append(df.persist())
     return _held[-1]
 
