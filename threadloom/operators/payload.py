@@ -61,7 +61,11 @@ def answer_log(answers: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def align(body: str, source: str) -> list[int]:
-    """For each character of body the place in source that it comes from, or -1: a longest common subsequence, or greedily beyond CELLS."""
+    """For each character of body the place in source that it comes from, or -1: a longest common subsequence, or greedily beyond CELLS.
+
+    Of equally long ones it is that which, from the ends on, takes equal characters at once and else passes over the body's
+    first. Lengths are kept for every n-th row only, n being the root of their number, and reckoned again between these.
+    """
     n, m = len(body), len(source)
     if n * m > CELLS:
         out, at = [], 0
@@ -71,21 +75,34 @@ def align(body: str, source: str) -> list[int]:
             at = hit + 1 if hit >= 0 else at
         return out
     a, b = np.frombuffer(body.encode("utf-32-le"), np.uint32), np.frombuffer(source.encode("utf-32-le"), np.uint32)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        # a row from the one below: a match adds one diagonally, then the best to the right is carried left
-        best = np.maximum(table[i + 1, :-1], np.where(b == a[i], table[i + 1, 1:] + 1, 0))
-        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < n:
-        if j < m and a[i] == b[j] and table[i, j] == table[i + 1, j + 1] + 1:
-            out.append(j)
-            i, j = i + 1, j + 1
-        elif j >= m or table[i + 1, j] >= table[i, j + 1]:
-            out.append(-1)
-            i += 1
-        else:
-            j += 1
+    every = max(1, int(n**0.5))
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        """Lengths for the first i + 1 characters of the body, from those for the first i."""
+        out = np.zeros_like(row)
+        # an equal character adds one to the diagonal, then the best to the left is carried right
+        out[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == a[i], row[:-1] + 1, 0)))
+        return out
+
+    kept, row = [], np.zeros(m + 1, np.int32)
+    for i in range(n):
+        if i % every == 0:
+            kept.append(row)
+        row = below(row, i)
+    out, j, i = [-1] * n, m, n
+    while i > 0 and j > 0:
+        first = (i - 1) // every * every
+        rows = [kept[first // every]]
+        for k in range(first, i):
+            rows.append(below(rows[-1], k))
+        while i > first and j > 0:
+            if a[i - 1] == b[j - 1]:
+                out[i - 1] = j - 1
+                i, j = i - 1, j - 1
+            elif rows[i - 1 - first][j] >= rows[i - first][j - 1]:
+                i -= 1
+            else:
+                j -= 1
     return out
 
 

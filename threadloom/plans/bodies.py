@@ -149,6 +149,17 @@ def style_replay(s: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", "line", F.posexplode("runs").alias("k", "r")).select("doc_id", "line", (F.col("k") + 1).alias("place"), "r.text", "r.bold", "r.italic")
 
 
+@query(RUNS_SQL + """, e AS (SELECT doc_id, i, 0 AS k, c, ((i - 1) // 40 % 3 = 0)::INT * 2 + ((i - 1) // 40 % 2 = 0)::INT AS style FROM ch UNION ALL SELECT doc_id, i, 1, '\u241e', -1 FROM ch WHERE i % 10 = 0),
+m AS (SELECT *, 1 + sum((c = chr(10))::INT) OVER (PARTITION BY doc_id ORDER BY i, k) - (c = chr(10))::INT AS line FROM e), f AS (SELECT *, CASE WHEN lag(style) OVER w = style THEN 0 ELSE 1 END AS fresh FROM m WHERE c <> chr(10) WINDOW w AS (PARTITION BY doc_id, line ORDER BY i, k)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, line ORDER BY i, k) AS place FROM f) SELECT doc_id, line::INT AS line, place::INT AS place, string_agg(c, '' ORDER BY i, k) AS text, style >= 2 AS bold, style = 1 OR style = 3 AS italic FROM g GROUP BY doc_id, line, place, style""")
+def style_edited(s: SparkSession, d: str) -> DataFrame:
+    """Each whole text with a mark after every ten characters, as a body whose styles come from the unmarked text's runs; marks have none."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "(?s)(.{10})", "$1\u241e")
+    docs = read(s, d, "documents").select("doc_id", body.alias("body"), text_runs().alias("runs"))
+    lines = runs.replayed(docs, "body", "runs", ["doc_id"])
+    return lines.select("doc_id", "line", F.posexplode("runs").alias("k", "r")).select("doc_id", "line", (F.col("k") + 1).alias("place"), "r.text", "r.bold", "r.italic")
+
+
 @query(LINES_SQL + r""", p AS (SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN ' 12)  ' WHEN 1 THEN '• ' ELSE '' END || plain AS plain FROM lines), m AS (SELECT *, regexp_extract(plain, '^(\s*\d+[.)]\s+|\s*[-•*]\s+)\S', 1) AS mark FROM p)
 SELECT doc_id, line_no, plain[length(mark) + 1:] AS rest, CASE WHEN length(plain) = length(mark) THEN NULL ELSE length(mark) < 3 END AS bold_head FROM m""")
 def list_markers(s: SparkSession, d: str) -> DataFrame:
