@@ -155,7 +155,9 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, line ORDER BY i, k) AS pla
 def style_edited(s: SparkSession, d: str) -> DataFrame:
     """Each whole text with a mark after every ten characters, as a body whose styles come from the unmarked text's runs; marks have none."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), "(?s)(.{10})", "$1\u241e")
-    docs = read(s, d, "documents").select("doc_id", body.alias("body"), text_runs().alias("runs"))
+    # alignment costs far more than reading, so texts are dealt to all cores however few files they come from
+    texts = read(s, d, "documents").select("doc_id", "text").repartition(4 * s.sparkContext.defaultParallelism, "doc_id")
+    docs = texts.select("doc_id", body.alias("body"), text_runs().alias("runs"))
     lines = runs.replayed(docs, "body", "runs", ["doc_id"])
     return lines.select("doc_id", "line", F.posexplode("runs").alias("k", "r")).select("doc_id", "line", (F.col("k") + 1).alias("place"), "r.text", "r.bold", "r.italic")
 
