@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import bradley_terry, mixing, mpeg_audio, pii_weak, quality_mcd, queries, secret_scan, sentencepiece_offsets, simhash_gray, suffix_levels, trigrams, warc
+from threadloom.llm import bradley_terry, mixing, mpeg_audio, near_texts, pii_weak, quality_mcd, queries, secret_scan, sentencepiece_offsets, simhash_gray, suffix_levels, trigrams, warc
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, fp string, quality int"
@@ -557,6 +557,59 @@ def test_pipeline(spark):
     assert docs.count() > 0
 
 
+def similar_classes(texts, words, percent):
+    """For each id the smallest one reachable by links of similar shingle sets, by comparing all pairs."""
+    sets = {}
+    for i, text in texts.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        near = {group[j] for j in sets if sets[i] == sets[j] or (100 + percent) * len(sets[i] & sets[j]) >= percent * (len(sets[i]) + len(sets[j]))}
+        group = {j: min(near) if g in near else g for j, g in group.items()}
+    return group
+
+
+def edited(rng, words, share):
+    return [f"{w}x" if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("leaders", [16, 0])
+def test_near_texts(spark, leaders):
+    """Components by exact similarity: chains, a group of copies of copies, awkward rows, against all pairs."""
+    rng, texts = random.Random(5), [None, "", " \n", "one", "One", "a b c d e", "A b c d E"]
+    vocabulary = [f"w{k}" for k in range(4000)]
+    for _ in range(12):
+        words = rng.choices(vocabulary, k=rng.randrange(80, 400))
+        texts.append(" ".join(words))
+        for _ in range(4):
+            words = edited(rng, words, rng.choice((0.005, 0.01, 0.03)))  # chains: ends of one need not be similar
+            texts.append(" ".join(words))
+    hub = rng.choices(vocabulary, k=200)
+    texts += [" ".join(edited(rng, hub, rng.choice((0.01, 0.04)))) for _ in range(60)] + [" ".join(hub)] * 3
+    rows = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[9], rows[9]], "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("n", F.lit(0))
+    got = near_texts.near_duplicates(df, leaders=leaders).collect()
+    true = similar_classes(dict(rows), 5, 80)
+    classes = {r.doc_id: r.component_id for r in got}
+    assert len(got) == len(rows) + 2 and all(true[i] == true[c] for i, c in classes.items())  # only true links
+    lost = len(set(classes.values())) - len(set(true.values()))
+    assert len(rows) - len(set(classes.values())) >= 0.9 * (len(rows) - len(set(true.values()))) and lost <= 2
+    assert {r.doc_id for r in got if r.keep} == set(classes.values())
+    kept = near_texts.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == len(set(classes.values()))
+    assert near_texts.near_duplicates(df.filter(F.lit(False))).count() == 0
+
+
+def test_near_texts_without_ids(spark):
+    """A null id stands for a component only where all ids are null."""
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(None, text), (7, text), (None, "other words"), (None, "other words")], "doc_id long, text string")
+    got = near_texts.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.keep) for r in got) == [(0, 0, True), (0, 0, True), (0, 7, False), (7, 7, True)]
+    assert near_texts.keep_one(df).count() == 2
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage over what the one before kept, against brute force on the collected rows, and run() against the stages."""
     import corpus_pipeline
@@ -577,12 +630,8 @@ def test_pipeline_against_brute_force(spark):
         inside = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
         assert not (r.doc_id in kept and (len(w) < 50 or 100 * len(inside) > 50 * len(w)))
 
-    fps = {r.doc_id: simhash_gray.fingerprint(r.text.encode(), corpus_pipeline.WORDS) for r in dedup[0]}
-    group = {i: i for i in fps}
-    for i in sorted(fps):
-        near = {group[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.RADIUS}
-        group = {j: min(near) if g in near else g for j, g in group.items()}
-    assert {r.doc_id for r in dedup[1]} == set(group.values()) and set(dedup[1]) <= set(dedup[0])
+    found, true = {r.doc_id for r in dedup[1]}, similar_classes({r.doc_id: r.text for r in dedup[0]}, corpus_pipeline.WORDS, corpus_pipeline.PERCENT)
+    assert found == set(true.values()) and set(dedup[1]) <= set(dedup[0])
 
     masked = {r.doc_id: r for r in pii[1]}
     assert sorted(masked) == sorted(r.doc_id for r in pii[0]) and all(r.n_chars == len(r.text) for r in pii[1])

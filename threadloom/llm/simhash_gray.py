@@ -62,12 +62,17 @@ def blocks_for(count: int, radius: int) -> int:
     return next((b for b in range(least, 2 * radius + 3) if 64 * (b - radius) // b >= max(1, count).bit_length()), 2 * radius + 2)
 
 
-def fingerprint(raw: bytes, n: int = WORDS) -> int:
+def shingle_hashes(raw: bytes, n: int = WORDS) -> np.ndarray:
+    """The XXH64 hashes of the text's shingles in order, repeats included; fewer words are one shingle, none give none."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8")
@@ -75,6 +80,10 @@ def fingerprint(raw: bytes, n: int = WORDS) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(raw: bytes, n: int = WORDS) -> int:
+    return majority(shingle_hashes(raw, n))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, row_key, fp): fp has the fingerprint's 64 bits as a long."""
 
