@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import mixing, pii_weak, quality_mcd, sentencepiece_offsets, simhash_gray
+from threadloom.llm import mixing, near_texts, pii_weak, quality_mcd, sentencepiece_offsets
 from threadloom.llm.common import cut
 from threadloom.llm.queries import model_path, source_domains
 
-
-#: Near copies: words of a shingle, and bits by which fingerprints may differ.
-WORDS, RADIUS = 5, 4
+#: Near copies: words of a shingle, similarity in percent, and bits by which linked fingerprints may differ.
+WORDS, PERCENT, RADIUS = 5, 80, 4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of smallest id: five-word shingles, fingerprints that differ in at most RADIUS bits."""
-    return simhash_gray.keep_one(docs, words=WORDS, radius=RADIUS)
+    """One document of each group of near copies, that of smallest id: linked by the fingerprints' index or by shared least shingles, and similar by their whole sets."""
+    return near_texts.keep_one(docs, words=WORDS, percent=PERCENT, radius=RADIUS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
