@@ -44,9 +44,14 @@ def is_chrome(plain: Column, form: str) -> Column:
     return hit
 
 
+def dropped(plain: Column, form: str) -> Column:
+    """Whether a line is one of the format's whole-line artefacts; blank ones are none."""
+    return (trim_ws(plain) != "") & is_chrome(plain, form)
+
+
 def drop_chrome(lines: DataFrame, form: str = "gmail") -> DataFrame:
     """Without the format's whole-line artefacts; blank lines stay."""
-    return lines.filter((trim_ws(F.col("plain")) == "") | ~is_chrome(F.col("plain"), form))
+    return lines.filter(~dropped(F.col("plain"), form))
 
 
 def strip_inline(text: Column) -> Column:
