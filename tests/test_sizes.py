@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from threadloom import plans
-from threadloom.operators import naming
+from threadloom.operators import naming, runs
 
 
 def plan_of(df):
@@ -33,3 +33,14 @@ def test_names_that_share_a_hash_are_as_the_sql_has_them(spark, tmp_path):
     # the operator itself tells them apart
     own = naming.distinct_names(found.select("c_custkey").withColumn("name", F.lit("_ a_b _MACHINERY_.pdf")), "c_custkey")
     assert own.select("output").distinct().count() == 6000
+
+
+def test_long_bodies_are_replayed_line_by_line(spark):
+    """A row a line comes from the task that aligns; it had carried all runs of its document, which is square in long texts."""
+    texts = [("ab\ncd", ["ab\n", "c", "d"]), ("\nxaéy\n", ["a", "é"]), ("", []), (None, ["z"]), ("q", None)]
+    frame = spark.createDataFrame([(i, b, None if r is None else [(x, k % 2 == 0, None, None, "l" if k else None, 9.0 + k) for k, x in enumerate(r)]) for i, (b, r) in enumerate(texts)], f"id int, body string, runs array<{runs.RUN}>")
+    found = runs.replayed(frame, "body", "runs", ["id"])
+    assert "Generate" not in plan_of(found)
+    got = {(r.id, r.line): [tuple(x) for x in r.runs] for r in found.collect()}
+    none = (False, False, False, None, 0.0)
+    assert got == {(0, 1): [("ab", True, None, None, None, 9.0)], (0, 2): [("c", False, None, None, "l", 10.0), ("d", True, None, None, "l", 11.0)], (1, 1): [], (1, 2): [("x", *none), ("a", True, None, None, None, 9.0), ("é", False, None, None, "l", 10.0), ("y", *none)], (1, 3): [], (2, 1): [], (3, 1): [], (4, 1): [("q", *none)]}

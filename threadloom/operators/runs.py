@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,25 +104,48 @@ def joined(parts: Column) -> Column:
     return coalesced(F.flatten(spaced))
 
 
-PIECES = pa.list_(pa.list_(pa.struct({"text": pa.string(), "run": pa.int32()})))
+KINDS = {"bold": (pa.bool_(), False), "italic": (pa.bool_(), False), "underline": (pa.bool_(), False), "link": (pa.string(), None), "font_size": (pa.float64(), 0.0)}
 
 
-def pieces_of(body: str, source: list[dict]) -> list[list[dict]]:
-    """For each line of a body its stretches of one style: text, and the first run of the source that has the style, or -1 where the source lacks the character."""
+def pieces_of(body: str, texts: list[str], styles: list[tuple]) -> list[list[tuple[str, int]]]:
+    """For each line of a body its stretches of one style: text, and the first of the source's runs (texts, styles) that has the style, or -1 where the source lacks the character."""
     first: dict[tuple, int] = {}
-    texts = [r["text"] or "" for r in source]
-    styles = [first.setdefault(tuple(r[k] or None for k in STYLE), i) for i, r in enumerate(source)]
-    owner = np.append(np.repeat(np.asarray(styles, np.int64), [len(x) for x in texts]), -1)
+    same = [first.setdefault(x, i) for i, x in enumerate(styles)]
+    owner = np.append(np.repeat(np.asarray(same, np.int64), [len(x) for x in texts]), -1)
     which = owner[np.asarray(align(body, "".join(texts)), np.int64)] if body else np.zeros(0, np.int64)
     lines, at = [], 0
     for line in body.split("\n"):
         own = which[at : at + len(line)]
         begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist() if line else []
-        lines.append([{"text": line[a:b], "run": int(own[a])} for a, b in zip(begins, [*begins[1:], len(line)], strict=False)])
+        lines.append([(line[a:b], int(own[a])) for a, b in zip(begins, [*begins[1:], len(line)], strict=False)])
         at += len(line) + 1
     return lines
 
 
+def replayed_rows(part: pa.RecordBatch, keys: list[str]) -> pa.RecordBatch:
+    """(keys, line, runs) of a few rows (keys, _b, _r): a row a line, so no line carries its document's runs."""
+    source, bodies = part.column("_r"), part.column("_b").to_pylist()
+    given = source.flatten()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(source).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    texts = [x or "" for x in given.field("text").to_pylist()]
+    styles = list(zip(*([x or None for x in given.field(k).to_pylist()] for k in STYLE), strict=True))
+    rows, numbers, sizes, found, which = [], [], [], [], []
+    for k, body in enumerate(bodies):
+        a, b = int(ends[k]), int(ends[k + 1])
+        for number, line in enumerate(pieces_of(body, texts[a:b], styles[a:b]), 1):
+            rows.append(k)
+            numbers.append(number)
+            sizes.append(len(line))
+            found += [text for text, _ in line]
+            which += [a + run if run >= 0 else -1 for _, run in line]
+    at = np.asarray(which, np.int64)
+    lacking, taken = pa.array(at < 0, pa.bool_()), pa.array(np.maximum(at, 0), mask=at < 0)
+    kinds = [pc.if_else(lacking, pa.scalar(none, kind), given.field(k).take(taken)) for k, (kind, none) in KINDS.items()]
+    made = pa.StructArray.from_arrays([pa.array(found, pa.string()), *kinds], ["text", *KINDS])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.record_batch([*(part.column(k).take(pa.array(rows, pa.int64())) for k in keys), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(offsets, made)], names=[*keys, "line", "runs"])
+
+
 def replayed(df: DataFrame, body: str, runs: str, keys: list[str]) -> DataFrame:
     """(keys, line, runs): the body's lines, from 1, with the styles of the source's characters they come from; a character that the source lacks has no style. Only equal font sizes are one style here."""
     given = df.select(*keys, F.coalesce(body, F.lit("")).alias("_b"), of(F.col(runs)).alias("_r"))
@@ -129,11 +153,7 @@ def replayed(df: DataFrame, body: str, runs: str, keys: list[str]) -> DataFrame:
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
-                part = whole.slice(at, 64)
-                made = [pieces_of(*row) for row in zip(part.column("_b").to_pylist(), part.column("_r").to_pylist(), strict=True)]
-                yield pa.record_batch([*(part.column(k) for k in (*keys, "_r")), pa.array(made, PIECES)], names=[*keys, "_r", "_p"])
-
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), f"_r array<{RUN}>", "_p array<array<struct<text:string,run:int>>>"])
-    lines = given.mapInArrow(run_batches, schema).select(*keys, "_r", F.posexplode("_p").alias("_k", "_l"))
-    styled = F.transform("_l", lambda p: F.when(p["run"] < 0, run(p["text"])).otherwise(run(p["text"], F.try_element_at("_r", p["run"] + 1))))
-    return lines.select(*keys, (F.col("_k") + 1).alias("line"), styled.alias("runs"))
+                yield replayed_rows(whole.slice(at, 64), keys)
+
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "line int", f"runs array<{RUN}>"])
+    return given.mapInArrow(run_batches, schema)
