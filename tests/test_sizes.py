@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 from pyspark.sql import functions as F
 
 from threadloom import plans
-from threadloom.operators import naming, runs
+from threadloom.operators import naming, payload, runs
 
 
 def plan_of(df):
@@ -44,3 +46,12 @@ def test_long_bodies_are_replayed_line_by_line(spark):
     got = {(r.id, r.line): [tuple(x) for x in r.runs] for r in found.collect()}
     none = (False, False, False, None, 0.0)
     assert got == {(0, 1): [("ab", True, None, None, None, 9.0)], (0, 2): [("c", False, None, None, "l", 10.0), ("d", True, None, None, "l", 11.0)], (1, 1): [], (1, 2): [("x", *none), ("a", True, None, None, None, 9.0), ("é", False, None, None, "l", 10.0), ("y", *none)], (1, 3): [], (2, 1): [], (3, 1): [], (4, 1): [("q", *none)]}
+
+
+def test_alignments_near_the_limit_take_milliseconds():
+    source = "".join(chr(97 + i * i % 23) for i in range(1800))
+    body = "".join(c + "␞" * (k % 10 == 9) for k, c in enumerate(source))
+    began = time.process_time()
+    found = [payload.align(body, source) for _ in range(20)][-1]
+    assert time.process_time() - began < 0.5
+    assert [k for k in found if k >= 0] == list(range(1800))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,9 +63,12 @@ def align(body: str, source: str) -> list[int]:
     """For each character of body the place in source that it comes from, or -1: a longest common subsequence, or greedily beyond CELLS.
 
     Of equally long ones it is that which, from the ends on, takes equal characters at once and else passes over the body's
-    first. Lengths are kept for every n-th row only, n being the root of their number, and reckoned again between these.
+    first. A row of lengths is one whole number with a bit for each character of the source, unset where the length grows, so
+    a row follows from the one before by an addition, and a length is a count of bits.
     """
     n, m = len(body), len(source)
+    if body == source:
+        return list(range(n))
     if n * m > CELLS:
         out, at = [], 0
         for ch in body:
@@ -74,35 +76,26 @@ def align(body: str, source: str) -> list[int]:
             out.append(hit)
             at = hit + 1 if hit >= 0 else at
         return out
-    a, b = np.frombuffer(body.encode("utf-32-le"), np.uint32), np.frombuffer(source.encode("utf-32-le"), np.uint32)
-    every = max(1, int(n**0.5))
-
-    def below(row: np.ndarray, i: int) -> np.ndarray:
-        """Lengths for the first i + 1 characters of the body, from those for the first i."""
-        out = np.zeros_like(row)
-        # an equal character adds one to the diagonal, then the best to the left is carried right
-        out[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == a[i], row[:-1] + 1, 0)))
-        return out
-
-    kept, row = [], np.zeros(m + 1, np.int32)
-    for i in range(n):
-        if i % every == 0:
-            kept.append(row)
-        row = below(row, i)
-    out, j, i = [-1] * n, m, n
+    places: dict[str, int] = {}
+    for j, ch in enumerate(source):
+        places[ch] = places.get(ch, 0) | 1 << j
+    full = (1 << m) - 1
+    row = full
+    rows = [row]
+    for ch in body:
+        equal = row & places.get(ch, 0)
+        row = (row + equal | row - equal) & full
+        rows.append(row)
+    length = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
+    out, i, j = [-1] * n, n, m
     while i > 0 and j > 0:
-        first = (i - 1) // every * every
-        rows = [kept[first // every]]
-        for k in range(first, i):
-            rows.append(below(rows[-1], k))
-        while i > first and j > 0:
-            if a[i - 1] == b[j - 1]:
-                out[i - 1] = j - 1
-                i, j = i - 1, j - 1
-            elif rows[i - 1 - first][j] >= rows[i - first][j - 1]:
-                i -= 1
-            else:
-                j -= 1
+        if body[i - 1] == source[j - 1]:
+            out[i - 1] = j - 1
+            i, j = i - 1, j - 1
+        elif length(i - 1, j) >= length(i, j - 1):
+            i -= 1
+        else:
+            j -= 1
     return out
 
 
