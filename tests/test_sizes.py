@@ -55,3 +55,11 @@ def test_alignments_near_the_limit_take_milliseconds():
     found = [payload.align(body, source) for _ in range(20)][-1]
     assert time.process_time() - began < 0.5
     assert [k for k in found if k >= 0] == list(range(1800))
+
+
+def test_tables_made_by_exploding_are_not_broadcast(spark, tmp_path):
+    """Their size is estimated by the small file that they come from."""
+    spark.range(1, 40).selectExpr("id c_custkey", "'Customer#' || id c_name", "'MACHINERY' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(40).selectExpr("id div 4 l_orderkey", "id % 4 l_linenumber", "id l_partkey", "id l_suppkey", "double(id) l_quantity", "double(id) l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("drawn_shapes", "drawn_text", "glyph_underlines"):
+        assert "Broadcast" not in plan_of(plans.queries()[name](spark, str(tmp_path))), name

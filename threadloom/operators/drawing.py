@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.glyphs import moved
-from threadloom.operators.keeping import keep
+from threadloom.operators.keeping import keep, large
 from threadloom.operators.pointers import to_root
 
 # The numbers that operators take, and which of them paint.
@@ -62,7 +62,7 @@ def transformations(tokens: DataFrame, wanted: Column) -> DataFrame:
     linked = keep(each.withColumn("up", F.last(F.when(F.col("is_node"), F.col("pos")), True).over(before)))
     nodes = linked.filter("op = 'cm' or (op = 'q' and not is_node)").select(*PAGE, F.col("pos").alias("node"), "up", F.when(F.col("op") == "cm", F.col("args")).otherwise(identity()).alias("value"))
     whole = to_root(nodes, PAGE, after).select(*PAGE, F.col("node").alias("up"), F.col("value").alias("ctm"))
-    return linked.filter("wanted").select(*PAGE, "pos", "op", "args", "name", "text", "up").join(whole, [*PAGE, "up"], "left").withColumn("ctm", F.coalesce("ctm", identity())).drop("up")
+    return linked.filter("wanted").select(*PAGE, "pos", "op", "args", "name", "text", "up").join(large(whole), [*PAGE, "up"], "left").withColumn("ctm", F.coalesce("ctm", identity())).drop("up")
 
 
 def text_chunks(tokens: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def text_chunks(tokens: DataFrame) -> DataFrame:
     spots = placed.filter(shown).select(*PAGE, "pos", u.alias("u"), v.alias("v"), F.coalesce("font", F.lit("")).alias("font"))
     under = transformations(ready, shown).select(*PAGE, "pos", "text", "ctm")
     px, py = moved(F.col("ctm"), F.col("u"), F.col("v"))
-    return spots.join(under, [*PAGE, "pos"]).select(*PAGE, "pos", px.alias("x"), py.alias("y"), "font", "text")
+    return spots.join(large(under), [*PAGE, "pos"]).select(*PAGE, "pos", px.alias("x"), py.alias("y"), "font", "text")
 
 
 def painted_paths(tokens: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def painted_paths(tokens: DataFrame) -> DataFrame:
     end = F.array(point(F.element_at("args", -2), F.element_at("args", -1)))
     added = F.when(op == "re", corners).when(op.isin("m", "l", "c", "v", "y"), end).when((op == "h") & F.col("start").isNotNull(), F.array(F.col("start")))
     points = known.filter("fresh is null or pos >= fresh").select(*PAGE, "path", F.inline(added))
-    ends = transformations(ready, paints).select(*PAGE, "pos", op.isin(*FILLS).alias("filled"), "ctm").join(parted.filter(paints).select(*PAGE, "pos", "path"), [*PAGE, "pos"])
+    ends = transformations(ready, paints).select(*PAGE, "pos", op.isin(*FILLS).alias("filled"), "ctm").join(large(parted.filter(paints).select(*PAGE, "pos", "path")), [*PAGE, "pos"])
     px, py = moved(F.col("ctm"), F.col("x"), F.col("y"))
-    at = points.join(ends, [*PAGE, "path"]).withColumns({"px": px, "py": py})
+    at = points.join(large(ends), [*PAGE, "path"]).withColumns({"px": px, "py": py})
     return at.groupBy(*PAGE, "pos", "filled").agg(F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"), F.count("*").cast("int").alias("points")).select(*PAGE, "pos", "x0", "y0", "x1", "y1", "points", "filled")

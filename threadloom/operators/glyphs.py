@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import trim_ws
 from threadloom.operators.geometry import upper_median
-from threadloom.operators.keeping import keep
+from threadloom.operators.keeping import keep, large
 from threadloom.operators.runs import run
 
 PAGE = ["doc_id", "page"]
@@ -70,10 +70,10 @@ def underlined(glyphs: DataFrame, underlines: DataFrame) -> DataFrame:
     u = underlines.select(*PAGE, F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("y").alias("uy"))
     # lines meet the marks of their heights first, glyphs only those of their line
     lines = at.select(*PAGE, "line", F.col("base.y").alias("high"), (F.col("base.y") - 1.2 * F.col("base.height")).alias("low")).distinct()
-    marks = by_height(lines, "low", "high").join(u.withColumn("_band", F.floor(F.col("uy") / HEIGHT_BAND)), [*PAGE, "_band"]).filter((F.col("uy") >= F.col("low")) & (F.col("uy") <= F.col("high"))).select(*PAGE, "line", "u0", "u1")
+    marks = by_height(lines, "low", "high").join(large(u.withColumn("_band", F.floor(F.col("uy") / HEIGHT_BAND))), [*PAGE, "_band"]).filter((F.col("uy") >= F.col("low")) & (F.col("uy") <= F.col("high"))).select(*PAGE, "line", "u0", "u1")
     near = (F.col("x") >= F.col("u0") - 1) & (F.col("x") <= F.col("u1") + 1)
-    hit = at.select(*PAGE, "line", "pos", "x").join(marks, [*PAGE, "line"]).filter(near).select(*PAGE, "pos").distinct().withColumn("under", F.lit(True))
-    return at.drop("base").join(hit, [*PAGE, "pos"], "left").withColumn("under", F.coalesce("under", F.lit(False)))
+    hit = at.select(*PAGE, "line", "pos", "x").join(large(marks), [*PAGE, "line"]).filter(near).select(*PAGE, "pos").distinct().withColumn("under", F.lit(True))
+    return at.drop("base").join(large(hit), [*PAGE, "pos"], "left").withColumn("under", F.coalesce("under", F.lit(False)))
 
 
 #: Ranges of heights meet in bands of this height.
@@ -106,8 +106,8 @@ def with_bullets(lines: DataFrame, bullets: DataFrame) -> DataFrame:
     reach = F.greatest(F.col("height") * BAND, F.lit(LEAST_BAND))
     near = (F.abs(F.col("by") - F.col("y")) <= reach) & (F.col("bx") < F.col("x")) & (F.col("x") - F.col("bx") < BULLET_REACH)
     spots = lines.select(*PAGE, "line", "x", "y", "height", (F.col("y") - reach).alias("_low"), (F.col("y") + reach).alias("_high"))
-    hit = by_height(spots, "_low", "_high").join(b, [*PAGE, "_band"]).filter(near).select(*PAGE, "line").distinct().withColumn("is_bullet", F.lit(True))
-    return lines.join(hit, [*PAGE, "line"], "left").withColumn("is_bullet", F.coalesce("is_bullet", F.lit(False)))
+    hit = by_height(spots, "_low", "_high").join(large(b), [*PAGE, "_band"]).filter(near).select(*PAGE, "line").distinct().withColumn("is_bullet", F.lit(True))
+    return lines.join(large(hit), [*PAGE, "line"], "left").withColumn("is_bullet", F.coalesce("is_bullet", F.lit(False)))
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def with_indents(lines: DataFrame, scanned: DataFrame) -> DataFrame:
     away = lambda c: F.abs(F.col(f"{c}.y") - F.col("y"))
     upper = F.col("_under").isNull() | (F.col("_over").isNotNull() & (away("_over") <= away("_under")))
     best = beside.select(*PAGE, "line", F.when(upper, F.struct(away("_over").alias("d"), F.col("_over.x").alias("x"))).otherwise(F.struct(away("_under").alias("d"), F.col("_under.x").alias("x"))).alias("best"))
-    return lines.join(best, [*PAGE, "line"], "left").withColumn("x", F.when(F.col("best.d") <= F.greatest("height", F.lit(6.0)), F.col("best.x")).otherwise(F.col("x"))).drop("best")
+    return lines.join(large(best), [*PAGE, "line"], "left").withColumn("x", F.when(F.col("best.d") <= F.greatest("height", F.lit(6.0)), F.col("best.x")).otherwise(F.col("x"))).drop("best")
 
 
 def headerish(plain: Column) -> Column:
@@ -154,7 +154,7 @@ def gap_blanks(lines: DataFrame, by: str = "baselines") -> DataFrame:
         gaps = gaps.withColumn("gap", F.col("up") - F.col("up_height") / 2 - F.col("y") - F.col("height") / 2)
         median = upper_median(gaps, PAGE, "height", "median")
         room = F.col("gap") > F.coalesce("median", F.lit(DEFAULT_HEIGHT)) * HEIGHT_GAP
-    full = gaps.join(median, PAGE, "left").withColumn("blank", F.coalesce(room & ~headerish(F.col("up_plain")) & ~headerish(F.col("plain")), F.lit(False)))
+    full = gaps.join(large(median), PAGE, "left").withColumn("blank", F.coalesce(room & ~headerish(F.col("up_plain")) & ~headerish(F.col("plain")), F.lit(False)))
     both = F.when(F.col("blank"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     each = full.select(*PAGE, "line", F.posexplode(both).alias("_k", "_blank"), "plain", "y")
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("line", "_k"))

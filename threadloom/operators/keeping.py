@@ -22,6 +22,11 @@ def keep(df: DataFrame) -> DataFrame:
     return _held[-1]
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df for a join, by sorting both sides. Spark's estimates miss what exploding adds and take rows derived from a small file for a small table, which would be broadcast through the driver."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Forget what was persisted in this session; a frame that is still used is computed anew. Frames of stopped sessions are gone already."""
     while _held:

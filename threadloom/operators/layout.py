@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import roman
-from threadloom.operators.keeping import keep
+from threadloom.operators.keeping import keep, large
 from threadloom.operators.pointers import greedy_starts, nearest_smaller, to_root, with_starts
 
 
@@ -94,7 +94,7 @@ def grouped_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> D
     kept = keep(sized.withColumn("fits", F.sum("size").over(whole) < room).withColumns({"lead": F.when(F.col("fits"), F.min("seq").over(whole)).otherwise(F.col("seq")), "above": F.when(F.col("fits"), F.sum("size").over(whole.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).otherwise(0)}))
     units = kept.groupBy("doc_id", F.col("lead").alias("seq")).agg((F.sum("size").cast("double") / PARTS).alias("height"))
     placed = page_split(units, page_height, header).select("doc_id", F.col("seq").alias("lead"), "page", F.col("y").alias("top"), "error")
-    return kept.join(placed, ["doc_id", "lead"]).select("doc_id", "seq", "group", "page", (F.col("top") + F.col("above").cast("double") / PARTS).alias("y"), "error")
+    return kept.join(large(placed), ["doc_id", "lead"]).select("doc_id", "seq", "group", "page", (F.col("top") + F.col("above").cast("double") / PARTS).alias("y"), "error")
 
 
 def column_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> DataFrame:
@@ -104,7 +104,7 @@ def column_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> Da
     placed = page_split(key, page_height, header).withColumn("k", F.from_json("doc_id", flow.schema["doc_id"].dataType)).select("k.*", "seq", "page", "y")
     pages = placed.groupBy("doc_id", "section").agg(F.coalesce(F.max("page"), F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.join(pages.withColumn("before", before), ["doc_id", "section"]).select("doc_id", "section", "col", "seq", (F.col("before") + F.col("page")).cast("int").alias("page"), "y")
+    return placed.join(large(pages.withColumn("before", before)), ["doc_id", "section"]).select("doc_id", "section", "col", "seq", (F.col("before") + F.col("page")).cast("int").alias("page"), "y")
 
 
 def text_pages(lines: DataFrame, chars: int, per_page: int) -> DataFrame:
@@ -173,7 +173,7 @@ def list_flatten(items: DataFrame) -> DataFrame:
     numbered = keep(items.withColumn("number", F.row_number().over(Window.partitionBy("list_id", "parent_id").orderBy("ord"))))
     nodes = numbered.select("list_id", F.col("item_id").alias("node"), F.col("parent_id").alias("up"), F.when(F.col("content") == "", 0).otherwise(1).alias("value"))
     levels = to_root(nodes, ["list_id"], lambda own, above: own + above)
-    return numbered.join(levels.select("list_id", F.col("node").alias("item_id"), F.col("value").alias("level")), ["list_id", "item_id"]).filter("content <> ''").select("list_id", "item_id", "level", "number", "content")
+    return numbered.join(large(levels.select("list_id", F.col("node").alias("item_id"), F.col("value").alias("level"))), ["list_id", "item_id"]).filter("content <> ''").select("list_id", "item_id", "level", "number", "content")
 
 
 def page_labels(pages: DataFrame, first: int = 1, style: str | Callable[[Column, Column], Column] = "default", hidden: tuple[int, ...] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.keeping import keep
+from threadloom.operators.keeping import keep, large
 
 BLOCK = 64
 
@@ -20,11 +20,11 @@ def reached(steps: DataFrame, first: DataFrame, key: str) -> DataFrame:
     jump = keep(steps.filter("next is not null").select(key, "at", "next"))
     found = new = first.select(key, "at")
     while True:
-        new = keep(found.join(jump, [key, "at"]).select(key, F.col("next").alias("at")))
+        new = keep(found.join(large(jump), [key, "at"]).select(key, F.col("next").alias("at")))
         if new.isEmpty():
             return found
         found = keep(found.unionByName(new))
-        jump = keep(jump.join(jump.select(key, F.col("at").alias("next"), F.col("next").alias("further")), [key, "next"]).select(key, "at", F.col("further").alias("next")))
+        jump = keep(jump.join(large(jump.select(key, F.col("at").alias("next"), F.col("next").alias("further"))), [key, "next"]).select(key, "at", F.col("further").alias("next")))
 
 
 def greedy_starts(rows: DataFrame, key: str, room: Column) -> DataFrame:
@@ -64,9 +64,9 @@ def with_starts(rows: DataFrame, key: str, room: int) -> DataFrame:
     small = flagged.select(key, "rows.at", "rows.size", "rows.may_start", "rows.rest.*", "begins")
     if not some_large:
         return small.select(*rows.columns, "begins")
-    large = kept.filter(F.col("many") > BLOCK)
-    starts = greedy_starts(large.select(key, "at", "size", "may_start"), key, F.lit(room).cast("long"))
-    return small.select(*rows.columns, "begins").unionByName(large.join(starts.withColumn("begins", F.lit(True)), [key, "at"], "left").withColumn("begins", F.coalesce("begins", F.lit(False))))
+    many = kept.filter(F.col("many") > BLOCK)
+    starts = greedy_starts(many.select(key, "at", "size", "may_start"), key, F.lit(room).cast("long"))
+    return small.select(*rows.columns, "begins").unionByName(many.join(large(starts.withColumn("begins", F.lit(True))), [key, "at"], "left").withColumn("begins", F.coalesce("begins", F.lit(False))))
 
 
 def to_root(nodes: DataFrame, keys: list[str], combine: Callable[[Column, Column], Column]) -> DataFrame:
@@ -76,7 +76,7 @@ def to_root(nodes: DataFrame, keys: list[str], combine: Callable[[Column, Column
     most = left.count().bit_length()
     while rounds <= most and not left.filter("up is not null").isEmpty():
         above = left.select(*keys, F.col("node").alias("up"), F.col("up").alias("over"), F.col("value").alias("more"))
-        still = left.filter("up is not null").join(above, [*keys, "up"]).select(*keys, "node", F.col("over").alias("up"), combine(F.col("value"), F.col("more")).alias("value"))
+        still = left.filter("up is not null").join(large(above), [*keys, "up"]).select(*keys, "node", F.col("over").alias("up"), combine(F.col("value"), F.col("more")).alias("value"))
         left, rounds = keep(left.filter("up is null").unionByName(still)), rounds + 1
     return left.filter("up is null").select(*keys, "node", "value") if rounds else done
 
@@ -90,14 +90,14 @@ def last_below(blocks: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """(key, n, v, found): of asked (key, n, v) the row, in the last block before block n that has one, whose value is smaller than v and that is the last of these."""
     upper = keep(block_rows(blocks.select(key, F.col("block").alias("n"), F.col("least").alias("v"), F.lit(0).alias("row")), key))
     own = asked.withColumn("block", F.floor(F.col("n") / BLOCK))
-    near = own.join(upper, [key, "block"]).withColumn("block_found", F.try_element_at(F.filter("rows", lambda r: (r["n"] < F.col("n")) & (r["v"] < F.col("v"))), F.lit(-1))["n"])
+    near = own.join(large(upper), [key, "block"]).withColumn("block_found", F.try_element_at(F.filter("rows", lambda r: (r["n"] < F.col("n")) & (r["v"] < F.col("v"))), F.lit(-1))["n"])
     near = keep(near.select(key, "n", "v", "block", "block_found"))
     some = near.filter("block_found is not null").select(key, "n", "v", "block_found")
     open_ones = near.filter("block_found is null and block > 0").select(key, F.col("block").alias("n"), "v").distinct()
     if not open_ones.isEmpty():
         far = last_blocks(upper, open_ones, key).select(key, F.col("n").alias("block"), "v", F.col("found").alias("block_found"))
-        some = some.unionByName(near.filter("block_found is null").drop("block_found").join(far, [key, "block", "v"]).select(key, "n", "v", "block_found"))
-    inside = some.join(blocks.select(key, F.col("block").alias("block_found"), "rows"), [key, "block_found"])
+        some = some.unionByName(near.filter("block_found is null").drop("block_found").join(large(far), [key, "block", "v"]).select(key, "n", "v", "block_found"))
+    inside = some.join(large(blocks.select(key, F.col("block").alias("block_found"), "rows")), [key, "block_found"])
     return inside.select(key, "n", "v", F.try_element_at(F.filter("rows", lambda r: r["v"] < F.col("v")), F.lit(-1)).alias("found"))
 
 
@@ -121,4 +121,4 @@ def nearest_smaller(values: DataFrame, key: str) -> DataFrame:
         return inside.drop("block")
     asked = inside.filter("found is null and block > 0").select(key, F.col("block").alias("n"), "v").distinct()
     far = last_below(blocks, asked, key).select(key, F.col("n").alias("block"), "v", F.col("found.row").alias("far"))
-    return inside.join(far, [key, "block", "v"], "left").select(key, "n", "v", "row", F.coalesce("found", "far").alias("found"))
+    return inside.join(large(far), [key, "block", "v"], "left").select(key, "n", "v", "row", F.coalesce("found", "far").alias("found"))
