@@ -8,7 +8,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from threadloom import plans
-from threadloom.operators import naming, payload, runs
+from threadloom.operators import layout, naming, payload, runs
+from threadloom.operators.keeping import keep
 
 
 def plan_of(df):
@@ -63,3 +64,18 @@ def test_tables_made_by_exploding_are_not_broadcast(spark, tmp_path):
     spark.range(40).selectExpr("id div 4 l_orderkey", "id % 4 l_linenumber", "id l_partkey", "id l_suppkey", "double(id) l_quantity", "double(id) l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
     for name in ("drawn_shapes", "drawn_text", "glyph_underlines"):
         assert "Broadcast" not in plan_of(plans.queries()[name](spark, str(tmp_path))), name
+
+
+def test_lines_are_broken_alike_in_their_row_and_by_pointers(spark, monkeypatch):
+    words = [(k * k % 7 + 1) * "a" for k in range(700)]
+    lines = [(1, 1, " ".join(words)), (1, 2, None), (2, 1, "a" * 40 + "  b " + " ".join(words[:90])), (2, 2, "")]
+    frame = spark.createDataFrame(lines, "doc_id int, line_no int, plain string")
+    broken = lambda: sorted(tuple(r) for r in layout.word_lines(frame, 20, {" ": 2}, 1, 7).collect())
+    kept = []
+    monkeypatch.setattr(layout, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    folded = broken()
+    # nothing of a line that is folded is written
+    assert [df.count() for df in kept] == [0]
+    monkeypatch.setattr(layout, "FOLDED", 60)
+    assert broken() == folded and kept[-1].count() == 700 + 93
+    assert {(d, n): " ".join(r[5] for r in folded if r[:2] == (d, n)) for d, n, _ in lines} == {(d, n): x or "" for d, n, x in lines}

@@ -116,6 +116,10 @@ def text_pages(lines: DataFrame, chars: int, per_page: int) -> DataFrame:
     return each.withColumn("n", n).select("doc_id", "line_no", "part", F.expr(f"int(n div {per_page}) + 1").alias("page"), (F.col("n") % per_page + 1).cast("int").alias("row"), "plain")
 
 
+#: Lines of at most so many words are broken in their own row, longer ones by pointers.
+FOLDED = 20_000
+
+
 def word_lines(lines: DataFrame, width: int, advances: dict[str, int], other: int, per_page: int) -> DataFrame:
     """(doc_id, line_no, plain) as (doc_id, line_no, part, page, row, plain): lines broken between words where the next word would pass `width`, on pages of `per_page` rows; no word is cut.
 
@@ -127,14 +131,23 @@ def word_lines(lines: DataFrame, width: int, advances: dict[str, int], other: in
     measured = lambda word: F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s + wide(c))
     space = advances.get(" ", other)
     words = F.transform(F.split(F.coalesce("plain", F.lit("")), " ", -1), lambda w: F.struct(w.alias("word"), (measured(w) + space).alias("size")))
-    line = keep(lines.select("doc_id", "line_no", words.alias("words")).withColumn("line", F.struct("doc_id", "line_no")))
-    total = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w["size"])
-    long_ones = line.filter(total > width + space)
-    each = keep(long_ones.select("line", F.posexplode("words").alias("at", "w")).select("line", "at", "w.word", "w.size", F.lit(True).alias("may_start")))
+    split = lines.withColumn("_n", F.size(F.split(F.coalesce("plain", F.lit("")), " ", -1)))
+    # a line is folded in its row, which notes only where parts begin
+    line = split.filter(F.col("_n") <= FOLDED).select("doc_id", "line_no", words.alias("words"))
+    begun = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
+
+    def step(done: Column, w: Column) -> Column:
+        begins = (done["at"] == 0) | (done["used"] + w["size"] > width + space)
+        return F.struct((done["at"] + 1).alias("at"), F.when(begins, w["size"]).otherwise(done["used"] + w["size"]).alias("used"), F.when(begins, F.concat(done["starts"], F.array(done["at"]))).otherwise(done["starts"]).alias("starts"))
+
+    placed = line.withColumn("starts", F.aggregate("words", begun, step, lambda done: done["starts"]))
+    cut = F.transform("starts", lambda a, i: F.array_join(F.transform(F.slice("words", a + 1, F.coalesce(F.try_element_at("starts", i + 2), F.size("words")) - a), lambda w: w["word"]), " "))
+    whole = placed.select(F.struct("doc_id", "line_no").alias("line"), F.posexplode(cut).alias("part", "plain"))
+    longest = split.filter(F.col("_n") > FOLDED).select(F.struct("doc_id", "line_no").alias("line"), F.posexplode(words).alias("at", "w"))
+    each = keep(longest.select("line", "at", "w.word", "w.size", F.lit(True).alias("may_start")))
     starts = greedy_starts(each.drop("word"), "line", F.lit(width + space + 1).cast("long")).withColumn("begins", F.lit(1))
     part = F.sum(F.coalesce("begins", F.lit(0))).over(Window.partitionBy("line").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    broken = each.join(starts, ["line", "at"], "left").withColumn("part", part.cast("int")).groupBy("line", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("plain"))
-    whole = line.filter(total <= width + space).select("line", F.lit(0).alias("part"), F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("plain"))
+    broken = each.join(large(starts), ["line", "at"], "left").withColumn("part", part.cast("int")).groupBy("line", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("plain"))
     rows = whole.unionByName(broken).select("line.doc_id", "line.line_no", "part", "plain")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "part")) - 1
     return rows.withColumn("n", n).select("doc_id", "line_no", "part", F.expr(f"int(n div {per_page}) + 1").alias("page"), (F.col("n") % per_page + 1).cast("int").alias("row"), "plain")
