@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom import plans
 from threadloom.operators import layout, naming, payload, runs
 from threadloom.operators.keeping import keep
+from threadloom.plans.common import dealt
 
 
 def plan_of(df):
@@ -79,3 +80,11 @@ def test_lines_are_broken_alike_in_their_row_and_by_pointers(spark, monkeypatch)
     monkeypatch.setattr(layout, "FOLDED", 60)
     assert broken() == folded and kept[-1].count() == 700 + 93
     assert {(d, n): " ".join(r[5] for r in folded if r[:2] == (d, n)) for d, n, _ in lines} == {(d, n): x or "" for d, n, x in lines}
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, tmp_path):
+    assert dealt(spark.range(1000), "id", 10).rdd.getNumPartitions() == 100 and dealt(spark.range(0), "id", 10).rdd.getNumPartitions() == 4
+    spark.range(1, 40).selectExpr("id c_custkey", "'Customer#' || id c_name", "'MACHINERY' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    # rows are dealt before they are exploded, and not again for the second page
+    plan = plan_of(plans.queries()["document_lines"](spark, str(tmp_path)))
+    assert plan.count("Exchange") == 1 and "Union" not in plan

@@ -29,9 +29,14 @@ def in_order(order: str, value: str) -> Column:
 NUMBERED = "(SELECT l_orderkey, l_partkey, l_quantity, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))::INT AS l_linenumber FROM lineitem)"
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df dealt by a key to tasks of about so many rows, so that a task's memory does not grow with the table, and at least one for each core."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), key)
+
+
 def numbered(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return read(s, d, "lineitem").withColumn("l_linenumber", F.row_number().over(w))
+    return dealt(read(s, d, "lineitem"), "l_orderkey", 200_000).withColumn("l_linenumber", F.row_number().over(w))
 
 
 def nation_grid(s: SparkSession, d: str) -> DataFrame:
@@ -41,4 +46,4 @@ def nation_grid(s: SparkSession, d: str) -> DataFrame:
     return cells.select("table_id", F.expr("int(k div 2)").alias("row"), (F.col("k") % 2).alias("col"), "cell_id")
 
 
-__all__ = ["LINES_SQL", "MAIL_SQL", "NUMBERED", "TRIM", "doc_lines", "in_order", "mail", "nation_grid", "numbered", "read"]
+__all__ = ["LINES_SQL", "MAIL_SQL", "NUMBERED", "TRIM", "dealt", "doc_lines", "in_order", "mail", "nation_grid", "numbered", "read"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import drawing, geometry, glyphs, layout, runs
-from threadloom.plans.common import LINES_SQL, NUMBERED, doc_lines, nation_grid, numbered, read
+from threadloom.plans.common import LINES_SQL, NUMBERED, dealt, doc_lines, nation_grid, numbered, read
 from threadloom.plans.registry import query
 
 C = F.col
@@ -15,7 +15,7 @@ C = F.col
 def customer_glyphs(s: SparkSession, d: str) -> DataFrame:
     """Three lines a customer: the name, digits in a bold font; the segment, slanted; and a control character ahead of a word."""
     text = F.concat("c_name", F.lit("\n"), "c_mktsegment", F.lit("\r\n"), F.chr(F.lit(7)), F.lit(" tail"))
-    each = read(s, d, "customer").select(C("c_custkey").alias("doc_id"), F.length("c_name").alias("a"), F.length("c_mktsegment").alias("b"), F.posexplode(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
+    each = dealt(read(s, d, "customer"), "c_custkey", 10_000).select(C("c_custkey").alias("doc_id"), F.length("c_name").alias("a"), F.length("c_mktsegment").alias("b"), F.posexplode(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
     line = F.when(C("pos") <= C("a"), 0).when(C("pos") <= C("a") + 1 + C("b"), 1).otherwise(2)
     return each.select("doc_id", F.lit(1).alias("page"), "pos", F.ascii("ch").alias("code"), F.lit(400).alias("weight"), (line == 1).alias("italic"), F.when(C("ch").rlike("[0-9]"), "ABCDEF+Arial-BoldMT").otherwise("Helvetica").alias("font"), F.lit(9.75).alias("size"), (50.0 + 6 * C("pos")).alias("x"), (700.0 - 14 * line).alias("y"), F.lit(10.0).alias("height"))
 
@@ -58,7 +58,7 @@ def bullet_lines(s: SparkSession, d: str) -> DataFrame:
 def document_lines(s: SparkSession, d: str) -> DataFrame:
     """Two pages alike as one line table."""
     page = glyphs.styled_lines(glyphs.glyph_lines(customer_glyphs(s, d))).select("doc_id", "page", "line", "plain", "x")
-    return glyphs.document_lines(page.unionByName(page.withColumn("page", F.lit(2))))
+    return glyphs.document_lines(page.withColumn("page", F.explode(F.array(F.lit(1), F.lit(2)))))
 
 
 CHUNKS = "(SELECT l_orderkey AS doc_id, l_quantity AS y, (l_partkey % 500)::DOUBLE AS x, l_linenumber::VARCHAR AS text FROM " + NUMBERED + ")"
