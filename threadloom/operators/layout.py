@@ -100,8 +100,7 @@ def grouped_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> D
 def column_pages(rows: DataFrame, page_height: float, header: float = 0.0) -> DataFrame:
     """(doc_id, section, col, seq, height) as (doc_id, section, col, seq, page, y): columns of a section fill pages side by side, and a section begins on the page after the longest column of the one before."""
     flow = rows.select(F.struct("doc_id", "section", "col").alias("doc_id"), "seq", "height")
-    key = flow.select(F.to_json("doc_id").alias("doc_id"), "seq", "height")
-    placed = page_split(key, page_height, header).withColumn("k", F.from_json("doc_id", flow.schema["doc_id"].dataType)).select("k.*", "seq", "page", "y")
+    placed = page_split(flow, page_height, header).select("doc_id.*", "seq", "page", "y")
     pages = placed.groupBy("doc_id", "section").agg(F.coalesce(F.max("page"), F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return placed.join(large(pages.withColumn("before", before)), ["doc_id", "section"]).select("doc_id", "section", "col", "seq", (F.col("before") + F.col("page")).cast("int").alias("page"), "y")
