@@ -11,6 +11,7 @@ from threadloom import plans
 from threadloom.operators import layout, naming, payload, runs
 from threadloom.operators.keeping import keep
 from threadloom.plans.common import dealt
+from threadloom.sources import files
 
 
 def plan_of(df):
@@ -88,3 +89,34 @@ def test_tasks_grow_in_number_with_the_rows(spark, tmp_path):
     # rows are dealt before they are exploded, and not again for the second page
     plan = plan_of(plans.queries()["document_lines"](spark, str(tmp_path)))
     assert plan.count("Exchange") == 1 and "Union" not in plan
+
+
+def test_lines_are_computed_once_for_all_parsers(spark, tmp_path):
+    """Each parser reads its input several times; what made the lines had run anew for each reading and each parser."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lines = spark.range(12).selectExpr("id div 2 doc_id", "id % 2 line_no", "'x' || id plain").mapInArrow(counted, "doc_id long, line_no long, plain string")
+    formats = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "c"), (4, None)], "doc_id int, format string")
+    twice = lambda x: x.join(x.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
+    found = files.parse_all(lines, formats, {"b": twice, "a": lambda x: twice(x).drop("plain")})
+    # of documents with two formats each is read, one named twice once, and others give none
+    assert found.dtypes == [("doc_id", "bigint"), ("line_no", "bigint"), ("n", "bigint"), ("format", "string"), ("plain", "string")]
+    assert sorted(tuple(r)[:4] for r in found.collect()) == [(d, n, 2, f) for d, n, f in [(0, 0, "a"), (0, 1, "a"), (1, 0, "b"), (1, 1, "b"), (2, 0, "a"), (2, 0, "b"), (2, 1, "a"), (2, 1, "b")]]
+    assert sorted(r.plain for r in found.filter("format = 'b'").collect()) == ["x2", "x3", "x4", "x5"]
+    assert seen.value == 12
+
+
+def test_formats_are_parsed_from_kept_lines(spark, tmp_path):
+    turns = "conv_id long, turn long, role string, text string"
+    rows = [(i, t, "user" if t % 2 else "assistant", f"a line\nand {t}") for i in range(8) for t in range(3)] + [(None, 0, "user", "x"), (-1, 0, "user", "x"), (9, 5, "user", None)]
+    spark.createDataFrame(rows, turns).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = plans.queries()["parse_formats"](spark, str(tmp_path))
+    assert "FileScan" not in plan_of(found) and "Generate" not in plan_of(found)
+    named = {(i, t + 1): ("Assistant", "User")[t % 2] for i in range(8) if i % 4 < 3 for t in range(3)} | {(9, 1): "User"}
+    assert {(r.doc_id, r.idx): (r.from_name, r.format) for r in found.collect()} == {(i, n): (f"{who} {i}", ("gmail", "outlook", "apple")[i % 4]) for (i, n), who in named.items()}
+    assert found.count() == len(named)

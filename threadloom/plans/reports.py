@@ -10,7 +10,7 @@ from threadloom.operators import diffing, navigation, payload, report, runs, seg
 from threadloom.plans.common import MAIL_SQL, NUMBERED, in_order, mail, numbered, read
 from threadloom.plans.registry import query
 from threadloom.sources import files
-from threadloom.sources.mail import stacked_lines
+from threadloom.sources.mail import mail_lines, stacked_lines
 
 C = F.col
 
@@ -126,9 +126,9 @@ def source_fallback(s: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS idx, upper(role[1]) || lower(role[2:]) || ' ' || conv_id AS from_name FROM conversations) SELECT doc_id, idx, from_name, ['gmail', 'outlook', 'apple'][doc_id % 4 + 1] AS format FROM t WHERE doc_id % 4 < 3""")
 def parse_formats(s: SparkSession, d: str) -> DataFrame:
     """Three formats by their own parsers, and a fourth without one."""
-    talk, k = read(s, d, "conversations"), C("doc_id") % 4
-    lines = mail(s, d).filter(k == 0).unionByName(stacked_lines(talk, colons=False).filter(k == 1)).unionByName(stacked_lines(talk, colons=True).filter(k == 2)).unionByName(mail(s, d).filter(k == 3))
-    formats = lines.select("doc_id").distinct().withColumn("format", F.element_at(F.array(*(F.lit(x) for x in ("gmail", "outlook", "apple", "unknown"))), (k + 1).cast("int")))
+    talk, k = read(s, d, "conversations"), C("conv_id") % 4
+    lines = mail_lines(talk.filter(k.isin(0, 3))).unionByName(stacked_lines(talk.filter(k == 1), colons=False)).unionByName(stacked_lines(talk.filter(k == 2), colons=True))
+    formats = talk.select(C("conv_id").alias("doc_id"), F.when(k == 0, "gmail").when(k == 1, "outlook").when(k == 2, "apple").otherwise("unknown").alias("format")).distinct()
     parsers = {"gmail": segment.messages, "outlook": lambda x: stacked.messages(x, stacked.OUTLOOK), "apple": lambda x: stacked.messages(x, stacked.APPLE)}
     return files.parse_all(lines, formats, parsers).select("doc_id", "idx", "from_name", "format")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import file_hash
+from threadloom.operators.keeping import keep, large
 
 
 def scan(spark: SparkSession, folder: str, extension: str = "pdf") -> DataFrame:
@@ -25,10 +26,15 @@ def with_fallback(documents: DataFrame, primary: DataFrame, fallback: DataFrame)
 
 
 def parse_all(lines: DataFrame, formats: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """The messages of documents by the parser of their format (doc_id, format), with the format; formats without a parser give none."""
+    """The messages of documents by the parser of their format (doc_id, format), with the format; formats without a parser give none.
+
+    Lines are computed once and kept with their parser's name: parsers read their input several times, and what made the lines would run anew for each.
+    """
+    told = formats.filter(F.col("format").isin(*parsers)).select("doc_id", F.col("format").alias("parser")).distinct()
+    kept = keep(lines.join(large(told), "doc_id").select(*lines.columns, "parser"))
     out = None
     for name, parse in sorted(parsers.items()):
-        own = parse(lines.join(formats.filter(F.col("format") == name).select("doc_id"), "doc_id", "left_semi")).withColumn("format", F.lit(name))
+        own = parse(kept.filter(F.col("parser") == name).drop("parser")).withColumn("format", F.lit(name))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out
 
