@@ -69,7 +69,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_levels.removed_passages(table(spark, sf_dir, "documents"), batches=5).drop("row_key")
+    return suffix_levels.removed_passages(table(spark, sf_dir, "documents"), batches=5, words=True).drop("row_key")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
