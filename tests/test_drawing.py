@@ -96,3 +96,18 @@ def test_tokens_as_a_walk_places_them(spark):
         close(sorted(tuple(r)[2:] for r in paths if r.doc_id == doc), want[1])
     assert max(r.x for r in chunks if r.doc_id == 99) == 300.0
     assert drawing.text_chunks(frame.filter("false")).count() == drawing.painted_paths(frame.filter("false")).count() == 0
+
+
+def test_scopes_go_on_over_batches_and_end_with_their_page(spark):
+    """More tokens than a batch has rows, in scopes that stay open; a number that is null makes null what is computed from it."""
+    grow = [2.0, 0.0, 0.0, 2.0, 0.0, 0.0]
+    move = [1.0, 0.0, 0.0, 1.0, 1.0, 0.0]
+    deep = [("q", None)] * 9_990 + [("cm", move)] + [("q", None), ("cm", move), ("Tj", None)] * 20 + [("Q", None)] * 15 + [("Tj", None)] + [("Q", None)] * 10_000 + [("Tj", None)]
+    short = [("Tj", None), ("Q", None), ("Tj", None), ("q", None), ("cm", grow), ("cm", move), ("Tj", None)]
+    lacking = [("cm", [1.0, 0.0, None, 1.0, 0.0, 0.0]), ("cm", [None, 0.0, 0.0, 2.0, 1.0, None]), ("Td", [3.0, 1.0]), ("Tj", None), ("cm", None), ("Tj", None)]
+    pages = {(1, 1): deep, (1, 2): short, (None, 1): short, (2, 1): lacking}
+    tokens = [(d, p, i, op, args, None, "x") for (d, p), given in pages.items() for i, (op, args) in enumerate(given)]
+    found = {}
+    for r in drawing.text_chunks(spark.createDataFrame(tokens, SCHEMA).repartition(1)).orderBy("pos").collect():
+        found.setdefault((r.doc_id, r.page), []).append((r.x, r.y))
+    assert found == {(1, 1): [(2.0 + k, 0.0) for k in range(20)] + [(6.0, 0.0), (0.0, 0.0)], (1, 2): [(0.0, 0.0), (0.0, 0.0), (2.0, 0.0)], (None, 1): [(0.0, 0.0), (0.0, 0.0), (2.0, 0.0)], (2, 1): [(None, None)] * 2}

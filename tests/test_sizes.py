@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from threadloom import plans
-from threadloom.operators import layout, naming, payload, runs
+from threadloom.operators import drawing, layout, naming, payload, pointers, runs
 from threadloom.operators.keeping import keep
 from threadloom.plans.common import dealt
 from threadloom.sources import files
@@ -120,3 +120,13 @@ def test_formats_are_parsed_from_kept_lines(spark, tmp_path):
     named = {(i, t + 1): ("Assistant", "User")[t % 2] for i in range(8) if i % 4 < 3 for t in range(3)} | {(9, 1): "User"}
     assert {(r.doc_id, r.idx): (r.from_name, r.format) for r in found.collect()} == {(i, n): (f"{who} {i}", ("gmail", "outlook", "apple")[i % 4]) for (i, n), who in named.items()}
     assert found.count() == len(named)
+
+
+def test_drawing_tokens_are_dealt_once_and_nothing_of_them_is_written(spark, tmp_path, monkeypatch):
+    """Tables of nodes were written in rounds, and tokens were dealt again for each join: on disk over a hundred times the line items."""
+    spark.range(40).selectExpr("id div 4 l_orderkey", "id % 4 l_linenumber", "id l_partkey", "id l_suppkey", "double(id) l_quantity", "double(id) l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = []
+    for module in (drawing, pointers):
+        monkeypatch.setattr(module, "keep", lambda df: kept.append(df) or keep(df), raising=False)
+    plan = plan_of(plans.queries()["drawn_text"](spark, str(tmp_path)))
+    assert plan.count("Exchange") == 1 and "Join" not in plan and not kept

@@ -8,12 +8,18 @@ A saved state is a scope, opened by `q` and closed by `Q` (one more than were op
 sum; the last node (`q` or `cm`) of a depth before a token is what its transformation starts from, and each node points to the
 one it changes. Products of matrices along these pointers are taken by doubling, so pages with many tokens or deep scopes take
 few rounds. Text positions are running sums since the last absolute one; paths are groups of points between painting tokens.
+For texts a task streams the tokens of its pages in order and holds the matrices of the scopes that are open, so that nothing
+is kept or joined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.operators.glyphs import moved
 from threadloom.operators.keeping import keep, large
@@ -24,6 +30,8 @@ NUMBERS = {"cm": 6, "Tm": 6, "m": 2, "l": 2, "c": 6, "v": 4, "y": 4, "re": 4, "T
 FILLS, STROKES, NEXT_LINE, SHOWS = ("f", "F", "f*", "B", "b", "B*", "b*"), ("s", "S"), ("T*", "'", '"'), ("Tj", "TJ", "'", '"')
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 PAGE = ["doc_id", "page"]
+#: What a streamed row does: opens or closes a scope, changes its matrix, or asks for it.
+OPENS, CLOSES, CHANGES, ASKS = 1, 2, 3, 4
 
 
 def identity() -> Column:
@@ -65,6 +73,79 @@ def transformations(tokens: DataFrame, wanted: Column) -> DataFrame:
     return linked.filter("wanted").select(*PAGE, "pos", "op", "args", "name", "text", "up").join(large(whole), [*PAGE, "up"], "left").withColumn("ctm", F.coalesce("ctm", identity())).drop("up")
 
 
+def total(*terms: tuple) -> float | None:
+    """A sum of products; null if any number is."""
+    found = 0.0
+    for x, y in terms:
+        if x is None or y is None:
+            return None
+        found += x * y
+    return found
+
+
+def product(first: list, then: list) -> list:
+    """`after`, on numbers."""
+    a, b, c, d, e, f = first
+    p, q, r, s, t, u = then
+    try:
+        return [a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u]
+    except TypeError:  # nulls
+        return [total((a, p), (b, r)), total((a, q), (b, s)), total((c, p), (d, r)), total((c, q), (d, s)), total((e, p), (f, r), (t, 1.0)), total((e, q), (f, s), (u, 1.0))]
+
+
+class Scopes:
+    """The open scopes of a page: the matrix that holds and those that were saved."""
+
+    def __init__(self) -> None:
+        self.saved, self.now = [], list(IDENTITY)
+
+    def take(self, step: int, numbers: list) -> None:
+        if step == OPENS:
+            self.saved.append(self.now)
+        elif step == CHANGES:
+            self.now = product(numbers, self.now)
+        elif self.saved:
+            self.now = self.saved.pop()
+
+
+def values(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(name).to_numpy(zero_copy_only=False).tolist()
+
+
+def listed(column: pa.Array) -> list:
+    """The numbers of all lists of a column, one after another."""
+    flat = column.flatten()
+    return flat.to_pylist() if flat.null_count else flat.to_numpy().tolist()
+
+
+def in_steps(rows: DataFrame, *order: str) -> DataFrame:
+    """rows (step, ...) sorted by `order` in each page, with `fresh`, whether a page begins."""
+    return rows.withColumn("fresh", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order)) == 1).sortWithinPartitions(*PAGE, *order)
+
+
+def under_scopes(rows: DataFrame) -> DataFrame:
+    """The rows that ask of rows (doc_id, page, pos, step, numbers, ...), with the matrix (ctm) that holds there; numbers are those of `cm`, else null."""
+    kept = [c for c in rows.columns if c not in ("step", "numbers")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scopes = Scopes()
+        for batch in batches:
+            numbers, at, asked, found = listed(batch.column("numbers")), 0, [], []
+            for k, (fresh, step) in enumerate(zip(values(batch, "fresh"), values(batch, "step"), strict=True)):
+                if fresh:
+                    scopes = Scopes()
+                if step == ASKS:
+                    asked.append(k)
+                    found += scopes.now
+                else:
+                    scopes.take(step, numbers[at : at + 6])
+                    at += 6 * (step == CHANGES)
+            matrices = pa.ListArray.from_arrays(pa.array(range(0, len(found) + 1, 6), pa.int32()), pa.array(found, pa.float64()))
+            yield pa.record_batch([*(batch.column(c).take(pa.array(asked, pa.int64())) for c in kept), matrices], names=[*kept, "ctm"])
+
+    return in_steps(rows, "pos").mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField("ctm", T.ArrayType(T.DoubleType()))]))
+
+
 def text_chunks(tokens: DataFrame) -> DataFrame:
     """(doc_id, page, pos, x, y, font, text): shown texts, where they start, and the name of their font."""
     order = Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -79,10 +160,10 @@ def text_chunks(tokens: DataFrame) -> DataFrame:
     x, y = F.col("_x") - F.coalesce("_at.x", F.lit(0.0)), F.col("_y") - F.coalesce("_at.y", F.lit(0.0))
     u, v = moved(F.coalesce("_at.m", identity()), x, y)
     shown = op.isin(*SHOWS) & F.col("text").isNotNull() & ((op != "TJ") | (F.col("text") != ""))
-    spots = placed.filter(shown).select(*PAGE, "pos", u.alias("u"), v.alias("v"), F.coalesce("font", F.lit("")).alias("font"))
-    under = transformations(ready, shown).select(*PAGE, "pos", "text", "ctm")
+    step = F.when(op == "q", OPENS).when(op == "Q", CLOSES).when(op == "cm", CHANGES).when(shown, ASKS)
+    steps = placed.withColumn("step", step).filter("step is not null").select(*PAGE, "pos", "step", F.when(op == "cm", F.col("args")).alias("numbers"), u.alias("u"), v.alias("v"), F.coalesce("font", F.lit("")).alias("font"), "text")
     px, py = moved(F.col("ctm"), F.col("u"), F.col("v"))
-    return spots.join(large(under), [*PAGE, "pos"]).select(*PAGE, "pos", px.alias("x"), py.alias("y"), "font", "text")
+    return under_scopes(steps).select(*PAGE, "pos", px.alias("x"), py.alias("y"), "font", "text")
 
 
 def painted_paths(tokens: DataFrame) -> DataFrame:
