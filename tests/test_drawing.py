@@ -111,3 +111,17 @@ def test_scopes_go_on_over_batches_and_end_with_their_page(spark):
     for r in drawing.text_chunks(spark.createDataFrame(tokens, SCHEMA).repartition(1)).orderBy("pos").collect():
         found.setdefault((r.doc_id, r.page), []).append((r.x, r.y))
     assert found == {(1, 1): [(2.0 + k, 0.0) for k in range(20)] + [(6.0, 0.0), (0.0, 0.0)], (1, 2): [(0.0, 0.0), (0.0, 0.0), (2.0, 0.0)], (None, 1): [(0.0, 0.0), (0.0, 0.0), (2.0, 0.0)], (2, 1): [(None, None)] * 2}
+
+
+def test_paths_go_on_over_batches_and_lie_where_they_are_painted(spark):
+    """Points of more rows than a batch, moved by what comes after them; nulls are left out of bounds, and no number is the largest, as in aggregates."""
+    nan = float("nan")
+    long = [("q", None), ("m", [0.0, 1.0])] + [("l", [float(k % 977), -float(k % 991)]) for k in range(21_000)] + [("cm", [2.0, 0.0, 0.0, 1.0, 5.0, 0.0]), ("S", None), ("Q", None), ("re", [1.0, 1.0, 2.0, 3.0]), ("f", None)]
+    lacking = [("m", [None, 2.0]), ("l", [3.0, nan]), ("l", [4.0, 6.0]), ("S", None), ("m", [None, None]), ("f", None), ("m", [1.0, 1.0]), ("re", [0.0, 0.0, 4.0, 2.0]), ("h", None), ("f", None), ("S", None), ("l", [1.0, 1.0]), ("n", None), ("l", [1.0, 1.0])]
+    pages = {(1, 1): long, (1, None): lacking, (2, 1): [("l", [1.0, 2.0]), ("cm", [None, 1.0, 0.0, 1.0, 0.0, 0.0]), ("f*", None)]}
+    tokens = [(d, p, i, op, args, None, None) for (d, p), given in pages.items() for i, (op, args) in enumerate(given)]
+    found = {}
+    for r in drawing.painted_paths(spark.createDataFrame(tokens, SCHEMA).repartition(1)).orderBy("pos").collect():
+        found.setdefault((r.doc_id, r.page), []).append(tuple(r)[3:])
+    assert str(found.pop((1, None))) == str([(4.0, 6.0, nan, nan, 3, False), (None, None, None, None, 1, True), (0.0, 0.0, 4.0, 2.0, 5, True)])
+    assert found == {(1, 1): [(5.0, -990.0, 1957.0, 1.0, 21_001, False), (1.0, 1.0, 3.0, 4.0, 4, True)], (2, 1): [(None, 3.0, None, 3.0, 1, True)]}

@@ -128,5 +128,6 @@ def test_drawing_tokens_are_dealt_once_and_nothing_of_them_is_written(spark, tmp
     kept = []
     for module in (drawing, pointers):
         monkeypatch.setattr(module, "keep", lambda df: kept.append(df) or keep(df), raising=False)
-    plan = plan_of(plans.queries()["drawn_text"](spark, str(tmp_path)))
-    assert plan.count("Exchange") == 1 and "Join" not in plan and not kept
+    for name in ("drawn_text", "drawn_shapes"):
+        plan = plan_of(plans.queries()[name](spark, str(tmp_path)))
+        assert plan.count("Exchange") == 1 and "Join" not in plan and not kept, name

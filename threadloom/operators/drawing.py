@@ -4,49 +4,37 @@ Tokens are (doc_id, page, pos, op, args: array<double>, name, text) in the order
 name of a font or a shown text (strings of an array put together). No file is read here. A token takes its last numbers; one
 that has too few is passed over. Null texts show nothing.
 
-A saved state is a scope, opened by `q` and closed by `Q` (one more than were opened does nothing). The depth is a running
-sum; the last node (`q` or `cm`) of a depth before a token is what its transformation starts from, and each node points to the
-one it changes. Products of matrices along these pointers are taken by doubling, so pages with many tokens or deep scopes take
-few rounds. Text positions are running sums since the last absolute one; paths are groups of points between painting tokens.
-For texts a task streams the tokens of its pages in order and holds the matrices of the scopes that are open, so that nothing
-is kept or joined.
+A saved state is a scope, opened by `q` and closed by `Q` (one more than were opened does nothing). A task streams the tokens of
+its pages in order and holds the matrices of the scopes that are open, a batch of rows and no more, so nothing is kept, joined
+or dealt again. Text positions are running sums since the last absolute one; paths are groups of points between painting
+tokens, which are streamed after the token that paints them, as its transformation holds for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.operators.glyphs import moved
-from threadloom.operators.keeping import keep, large
-from threadloom.operators.pointers import to_root
 
 # The numbers that operators take, and which of them paint.
 NUMBERS = {"cm": 6, "Tm": 6, "m": 2, "l": 2, "c": 6, "v": 4, "y": 4, "re": 4, "Td": 2, "TD": 2, "TL": 1, "Tf": 1, '"': 2}
 FILLS, STROKES, NEXT_LINE, SHOWS = ("f", "F", "f*", "B", "b", "B*", "b*"), ("s", "S"), ("T*", "'", '"'), ("Tj", "TJ", "'", '"')
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 PAGE = ["doc_id", "page"]
-#: What a streamed row does: opens or closes a scope, changes its matrix, or asks for it.
-OPENS, CLOSES, CHANGES, ASKS = 1, 2, 3, 4
+#: What a streamed row does: opens or closes a scope, changes its matrix, asks for it, or adds points to the path that asked last.
+OPENS, CLOSES, CHANGES, ASKS, ADDS = 1, 2, 3, 4, 5
 
 
 def identity() -> Column:
     return F.array(*(F.lit(x) for x in IDENTITY))
 
 
-def after(first: Column, then: Column) -> Column:
-    """The matrix of one transformation followed by another one."""
-    a, b = ([F.element_at(m, k) for k in range(1, 7)] for m in (first, then))
-    return F.array(
-        a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3],
-        a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5],
-    )
-
-
 def complete(tokens: DataFrame) -> DataFrame:
     """Tokens that have the numbers they need, and of these the last ones."""
     need = F.lit(0)
@@ -57,22 +45,6 @@ def complete(tokens: DataFrame) -> DataFrame:
     return kept.select(*PAGE, "pos", "op", F.slice("args", F.size("args") - F.col("_need") + 1, F.col("_need")).alias("args"), "name", "text")
 
 
-def transformations(tokens: DataFrame, wanted: Column) -> DataFrame:
-    """The tokens that `wanted` tells, with the matrix (ctm) that holds there."""
-    order = Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    own = tokens.filter(F.col("op").isin("q", "Q", "cm") | wanted).withColumn("wanted", wanted)
-    opened = own.withColumn("_s", F.sum(F.when(F.col("op") == "q", 1).when(F.col("op") == "Q", -1).otherwise(0)).over(order))
-    deep = opened.withColumn("depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(order)))
-    # a scope's token asks at the depth that it leaves and is a node at the depth that it opens
-    sides = F.when(F.col("op") == "q", F.array(F.struct((F.col("depth") - 1).alias("depth"), F.lit(False).alias("is_node")), F.struct("depth", F.lit(True).alias("is_node")))).otherwise(F.array(F.struct("depth", (F.col("op") == "cm").alias("is_node"))))
-    each = deep.select(*PAGE, "pos", "op", "args", "name", "text", "wanted", F.explode(sides).alias("_d")).select("*", F.col("_d.depth").alias("level"), F.col("_d.is_node").alias("is_node")).drop("_d")
-    before = Window.partitionBy(*PAGE, "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    linked = keep(each.withColumn("up", F.last(F.when(F.col("is_node"), F.col("pos")), True).over(before)))
-    nodes = linked.filter("op = 'cm' or (op = 'q' and not is_node)").select(*PAGE, F.col("pos").alias("node"), "up", F.when(F.col("op") == "cm", F.col("args")).otherwise(identity()).alias("value"))
-    whole = to_root(nodes, PAGE, after).select(*PAGE, F.col("node").alias("up"), F.col("value").alias("ctm"))
-    return linked.filter("wanted").select(*PAGE, "pos", "op", "args", "name", "text", "up").join(large(whole), [*PAGE, "up"], "left").withColumn("ctm", F.coalesce("ctm", identity())).drop("up")
-
-
 def total(*terms: tuple) -> float | None:
     """A sum of products; null if any number is."""
     found = 0.0
@@ -83,8 +55,8 @@ def total(*terms: tuple) -> float | None:
     return found
 
 
-def product(first: list, then: list) -> list:
-    """`after`, on numbers."""
+def product(first: Sequence, then: Sequence) -> list:
+    """The matrix of one transformation followed by another one."""
     a, b, c, d, e, f = first
     p, q, r, s, t, u = then
     try:
@@ -97,13 +69,13 @@ class Scopes:
     """The open scopes of a page: the matrix that holds and those that were saved."""
 
     def __init__(self) -> None:
-        self.saved, self.now = [], list(IDENTITY)
+        self.saved, self.now = [], IDENTITY
 
-    def take(self, step: int, numbers: list) -> None:
+    def take(self, step: int, numbers: Sequence) -> None:
         if step == OPENS:
             self.saved.append(self.now)
         elif step == CHANGES:
-            self.now = product(numbers, self.now)
+            self.now = numbers if self.now is IDENTITY else product(numbers, self.now)
         elif self.saved:
             self.now = self.saved.pop()
 
@@ -146,6 +118,53 @@ def under_scopes(rows: DataFrame) -> DataFrame:
     return in_steps(rows, "pos").mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField("ctm", T.ArrayType(T.DoubleType()))]))
 
 
+def lesser(x: float | None, y: float | None) -> float | None:
+    """As `min` has it: nulls are left out, no number is the largest."""
+    return y if x is None or (y is not None and (y < x or x != x)) else x
+
+
+def greater(x: float | None, y: float | None) -> float | None:
+    return y if x is None or (y is not None and (y > x or y != y)) else x
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, pos, filled, points, x0, y0, x1, y1) of rows (doc_id, page, at, later, pos, step, numbers, filled, points): where the points of paths lie, under the matrix of the row that asks just before them. `points` tells how many a path has; numbers are those of `cm` or coordinates of points, else null."""
+    kept, box = {"doc_id": "doc_id", "page": "page", "at": "pos", "filled": "filled", "points": "points"}, ["x0", "y0", "x1", "y1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scopes, matrix, left, spread = Scopes(), None, 0, None
+        for batch in batches:
+            numbers, at, ended, found = listed(batch.column("numbers")), 0, [], []
+            sizes = pc.fill_null(pc.list_value_length(batch.column("numbers")), 0).to_pylist()
+            for k, (fresh, step, size, points) in enumerate(zip(values(batch, "fresh"), values(batch, "step"), sizes, values(batch, "points"), strict=True)):
+                if fresh:
+                    scopes = Scopes()
+                if step == ADDS:
+                    a, b, c, d, e, f = matrix
+                    for i in range(at, at + size, 2):
+                        x, y = numbers[i : i + 2]
+                        try:
+                            px, py = a * x + c * y + e, b * x + d * y + f
+                        except TypeError:  # nulls
+                            px, py = total((a, x), (c, y), (e, 1.0)), total((b, x), (d, y), (f, 1.0))
+                        x0, y0, x1, y1 = spread
+                        spread = lesser(x0, px), lesser(y0, py), greater(x1, px), greater(y1, py)
+                    left -= size // 2
+                    if not left:
+                        ended.append(k)
+                        found.append(spread)
+                elif step == ASKS:
+                    matrix, left, spread = scopes.now, points, (None,) * 4
+                else:
+                    scopes.take(step, numbers[at : at + size])
+                at += size
+            which = pa.array(ended, pa.int64())
+            yield pa.record_batch([*(batch.column(c).take(which) for c in kept), *(pa.array([x[i] for x in found], pa.float64()) for i in range(4))], names=[*kept.values(), *box])
+
+    fields = [*(T.StructField(name, rows.schema[c].dataType) for c, name in kept.items()), *(T.StructField(c, T.DoubleType()) for c in box)]
+    return in_steps(rows, "at", "later", "pos").mapInArrow(run, T.StructType(fields))
+
+
 def text_chunks(tokens: DataFrame) -> DataFrame:
     """(doc_id, page, pos, x, y, font, text): shown texts, where they start, and the name of their font."""
     order = Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -176,20 +195,24 @@ def painted_paths(tokens: DataFrame) -> DataFrame:
     ready = complete(tokens)
     paints = op.isin(*FILLS, *STROKES)
     order = Window.partitionBy(*PAGE).orderBy("pos")
-    drawn = ready.filter(op.isin("m", "l", "c", "v", "y", "re", "h", "n") | paints)
+    drawn = ready.filter(op.isin("q", "Q", "cm", "m", "l", "c", "v", "y", "re", "h", "n") | paints)
     parted = drawn.withColumn("path", F.coalesce(F.sum((paints | (op == "n")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy(*PAGE, "path").orderBy("pos")
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    start = F.last(F.when(op == "m", point(arg(1), arg(2))), True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    fresh = F.last(F.when(op.isin("m", "re"), F.col("pos")), True).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    known = parted.withColumns({"start": start, "fresh": fresh})
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    start = F.last(F.when(op == "m", F.struct(arg(1).alias("x"), arg(2).alias("y"))), True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    fresh = F.last(F.when(op.isin("m", "re"), F.col("pos")), True).over(whole)
+    paint = F.last(F.when(paints, F.struct("pos", op.isin(*FILLS).alias("filled"))), True).over(whole)
+    known = parted.withColumns({"start": start, "from": fresh, "paint": paint})
     low = [F.least(arg(k), arg(k) + arg(k + 2)) for k in (1, 2)]
     high = [F.greatest(arg(k), arg(k) + arg(k + 2)) for k in (1, 2)]
-    corners = F.array(point(low[0], low[1]), point(high[0], low[1]), point(high[0], high[1]), point(low[0], high[1]))
-    end = F.array(point(F.element_at("args", -2), F.element_at("args", -1)))
-    added = F.when(op == "re", corners).when(op.isin("m", "l", "c", "v", "y"), end).when((op == "h") & F.col("start").isNotNull(), F.array(F.col("start")))
-    points = known.filter("fresh is null or pos >= fresh").select(*PAGE, "path", F.inline(added))
-    ends = transformations(ready, paints).select(*PAGE, "pos", op.isin(*FILLS).alias("filled"), "ctm").join(large(parted.filter(paints).select(*PAGE, "pos", "path")), [*PAGE, "pos"])
-    px, py = moved(F.col("ctm"), F.col("x"), F.col("y"))
-    at = points.join(large(ends), [*PAGE, "path"]).withColumns({"px": px, "py": py})
-    return at.groupBy(*PAGE, "pos", "filled").agg(F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"), F.count("*").cast("int").alias("points")).select(*PAGE, "pos", "x0", "y0", "x1", "y1", "points", "filled")
+    corners = F.array(low[0], low[1], high[0], low[1], high[0], high[1], low[0], high[1])
+    end = F.array(F.element_at("args", -2), F.element_at("args", -1))
+    added = F.when(op == "re", corners).when(op.isin("m", "l", "c", "v", "y"), end).when((op == "h") & F.col("start").isNotNull(), F.array("start.x", "start.y"))
+    live = F.col("paint").isNotNull() & (F.col("from").isNull() | (F.col("pos") >= F.col("from")))
+    numbers = F.when(op == "cm", F.col("args")).when(live, added)
+    step = F.when(op == "q", OPENS).when(op == "Q", CLOSES).when(op == "cm", CHANGES).when(paints, ASKS).when(F.col("numbers").isNotNull(), ADDS)
+    steps = known.withColumn("numbers", numbers).withColumn("step", step).filter("step is not null")
+    adds = F.col("step") == ADDS
+    counted = steps.withColumn("points", F.coalesce(F.sum(F.when(adds, F.size("numbers") / 2)).over(whole), F.lit(0)).cast("int")).filter((F.col("step") != ASKS) | (F.col("points") > 0))
+    at = F.when(adds, F.col("paint.pos")).otherwise(F.col("pos"))
+    return bounded(counted.select(*PAGE, at.alias("at"), adds.alias("later"), "pos", "step", "numbers", F.col("paint.filled").alias("filled"), "points")).select(*PAGE, "pos", "x0", "y0", "x1", "y1", "points", "filled")
