@@ -42,7 +42,8 @@ def complete(tokens: DataFrame) -> DataFrame:
         need = F.when(F.col("op") == op, n).otherwise(need)
     given = F.coalesce("args", F.array().cast("array<double>"))
     kept = tokens.withColumns({"args": given, "_need": need}).filter(F.size("args") >= F.col("_need"))
-    return kept.select(*PAGE, "pos", "op", F.slice("args", F.size("args") - F.col("_need") + 1, F.col("_need")).alias("args"), "name", "text")
+    last = F.when(F.size("args") == F.col("_need"), F.col("args")).otherwise(F.slice("args", F.size("args") - F.col("_need") + 1, F.col("_need")))
+    return kept.select(*PAGE, "pos", "op", last.alias("args"), "name", "text")
 
 
 def total(*terms: tuple) -> float | None:

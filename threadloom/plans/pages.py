@@ -241,7 +241,8 @@ def page_label_function(s: SparkSession, d: str) -> DataFrame:
 
 def line_tokens(s: SparkSession, d: str, per_line: list[Column]) -> DataFrame:
     """Drawing tokens of orders as pages, `per_line` for each line item in order."""
-    return numbered(s, d).select(C("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), C("l_linenumber").alias("k"), F.posexplode(F.filter(F.array(*per_line), lambda t: t["op"] != "")).alias("j", "t")).select("doc_id", "page", (C("k") * 16 + C("j")).alias("pos"), "t.*")
+    each = numbered(s, d).select(C("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), C("l_linenumber").alias("k"), F.posexplode(F.array(*per_line)).alias("j", "t"))
+    return each.filter("t.op <> ''").select("doc_id", "page", (C("k") * 16 + C("j")).alias("pos"), "t.*")
 
 
 def token(op: str | Column, *args: Column | float, name: Column | None = None, text: Column | None = None) -> Column:
